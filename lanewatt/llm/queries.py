@@ -1,4 +1,4 @@
-"""The queries of this subpackage, for ``__spark_entry__.py``."""
+"""The queries of this subpackage, for ``__spark_entry__.py``, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,17 +6,86 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, secrets, sharding
+from . import chat, decontaminate, ogg, packing, quality, secrets, sharding, simhash, toxicity, warc
 
 
-def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_secret_scan": _over("documents", secrets.document_secrets),
-    "op4_chat_format": _over("conversations", chat.conversation_digests),
-    "op9_byte_shards": _over("documents", sharding.document_shards),
+    "op1_decontamination": _over(decontaminate.contaminated, "documents", "benchmark"),
+    "op2_secret_scan": _over(secrets.document_secrets, "documents"),
+    "op3_ogg_media": _over(ogg.document_media, "documents"),
+    "op4_chat_format": _over(chat.conversation_digests, "conversations"),
+    "op5_simhash": _over(simhash.document_classes, "documents"),
+    "op6_toxicity": _over(toxicity.scored, "documents", "labels"),
+    "op7_packing": _over(packing.packed_documents, "documents"),
+    "op8_quality": _over(quality.scored, "documents", "labels"),
+    "op9_byte_shards": _over(sharding.document_shards, "documents"),
+    "op10_warc": _over(warc.archived_pages, "pages"),
+    "pipeline": _pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _assignment(name: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+_KEYWORDS = "|".join(map(_assignment, ("password", "passwd", "secret", "token"))) + "|[aA][pP][iI]_?[kK][eE][yY]"
+_QUOTE = "[\"'']?"
+_ASSIGN = f"({_KEYWORDS}){_QUOTE} *[:=] *{_QUOTE}([A-Za-z0-9+/_.=-]+)"
+
+
+def _kind_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: the running lengths of the pieces between matches and of the matches themselves."""
+    return f"""
+    SELECT doc_id, start, {rank} AS rank, '{kind}' AS kind, start + n AS stop FROM (
+      SELECT doc_id, n, g, CAST(sum(gap + n) OVER (PARTITION BY doc_id, copy ORDER BY k) - n AS BIGINT) AS start FROM (
+        SELECT doc_id, copy, k, length(gaps[k]) AS gap, length(found[k]) AS n, length(parts[k]) AS g FROM (
+          SELECT doc_id, copy, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found,
+                 regexp_extract_all(text, '{pattern}', {group}) AS parts, unnest(range(1, len(regexp_extract_all(text, '{pattern}', 0)) + 1)) AS k
+          FROM docs WHERE regexp_matches(text, '{pattern}'))))
+    WHERE g >= {least}"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS copy, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join((_kind_sql("assign", 0, _ASSIGN, 2, 6), _kind_sql("access", 1, "AKIA[A-Z0-9]{16,}", 0, 20), _kind_sql("hex", 2, "[0-9a-f]{24,}", 0, 24)))}),
+said AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+                count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h
+         FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN said USING (doc_id)""",
+    "op4_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+moves AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+         count(*) OVER (PARTITION BY conv_id) AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24) AS BIGINT) AS formatted_chars,
+       bool_and(CASE WHEN k = n AND role <> 'assistant' THEN false WHEN role = 'system' THEN k = 1
+                     WHEN role = 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+                     WHEN role = 'assistant' THEN coalesce(before = 'user', false) ELSE false END) AS valid
+FROM moves GROUP BY conv_id""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+top AS (SELECT html, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY html HAVING count(*) > 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM p LEFT JOIN top USING (html)""",
+}
