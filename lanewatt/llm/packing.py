@@ -16,6 +16,7 @@ from .common import stored
 
 CAPACITY = 2048
 GROUP = 2000
+TRIALS = 6000
 WORD_CACHE = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -132,41 +133,41 @@ def _exchange(a: list[tuple[int, int]], b: list[tuple[int, int]], gap: int) -> t
     return best
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Empty bins one by one: what the emptiest bin holds goes to fuller ones by moves and swaps.
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int, trials: int = TRIALS) -> list[list[int]]:
+    """Empty bins one by one: what an ill-filled bin holds goes to fuller ones by moves and swaps.
 
-    Each exchange carries tokens from a bin to one at least as full, so the sum of squared fills grows with every step
-    and the search ends. It stops early at the least number of bins that the total allows, and when the emptiest bins
-    can't be emptied; the result never has more bins than before.
+    Each exchange carries tokens from a bin to one at least as full, so the sum of squared fills grows with every step.
+    The emptiest bin gives first; one that can't give waits until another exchange has changed the bins. The search ends
+    at the least number of bins that the total allows, when no exchange is left, or after ``trials`` pairs of bins; the
+    result never has more bins than before.
     """
     least = -(-sum(lengths) // capacity)
     full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     rest = [sorted((lengths[i], i) for i in b) for b in bins if sum(lengths[i] for i in b) < capacity]
     fills = [sum(x[0] for x in b) for b in rest]
     stuck: set[int] = set()
-    while len(full) + sum(map(bool, rest)) > least:
+    while len(full) + sum(map(bool, rest)) > least and trials > 0:
         live = [k for k in range(len(rest)) if rest[k] and k not in stuck]
         if not live:
             break
         source = min(live, key=lambda k: fills[k])
         moved = False
         for target in sorted((k for k in range(len(rest)) if rest[k] and k != source and fills[source] <= fills[k] < capacity), key=lambda k: fills[k]):
+            trials -= 1
             found = _exchange(rest[source], rest[target], capacity - fills[target])
-            if not found:
-                continue
-            go, come = found
-            for x in go:
-                rest[source].remove(x)
-                insort(rest[target], x)
-            for x in come:
-                rest[target].remove(x)
-                insort(rest[source], x)
-            fills[source], fills[target] = sum(x[0] for x in rest[source]), sum(x[0] for x in rest[target])
-            moved = True
-            if not rest[source]:
+            if found:
+                go, come = found
+                for x in go:
+                    rest[source].remove(x)
+                    insort(rest[target], x)
+                for x in come:
+                    rest[target].remove(x)
+                    insort(rest[source], x)
+                fills[source], fills[target] = sum(x[0] for x in rest[source]), sum(x[0] for x in rest[target])
+                moved = True
+            if not rest[source] or trials <= 0:
                 break
-        if not moved:
-            stuck.add(source)
+        stuck = set() if moved else stuck | {source}
     return full + [[i for _, i in b] for b in rest if b]
 
 
