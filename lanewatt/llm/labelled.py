@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled texts for fitting, at most, of either class; and the most characters of all of them together.
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 4000
 SAMPLE_CHARS = 40_000_000
 
 

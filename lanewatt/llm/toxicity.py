@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -13,39 +14,37 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, training_sample
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 SHORTEST, LONGEST = 3, 6
+#: Words without a vector that every text is averaged with, so that a few words alone don't decide.
+BLANKS = 20
 DIMENSIONS = 8
-EPOCHS = 12
+EPOCHS = 5
 BATCH = 64
-RATE = 0.05
-
-
-def _letter_table() -> np.ndarray:
-    return np.array([chr(c).isalnum() for c in range(1 << 16)])
-
-
-_LETTERS = _letter_table()
+RATE = 0.1
+SHRINK = 1e-5
+#: Averages are small numbers; scaled by this, they train at a common rate.
+SCALE = 10.0
+LEAST_TEXTS = 3
+_WORD = re.compile(r"\w+")
 
 
 def subword_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's character n-grams, with their weights: each word weighs one over the number of words, and
-    shares that out among its n-grams. Words are runs of letters and digits in lower case, with a mark at either end.
+    """Buckets of a text's character n-grams, with their weights: each distinct word weighs one over the number of them
+    and ``BLANKS``, and shares that out among its n-grams. Words are runs of letters and digits in lower case, with a
+    mark at either end.
     """
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = np.where(codes < 1 << 16, _LETTERS[np.minimum(codes, (1 << 16) - 1)], True)
-    padded = np.concatenate(([0], np.where(letter, codes, 0), [0])).astype(np.uint32)
+    words = dict.fromkeys(_WORD.findall(text.lower()))
+    padded = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("utf-32-le", "replace"), np.uint32)
     gap = padded == 0
-    keep = ~(gap & np.concatenate(([False], gap[:-1])))  # one mark between words
-    padded, gap = padded[keep], gap[keep]
     marks = np.flatnonzero(gap)
-    if len(marks) < 2:
+    if not words:
         return np.empty(0, np.int64), np.empty(0)
     lengths = np.diff(marks) - 1
     word = np.cumsum(gap) - 1
     inner = np.cumsum(gap)
     per_word = np.zeros(len(lengths))
-    hashes, words = [], []
+    hashes, owners = [], []
     rolled = np.zeros(len(padded), np.uint32)
     for n in range(1, LONGEST + 1):
         rolled = (rolled[: len(padded) - n + 1] * np.uint32(16777619)) ^ padded[n - 1 :] if n > 1 else padded.copy()
@@ -54,10 +53,10 @@ def subword_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(inner[n - 2 : len(padded) - 1] == inner[: len(padded) - n + 1])  # no mark but at the ends
         h = rolled[starts] * np.uint32(2654435761 + 2 * n)
         hashes.append((h ^ (h >> np.uint32(15))) & np.uint32(BUCKETS - 1))
-        words.append(word[starts])
-        per_word += np.bincount(words[-1], minlength=len(per_word) + 1)[: len(per_word)]
-    where = np.concatenate(words)
-    share = 1.0 / (np.maximum(per_word, 1) * len(lengths))
+        owners.append(word[starts])
+        per_word += np.bincount(owners[-1], minlength=len(per_word) + 1)[: len(per_word)]
+    where = np.concatenate(owners)
+    share = SCALE / (np.maximum(per_word, 1) * (len(lengths) + BLANKS))
     return np.concatenate(hashes).astype(np.int64), share[where]
 
 
@@ -75,7 +74,8 @@ class SubwordModel:
 
 
 def fit(sample: list[tuple[str, int]], seed: int = 0, epochs: int = EPOCHS) -> SubwordModel:
-    """Embeddings and softmax weights, trained jointly by AdaGrad on the mean log loss, classes weighed alike.
+    """Embeddings and softmax weights, trained jointly by AdaGrad on the mean log loss, classes weighed by the square
+    root of their odds. N-grams of fewer than ``LEAST_TEXTS`` texts have no vector.
 
     With rows of one class only the score is that class's share; with none it is one half.
     """
@@ -83,16 +83,20 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, epochs: int = EPOCHS) -> S
     y = np.array([label for _, label in sample], np.int64)
     if not len(y) or y.min() == y.max():
         return SubwordModel(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else 8.0 * (2 * int(y[0]) - 1))
-    bags = []
+    bags, texts = [], np.zeros(BUCKETS, np.int32)
     for text, _ in sample:
         buckets, weights = subword_bag(text)
         own, at = np.unique(buckets, return_inverse=True)
+        texts[own] += 1
         bags.append((own.astype(np.int32), np.bincount(at, weights).astype(np.float32) if len(own) else np.empty(0, np.float32)))
+    known = texts >= LEAST_TEXTS
+    bags = [(own[known[own]], value[known[own]]) for own, value in bags]
     E = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    W = rng.normal(0, 0.1, (2, DIMENSIONS)).astype(np.float32)
+    W = rng.normal(0, 0.3, (2, DIMENSIONS)).astype(np.float32)
     b = np.zeros(2, np.float32)
     gE, gW, gb = np.full(BUCKETS, 1e-8, np.float32), np.full_like(W, 1e-8), np.full(2, 1e-8, np.float32)
-    weight = (len(y) / (2 * np.bincount(y, minlength=2)))[y].astype(np.float32)
+    count = np.bincount(y, minlength=2)
+    weight = np.sqrt(len(y) / (2 * count))[y].astype(np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), BATCH):
@@ -108,17 +112,17 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, epochs: int = EPOCHS) -> S
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
             p *= weight[rows, None]
-            dW, db, dh = p.T @ hidden / len(rows), p.mean(axis=0), p @ W
+            dW, db, dh = p.T @ hidden / len(rows), p.mean(axis=0), p @ W / len(rows)
             own, at = np.unique(idx, return_inverse=True)
             scaled = dh[row] * val[:, None]
-            dE = np.stack([np.bincount(at, scaled[:, d], len(own)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
+            dE = np.stack([np.bincount(at, scaled[:, d], len(own)) for d in range(DIMENSIONS)], axis=1).astype(np.float32) + SHRINK * E[own]
             gE[own] += (dE**2).mean(axis=1)
             gW += dW**2
             gb += db**2
-            E[own] -= 2 * RATE * dE / np.sqrt(gE[own])[:, None]
+            E[own] -= RATE * dE / np.sqrt(gE[own])[:, None]
             W -= RATE * dW / np.sqrt(gW)
             b -= RATE * db / np.sqrt(gb)
-    return SubwordModel((E @ (W[1] - W[0])).astype(np.float32), float(b[1] - b[0]))
+    return SubwordModel(((E @ (W[1] - W[0])) * known).astype(np.float32), float(b[1] - b[0]))
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
