@@ -44,7 +44,7 @@ def _(t):
     return linref.lane_changes(segments(t))
 
 
-@query("g1_cell_breaks", f"WITH {BREAKS} SELECT corridor_id, round(pm, 4) AS pm FROM breaks")
+@query("g1_cell_breaks", f"WITH {BREAKS} SELECT corridor_id, round(pm, 6) AS pm FROM breaks", 6)
 def _(t):
     return linref.cell_breaks(segments(t), junctions(t))
 
@@ -54,8 +54,8 @@ def made_cells(t):
 
 
 @query("e8_cells_from_breaks", f"""WITH {BREAKS}, j AS (SELECT corridor_id, kind, round(postmile, 6) AS pm, arg_max(name, junction_id) AS name FROM jun GROUP BY 1, 2, 3)
-SELECT m.corridor_id, cell, round(pm_start, 4) AS pm_start, round(pm_end, 4) AS pm_end, a.name AS on_ramp_name, b.name AS off_ramp_name FROM made m
-LEFT JOIN j a ON a.kind = 'on' AND a.corridor_id = m.corridor_id AND a.pm = pm_start LEFT JOIN j b ON b.kind = 'off' AND b.corridor_id = m.corridor_id AND b.pm = pm_end""")
+SELECT m.corridor_id, cell, round(pm_start, 6) AS pm_start, round(pm_end, 6) AS pm_end, a.name AS on_ramp_name, b.name AS off_ramp_name FROM made m
+LEFT JOIN j a ON a.kind = 'on' AND a.corridor_id = m.corridor_id AND a.pm = pm_start LEFT JOIN j b ON b.kind = 'off' AND b.corridor_id = m.corridor_id AND b.pm = pm_end""", 6)
 def _(t):
     return made_cells(t).select("corridor_id", "cell", "pm_start", "pm_end", "on_ramp_name", "off_ramp_name")
 

@@ -15,10 +15,10 @@ VIEWS: dict[str, str] = {
     # per-lane truth: a triangle of free speed 60, wave speed 15, jam density 150
     "truth": """
 SELECT CAST(l_suppkey % 6 AS BIGINT) AS station_id, CAST(l_orderkey % 8640 AS BIGINT) AS m_5min,
-       MAX(1e0 + CAST((l_partkey * 7919 + l_orderkey * 31) % 1490 AS DOUBLE) / 1e1) AS rho
+       MAX(1e0 + CAST((l_partkey * 7919 + l_orderkey * 31) % 1490 AS DOUBLE) / 1e1) + 137e-6 AS rho
 FROM {lineitem} GROUP BY 1, 2""",
     "det": """
-SELECT station_id, m_5min, CASE WHEN (m_5min + station_id * 3) % 11 = 0 THEN NULL ELSE q / 4e0 END AS total_flow_5min,
+SELECT station_id, m_5min, CASE WHEN (m_5min + station_id * 3) % 23 = 0 THEN NULL ELSE q / 4e0 END AS total_flow_5min,
        q / rho AS avg_speed_mph, CASE WHEN (m_5min * 7 + station_id) % 10 < 9 THEN 1e2 ELSE 6e1 END AS pct_observed
 FROM (SELECT station_id, m_5min, rho, CASE WHEN rho <= 30e0 THEN 60e0 * rho ELSE 15e0 * (150e0 - rho) END AS q FROM {truth}) t""",
     "obs5": "SELECT station_id, m_5min, total_flow_5min * 12e0 AS flow, total_flow_5min * 12e0 / nullif(avg_speed_mph, 0e0) AS density FROM {det}",

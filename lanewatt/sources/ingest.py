@@ -28,7 +28,8 @@ def parse_detector_lines(lines: DataFrame) -> DataFrame:
     Lanes are told by the number of fields of each row; a row whose width fits no number of lanes has ``bad_width`` true
     and no lanes. Blank fields are null; NaN is null.
     """
-    parts = lines.withColumn("_f", F.split("value", ",", -1))
+    # exploded from an array of one, so that the split is done once and not anew in every expression over it
+    parts = lines.select("value", F.explode(F.array(F.split("value", ",", -1))).alias("_f"))
     number = lambda x, kind: F.nullif(F.trim(x).try_cast(kind), F.lit(float("nan")).cast(kind)) if kind == "double" else F.trim(x).try_cast(kind)
     fields = [(number(F.col("_f")[k], kind) if kind != "string" else F.trim(F.col("_f")[k])).alias(n) for k, (n, kind) in enumerate(NAMED)]
     width = F.size("_f") - len(NAMED)
