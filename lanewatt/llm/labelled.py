@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled texts for fitting, at most, of either class; and the most characters of all of them together.
-SAMPLE_PER_CLASS = 4000
+#: The most characters of a sample's texts together.
 SAMPLE_CHARS = 40_000_000
 
 
@@ -15,8 +14,8 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """Up to ``per_class`` whole texts of each class, chosen by a hash of their ids, and their labels; never held-out rows.
+def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """Up to ``per_class`` whole texts labelled 0 and labelled 1, chosen by a hash of their ids, and their labels; never held-out rows.
 
     The bound on characters cuts the list of texts, not the texts. Ids that are null, or labelled both ways, are not
     learnt from.
@@ -28,11 +27,11 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     )
     picked = None
     for value in (0, 1):
-        part = told.where(F.col("label") == value).orderBy("_order", "doc_id").limit(per_class)
+        part = told.where(F.col("label") == value).orderBy("_order", "doc_id").limit(per_class[value])
         picked = part if picked is None else picked.unionByName(part)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # at most 2 * per_class ids are sent: a bound that does not grow with the data
+    # at most sum(per_class) ids are sent: a bound that does not grow with the data
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "_order").agg(F.min("text").alias("text"))
-    upto = F.sum(F.length("text")).over(Window.orderBy("_order", "doc_id"))  # over 2 * per_class rows at most
+    upto = F.sum(F.length("text")).over(Window.orderBy("_order", "doc_id"))  # over sum(per_class) rows at most
     kept = rows.withColumn("_upto", upto).where(F.col("_upto") <= chars)
     return [(r["text"], int(r["label"])) for r in kept.orderBy("_order", "doc_id").select("text", "label").collect()]

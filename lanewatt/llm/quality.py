@@ -15,8 +15,8 @@ from .labelled import held_out, training_sample
 
 OWN = 14
 FEATURES = 3 * OWN + 3
-#: Labelled texts for fitting, at most, of either class.
-SAMPLE_PER_CLASS = 1500
+#: Labelled texts for fitting, at most, of bad and of good quality.
+SAMPLE_PER_CLASS = (1500, 1500)
 STEPS = 120
 ROUNDS = 3
 LINES_AT_ONCE = 200_000

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .labelled import held_out, training_sample
 
 BUCKETS = 1 << 20
+#: Labelled texts for fitting, at most, of clean and of toxic ones.
+SAMPLE_PER_CLASS = (4500, 2500)
 SHORTEST, LONGEST = 3, 6
 #: Words without a vector that every text is averaged with, so that a few words alone don't decide.
 BLANKS = 20
@@ -83,15 +85,16 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, epochs: int = EPOCHS) -> S
     y = np.array([label for _, label in sample], np.int64)
     if not len(y) or y.min() == y.max():
         return SubwordModel(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else 8.0 * (2 * int(y[0]) - 1))
-    bags, texts = [], np.zeros(BUCKETS, np.int32)
+    texts = np.zeros(BUCKETS, np.int32)
     for text, _ in sample:
+        texts[np.unique(subword_bag(text)[0])] += 1
+    known, bags = texts >= LEAST_TEXTS, []
+    for text, _ in sample:  # made anew rather than kept, so that only n-grams with a vector take memory
         buckets, weights = subword_bag(text)
+        buckets, weights = buckets[known[buckets]], weights[known[buckets]]
         own, at = np.unique(buckets, return_inverse=True)
-        texts[own] += 1
-        bags.append((own.astype(np.int32), np.bincount(at, weights).astype(np.float32) if len(own) else np.empty(0, np.float32)))
-    known = texts >= LEAST_TEXTS
-    bags = [(own[known[own]], value[known[own]]) for own, value in bags]
-    E = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+        bags.append((own.astype(np.int32), np.bincount(at, weights, len(own)).astype(np.float32)))
+    E = 0.1 * rng.standard_normal((BUCKETS, DIMENSIONS), np.float32)
     W = rng.normal(0, 0.3, (2, DIMENSIONS)).astype(np.float32)
     b = np.zeros(2, np.float32)
     gE, gW, gb = np.full(BUCKETS, 1e-8, np.float32), np.full_like(W, 1e-8), np.full(2, 1e-8, np.float32)
@@ -137,7 +140,7 @@ def scored(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> D
     Only texts enter the score; empty and null ones get the model's bias. The model is fitted on the bounded sample of
     ``labelled.training_sample`` and sent to the tasks as one array of ``BUCKETS`` numbers.
     """
-    model = documents.sparkSession.sparkContext.broadcast(fit(training_sample(documents, labels, "toxic")))
+    model = documents.sparkSession.sparkContext.broadcast(fit(training_sample(documents, labels, "toxic", SAMPLE_PER_CLASS)))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     out = rows.mapInArrow(partial(_score_batches, model=model), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -150,5 +153,5 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], model, threshold: float, at
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``documents`` without the rows whose text scores ``threshold`` or more; one pass, all columns carried along."""
-    model = documents.sparkSession.sparkContext.broadcast(fit(training_sample(documents, labels, "toxic")))
+    model = documents.sparkSession.sparkContext.broadcast(fit(training_sample(documents, labels, "toxic", SAMPLE_PER_CLASS)))
     return documents.mapInArrow(partial(_keep_batches, model=model, threshold=threshold, at=documents.columns.index("text")), documents.schema)
