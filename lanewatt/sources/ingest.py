@@ -207,12 +207,11 @@ def write_demand_long(demand: DataFrame, path: str, steps_per_part: int = 288) -
 
 def read_matrix_csv(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, value) of a headerless matrix file, rows in their order in the file."""
-    text = spark.read.option("wholetext", True).text(path)
-    return matrix_cells(text)
+    return matrix_cells(spark.read.text(path, wholetext=True))
 
 
 def matrix_cells(text: DataFrame) -> DataFrame:
-    rows = text.select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("row", "line"))
+    rows = text.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("row", "line"))
     return rows.select("row", F.posexplode(F.split("line", ",")).alias("col", "v")).select("row", "col", F.trim("v").try_cast("double").alias("value"))
 
 
