@@ -21,7 +21,8 @@ SHORTEST, LONGEST = 3, 6
 #: Words without a vector that every text is averaged with, so that a few words alone don't decide.
 BLANKS = 20
 DIMENSIONS = 8
-EPOCHS = 5
+#: Steps of training, whatever the number of texts.
+UPDATES = 550
 BATCH = 64
 RATE = 0.1
 SHRINK = 1e-5
@@ -75,7 +76,7 @@ class SubwordModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(sample: list[tuple[str, int]], seed: int = 0, epochs: int = EPOCHS) -> SubwordModel:
+def fit(sample: list[tuple[str, int]], seed: int = 0, updates: int = UPDATES) -> SubwordModel:
     """Embeddings and softmax weights, trained jointly by AdaGrad on the mean log loss, classes weighed by the square
     root of their odds. N-grams of fewer than ``LEAST_TEXTS`` texts have no vector.
 
@@ -100,7 +101,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, epochs: int = EPOCHS) -> S
     gE, gW, gb = np.full(BUCKETS, 1e-8, np.float32), np.full_like(W, 1e-8), np.full(2, 1e-8, np.float32)
     count = np.bincount(y, minlength=2)
     weight = np.sqrt(len(y) / (2 * count))[y].astype(np.float32)
-    for _ in range(epochs):
+    for _ in range(-(-updates * BATCH // len(y))):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
