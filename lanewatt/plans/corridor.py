@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import calibrate, linref, quality, scenario
 from ..sources import ingest
+from ..sources.scratch import scratch_folder
 from .registry import query
 from .views import with_ts
 
@@ -471,8 +472,7 @@ def _(t):
 def _(t):
     k = F.col("n_nationkey")
     text = F.concat_ws("\n", *[F.concat_ws(", ", *[(k * 10 + r * 3 + c).cast("string") for c in range(3)]) for r in range(2)])
-    rows = t.nation.select(k.alias("id"), text.alias("value"))
-    return rows.select("id", F.posexplode(F.split("value", "\n")).alias("row", "line")).select("id", "row", F.posexplode(F.split("line", ",")).alias("col", "v")).select("id", "row", "col", F.trim("v").cast("double").alias("value"))
+    return ingest.matrix_cells(t.nation.select(k.alias("id"), text.alias("value")), "id")
 
 
 @query("a19_fit_bundle_meta")
@@ -520,3 +520,20 @@ def _(t):
     rows = t.events.select((F.col("user_id") % 50).alias("station_id"), F.date_trunc("second", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts"), F.col("value").alias("flow_count"), F.lit(60.0).alias("speed"))
     out = five_minute_flow(rows.dropDuplicates(["station_id", "ts"]), batch=True)
     return out.select("station_id", F.expr("(unix_seconds(start) - 1704067200) div 300").alias("m_5min"), "n")
+
+
+@query("a12_write_read_corridor", f"WITH {JUN_SQL} SELECT kind, count(*) AS n, round(sum(postmile), 3) AS total FROM jun GROUP BY 1", 3)
+def _(t):
+    path = scratch_folder(t.spark, "corridor")
+    nodes = t.customer.select(F.col("c_custkey").alias("node_id"), F.lit(0.0).alias("pm"))
+    ingest.write_corridor(line_segments(t), junctions(t), nodes, path)
+    return ingest.read_corridor(t.spark, path)[1].groupBy("kind").agg(F.count("*").alias("n"), F.sum("postmile").alias("total"))
+
+
+@query("a11_postmile_markers", "SELECT route, count(*) AS n, round(sum(abs_pm), 3) AS pm, round(min(longitude), 4) AS west FROM stations WHERE route = 5 GROUP BY 1")
+def _(t):
+    path = scratch_folder(t.spark, "markers")
+    point = F.struct(F.struct(F.concat(F.lit("I "), "route").alias("Route"), F.col("abs_pm").alias("PM")).alias("properties"), F.struct(F.array("longitude", "latitude").alias("coordinates")).alias("geometry"))
+    t.stations.select(F.to_json(F.struct(F.array(point).alias("features"))).alias("value")).write.text(path)  # a file of features a row
+    m = ingest.parse_markers(t.spark.read.text(path), [5])
+    return m.groupBy("route").agg(F.count("*").alias("n"), F.round(F.sum("pm"), 3).alias("pm"), F.min("longitude").alias("west"))

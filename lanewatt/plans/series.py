@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import calibrate, gaps, load, quality, scenario, score
+from ..sources import ingest
+from ..sources.scratch import scratch_folder
 from .registry import query
 from .views import HORIZON, sample, with_ts
 
@@ -207,10 +209,8 @@ def _(t):
 @query("a20_imputed_grid_counts", f"""WITH {FIELD_SQL}, g AS (SELECT CASE WHEN direct THEN 'observed' ELSE 'knn' END AS source FROM (SELECT f.*, c.vds_id IS NOT NULL AS direct FROM field f JOIN cells c USING (cell)) WHERE value IS NOT NULL)
 SELECT source, count(*) AS n FROM g GROUP BY 1 UNION ALL SELECT 'unfilled', 25 * 288 - count(*) FROM g""")
 def _(t):
-    from ..sources.ingest import imputed_counts
-
     g = field(t).where("value IS NOT NULL").withColumn("source", F.when(F.col("direct"), "observed").otherwise("knn"))
-    return imputed_counts(g, 25, 288)
+    return ingest.imputed_counts(g, 25, 288)
 
 
 # Calibration.
@@ -619,3 +619,32 @@ def _(t):
 def _(t):
     filled = grid(t).transform(lambda df: gaps.persistence_fill(df, "v"))
     return filled.groupBy("station_id").agg(F.count("*").alias("n_rows"), F.count("v").alias("n"))
+
+
+# Tables written and read again.
+
+
+@query("a17_write_demand_long", f"WITH {DEMAND} SELECT step // 288 AS part, count(*) AS n, count(DISTINCT bin) AS n_bins FROM demand GROUP BY 1")
+def _(t):
+    path = scratch_folder(t.spark, "demand")
+    ingest.write_demand_long(demand(t), path)
+    return t.spark.read.parquet(path).groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("bin").alias("n_bins"))
+
+
+@query("a16_write_read_run", "SELECT cell, count(*) AS n, round(max(queue_post), 4) AS queue FROM traj GROUP BY 1")
+def _(t):
+    path = scratch_folder(t.spark, "runs")
+    ingest.write_run(path, "r1", traj=t.traj.drop("run_id"))
+    return ingest.read_run(t.spark, path, "r1", "traj").groupBy("cell").agg(F.count("*").alias("n"), F.max("queue_post").alias("queue"))
+
+
+@query("a4_write_by_station", "SELECT station_id, count(*) AS n, round(sum(avg_speed_mph), 2) AS speed FROM det GROUP BY 1", 2)
+def _(t):
+    path = scratch_folder(t.spark, "stations")
+    ingest.write_by_station(with_ts(t.det.union(t.det)), path)
+    return t.spark.read.parquet(path).groupBy(F.col("station_id").cast("long").alias("station_id")).agg(F.count("*").alias("n"), F.sum("avg_speed_mph").alias("speed"))
+
+
+@query("b27_choose_dt", "SELECT 300e0 / n AS dt FROM (SELECT floor(300 / bound) + 1 AS n FROM (SELECT min(length / v_f) * 3600 AS bound FROM cells))", 6)
+def _(t):
+    return t.cells.agg(F.lit(S.choose_dt(t.cells)).alias("dt"))

@@ -130,14 +130,22 @@ def read_station_metadata(spark: SparkSession, path: str, sep: str = "\t", **fil
     return clean_station_metadata(spark.read.option("sep", sep).option("header", True).csv(path), **filters)
 
 
-def read_postmile_markers(spark: SparkSession, path: str, routes: list[int]) -> DataFrame:
-    """(route, pm, longitude, latitude) of a GeoJSON of points with Route and PM, lon/lat."""
-    schema = "features array<struct<properties:struct<Route:string,PM:double>,geometry:struct<coordinates:array<double>>>>"
-    f = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
-    out = f.select(F.regexp_extract("f.properties.Route", r"\d+", 0).try_cast("int").alias("route"), F.col("f.properties.PM").alias("pm"), F.col("f.geometry.coordinates")[0].alias("longitude"), F.col("f.geometry.coordinates")[1].alias("latitude"))
+MARKERS = "features array<struct<properties:struct<Route:string,PM:double>,geometry:struct<coordinates:array<double>>>>"
+
+
+def parse_markers(text: DataFrame, routes: list[int]) -> DataFrame:
+    """(route, pm, longitude, latitude) of GeoJSON texts in ``value``: points with Route and PM, lon/lat."""
+    f = text.select(F.explode(F.from_json("value", MARKERS)["features"]).alias("f"))
+    at = F.col("f.geometry.coordinates")
+    out = f.select(F.regexp_extract("f.properties.Route", r"\d+", 0).try_cast("int").alias("route"), F.col("f.properties.PM").alias("pm"), at[0].alias("longitude"), at[1].alias("latitude"))
     return out.where(F.col("route").isin(routes) & F.col("pm").isNotNull())
 
 
+def read_postmile_markers(spark: SparkSession, path: str, routes: list[int]) -> DataFrame:
+    """Markers of whole GeoJSON files, each one a task."""
+    return parse_markers(spark.read.text(path, wholetext=True), routes)
+
+
 def write_corridor(segments: DataFrame, junctions: DataFrame, nodes: DataFrame, path: str) -> None:
     """Segments, junctions and the node-to-postmile table as JSON lines."""
     for name, df in (("segments", segments), ("junctions", junctions), ("nodes", nodes)):
@@ -210,9 +218,10 @@ def read_matrix_csv(spark: SparkSession, path: str) -> DataFrame:
     return matrix_cells(spark.read.text(path, wholetext=True))
 
 
-def matrix_cells(text: DataFrame) -> DataFrame:
-    rows = text.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("row", "line"))
-    return rows.select("row", F.posexplode(F.split("line", ",")).alias("col", "v")).select("row", "col", F.trim("v").try_cast("double").alias("value"))
+def matrix_cells(text: DataFrame, *keys: str) -> DataFrame:
+    """(keys, row, col, value) of matrices written as text in ``value``; null where an entry is no number."""
+    rows = text.select(*keys, F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("row", "line"))
+    return rows.select(*keys, "row", F.posexplode(F.split("line", ",")).alias("col", "v")).select(*keys, "row", "col", F.trim("v").try_cast("double").alias("value"))
 
 
 def fit_bundle_meta(cells: DataFrame, dt_s: float, horizon: int) -> DataFrame:
