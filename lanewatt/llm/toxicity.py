@@ -90,17 +90,20 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, updates: int = UPDATES) ->
     for text, _ in sample:
         texts[np.unique(subword_bag(text)[0])] += 1
     known, bags = texts >= LEAST_TEXTS, []
+    place = np.cumsum(known, dtype=np.int32) - 1  # known buckets, numbered through
     for text, _ in sample:  # made anew rather than kept, so that only n-grams with a vector take memory
         buckets, weights = subword_bag(text)
         buckets, weights = buckets[known[buckets]], weights[known[buckets]]
         own, at = np.unique(buckets, return_inverse=True)
-        bags.append((own.astype(np.int32), np.bincount(at, weights, len(own)).astype(np.float32)))
-    E = 0.1 * rng.standard_normal((BUCKETS, DIMENSIONS), np.float32)
+        bags.append((place[own], np.bincount(at, weights, len(own)).astype(np.float32)))
+    n = int(known.sum())
+    E = 0.1 * rng.standard_normal((n, DIMENSIONS), np.float32)
     W = rng.normal(0, 0.3, (2, DIMENSIONS)).astype(np.float32)
     b = np.zeros(2, np.float32)
-    gE, gW, gb = np.full(BUCKETS, 1e-8, np.float32), np.full_like(W, 1e-8), np.full(2, 1e-8, np.float32)
+    gE, gW, gb = np.full(n, 1e-8, np.float32), np.full_like(W, 1e-8), np.full(2, 1e-8, np.float32)
     count = np.bincount(y, minlength=2)
     weight = np.sqrt(len(y) / (2 * count))[y].astype(np.float32)
+    touched, slot = np.zeros(n, bool), np.zeros(n, np.int64)
     for _ in range(-(-updates * BATCH // len(y))):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), BATCH):
@@ -117,7 +120,11 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, updates: int = UPDATES) ->
             p[np.arange(len(rows)), y[rows]] -= 1
             p *= weight[rows, None]
             dW, db, dh = p.T @ hidden / len(rows), p.mean(axis=0), p @ W / len(rows)
-            own, at = np.unique(idx, return_inverse=True)
+            touched[idx] = True
+            own = np.flatnonzero(touched)
+            touched[own] = False
+            slot[own] = np.arange(len(own))
+            at = slot[idx]
             scaled = dh[row] * val[:, None]
             dE = np.stack([np.bincount(at, scaled[:, d], len(own)) for d in range(DIMENSIONS)], axis=1).astype(np.float32) + SHRINK * E[own]
             gE[own] += (dE**2).mean(axis=1)
@@ -126,7 +133,9 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, updates: int = UPDATES) ->
             E[own] -= RATE * dE / np.sqrt(gE[own])[:, None]
             W -= RATE * dW / np.sqrt(gW)
             b -= RATE * db / np.sqrt(gb)
-    return SubwordModel(((E @ (W[1] - W[0])) * known).astype(np.float32), float(b[1] - b[0]))
+    logits = np.zeros(BUCKETS, np.float32)
+    logits[known] = E @ (W[1] - W[0])
+    return SubwordModel(logits, float(b[1] - b[0]))
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
