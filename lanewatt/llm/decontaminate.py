@@ -21,7 +21,7 @@ SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 ITEM_BLOCK = 1000
-ITEM_CHARS = 100_000
+BLOCK_CHARS = 20_000_000
 MATCHES = "doc_id long, item_id long, start_word long, n_words long, start long, end long, hamming int, similarity double"
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -198,15 +198,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
     Words are runs of letters and digits in lower case; shingles have five words. Windows have the item's size and slide
     by one word. Their fingerprints are looked up within ``radius`` bits, and every candidate's similarity is computed
-    exactly. The benchmark is sent to the tasks in blocks of at most ``ITEM_BLOCK`` items, one pass a block, however
-    many there are. Null and empty texts match nothing; items of fewer than five words match as a whole; repeated rows
+    exactly. The benchmark is sent to the tasks in blocks of at most ``ITEM_BLOCK`` items and about ``BLOCK_CHARS``
+    characters, one pass a block, however many there are; items told twice count once. Null and empty texts match nothing; items of fewer than five words match as a whole; repeated rows
     give repeated results.
     """
     spark = documents.sparkSession
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.substring("text", 1, 1 << 30).alias("text"))
-    if items.where(F.length("text") > ITEM_CHARS).limit(1).count():
-        raise ValueError(f"a benchmark item has over {ITEM_CHARS} characters")
-    blocks = max(1, -(-items.count() // (ITEM_BLOCK // 2)))
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // (ITEM_BLOCK // 2)), -(-size["chars"] // BLOCK_CHARS))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
     for k in range(blocks):

@@ -164,11 +164,12 @@ def redact_documents(documents: DataFrame, ledger: BlobLedger | None = None) ->
     """
     ledger = ledger or BlobLedger(documents.sparkSession)
     found = ledger.scan(documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
-    dirty = stored(found.where(F.size("spans") > 0).groupBy("blob_id").agg(F.first("spans").alias("_spans")), "dirty")
+    # names that no table of documents has
+    dirty = stored(found.where(F.size("spans") > 0).groupBy(F.col("blob_id").alias("__blob")).agg(F.first("spans").alias("__spans")), "dirty")
     address = F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
-    masked = documents.withColumn("blob_id", address).join(dirty, "blob_id", "left")
-    text = F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    masked = documents.withColumn("__blob", address).join(dirty, "__blob", "left")
+    text = F.when(F.col("__spans").isNotNull(), redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
     out = masked.withColumn("text", text)
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)

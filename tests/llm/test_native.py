@@ -61,6 +61,7 @@ def test_redaction_masks_spans_and_keeps_rows(spark):
     docs = spark.createDataFrame(AWKWARD, DOCS)
     got = secrets.redact_documents(docs)
     assert got.columns == docs.columns
+    assert sorted(str(r["blob_id"]) for r in got.collect()) == sorted(str(r["blob_id"]) for r in docs.collect())
     want = []
     for d, text, *rest in AWKWARD:
         out, at = "", 0
