@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +19,9 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """Up to ``per_class`` whole texts labelled 0 and labelled 1, chosen by a hash of their ids, and their labels; never held-out rows.
+def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(text, label) in one partition: up to ``per_class`` whole texts labelled 0 and labelled 1, chosen by a hash of
+    their ids; never held-out rows.
 
     The bound on characters cuts the list of texts, not the texts. Ids that are null, or labelled both ways, are not
     learnt from.
@@ -33,5 +39,16 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     # at most sum(per_class) ids are sent: a bound that does not grow with the data
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "_order").agg(F.min("text").alias("text"))
     upto = F.sum(F.length("text")).over(Window.orderBy("_order", "doc_id"))  # over sum(per_class) rows at most
-    kept = rows.withColumn("_upto", upto).where(F.col("_upto") <= chars)
-    return [(r["text"], int(r["label"])) for r in kept.orderBy("_order", "doc_id").select("text", "label").collect()]
+    return rows.withColumn("_upto", upto).where(F.col("_upto") <= chars).sortWithinPartitions("_order", "doc_id").select("text", "label")
+
+
+def _fit_batches(batches: Iterator[pa.RecordBatch], fit: Callable) -> Iterator[pa.RecordBatch]:
+    rows = [(t, int(y)) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+
+def fitted(sample: DataFrame, fit: Callable):
+    """The model that ``fit`` makes of the sample's rows, fitted in one task: the sample is bounded, and the driver gets
+    the model alone. A lost executor costs the fit, which is run again and gives the same."""
+    made = sample.mapInArrow(partial(_fit_batches, fit=fit), "model binary").limit(1).collect()
+    return pickle.loads(made[0]["model"]) if made else fit([])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, training_sample
+from .labelled import fitted, held_out, training_sample
 
 OWN = 14
 FEATURES = 3 * OWN + 3
@@ -211,7 +211,7 @@ def scored(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> D
     Every line of the whole text counts, by its length. Only texts enter the score; a null text counts as empty. The
     field is fitted on the bounded sample of ``labelled.training_sample`` and is a few dozen numbers.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(fit(training_sample(documents, labels, "quality", SAMPLE_PER_CLASS)))
+    sent = documents.sparkSession.sparkContext.broadcast(fitted(training_sample(documents, labels, "quality", SAMPLE_PER_CLASS), fit))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     out = rows.mapInArrow(partial(_score_batches, chain=sent), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, training_sample
+from .labelled import fitted, held_out, training_sample
 
 BUCKETS = 1 << 20
 #: Labelled texts for fitting, at most, of clean and of toxic ones.
@@ -22,7 +22,7 @@ SHORTEST, LONGEST = 3, 6
 BLANKS = 20
 DIMENSIONS = 8
 #: Steps of training, whatever the number of texts.
-UPDATES = 550
+UPDATES = 400
 BATCH = 64
 RATE = 0.1
 SHRINK = 1e-5
@@ -150,7 +150,7 @@ def scored(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> D
     Only texts enter the score; empty and null ones get the model's bias. The model is fitted on the bounded sample of
     ``labelled.training_sample`` and sent to the tasks as one array of ``BUCKETS`` numbers.
     """
-    model = documents.sparkSession.sparkContext.broadcast(fit(training_sample(documents, labels, "toxic", SAMPLE_PER_CLASS)))
+    model = documents.sparkSession.sparkContext.broadcast(fitted(training_sample(documents, labels, "toxic", SAMPLE_PER_CLASS), fit))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     out = rows.mapInArrow(partial(_score_batches, model=model), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -163,5 +163,5 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], model, threshold: float, at
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``documents`` without the rows whose text scores ``threshold`` or more; one pass, all columns carried along."""
-    model = documents.sparkSession.sparkContext.broadcast(fit(training_sample(documents, labels, "toxic", SAMPLE_PER_CLASS)))
+    model = documents.sparkSession.sparkContext.broadcast(fitted(training_sample(documents, labels, "toxic", SAMPLE_PER_CLASS), fit))
     return documents.mapInArrow(partial(_keep_batches, model=model, threshold=threshold, at=documents.columns.index("text")), documents.schema)

@@ -365,7 +365,9 @@ def test_held_out_rule_and_sample(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in ids}
     docs = table(spark, [f"t{i}" for i in range(50)])
     marks = spark.createDataFrame([(i, i % 2, 0) for i in range(50)] + [(1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    sample = labelled.training_sample(docs, marks, "quality", (10, 10))
+    sample = [tuple(r) for r in labelled.training_sample(docs, marks, "quality", (10, 10)).collect()]
+    assert labelled.fitted(labelled.training_sample(docs, marks, "quality", (10, 10)), sorted) == sorted(sample)
+    assert labelled.fitted(labelled.training_sample(docs, marks.limit(0), "quality", (10, 10)), len) == 0
     assert Counter(y for _, y in sample) == {0: 10, 1: 10}
     assert all(zlib.crc32(t[1:].encode()) % 5 and t != "t1" and int(t[1:]) % 2 == y for t, y in sample)
 
