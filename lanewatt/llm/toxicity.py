@@ -104,9 +104,12 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, updates: int = UPDATES) ->
     count = np.bincount(y, minlength=2)
     weight = np.sqrt(len(y) / (2 * count))[y].astype(np.float32)
     touched, slot = np.zeros(n, bool), np.zeros(n, np.int64)
-    for _ in range(-(-updates * BATCH // len(y))):
+    epochs, done = -(-updates * BATCH // len(y)), 0
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), BATCH):
+            rate = RATE * (1 - done / (epochs * len(y)))  # falls to zero, so that the last steps settle
+            done += BATCH
             rows = order[lo : lo + BATCH]
             idx = np.concatenate([bags[i][0] for i in rows])
             val = np.concatenate([bags[i][1] for i in rows])
@@ -130,9 +133,9 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, updates: int = UPDATES) ->
             gE[own] += (dE**2).mean(axis=1)
             gW += dW**2
             gb += db**2
-            E[own] -= RATE * dE / np.sqrt(gE[own])[:, None]
-            W -= RATE * dW / np.sqrt(gW)
-            b -= RATE * db / np.sqrt(gb)
+            E[own] -= rate * dE / np.sqrt(gE[own])[:, None]
+            W -= rate * dW / np.sqrt(gW)
+            b -= rate * db / np.sqrt(gb)
     logits = np.zeros(BUCKETS, np.float32)
     logits[known] = E @ (W[1] - W[0])
     return SubwordModel(logits, float(b[1] - b[0]))
