@@ -111,6 +111,48 @@ def test_deduplication_keeps_one_of_a_class(spark):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(["4", "1", "2", "None", "8"])
 
 
+def test_similar_classes_equal_brute_force(spark):
+    rng = random.Random(3)
+    texts = [None, "", " ", "one two", "two one", "One  two", "a b c d e", "e d c b a"]
+    for n in (8, 12, 30, 80, 200, 600):
+        for _ in range(6):
+            base = words(rng, n)
+            for share in (0.75, 0.82, 0.9, 0.97):
+                kept = round(n * share)
+                texts += [" ".join(base[:kept]), " ".join(base[n - kept :]), " ".join(base + words(rng, n - kept))]
+            swapped = list(base)
+            swapped[n // 2] = "other"
+            texts += [" ".join(base), " ".join(rng.sample(base, n)), " ".join(swapped), " ".join(base[:-1])]
+    chain = words(rng, 60)
+    for _ in range(20):
+        chain = chain[3:] + words(rng, 3)
+        texts.append(" ".join(chain))
+    ids = rng.sample(range(10 * len(texts)), len(texts))
+    sets = []
+    for text in texts:
+        parts = (text or "").lower().split()
+        sets.append({tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set())
+    label = list(ids)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])]
+    for _ in sets:
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(table(spark, texts, ids)).collect()}
+    assert got == dict(zip(ids, label, strict=True))
+    assert simhash.similar_classes(table(spark, [])).count() == 0
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(table(spark, texts, ids)).collect()) == sorted(set(label))
+
+
+def test_members_of_many_tiles_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 3)
+    members = spark.createDataFrame([(k, v, 10 + (v == 9) * 90, 10, v // 2) for k in (1, 2) for v in range(10)], "key long, node long, n int, among long, root long")
+    got = sorted(map(tuple, simhash._across(members).collect()))
+    assert got == [(a, b) for a in range(9) for b in range(a + 1, 9) if a // 2 != b // 2]
+
+
 # Packing.
 
 
