@@ -452,3 +452,16 @@ def test_held_out_accuracy(spark, module, label, sf, least):
     assert len(out) == docs.count() + 2 and out["score"].between(0, 1).all()
     held = out[out["held_out"] & out[label].notna()]
     assert len(held) > 40 and auc(held["score"], held[label]) >= least, auc(held["score"], held[label])
+
+
+def test_an_enormous_text_costs_the_sample_no_other(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = table(spark, [f"text {i:03}" for i in ids], ids)
+    marks = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    whole = [tuple(r) for r in labelled.training_sample(docs, marks, "quality", (60, 60)).collect()]
+    assert len(whole) == len(ids)
+    first = int(whole[0][0][5:])
+    longer = docs.where(f"doc_id <> {first}").union(table(spark, ["x" * 5000], [first]))
+    assert [tuple(r) for r in labelled.training_sample(longer, marks, "quality", (60, 60), 2000).collect()] == whole[1:]
+    with pytest.raises(Exception, match="no labelled text of class"):
+        labelled.training_sample(docs.where("doc_id % 2 = 0").union(table(spark, ["x" * 5000], [ids[1] | 1])), marks, "quality", (60, 60), 2000).collect()
