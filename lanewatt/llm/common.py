@@ -8,14 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more rows than this (or than the total by ``MOST_HOT``, if that is more) is joined apart by ``spread_join``.
+HOT_ROWS = 512
+MOST_HOT = 20_000
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (a local test) is a temporary folder made, and set.
+    A local session that names none (a test) gets a temporary folder; on a cluster a missing name is an error, as a
+    folder of one machine would lose tables with that machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lanewatt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -25,10 +32,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, once no table is to be read from it any more."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = path or new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,9 +50,28 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def collect_bounded(df: DataFrame, most: int, what: str) -> list:
-    """The rows of a table that must be small; an error, never a cut, where it is not."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{what}: more than {most} rows; use the blocked form")
-    return rows
+def quoted(columns: list[str]) -> list:
+    """Columns by their whole names, which may hold dots or back quotes."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as make it no column's, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``many`` with ``one``, whose keys are unique and whose ``_n`` is the number of a key's rows in ``many``.
+
+    Keys with a great share of the ``total`` rows don't meet in one task: they are sent to all tasks instead. As their
+    counts add up to ``total`` at most, there are never more than ``MOST_HOT`` of them.
+    """
+    most = max(HOT_ROWS, total // MOST_HOT)
+    if total <= most:
+        return many.join(one.drop("_n"), key)
+    hot = F.broadcast(one.where(F.col("_n") > most).drop("_n"))
+    cold = one.where(F.col("_n") <= most).drop("_n")
+    return many.join(hot, key).unionByName(many.join(hot.select(key), key, "left_anti").join(cold, key))

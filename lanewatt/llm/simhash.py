@@ -8,15 +8,19 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, new_folder, quoted, remove_folder, spread_join, stored
 
 SEED = 42
 BUDGET = 4
 BITS = 64
-LEAF_PAIRS = 512
+#: Node pairs of no more pairs of values than this are compared outright.
+LEAF_PAIRS = 4
+#: Fingerprints of a subtree that is dealt out as one, about, and rows of a task.
+SUBTREE = 4096
+TASK_ROWS = 400_000
 FRONTIER = 1 << 18
 
 
@@ -95,15 +99,17 @@ class _Trie:
         return hi - (ones[hi] - ones[lo])
 
 
-def trie_pairs(values: np.ndarray, pairs: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(values: np.ndarray, pairs: np.ndarray, budget: int, exact: int = 0, tally: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within ``budget`` differing bits, as they are found.
 
     ``pairs`` are the root node pairs (a_lo, a_hi, b_lo, b_hi), equal halves for a self-join; within each range
-    ``values`` is sorted. Node pairs descend together; a pair whose prefixes differ in over ``budget`` bits is dropped
-    with all below it. Small pairs are compared outright. A long frontier is halved and its halves done one after the
-    other, so memory stays bounded.
+    ``values`` is sorted. Node pairs descend together and add up the bits by which their prefixes differ; a pair beyond
+    its budget, which is nil over the first ``exact`` bits, is dropped with all below it. The last few values of a node
+    pair are compared outright. A long frontier is halved and its halves done one after the other, so memory stays
+    bounded. ``tally`` counts the node pairs that were split, dropped and compared.
     """
     trie = _Trie(values)
+    tally = {} if tally is None else tally
     stack = [(0, pairs.astype(np.int64), np.zeros(len(pairs), np.int64))]
     while stack:
         depth, nodes, used = stack.pop()
@@ -113,10 +119,13 @@ def trie_pairs(values: np.ndarray, pairs: np.ndarray, budget: int) -> Iterator[t
             continue
         sizes = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2])
         leaf = (sizes <= LEAF_PAIRS) | (depth == BITS)
+        tally["compared"] = tally.get("compared", 0) + int(leaf.sum())
         yield from _compare(values, nodes[leaf], budget)
         nodes, used = nodes[~leaf], used[~leaf]
         if not len(nodes):
             continue
+        tally["split"] = tally.get("split", 0) + len(nodes)
+        allowed = 0 if depth < exact else budget
         a_lo, a_hi, b_lo, b_hi = nodes.T
         a_mid, b_mid = trie.split(a_lo, a_hi, depth), trie.split(b_lo, b_hi, depth)
         same = (a_lo == b_lo) & (a_hi == b_hi)
@@ -127,8 +136,10 @@ def trie_pairs(values: np.ndarray, pairs: np.ndarray, budget: int) -> Iterator[t
             ((a_lo, a_mid), (b_mid, b_hi), 1, None),
             ((a_mid, a_hi), (b_lo, b_mid), 1, ~same),
         ):
-            ok = (a[1] > a[0]) & (b[1] > b[0]) & (used + cost <= budget)
-            ok = ok if keep is None else ok & keep
+            some = (a[1] > a[0]) & (b[1] > b[0])
+            some = some if keep is None else some & keep
+            ok = some & (used + cost <= allowed)
+            tally["dropped"] = tally.get("dropped", 0) + int((some & ~ok).sum())
             children.append(np.stack((a[0][ok], a[1][ok], b[0][ok], b[1][ok]), axis=1))
             budgets.append(used[ok] + cost)
         stack.append((depth + 1, np.concatenate(children), np.concatenate(budgets)))
@@ -148,130 +159,159 @@ def _compare(values: np.ndarray, nodes: np.ndarray, budget: int) -> Iterator[tup
         yield i[near], j[near]
 
 
-def union(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the classes of i and j pairwise; a class is labelled by its smallest member."""
+def union(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join the classes of i and j pairwise; a class is labelled by its smallest member. Returns those of the pairs that
+    joined two classes: a forest, enough to join the same classes again."""
+    kept_i, kept_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     while len(i):
         a, b = labels[i], labels[j]
         apart = a != b
         i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        labels[high] = np.minimum(a, b)[first]
+        kept_i.append(i[first])
+        kept_j.append(j[first])
         while True:
             up = labels[labels]
             if np.array_equal(up, labels):
                 break
             labels[:] = up
+    return np.concatenate(kept_i), np.concatenate(kept_j)
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
-    cols = [np.asarray(table.column(n)) for n in ("group", "side", "rot", "node")]
-    group, side, rot, node = cols[0].astype(np.int64), cols[1].astype(np.int8), cols[2].astype(np.int64).view(np.uint64), cols[3].astype(np.int64)
+    table = pa.Table.from_batches(batches)
+    group, side, exact = (np.asarray(table.column(n)).astype(np.int64) for n in ("group", "side", "exact"))
+    rot = np.asarray(table.column("rot")).astype(np.int64).view(np.uint64)
     order = np.lexsort((rot, side, group))
-    group, side, rot, node = group[order], side[order], rot[order], node[order]
+    group, side, rot, exact = group[order], side[order], rot[order], exact[order]
     labels = np.arange(len(rot))
     again = np.flatnonzero((group[1:] == group[:-1]) & (side[1:] == side[:-1]) & (rot[1:] == rot[:-1])) + 1
-    union(labels, again - 1, again)
+    found = [union(labels, again - 1, again)]
     first = np.ones(len(rot), bool)
     first[again] = False
     kept = np.flatnonzero(first)
-    group, side, rot = group[kept], side[kept], rot[kept]
+    group, side, rot, exact = group[kept], side[kept], rot[kept], exact[kept]
     new = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]))))
     ends = np.append(new[1:], len(rot))
-    roots, other = [], {}
+    roots, other = {}, {}
     for lo, hi in zip(new.tolist(), ends.tolist(), strict=True):
+        mine = roots.setdefault(int(exact[lo]), [])
         if side[lo] == 0:
-            roots.append((lo, hi, lo, hi))
+            mine.append((lo, hi, lo, hi))
         elif side[lo] == 1:
             other[int(group[lo])] = (lo, hi)
         elif int(group[lo]) in other:
-            roots.append((*other[int(group[lo])], lo, hi))
-    if roots:
-        for i, j in trie_pairs(rot, np.array(roots), budget):
-            union(labels, kept[i], kept[j])
-    tied = np.flatnonzero(labels != np.arange(len(labels)))
-    yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[labels[tied]])], ["a", "b"])
+            mine.append((*other[int(group[lo])], lo, hi))
+    for width, pairs in roots.items():
+        if pairs:
+            for i, j in trie_pairs(rot, np.array(pairs), budget, width):
+                found.append(union(labels, kept[i], kept[j]))
+    node = table.column("node").combine_chunks()
+    a, b = (node.take(pa.array(order[np.concatenate(side)])) for side in zip(*found, strict=True))
+    yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
 
 def links(nodes: DataFrame, count: int = 1, budget: int = BUDGET) -> DataFrame:
     """(a, b): links between ``nodes`` (node, fps) whose k-th fingerprints differ in at most ``budget`` bits, for any k.
 
-    Enough links to join every class, not every pair. Fingerprints within the budget agree on one of budget + 1 blocks
-    of bits at least, so the rows meet once a block, rotated so that the block comes first: a subtree of that trie, and
-    the subtrees are joined side by side. A subtree many times the mean size is cut into tiles, and every pair of tiles
-    (a tile with itself too) is a task of its own: nothing is left out, and no task holds much more than the others.
+    Enough links to join every class, not every pair; each is within the budget itself. Fingerprints within the budget
+    agree on one of budget + 1 blocks of bits at least, so a fingerprint goes, once a block, into a trie of fingerprints
+    rotated so that the block comes first, and no bit of that block may differ there. A trie is dealt out by the
+    subtrees under a prefix of the block, as long as makes them about ``SUBTREE`` fingerprints (a small table has one
+    trie a block). A subtree of many times that is cut into tiles, and every pair of tiles (a tile with itself too)
+    is a join of its own: nothing is left out, and no task holds much more than the others.
     """
     spark = nodes.sparkSession
     n = nodes.count()
     blocks = budget + 1
     widths = [BITS // blocks + (k < BITS % blocks) for k in range(blocks)]
     starts = [sum(widths[:k]) for k in range(blocks)]
+    prefix = min(min(widths), max(0, (n - 1) // SUBTREE).bit_length())
     fp = F.col("fp")
     rotated = F.array(*[
-        F.struct(
-            F.lit(k).alias("block"),
-            (fp if not s else F.shiftleft(fp, s).bitwiseOR(F.shiftrightunsigned(fp, BITS - s))).alias("rot"),
-            (F.shiftrightunsigned(F.shiftleft(fp, s) if s else fp, BITS - w)).alias("key"),
-        )
+        F.struct(F.lit(k).alias("block"), F.lit(w).alias("exact"), (fp if not s else F.shiftleft(fp, s).bitwiseOR(F.shiftrightunsigned(fp, BITS - s))).alias("rot"))
         for k, (s, w) in enumerate(zip(starts, widths, strict=True))
     ])
-    rows = nodes.select("node", F.posexplode("fps").alias("k", "fp")).select("node", "k", F.explode(rotated).alias("r")).select("node", "k", "r.block", "r.key", "r.rot")
-    most = max(1024, 4 * n // 2 ** min(widths))
+    rows = nodes.select("node", F.posexplode("fps").alias("k", "fp")).select("node", "k", F.explode(rotated).alias("r")).select("node", "k", "r.block", "r.exact", "r.rot")
+    rows = rows.withColumn("key", F.shiftrightunsigned("rot", BITS - prefix) if prefix else F.lit(0).cast("long"))
+    most = 4 * max(SUBTREE, n >> prefix)
     hot = stored(rows.groupBy("k", "block", "key").count().where(F.col("count") > most).select("k", "block", "key", F.ceil(F.col("count") / most).cast("int").alias("tiles")), "hot")
     tile, tiles = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.coalesce("tiles", F.lit(1))
     if hot.isEmpty():
-        dealt = rows.select("node", "rot", F.xxhash64("k", "block", "key").alias("group"), F.lit(0).cast("byte").alias("side"))
-    else:
-        wide = rows.join(hot, ["k", "block", "key"], "left").withColumn("tile", F.coalesce(tile, F.lit(0)))
+        dealt = rows.select("node", "rot", "exact", F.xxhash64("k", "block", "key").alias("group"), F.lit(0).alias("side"))
+    else:  # fewer than rows / most of them, so always few
+        wide = rows.join(F.broadcast(hot), ["k", "block", "key"], "left").withColumn("tile", F.coalesce(tile, F.lit(0)))
         wide = wide.withColumn("u", F.explode(F.sequence(F.lit(0), tiles - 1)))
         low, high = F.least("tile", "u"), F.greatest("tile", "u")
-        side = F.when(low == high, 0).when(F.col("tile") == low, 1).otherwise(2).cast("byte")
-        dealt = wide.select("node", "rot", F.xxhash64("k", "block", "key", low, high).alias("group"), side.alias("side"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * blocks * count // 400_000 + 1)
-    return dealt.repartition(tasks, "group").mapInArrow(partial(_link_batches, budget=budget), "a long, b long")
+        side = F.when(low == high, 0).when(F.col("tile") == low, 1).otherwise(2)
+        dealt = wide.select("node", "rot", "exact", F.xxhash64("k", "block", "key", low, high).alias("group"), side.alias("side"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * blocks * count // TASK_ROWS + 1)
+    kind = nodes.schema["node"].dataType.simpleString()
+    return dealt.repartition(tasks, "group").mapInArrow(partial(_link_batches, budget=budget), f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the class's smallest node.
 
     Alternating star contraction: every node hooks its larger neighbours to the smallest neighbour, then its smaller
-    ones. Each round is written to the shared folder; the rounds grow as the logarithm of the longest chain. Minima are
-    pre-aggregated and joined back, so that a class of any size never meets in one row.
+    ones. Each round is written to the shared folder, and the one before it deleted; the rounds grow as the logarithm of
+    the longest chain. Minima are pre-aggregated, and the centre of a large class, which many edges share, is joined
+    apart, so a class of any size meets neither in one row nor in one task.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        edges = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+    spark = edges.sparkSession
+
+    def both(x: Column, y: Column, u: Column, v: Column) -> Column:
+        return F.explode(F.array(F.struct(x.alias("a"), y.alias("b")), F.struct(u.alias("a"), v.alias("b")))).alias("e")
+
+    a, b, m = F.col("a"), F.col("b"), F.col("m")
+    path = new_folder(spark, "edges")
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", path)
+    state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+    while state[0]:
+        total, before = 2 * state[0], state
+        ways = edges.select(both(a, b, b, a)).select("e.*")
+        least = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("_n"))
+        hooked = new_folder(spark, "hooked")
+        large = stored(spread_join(ways, least, "a", total).where("b > a").select(b.alias("a"), m.alias("b")).where("a <> b").distinct(), "hooked", hooked)
+        small = spread_join(large, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")), "a", total)
+        made = new_folder(spark, "edges")
+        edges = stored(small.select(both(b, m, a, m)).select("e.*").where("a <> b").distinct(), "edges", made)
+        remove_folder(spark, path)
+        remove_folder(spark, hooked)
+        state, path = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first(), made
         if state == before:
             break
-        before = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _identity() -> list:
+    """Columns (id, count) of a group of rows with one ``node``: ids sort by the smallest doc_id, those without one last."""
+    least = F.min("doc_id")
+    return [F.struct(least.isNull().alias("none"), F.coalesce(least, F.lit(0)).alias("rep"), F.first("node").alias("node")).alias("id"), F.count("*").alias("_n")]
+
+
+def _doc_of(identity: Column) -> Column:
+    return F.when(~identity["none"], identity["rep"])
+
+
 def near_duplicates(documents: DataFrame, words: int = 4, distinct: bool = False, count: int = 1, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fps, component_id), one row a row of ``documents``.
 
     Two texts are linked if any of their ``count`` fingerprints differ in at most ``budget`` bits; component_id is the
     smallest doc_id that can be reached (nulls don't count; null if no id can be). Empty and null texts have the
-    fingerprint zero and are linked like any other. Equal fingerprints meet as one node, so copies cost nothing.
+    fingerprint zero and are linked like any other. Equal fingerprints meet as one node, so copies cost nothing. Classes
+    are made of ids that sort by doc_id, so that a class's root tells its component_id.
     """
     rows = stored(fingerprints(documents, words, distinct, count), "fingerprints")
-    node = F.element_at("fps", 1) if count == 1 else F.xxhash64("fps")
-    rows = rows.withColumn("node", node)
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "nodes")
-    roots = components(links(nodes.select("node", "fps"), count, budget))
-    tied = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tied = stored(tied, "classes")
-    ids = tied.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = tied.join(ids, "root").select("node", "component_id")
-    return rows.join(named, "node").select("doc_id", "fps", "component_id")
+    rows = rows.withColumn("node", F.element_at("fps", 1) if count == 1 else F.xxhash64("fps"))
+    nodes = stored(rows.groupBy(F.col("node").alias("own")).agg(*_identity(), F.first("fps").alias("fps")), "nodes")
+    roots = components(links(nodes.select(F.col("id").alias("node"), "fps"), count, budget)).select(F.col("node.node").alias("own"), "root")
+    named = nodes.select("own", "id", "_n").join(roots, "own", "left").select(F.col("own").alias("node"), _doc_of(F.coalesce("root", "id")).alias("component_id"), "_n")
+    return spread_join(rows, named, "node", rows.count()).select("doc_id", "fps", "component_id")
 
 
 def document_classes(documents: DataFrame) -> DataFrame:
@@ -282,14 +322,14 @@ def document_classes(documents: DataFrame) -> DataFrame:
 
 # Classes by exact similarity of sets of five-word shingles.
 #
-# A fingerprint of 64 bits can't find them: two sets of similarity 0.8 differ in 10 bits on the mean, and a budget that
-# holds a thousand of them but one leaves blocks of three bits. Bands of minima find candidates, and no pair is taken
-# for near before its sets were compared.
+# Fingerprints of these sets are joined by the trie first, which finds texts that differ little. It can't find them all:
+# two sets of similarity 0.8 differ in 10 of 64 bits on the mean, and a budget that holds a thousand of them but one
+# leaves blocks of three bits. Bands of minima find the rest, and no pair is taken for near before its sets were compared.
 
 WORDS = 5
 SIMILARITY = (4, 5)
-#: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**8)**48 = 0.00016, at 0.85 with 2e-7.
-BANDS, ROWS = 48, 8
+#: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**7)**32 = 0.0005, at 0.85 with 1e-6.
+BANDS, ROWS = 32, 7
 TILE = 512
 _MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 
@@ -326,12 +366,14 @@ def is_similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(text.as_py() or "") for text in batch.column(1)]
+        sets = [shingle_set(text.as_py() or "") for text in batch.column(2)]
         keys = [band_keys(x) for x in sets]
         ends = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
         flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
+        prints = pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "node", "n", "keys"]
+            [batch.column(0), batch.column(1), pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), prints, pa.ListArray.from_arrays(ends, flat)],
+            ["address", "doc_id", "node", "n", "fp", "keys"],
         )
 
 
@@ -374,53 +416,89 @@ def _across(members: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, component_id), one row a row of ``documents``: classes of texts linked by a similarity of 0.8 or more.
+def _address() -> Column:
+    """What a row is found by again: a digest of its doc_id and text, nulls told apart from values."""
+    said = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.unhex(F.sha2(said.cast("binary"), 256))
 
-    Similarity is that of the sets of five-word shingles (a text of fewer words is one shingle): the shared ones by all
-    of both. component_id is the smallest doc_id of the class. Texts of equal sets are one node, and those without a
-    word one class.
 
-    Nodes that share a band are candidates. Each is compared with one node of its tile of the band first, and the
-    classes that come of it are made; then all pairs of a band that are still in different classes are compared. So no
-    candidate pair is left out, and a large class of near copies does not cost its square.
+def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (address, doc_id, node) of ``documents``, and classes (node, root, _n): equal sets are one node, _n its rows.
+
+    Nodes whose fingerprints the trie links, and nodes that share a band, are candidates. Each node of a band is compared
+    with one node of its tile of the band first, and the classes that come of it and of the trie are made; then all pairs
+    of a band that are still in different classes are compared. So no candidate pair is left out, and a large class of
+    near copies does not cost its square.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(_sketch_batches, "doc_id long, node long, n int, keys array<long>"), "sketches")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    texts = documents.select(_address().alias("address"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(texts.mapInArrow(_sketch_batches, "address binary, doc_id long, node long, n int, fp long, keys array<long>"), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
+    nodes = stored(rows.groupBy(F.col("node").alias("own")).agg(*_identity(), F.min("address").alias("address"), *firsts).withColumnRenamed("own", "node"), "nodes")
+    tried = stored(links(nodes.where("n > 0").select("node", F.array("fp").alias("fps"))), "tried")
+
     bands = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = stored(bands.groupBy("key").agg(F.count("*").alias("among")).where("among > 1"), "shared")
-    members = stored(bands.join(shared, "key"), "members")
+    total = shared.agg(F.coalesce(F.sum("among"), F.lit(0))).first()[0]
+    members = stored(spread_join(bands, shared.withColumn("_n", F.col("among")), "key", total), "members")
 
-    wanted = nodes.select("node", "rep").join(members.select("node").distinct(), "node", "left_semi")
-    read = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sets = read.mapInArrow(_set_batches, "node long, hashes binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(sets, "sets")
+    wanted = members.select("node").union(tried.select("a")).union(tried.select("b")).distinct()
+    wanted = nodes.select("node", "address").join(wanted, "node", "left_semi")
+    read = texts.join(wanted.select("address"), "address", "left_semi")
+    if not rows.groupBy("address").count().where("count > 1").isEmpty():  # rows told twice are read once
+        read = read.dropDuplicates(["address"])
+    sets = stored(read.select("text").mapInArrow(_set_batches, "node long, hashes binary"), "sets")
 
     tile = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("among") / TILE))
     first = F.min(F.struct("node", "n")).over(Window.partitionBy("key", "tile"))
     star = members.withColumn("tile", tile).withColumn("c", first).where("node <> c.node").where(_sizes_allow("n", "c.n"))
-    star = stored(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    star = stored(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")).union(tried.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "star")
     near = stored(_similar(star, sets), "near")
 
     placed = members.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed.select("key", "node", "n", "among", "root"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = _across(placed.join(mixed, "key", "left_semi")).join(star, ["a", "b"], "left_anti")
-    edges = near.union(stored(_similar(stored(apart, "apart"), sets), "near"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("_n")).where("low < high").select("key", "_n")
+    apart = _across(spread_join(placed, mixed, "key", total)).join(star, ["a", "b"], "left_anti")
+    edges = stored(near.union(_similar(stored(apart, "apart"), sets)), "edges")
+
+    ids = nodes.select("node", "id")
+    named = edges.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(named).select(F.col("node.node").alias("node"), "root")
+    return rows.select("address", "doc_id", "node"), nodes.select("node", "id", "_n").join(roots, "node", "left").select("node", F.coalesce("root", "id").alias("root"), "_n")
+
+
+def similar_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, component_id), one row a row of ``documents``: classes of texts linked by a similarity of 0.8 or more.
 
-    tied = stored(nodes.select("node", "rep").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
-    ids = tied.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = tied.join(ids, "root").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    Similarity is that of the sets of five-word shingles (a text of fewer words is one shingle): the shared ones by all
+    of both. component_id is the smallest doc_id of the class (null if none has one), and texts without a word are one
+    class.
+    """
+    rows, classes = _classes(documents)
+    named = classes.select("node", _doc_of(F.col("root")).alias("component_id"), "_n")
+    return spread_join(rows, named, "node", rows.count()).select("doc_id", "component_id")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each class of similar texts left: that of the smallest doc_id.
+    """``documents`` with one row of each class of similar texts left: that of the smallest doc_id, nulls after all others.
 
-    Rows without a doc_id can't be told apart by a class id and stay. A doc_id on several rows of one class stays once.
+    Rows are told apart by doc_id and text together: unlike texts under one doc_id are judged each by itself, and rows
+    without a doc_id like any other. Of rows with the same doc_id and text, the one least by its other columns stays
+    (of those that can be ordered). Texts without a word, null ones too, are one class.
     """
-    classes = similar_classes(documents.where("doc_id is not null"))
-    keep = classes.where("doc_id = component_id").select("doc_id").distinct()
-    left = documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.select(*documents.columns).unionByName(documents.where("doc_id is null"))
+    rows, classes = _classes(documents)
+    rows = spread_join(rows, classes.select("node", "root", "_n"), "node", rows.count())
+    rows = stored(rows.groupBy("root", "address").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies")), "addresses")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "address", "copies")).alias("best")).select("best.address", "best.copies")
+    best = stored(best, "best")
+    gone = rows.select("address").join(best, "address", "left_anti")
+    name = free_name(documents.columns, "row_address")
+    left = documents.withColumn(name, _address()).join(gone.withColumnRenamed("address", name), name, "left_anti")
+    own = quoted(documents.columns)
+    if best.where("copies > 1").isEmpty():
+        return left.select(*own)
+    repeated = best.where("copies > 1").select(F.col("address").alias(name))
+    whole = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(own)])
+    order = F.struct(*[c for c, f in zip(own, documents.schema, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    one = left.join(repeated, name, "left_semi").groupBy(name).agg(F.min_by(whole, order).alias("row"))
+    one = one.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(documents.columns)])
+    return left.join(repeated, name, "left_anti").select(*own).union(one)

@@ -80,8 +80,21 @@ def test_trie_finds_every_pair():
     assert set(got) == want and len(got) == len(want)
 
 
-def test_hot_blocks_are_tiled_without_loss(spark):
+def test_the_trie_splits_and_drops(spark):
+    """At sf0.01 most pairs go by pruning; outright comparisons are of a few values each."""
+    prints = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    values = np.unique([r["fps"][0] for r in simhash.fingerprints(prints).collect()]).astype(np.int64).view(np.uint64)
+    values.sort()
+    n, tally = len(values), {}
+    near = sum(len(i) for i, _ in simhash.trie_pairs(values, np.array([[0, n, 0, n]]), 4, 12, tally))
+    assert tally["split"] > n / 4 and tally["dropped"] > n / 4 and tally["compared"] * simhash.LEAF_PAIRS < n * n / 100
+    same = values >> np.uint64(52)
+    assert near == sum(int(np.triu(np.bitwise_count(values[same == k][:, None] ^ values[same == k][None, :]) <= 4, 1).sum()) for k in np.unique(same))
+
+
+def test_hot_blocks_are_tiled_without_loss(spark, monkeypatch):
     rng = random.Random(1)
+    monkeypatch.setattr(simhash, "SUBTREE", 256)
     values = {rng.randrange(1 << 20) for _ in range(2500)} | {(1 << 63) | rng.randrange(1 << 12) for _ in range(300)}
     signed = [v - 2**64 if v >= 2**63 else v for v in sorted(values)]
     nodes = spark.createDataFrame([(v, [v]) for v in signed], "node long, fps array<long>")
@@ -108,7 +121,21 @@ def test_deduplication_keeps_one_of_a_class(spark):
     docs = table(spark, texts, [5, 4, 9, 1, 2, None, 8]).union(table(spark, [" ".join(base)], [9]))
     out = simhash.deduplicate(docs)
     assert out.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(["4", "1", "2", "None", "8"])
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(["4", "1", "2", "8"])
+
+
+def test_rows_are_judged_by_their_own_texts(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    item = " ".join(words(rng, 30))
+    rows = [(3, a), (5, a), (5, b), (6, c), (None, c), (None, d), (None, d), (7, "x " + item), (7, d + " more"), (None, "y " + item), (8, None)]
+    docs = spark.createDataFrame([(i, t, k, {"k": k}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `a.b` long, m map<string,long>")
+    out = sorted((str(r["doc_id"]), r["text"], r["a.b"]) for r in simhash.deduplicate(docs).where("`a.b` not in (7, 9)").collect())
+    assert [(i, t) for i, t, _ in out] == sorted([("3", a), ("5", b), ("6", c), ("7", d + " more"), ("8", None)], key=lambda x: x[0])
+    twice = simhash.deduplicate(spark.createDataFrame([(1, a, k, {"k": k}) for k in (5, 2, 9)], docs.schema)).collect()
+    assert [(r["doc_id"], r["a.b"], r["m"]) for r in twice] == [(1, 2, {"k": 2})]
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r["a.b"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 10]
 
 
 def test_similar_classes_equal_brute_force(spark):
@@ -267,7 +294,9 @@ def test_windows_match_brute_force(spark):
 
 
 def test_benchmark_blocks_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 8)
+    monkeypatch.setattr(decontaminate, "ITEMS_A_TASK", 3)
+    monkeypatch.setattr(decontaminate, "REGIONS_A_TASK", 2)
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", 1 << 12)
     rng = random.Random(8)
     items = [(i, " ".join(words(rng, 20))) for i in range(16)]
     docs = table(spark, [t for _, t in items], range(16))
@@ -275,7 +304,7 @@ def test_benchmark_blocks_and_empty_tables(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(i, i) for i in range(16)}
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     kept = decontaminate.drop_contaminated(docs.union(table(spark, ["clean", items[0][1], None], [99, None, 98])), bench)
-    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["98", "99", "None"]
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["98", "99"]
 
 
 def test_hamming_index_finds_all_within_the_radius():
