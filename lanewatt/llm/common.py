@@ -75,3 +75,16 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFr
     hot = F.broadcast(one.where(F.col("_n") > most).drop("_n"))
     cold = one.where(F.col("_n") <= most).drop("_n")
     return many.join(hot, key).unionByName(many.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def spread_left(many: DataFrame, one: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Left join of ``many`` with ``one``, whose keys are unique; ``counts`` has every key's rows in ``many`` as ``_n``.
+
+    Keys with a great share of all rows are sent to all tasks, as ``spread_join`` does, whether ``one`` has them or not.
+    """
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("_n") > max(HOT_ROWS, total // MOST_HOT)).select(key)
+    if hot.isEmpty():
+        return many.join(one, key, "left")
+    hot = F.broadcast(hot.join(one, key, "left"))
+    return many.join(hot, key).unionByName(many.join(hot.select(key), key, "left_anti").join(one, key, "left"))

@@ -21,7 +21,7 @@ SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 #: Bits of the sieve a shingle of the benchmark, the most bits of a sieve, and the bits that a shingle sets.
-SIEVE_SHARE = 64
+SIEVE_SHARE = 512
 SIEVE_BITS = 1 << 29
 PROBES = 3
 #: Items of one size that a task holds, and regions of text that it searches for them, about.

@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,9 +197,14 @@ def encode_text(text: str | None) -> tuple[bytes, int]:
 
 
 def feature(samples: bytes, facts: dict[str, int]) -> str:
-    """Integers only, so equal samples say the same anywhere: duration in microseconds, counts, sum and spread."""
-    first, peak = sum(samples[:UNIT]), max(samples)
-    return f"us={facts['last'] * 1_000_000 // facts['rate']};streams={facts['streams']};pages={facts['pages']};packets={facts['packets']};head_sum={first};peak={peak}"
+    """Integers only, so equal samples say the same anywhere: duration in microseconds, counts, and of all samples the
+    sum, the sum of squares, the peak and how often they cross the middle."""
+    wave = np.frombuffer(samples, np.uint8)
+    total, power = int(wave.sum(dtype=np.int64)), int((wave.astype(np.int32) ** 2).sum(dtype=np.int64))
+    high = wave >= 128
+    crossings = int(np.count_nonzero(high[1:] != high[:-1]))
+    counts = f"streams={facts['streams']};pages={facts['pages']};packets={facts['packets']}"
+    return f"us={facts['last'] * 1_000_000 // facts['rate']};{counts};sum={total};squares={power};peak={int(wave.max())};crossings={crossings}"
 
 
 _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
@@ -251,5 +257,7 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def document_media(documents: DataFrame) -> DataFrame:
-    """The media table is written to the shared folder, and its stored bytes are read back."""
+    """Features of every row's text as media: the media table is written to the shared folder, and its stored bytes are
+    read back. Null texts count as empty, repeated rows are files of their own, equal texts have equal values, columns
+    beside doc_id and text are left out, and an empty table gives no rows."""
     return read_media(stored(media_column(documents), "media"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,11 @@ from .common import stored
 
 CAPACITY = 2048
 GROUP = 2000
-TRIALS = 6000
+#: How empty a group's bin must be, as a share, for its pieces to be dealt and packed again.
+SLACK = 0.06
 WORD_CACHE = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = [f.split()[0] for f in PIECES.split(", ")]
 
 
 def public_vocabulary() -> str:
@@ -109,63 +111,75 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _exchange(a: list[tuple[int, int]], b: list[tuple[int, int]], gap: int) -> tuple[list, list] | None:
-    """What leaves a for b and b for a, so that b gains most, at most ``gap``: a move, one for one, or two for one."""
+    """What leaves a for b and b for a, so that b gains most, at most ``gap``: one or two pieces for none or one, or one
+    for two. Equal lengths are alike, so only distinct ones are tried: never more than 63 in a bin of 2048."""
+    ours, theirs = {}, {}
+    for x in a:
+        ours.setdefault(x[0], []).append(x)
+    for x in b:
+        theirs.setdefault(x[0], []).append(x)
+    give, have = sorted(ours), sorted(theirs)
     best, most = None, 0
-    have = [x[0] for x in b]
-    for k, x in enumerate(a):
-        gains = [(x, None)]
-        gains += [(x, a[m]) for m in range(k)] if len(a) <= 64 else []
-        for p, q in gains:
-            size = p[0] + (q[0] if q else 0)
+    for k, p in enumerate(give):
+        for q in [0, *give[:k], *([p] if len(ours[p]) > 1 else [])]:
+            size = p + q
             if most < size <= gap:
-                best, most = ([p, q] if q else [p], []), size
-            # the smallest piece of b whose return leaves a gain of at most gap
-            at = bisect_left(have, size - gap)
-            if at < len(b) and most < size - have[at] <= gap:
-                best, most = ([p, q] if q else [p], [b[at]]), size - have[at]
+                best, most = ((p, q), (0, 0)), size
+            at = bisect_left(have, size - gap)  # the smallest whose return leaves a gain of at most gap
+            if at < len(have) and most < size - have[at] <= gap:
+                best, most = ((p, q), (have[at], 0)), size - have[at]
+        for m, h in enumerate(have):
+            at = bisect_left(have, p - gap - h, m)
+            if at == m and len(theirs[h]) < 2:
+                at += 1
+            if at < len(have) and most < p - h - have[at] <= gap:
+                best, most = ((p, 0), (h, have[at])), p - h - have[at]
         if most == gap:
             break
-        if 2 <= len(b) <= 64:  # one of a for two of b
-            for m in range(len(b) - 1):
-                at = bisect_left(have, x[0] - gap - have[m], m + 1)
-                if at < len(b) and most < x[0] - have[m] - have[at] <= gap:
-                    best, most = ([x], [b[m], b[at]]), x[0] - have[m] - have[at]
-    return best
+    if best is None:
+        return None
+    (p, q), (h, i) = best
+    go = [ours[p][-1]] + ([ours[q][-2 if p == q else -1]] if q else [])
+    return go, ([theirs[h][-1]] if h else []) + ([theirs[i][-2 if h == i else -1]] if i else [])
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int, trials: int = TRIALS) -> list[list[int]]:
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty bins one by one: what an ill-filled bin holds goes to fuller ones by moves and swaps.
 
-    Each exchange carries tokens from a bin to one at least as full, so the sum of squared fills grows with every step.
-    The emptiest bin gives first; one that can't give waits until another exchange has changed the bins. The search ends
-    at the least number of bins that the total allows, when no exchange is left, or after ``trials`` pairs of bins; the
-    result never has more bins than before.
+    Each exchange carries tokens from a bin to one at least as full, so the sum of squared fills grows with every step
+    and the search ends: at the least number of bins that the total allows, or when no exchange is left. The emptiest
+    bin gives first; one that can't give waits until another exchange has changed the bins, and a pair of bins is tried
+    again only if one of them has changed. The result never has more bins than before.
     """
     least = -(-sum(lengths) // capacity)
     full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     rest = [sorted((lengths[i], i) for i in b) for b in bins if sum(lengths[i] for i in b) < capacity]
     fills = [sum(x[0] for x in b) for b in rest]
+    version = [0] * len(rest)
+    tried: dict[tuple[int, int], tuple[int, int]] = {}
     stuck: set[int] = set()
-    while len(full) + sum(map(bool, rest)) > least and trials > 0:
+    while len(full) + sum(map(bool, rest)) > least:
         live = [k for k in range(len(rest)) if rest[k] and k not in stuck]
         if not live:
             break
         source = min(live, key=lambda k: fills[k])
         moved = False
         for target in sorted((k for k in range(len(rest)) if rest[k] and k != source and fills[source] <= fills[k] < capacity), key=lambda k: fills[k]):
-            trials -= 1
+            now = version[source], version[target]
+            if tried.get((source, target)) == now:
+                continue
             found = _exchange(rest[source], rest[target], capacity - fills[target])
-            if found:
-                go, come = found
-                for x in go:
-                    rest[source].remove(x)
-                    insort(rest[target], x)
-                for x in come:
-                    rest[target].remove(x)
-                    insort(rest[source], x)
-                fills[source], fills[target] = sum(x[0] for x in rest[source]), sum(x[0] for x in rest[target])
-                moved = True
-            if not rest[source] or trials <= 0:
+            if not found:
+                tried[source, target] = now
+                continue
+            for pieces_, giver, taker in ((found[0], source, target), (found[1], target, source)):
+                for x in pieces_:
+                    rest[giver].remove(x)
+                    insort(rest[taker], x)
+            for k in (source, target):
+                fills[k], version[k] = sum(x[0] for x in rest[k]), version[k] + 1
+            moved = True
+            if not rest[source]:
                 break
         stuck = set() if moved else stuck | {source}
     return full + [[i for _, i in b] for b in rest if b]
@@ -173,7 +187,7 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int, trial
 
 def _pack_group(table: pa.Table, capacity: int) -> pa.Table:
     """One group's pieces with their bins (from 0) and places; a group holds about ``GROUP`` pieces."""
-    table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+    table = table.sort_by([(n, "ascending") for n in ("doc_id", "piece", "ids_crc32", "row")])
     lengths = table.column("length").to_pylist()
     bins = local_search(lengths, best_fit(lengths, capacity), capacity)
     place, offset, fill = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
@@ -183,53 +197,49 @@ def _pack_group(table: pa.Table, capacity: int) -> pa.Table:
             place[i], offset[i] = b, at
             at += lengths[i]
         fill[members] = at
-    out = table.select(["group", "doc_id", "piece", "start", "length", "ids_crc32"])
+    out = table.select(["group", "row", *NAMES])
     for name, col in (("bin", place), ("offset", offset), ("fill", fill)):
         out = out.append_column(name, pa.array(col))
     return out
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slack: float = 0.06) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slack: float = SLACK) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``rows`` of ``PIECES``: no sequence over ``capacity``, none with a hole.
 
     Full pieces are sequences of their own. The others are dealt by hash into groups of about ``group``; each group is
     packed by best fit and local search. A group's ill-filled bins (over ``slack`` of a sequence empty) are opened again
-    and their pieces dealt into fewer groups, round after round, until one group is left: so the waste is that of one
-    group, not of all. Every piece has one place; equal rows are pieces of their own.
+    and their pieces dealt into fewer groups, round after round, until one group is left, or a round ends with as many
+    bins as it opened: so the waste is that of one group, not of all. ``group`` bounds what a task holds. Every piece
+    has one place; equal rows are pieces of their own, and dealt apart.
     """
-    done, level = [], 0
 
     def pack_group(table: pa.Table) -> pa.Table:
         return _pack_group(table, capacity)
 
-    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = F.col("length") == capacity
-    done.append(rows.where(whole).select("doc_id", "piece", "start", "length", "ids_crc32", F.struct(F.lit(-1).alias("level"), F.col("_row").alias("group"), F.lit(0).cast("long").alias("bin")).alias("bin"), F.lit(0).cast("long").alias("offset")))
-    left = rows.where(~whole)
-    n = left.count()
-    while n:
+    alone = F.struct(F.lit(-1).alias("level"), F.col("row").alias("group"), F.lit(0).cast("long").alias("bin"))
+    done = [rows.where(whole).select(*NAMES, alone.alias("bin"), F.lit(0).cast("long").alias("offset"))]
+    left, level, opened = rows.where(~whole).select("row", *NAMES), 0, None
+    while n := left.count():
         groups = -(-n // group)
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *([F.col("_row")] if "_row" in left.columns else []), F.lit(level)), F.lit(groups))
-        schema = "group long, " + PIECES + ", bin long, offset long, fill long"
-        packed = stored(left.select(key.alias("group"), "doc_id", "piece", "start", "length", "ids_crc32").groupBy("group").applyInArrow(pack_group, schema), "packed")
-        again = (F.col("fill") < int(capacity * (1 - slack))) if groups > 1 else F.lit(False)
+        key = F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups))
+        packed = stored(left.select(key.alias("group"), "row", *NAMES).groupBy("group").applyInArrow(pack_group, f"group long, row long, {PIECES}, bin long, offset long, fill long"), "packed")
         name = F.struct(F.lit(level).alias("level"), "group", "bin").alias("bin")
-        done.append(packed.where(~again).select("doc_id", "piece", "start", "length", "ids_crc32", name, "offset"))
-        if groups == 1:
+        again = F.col("fill") < int(capacity * (1 - slack))
+        bins = packed.groupBy("group", "bin").agg(F.min("fill").alias("fill")).agg(F.count("*").alias("bins"), F.count_if(again).alias("again")).first()
+        if groups == 1 or (opened is not None and bins["bins"] >= opened):
+            done.append(packed.select(*NAMES, name, "offset"))
             break
-        left = packed.where(again)
-        fewer = left.count()
-        if fewer > 0.9 * n:  # nothing packs better: these bins stay as they are
-            done.append(left.select("doc_id", "piece", "start", "length", "ids_crc32", name, "offset"))
-            break
-        n, level = fewer, level + 1
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+        done.append(packed.where(~again).select(*NAMES, name, "offset"))
+        left, level, opened = packed.where(again).select("row", *NAMES), level + 1, bins["again"]
+    out = reduce(DataFrame.unionByName, done)
     # level and group in the upper bits, the bin in the lower: unique, as a group has far fewer than 2**14 bins
     tag = F.when(F.col("bin.level") < 0, -1 - F.col("bin.group")).otherwise((F.col("bin.level") * (1 << 40) + F.col("bin.group")) * (1 << 14) + F.col("bin.bin"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", tag.cast("long").alias("sequence_id"), "offset")
+    return out.select(*NAMES, tag.cast("long").alias("sequence_id"), "offset")
 
 
 def packed_documents(documents: DataFrame, ranks_path: Callable[[], str] = public_vocabulary) -> DataFrame:
+    """All ``documents`` packed: null and empty texts are one end token, repeated rows and rows without a doc_id have
+    pieces of their own, columns beside doc_id and text are left out, and an empty table gives no rows."""
     return pack(pieces(documents, ranks_path()))

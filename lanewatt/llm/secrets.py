@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored, text_or_empty
+from .common import free_name, new_folder, quoted, spread_left, stored, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", 1, r"[0-9a-f]+", 0, 24),
 )
+BLOCK = 256
 SPAN = "array<struct<start:long,rank:int,kind:string,end:long>>"
 LEDGER = "blob_id binary, kind string, version int"
 FINDINGS = "blob_id binary, kind string, version int, start long, end long"
@@ -39,7 +40,8 @@ def _matches(text: Column, rule: Rule, rank: int) -> Column:
 
     ``split`` gives the text between the matches and ``regexp_extract_all`` the matches; running lengths of both give the
     offsets. Where a match that is too short can't hide a longer one, the length is put into the pattern, so that most
-    texts show no match at all.
+    texts show no match at all. Offsets run on within blocks of ``BLOCK`` matches, and from block to block, so a text
+    of very many matches does not cost their square.
     """
     pattern = rule.pattern
     if rule.group == 0 and pattern.endswith("]+"):
@@ -52,9 +54,6 @@ def _matches(text: Column, rule: Rule, rank: int) -> Column:
         part,
         lambda p, g: F.struct(p["gap"].alias("gap"), p["len"].alias("len"), F.length(g).alias("group")),
     )
-    empty = F.lit(None).cast(SPAN)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(empty, F.array().cast(SPAN)).alias("found"))
-
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + p["gap"]
         end = begin + p["len"]
@@ -62,7 +61,16 @@ def _matches(text: Column, rule: Rule, rank: int) -> Column:
         found = F.when(p["group"] >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(end.alias("at"), found.alias("found"))
 
-    spans = F.aggregate(pieces, start, step, lambda acc: acc["found"])
+    def block_spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(SPAN).alias("found")), step, lambda acc: acc["found"])
+
+    def onward(starts: Column, block: Column) -> Column:
+        length = F.aggregate(block, F.lit(0).cast("long"), lambda n, p: n + p["gap"] + p["len"])
+        return F.concat(starts, F.array(F.element_at(starts, -1) + length))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / BLOCK).cast("int")), lambda k: F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)))
+    starts = F.aggregate(blocks, F.array(F.lit(0).cast("long")), onward)
+    spans = F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), block_spans))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
@@ -108,7 +116,7 @@ class BlobLedger:
         seen = self.table("scanned", LEDGER)
         unseen = stored(pairs.join(seen, ["blob_id", "kind", "version"], "left_anti").groupBy("blob_id", "first_path").agg(F.collect_set("kind").alias("todo")), "unseen")
         fresh = named.join(
-            unseen.hint("shuffle_hash"), (named["path"].eqNullSafe(unseen["first_path"])) & (named["blob_id"] == unseen["blob_id"])
+            unseen, (named["path"].eqNullSafe(unseen["first_path"])) & (named["blob_id"] == unseen["blob_id"])
         ).select(named["blob_id"], "content", "todo")
         scan_blobs(fresh, rules).write.mode("append").parquet(f"{self.folder}/findings")
         version = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
@@ -131,7 +139,12 @@ def _count(kind: str) -> Column:
 
 
 def document_secrets(documents: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
-    """Per row of ``documents``: counts by kind and all spans, as ``kind:start:end`` joined by commas."""
+    """Per row of ``documents``: counts by kind and all spans, as ``kind:start:end`` joined by commas.
+
+    With a ``ledger`` of earlier scans only unseen blobs and rule versions are scanned; without one a new ledger is made.
+    Null texts count as empty, repeated rows and rows without a doc_id have their rows, columns beside doc_id and text
+    are left out, and an empty table gives no rows.
+    """
     ledger = ledger or BlobLedger(documents.sparkSession)
     found = ledger.scan(documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
     said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -160,16 +173,16 @@ def redact_documents(documents: DataFrame, ledger: BlobLedger | None = None) ->
     """``documents`` with every secret in their texts masked, and n_chars set to match; no row is dropped.
 
     Rows find their spans by the content's address, so repeated or null ids do no harm. Texts without a secret, null
-    ones too, stay as they are.
+    ones too, stay as they are. A text on a great share of the rows is joined apart.
     """
     ledger = ledger or BlobLedger(documents.sparkSession)
     found = ledger.scan(documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
-    # names that no table of documents has
-    dirty = stored(found.where(F.size("spans") > 0).groupBy(F.col("blob_id").alias("__blob")).agg(F.first("spans").alias("__spans")), "dirty")
-    address = F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
-    masked = documents.withColumn("__blob", address).join(dirty, "__blob", "left")
-    text = F.when(F.col("__spans").isNotNull(), redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    blob, spans = free_name(documents.columns, "blob_address"), free_name(documents.columns, "secret_spans")
+    dirty = stored(found.where(F.size("spans") > 0).groupBy(F.col("blob_id").alias(blob)).agg(F.first("spans").alias(spans)), "dirty")
+    masked = documents.withColumn(blob, F.unhex(F.sha2(text_or_empty().cast("binary"), 256)))
+    masked = spread_left(masked, dirty, blob, found.groupBy(F.col("blob_id").alias(blob)).agg(F.count("*").alias("_n")))
+    text = F.when(F.col(spans).isNotNull(), redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     out = masked.withColumn("text", text)
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*quoted(documents.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import quoted, stored, text_or_empty
 
 ROW_OVERHEAD = 8
 
@@ -29,39 +29,33 @@ def assign_shards(rows: DataFrame, order_by: list[str], size: str, shards: int,
     spark = rows.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keep = [c for c in rows.columns if c not in ("shard", "slot")]
-    keyed = rows.select(*keep).withColumn("_spread", F.monotonically_increasing_id() % 4096)
-    order = [*order_by, "_spread"]
-    dealt = keyed.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part").orderBy(*order)
+    # the rows' own columns travel in one struct, so that no name of theirs can clash
+    keyed = rows.select(F.struct(*quoted(keep)).alias("own"), *[c.alias(f"key{k}") for k, c in enumerate(quoted(order_by))], quoted([size])[0].alias("size"), (F.monotonically_increasing_id() % 4096).alias("spread"))
+    order = [*[f"key{k}" for k in range(len(order_by))], "spread"]
+    dealt = keyed.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id())
+    local = Window.partitionBy("part").orderBy(*order)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = stored(
-        dealt.withColumn("_row", F.row_number().over(local).cast("long")).withColumn("_upto", F.sum(size).over(running)).drop("_spread"),
-        "shard-sums",
-    )
-    totals = summed.groupBy("_part").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    summed = stored(dealt.select("own", "size", "part", F.row_number().over(local).cast("long").alias("row"), F.sum("size").over(running).alias("upto")), "shard-sums")
+    totals = summed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_part",
-        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes_before"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
-    ).crossJoin(F.broadcast(totals.agg(F.sum("_bytes").alias("_all"))))
+        "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before")
+    ).crossJoin(F.broadcast(totals.agg(F.sum("bytes").alias("all_bytes"))))
     # one row a range partition, whose number is set above, not by the data
-    placed = summed.join(F.broadcast(offsets), "_part").select(
-        *keep,
-        (F.col("_rows_before") + F.col("_row") - 1).alias("_index"),
-        F.least(
-            F.expr(f"((2 * (_bytes_before + _upto) - {size}) * {shards}) div (2 * _all)"), F.lit(shards - 1)
-        ).cast("int").alias("shard"),
+    middle = F.expr(f"((2 * (bytes_before + upto) - size) * {shards}) div (2 * all_bytes)")
+    placed = summed.join(F.broadcast(offsets), "part").select(
+        "own", (F.col("rows_before") + F.col("row") - 1).alias("at"), F.least(middle, F.lit(shards - 1)).cast("int").alias("shard")
     )
-    firsts = placed.groupBy("shard").agg(F.min("_index").alias("_first"))
-    return placed.join(F.broadcast(firsts), "shard").select(*keep, "shard", (F.col("_index") - F.col("_first")).alias("slot"))
+    firsts = placed.groupBy("shard").agg(F.min("at").alias("first"))
+    return placed.join(F.broadcast(firsts), "shard").select(*[F.col("own").getField(c).alias(c) for c in keep], "shard", (F.col("at") - F.col("first")).alias("slot"))
 
 
 def document_shards(documents: DataFrame, shards: int = 24) -> DataFrame:
     """Shards of ``documents`` in the order of doc_id: size is the text's UTF-8 bytes plus 8 (null text: none), law ``bytes``.
 
-    A shard is a contiguous run of ids; repeated ids and null ids are placed like any row. Texts never enter a shuffle:
-    size and checksum are taken in the scan.
+    A shard is a contiguous run of ids; repeated ids and null ids are placed like any row, and equal texts with unlike
+    ids may lie in different shards: the law is that of bytes, which no group can keep to where one holds a third of all
+    rows. Texts never enter a shuffle: size and checksum are taken in the scan.
     """
     narrow = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -330,6 +330,10 @@ WORDS = 5
 SIMILARITY = (4, 5)
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**7)**32 = 0.0005, at 0.85 with 1e-6.
 BANDS, ROWS = 32, 7
+#: Minima that two sketches must have alike for their sets to be compared, of 224: fewer at 0.8 with probability 0.0001.
+ALIKE = 157
+#: Sets of no more shingles than this go along whole with their sketches, by 32 bits of each hash, and are counted at once.
+SMALL = 256
 TILE = 512
 _MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 
@@ -344,17 +348,18 @@ def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED) - 2**63
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key a band: a hash of the band's number and of the set's minima under ``ROWS`` independent hashes; of none, no key."""
+def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """One key a band, and the sketch: a key is a hash of the band's number and of the set's minima under ``ROWS``
+    independent hashes, the sketch a byte of each minimum. Of an empty set there is neither."""
     if not len(hashes):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), b""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 512):
         np.minimum(least, (_MIX[0][:, None] * hashes[None, at : at + 512] + _MIX[1][:, None]).min(axis=1), out=least)
     keys = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         keys = remix(keys ^ column, 1)
-    return keys.view(np.int64)
+    return keys.view(np.int64), (remix(least, 2) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def is_similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -367,20 +372,22 @@ def is_similar(x: np.ndarray, y: np.ndarray) -> bool:
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text.as_py() or "") for text in batch.column(2)]
-        keys = [band_keys(x) for x in sets]
+        keys, sketches = zip(*[band_keys(x) for x in sets], strict=True) if sets else ((), ())
         ends = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
         flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
         prints = pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), prints, pa.ListArray.from_arrays(ends, flat)],
-            ["address", "doc_id", "node", "n", "fp", "keys"],
+            [batch.column(0), batch.column(1), pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), prints, pa.ListArray.from_arrays(ends, flat), pa.array(sketches, pa.binary())],
+            ["address", "doc_id", "node", "n", "fp", "keys", "sketch"],
         )
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text.as_py() or "") for text in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["node", "hashes"])
+        small = [(x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() if len(x) <= SMALL else None for x in sets]
+        whole = [x.astype("<u8").tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array(whole, pa.binary()), pa.array(small, pa.binary())], ["node", "hashes", "small"])
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,20 +407,39 @@ def _sizes_allow(a: str, b: str):
     return F.least(a, b) * whole >= F.greatest(a, b) * part
 
 
+def _alike(table: pa.Table) -> pa.Table:
+    """The pairs of a tile, or of two, that may be similar by their sizes and sketches, and have not one root yet."""
+    side, node, n, root = (np.asarray(table.column(c)) for c in ("side", "node", "n", "root"))
+    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    part, whole = SIMILARITY
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    small = [None if s is None else frozenset(np.frombuffer(s, "<u4").tolist()) for s in table.column("small").to_pylist()]
+    alone = not side.any()
+    others = np.arange(len(node)) if alone else np.flatnonzero(side == 2)
+    for i in range(len(node)) if alone else np.flatnonzero(side == 1):
+        j = others[others > i] if alone else others
+        j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * whole >= np.maximum(n[j], n[i]) * part)]
+        j = j[(sketches[j] == sketches[i]).sum(axis=1) >= ALIKE]
+        if small[i] is not None:  # shorter hashes may only add to what two sets share
+            j = j[[small[k] is None or (part + whole) * len(small[i] & small[k]) >= part * int(n[i] + n[k]) for k in j]]
+        found_a.append(np.minimum(node[i], node[j]))
+        found_b.append(np.maximum(node[i], node[j]))
+    return pa.table([np.concatenate(found_a), np.concatenate(found_b)], names=["a", "b"])
+
+
 def _across(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``members`` (key, node, n, among, root) that share a key but not a root, each once.
+    """(a, b): pairs of ``members`` (key, node, n, among, root, sketch, small) that share a key but not a root, and whose
+    sketches, and small sets, are alike, each once.
 
-    The members of a key of many are cut into tiles, and every pair of tiles is joined apart.
+    The members of a key of many are cut into tiles, and every pair of tiles is a task's work apart: only the pairs that
+    may be similar leave it.
     """
     tiles = F.ceil(F.col("among") / TILE).cast("int")
     wide = members.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), tiles - 1)))
     low, high = F.least("tile", "u"), F.greatest("tile", "u")
     side = F.when(low == high, 0).when(F.col("tile") == low, 1).otherwise(2)
-    dealt = wide.select("key", low.alias("low"), high.alias("high"), side.alias("side"), "node", "n", "root")
-    one = dealt.where("side < 2").toDF("key", "low", "high", "s", "a", "na", "ra")
-    two = dealt.where("side <> 1").toDF("key", "low", "high", "t", "b", "nb", "rb")
-    met = one.join(two, ["key", "low", "high"]).where("ra <> rb AND ((s = 0 AND t = 0 AND a < b) OR (s = 1 AND t = 2))").where(_sizes_allow("na", "nb"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = wide.select("key", low.alias("low"), high.alias("high"), side.alias("side"), "node", "n", "root", "sketch", "small")
+    return dealt.groupBy("key", "low", "high").applyInArrow(_alike, "a long, b long").distinct()
 
 
 def _address() -> Column:
@@ -427,12 +453,12 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Nodes whose fingerprints the trie links, and nodes that share a band, are candidates. Each node of a band is compared
     with one node of its tile of the band first, and the classes that come of it and of the trie are made; then all pairs
-    of a band that are still in different classes are compared. So no candidate pair is left out, and a large class of
-    near copies does not cost its square.
+    of a band that are still in different classes are compared, by their sketches and, if these are alike, exactly. So no
+    candidate pair is left out, and a large class of near copies does not cost its square.
     """
     texts = documents.select(_address().alias("address"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(_sketch_batches, "address binary, doc_id long, node long, n int, fp long, keys array<long>"), "sketches")
-    firsts = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
+    rows = stored(texts.mapInArrow(_sketch_batches, "address binary, doc_id long, node long, n int, fp long, keys array<long>, sketch binary"), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")]
     nodes = stored(rows.groupBy(F.col("node").alias("own")).agg(*_identity(), F.min("address").alias("address"), *firsts).withColumnRenamed("own", "node"), "nodes")
     tried = stored(links(nodes.where("n > 0").select("node", F.array("fp").alias("fps"))), "tried")
 
@@ -446,7 +472,8 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = texts.join(wanted.select("address"), "address", "left_semi")
     if not rows.groupBy("address").count().where("count > 1").isEmpty():  # rows told twice are read once
         read = read.dropDuplicates(["address"])
-    sets = stored(read.select("text").mapInArrow(_set_batches, "node long, hashes binary"), "sets")
+    sets = stored(read.select("text").mapInArrow(_set_batches, "node long, hashes binary, small binary"), "sets")
+    small, sets = sets.select("node", "small"), sets.select("node", "hashes")
 
     tile = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("among") / TILE))
     first = F.min(F.struct("node", "n")).over(Window.partitionBy("key", "tile"))
@@ -457,7 +484,7 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = members.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed.select("key", "node", "n", "among", "root"), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("_n")).where("low < high").select("key", "_n")
-    apart = _across(spread_join(placed, mixed, "key", total)).join(star, ["a", "b"], "left_anti")
+    apart = _across(spread_join(placed, mixed, "key", total).join(nodes.select("node", "sketch"), "node").join(small, "node")).join(star, ["a", "b"], "left_anti")
     edges = stored(near.union(_similar(stored(apart, "apart"), sets)), "edges")
 
     ids = nodes.select("node", "id")

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import new_folder, spread_left, stored
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 24 << 20
@@ -200,16 +200,16 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
     Of rows with equal payloads of at least ``least`` bytes that with the largest page_id is the response, and the
     others revisit it, rows without a page_id too; rows that repeat the largest id all are responses. A revisit's html
-    is left out. Maxima are taken per digest before the join, which adaptive execution splits where one digest has a
-    great share of the rows.
+    is left out. Maxima are taken per digest before the join; a payload with a great share of the rows is joined apart.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
-    top = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 AND top IS NOT NULL").select("digest", "size", "top")
+    rows = rows.withColumn("payload", F.struct(F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("size")))
+    counts = stored(rows.groupBy("payload").agg(F.max("page_id").alias("top"), F.count("*").alias("_n")), "payloads")
+    top = counts.where((F.col("payload.size") >= least) & F.col("top").isNotNull() & (F.col("_n") > 1)).select("payload", "top")
     revisit = F.col("top").isNotNull() & ~F.col("top").eqNullSafe(F.col("page_id"))
-    return rows.join(top, ["digest", "size"], "left").select(
-        "page_id", "url", F.when(revisit, None).otherwise(F.col("html")).alias("html"), "digest", "size",
+    return spread_left(rows, top, "payload", counts).select(
+        "page_id", "url", F.when(revisit, None).otherwise(F.col("html")).alias("html"), "payload.digest", "payload.size",
         F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"),
     )
 
@@ -263,4 +263,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
+    """Every row of ``pages`` written as a record and read back: null html is an empty payload, repeated rows and rows
+    without a page_id have records of their own, columns beside page_id, url and html are left out, and an empty table
+    gives no rows."""
     return read_archives(write_archives(with_revisits(pages)))

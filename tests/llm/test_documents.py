@@ -175,7 +175,8 @@ def test_similar_classes_equal_brute_force(spark):
 
 def test_members_of_many_tiles_all_meet(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 3)
-    members = spark.createDataFrame([(k, v, 10 + (v == 9) * 90, 10, v // 2) for k in (1, 2) for v in range(10)], "key long, node long, n int, among long, root long")
+    sketch = bytes(simhash.BANDS * simhash.ROWS)
+    members = spark.createDataFrame([(k, v, 10 + (v == 9) * 90, 10, v // 2, sketch, None) for k in (1, 2) for v in range(10)], "key long, node long, n int, among long, root long, sketch binary, small binary")
     got = sorted(map(tuple, simhash._across(members).collect()))
     assert got == [(a, b) for a in range(9) for b in range(a + 1, 9) if a // 2 != b // 2]
 
