@@ -22,20 +22,23 @@ SHORTEST, LONGEST = 3, 6
 BLANKS = 20
 DIMENSIONS = 8
 #: Steps of training, whatever the number of texts.
-UPDATES = 400
+UPDATES = 800
 BATCH = 64
-RATE = 0.1
-SHRINK = 1e-5
-#: Averages are small numbers; scaled by this, they train at a common rate.
-SCALE = 10.0
+RATE = 0.3
+SHRINK = 1e-4
+#: Averages are small numbers; scaled by this, and by the root of the number of words, they train at a common rate. The
+#: root keeps a few words of a long text above what the chance mix of the others adds up to.
+SCALE = 8.0
+#: Classes weigh by their odds to this power: between counting texts alike and counting classes alike.
+ODDS = 0.75
 LEAST_TEXTS = 3
 _WORD = re.compile(r"\w+")
 
 
 def subword_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's character n-grams, with their weights: each distinct word weighs one over the number of them
-    and ``BLANKS``, and shares that out among its n-grams. Words are runs of letters and digits in lower case, with a
-    mark at either end.
+    and ``BLANKS``, times the root of that number, and shares that out among its n-grams. Words are runs of letters and
+    digits in lower case, with a mark at either end.
     """
     words = dict.fromkeys(_WORD.findall(text.lower()))
     padded = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("utf-32-le", "replace"), np.uint32)
@@ -59,7 +62,7 @@ def subword_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
         owners.append(word[starts])
         per_word += np.bincount(owners[-1], minlength=len(per_word) + 1)[: len(per_word)]
     where = np.concatenate(owners)
-    share = SCALE / (np.maximum(per_word, 1) * (len(lengths) + BLANKS))
+    share = SCALE / (np.maximum(per_word, 1) * np.sqrt(len(lengths) + BLANKS))
     return np.concatenate(hashes).astype(np.int64), share[where]
 
 
@@ -77,8 +80,8 @@ class SubwordModel:
 
 
 def fit(sample: list[tuple[str, int]], seed: int = 0, updates: int = UPDATES) -> SubwordModel:
-    """Embeddings and softmax weights, trained jointly by AdaGrad on the mean log loss, classes weighed by the square
-    root of their odds. N-grams of fewer than ``LEAST_TEXTS`` texts have no vector.
+    """Embeddings and softmax weights, trained jointly by AdaGrad on the mean log loss, classes weighed by their odds to the
+    power ``ODDS``. N-grams of fewer than ``LEAST_TEXTS`` texts have no vector.
 
     With rows of one class only the score is that class's share; with none it is one half.
     """
@@ -102,7 +105,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 0, updates: int = UPDATES) ->
     b = np.zeros(2, np.float32)
     gE, gW, gb = np.full(n, 1e-8, np.float32), np.full_like(W, 1e-8), np.full(2, 1e-8, np.float32)
     count = np.bincount(y, minlength=2)
-    weight = np.sqrt(len(y) / (2 * count))[y].astype(np.float32)
+    weight = ((len(y) / (2 * count)) ** ODDS)[y].astype(np.float32)
     touched, slot = np.zeros(n, bool), np.zeros(n, np.int64)
     epochs, done = -(-updates * BATCH // len(y)), 0
     for _ in range(epochs):
@@ -150,7 +153,8 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Reco
 def scored(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``documents``: the whole text's toxicity, 0 to 1.
 
-    Only texts enter the score; empty and null ones get the model's bias. The model is fitted on the bounded sample of
+    Only texts enter the score; empty and null ones get the model's bias, repeated rows equal scores, and an empty table
+    gives no rows. Without any label the score is one half, with one class alone it is near that class. The model is fitted on the bounded sample of
     ``labelled.training_sample`` and sent to the tasks as one array of ``BUCKETS`` numbers.
     """
     model = documents.sparkSession.sparkContext.broadcast(fitted(training_sample(documents, labels, "toxic", SAMPLE_PER_CLASS), fit))
@@ -165,6 +169,13 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], model, threshold: float, at
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``documents`` without the rows whose text scores ``threshold`` or more; one pass, all columns carried along."""
-    model = documents.sparkSession.sparkContext.broadcast(fitted(training_sample(documents, labels, "toxic", SAMPLE_PER_CLASS), fit))
+    """``documents`` without the rows whose text scores ``threshold`` or more; one pass, all columns carried along.
+
+    Each row is judged by its text alone: null and empty texts by the model's bias (a clean majority keeps them), repeated
+    rows alike, whatever their doc_id. An empty table stays empty; with no label at all nothing is dropped.
+    """
+    fitted_model = fitted(training_sample(documents, labels, "toxic", SAMPLE_PER_CLASS), fit)
+    if fitted_model.bias == 0 and not fitted_model.logits.any():  # nothing learnt
+        return documents
+    model = documents.sparkSession.sparkContext.broadcast(fitted_model)
     return documents.mapInArrow(partial(_keep_batches, model=model, threshold=threshold, at=documents.columns.index("text")), documents.schema)

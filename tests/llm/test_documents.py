@@ -495,3 +495,56 @@ def test_an_enormous_text_costs_the_sample_no_other(spark):
     assert [tuple(r) for r in labelled.training_sample(longer, marks, "quality", (60, 60), 2000).collect()] == whole[1:]
     with pytest.raises(Exception, match="no labelled text of class"):
         labelled.training_sample(docs.where("doc_id % 2 = 0").union(table(spark, ["x" * 5000], [ids[1] | 1])), marks, "quality", (60, 60), 2000).collect()
+
+
+def test_toxicity_scores_equal_a_slow_sum():
+    """A text's score from its words one by one: n-grams of three to six characters with marks, averaged word by word."""
+    rng = random.Random(8)
+    model = toxicity.fit([(" ".join(words(rng, 30) + ["vorgmalt"] * (k % 2)), k % 2) for k in range(120)])
+
+    def bucket(gram):
+        h = ord(gram[0]) & 0xFFFFFFFF
+        for ch in gram[1:]:
+            h = (h * 16777619 & 0xFFFFFFFF) ^ ord(ch)
+        h = h * (2654435761 + 2 * len(gram)) & 0xFFFFFFFF
+        return (h ^ h >> 15) & (toxicity.BUCKETS - 1)
+
+    for text in ("", "vorgmalt", "Vorgmaltz is, like, A word", " ".join(words(rng, 40))):
+        known = list(dict.fromkeys(toxicity._WORD.findall(text.lower())))
+        z = model.bias
+        for w in known:
+            marked = f"\0{w}\0"
+            grams = [marked[i : i + n] for n in range(3, 7) for i in range(len(marked) - n + 1)]
+            for g in grams:
+                z += float(model.logits[bucket(g)]) * toxicity.SCALE / (len(grams) * (len(known) + toxicity.BLANKS) ** 0.5)
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_filters_and_scores_on_empty_tables(spark):
+    docs, none = table(spark, ["a b", None]), table(spark, [])
+    marks = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    for module in (toxicity, quality):
+        assert module.scored(none, marks).count() == 0
+        assert all(0 <= r["score"] <= 1 for r in module.scored(docs, marks.limit(0)).collect())
+    assert toxicity.drop_toxic(none, marks).count() == 0 and toxicity.drop_toxic(docs, marks.limit(0)).count() == 2
+    assert simhash.deduplicate(none).count() == 0 and decontaminate.drop_contaminated(none, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_feature_takes_every_sample():
+    payload = bytearray(ogg.padded(bytes(range(250)) * 8))
+    facts = ogg.read_samples(ogg.write_ogg(bytes(payload)))[1]
+    said = ogg.feature(bytes(payload), facts)
+    for at in (0, 575, 576, len(payload) - 1):
+        payload[at] ^= 1
+        assert ogg.feature(bytes(payload), facts) != said
+        payload[at] ^= 1
+
+
+def test_search_has_no_piece_limit():
+    """Bins of over 64 pieces swap two for one as others do: seven 3s and a 1 a bin, with gaps that only such swaps close."""
+    rng = random.Random(1)
+    for _ in range(5):
+        lengths = [rng.choice((1, 2, 3, 5)) for _ in range(900)]
+        bins = packing.best_fit(lengths, 200)
+        better = packing.local_search(lengths, bins, 200)
+        assert len(better) == -(-sum(lengths) // 200) and sorted(i for b in better for i in b) == list(range(900))

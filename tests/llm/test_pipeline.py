@@ -1,10 +1,8 @@
 """The pipeline on the smallest tables: each stage against what brute force says of the rows that it got."""
 
 import corpus_pipeline
-import numpy as np
 import pytest
-import xxhash
-from lanewatt.llm import decontaminate, packing, simhash
+from lanewatt.llm import decontaminate, packing
 
 from .test_documents import brute_matches
 from .test_native import brute_spans
@@ -37,37 +35,33 @@ def test_filters_take_rows_away_and_change_none(stages):
 
 
 def test_one_of_each_class_is_left(stages):
+    """By brute force over sets of five-word shingles: linked at 0.8, one row a class, the smallest doc_id, nulls last."""
     (_, before), (_, after) = stages[1], stages[2]
 
-    def prints(text):
-        words = sorted(set((text or "").encode().lower().split()))
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
-        out = []
-        for k in range(4):
-            h = simhash.remix(hashes, k)
-            out.append(sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h)))
-        return out
-
-    rows = [r for r in before if r["doc_id"] is not None]
-    fps = [prints(r["text"]) for r in rows]
-    label = list(range(len(rows)))
-    for _ in rows:
-        again = [min(label[j] for j in range(len(rows)) if any((a ^ b).bit_count() <= 4 for a, b in zip(fps[i], fps[j], strict=True))) for i in range(len(rows))]
-        if again == label:
+    def shingles(text):
+        parts = (text or "").encode().lower().split()
+        return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+    sets = [shingles(r["text"]) for r in before]
+    label = list(range(len(sets)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in sets:
+        was = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == was:
             break
-        label = again
     classes = {}
-    for r, c in zip(rows, label, strict=True):
-        classes.setdefault(c, []).append(r["doc_id"])
-    assert sorted(r["doc_id"] for r in after if r["doc_id"] is not None) == sorted(min(c) for c in classes.values())
-    assert sum(r["doc_id"] is None for r in after) == sum(r["doc_id"] is None for r in before)
+    for r, c in zip(before, label, strict=True):
+        classes.setdefault(c, []).append((r["doc_id"] is None, r["doc_id"]))
+    assert sorted(str(r["doc_id"]) for r in after) == sorted(str(min(c)[1]) for c in classes.values())
 
 
 def test_no_benchmark_passage_is_left_and_nothing_else_goes(spark, stages):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     (_, before), (_, after) = stages[2], stages[3]
     shingles = {s for _, t in items for s in decontaminate.shingles_of(decontaminate.words_of(t))}
-    near = [(r["doc_id"], r["text"]) for r in before if r["doc_id"] is not None and shingles & set(decontaminate.shingles_of(decontaminate.words_of(r["text"] or "")))]
+    near = [(r["doc_id"], r["text"]) for r in before if shingles & set(decontaminate.shingles_of(decontaminate.words_of(r["text"] or "")))]
     bad = {d for d, _ in brute_matches(near, items)}
     assert sorted(str(r["doc_id"]) for r in after) == sorted(str(r["doc_id"]) for r in before if r["doc_id"] not in bad)
 
