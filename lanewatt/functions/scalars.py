@@ -81,8 +81,13 @@ def parse_tags(tag: Column | str) -> Column:
 
 
 def parse_lanes(tag: Column | str) -> Column:
-    """Lanes from a tag: the commonest number of its ``;`` list, the smallest of equals; 0 if there is none."""
-    nums = F.array_sort(F.filter(F.transform(F.split(F.coalesce(c(tag), F.lit("")), ";"), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull()))
+    """Lanes from a tag: the number before the first ``;``; 0 if there is none."""
+    return F.coalesce(F.trim(F.element_at(F.split(c(tag), ";"), 1)).try_cast("int"), F.lit(0))
+
+
+def lanes_of_list(tags: Column | str) -> Column:
+    """Lanes from an array of tags: the commonest of their numbers, the smallest of equals; 0 if there is none."""
+    nums = F.filter(F.transform(F.coalesce(c(tags), F.array().cast("array<string>")), lambda x: F.trim(F.element_at(F.split(x, ";"), 1)).try_cast("int")), lambda x: x.isNotNull())
     counted = F.transform(F.array_distinct(nums), lambda x: F.struct((-F.size(F.filter(nums, lambda y: y == x))).alias("n"), x.alias("v")))
     return F.coalesce(F.array_min(counted)["v"], F.lit(0))
 
@@ -147,8 +152,36 @@ def snap_to_grid(miles: Column | str, dx: float) -> Column:
 
 
 def window_label(seconds: Column | str) -> Column:
-    s = c(seconds).cast("long")
-    return F.when(s % 60 == 0, F.concat((s / 60).cast("long").cast("string"), F.lit("min"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+    """Seconds below a minute as ``45s``, else minutes, with a fraction where there is one: ``15min``, ``1.5min``."""
+    s = c(seconds)
+    plain = lambda x: F.regexp_replace(x.cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
+    return F.when(s < 60, F.concat(plain(s), F.lit("s"))).otherwise(F.concat(plain(s / 60), F.lit("min")))
+
+
+def off_grid(ts: Column | str, dt_s: Column | float) -> Column:
+    """Whether a time is off the grid that a step of ``dt_s`` goes by: five minutes for a step up to that, else an hour."""
+    grid = F.when(F.lit(dt_s) <= 300, 300).otherwise(3600)
+    return F.unix_seconds(c(ts).cast("timestamp")) % grid != 0
+
+
+def window_problem(start: Column | str, end: Column | str, dt_s: Column | str) -> Column:
+    """Why a window and a step don't fit a grid, null if they do: the table form of ``require_grid_aligned``."""
+    dt = c(dt_s)
+    grid = F.when(dt <= 300, 300.0).otherwise(3600.0)
+    n = F.rint(grid / dt)
+    return (
+        F.when((dt <= 0) | (dt > 3600), "dt_out_of_range").when(F.abs(n * dt - grid) > 1e-9 * grid, "dt_does_not_divide").when(c(end) <= c(start), "empty_window")
+        .when(off_grid(start, dt) | off_grid(end, dt), "off_grid")
+    )
+
+
+def resolved_start(given: Column | str, kept: Column | str) -> Column:
+    """The stored start, else the given one: the table form of ``resolve_start``; null where ``start_problem`` tells why."""
+    return F.when(start_problem(given, kept).isNull(), F.coalesce(c(kept), c(given)))
+
+
+def start_problem(given: Column | str, kept: Column | str) -> Column:
+    return F.when(c(given) != c(kept), "not_the_stored_one").when(c(given).isNull() & c(kept).isNull(), "none")
 
 
 # Checks of scalar arguments, on the driver.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import min_observed, standardize
-from .gaps import iqr_fence, whiten
+from ..sources.scratch import written
+from .gaps import TIE, iqr_fence, whiten
 from .quality import fd_gate
 
 #: The outcome of a calibration.
@@ -28,10 +29,14 @@ def fd_seed(df: DataFrame) -> DataFrame:
     return df.groupBy("station_id").agg(F.min_by("density", F.struct((-F.col("flow")).alias("f"), F.col("ts").alias("t"))).alias("seed"))
 
 
+def _free_flow_speed() -> Column:
+    x, y, free = F.col("density"), F.col("flow"), F.col("density") <= F.col("seed")
+    return F.try_divide(F.sum(F.when(free, x * y)), F.sum(F.when(free, x * x))).alias("free_flow_speed")
+
+
 def fit_free_flow(df: DataFrame) -> DataFrame:
     """(station_id, free_flow_speed): least squares through the origin up to the seed."""
-    x, y = F.col("density"), F.col("flow")
-    return df.where("density <= seed").groupBy("station_id").agg(F.try_divide(F.sum(x * y), F.sum(x * x)).alias("free_flow_speed"))
+    return df.groupBy("station_id").agg(_free_flow_speed())
 
 
 def congestion_bins(df: DataFrame, size: int = 10, k: float = 1.0) -> DataFrame:
@@ -41,9 +46,9 @@ def congestion_bins(df: DataFrame, size: int = 10, k: float = 1.0) -> DataFrame:
     over = Window.partitionBy("station_id")
     rows = df.where("density > seed").withColumn("_n", F.row_number().over(w) - 1).withColumn("_all", F.count("*").over(over))
     rows = rows.withColumn("bin", F.floor(F.col("_n") / size)).where((F.col("bin") + 1) * size <= F.col("_all"))
-    q = rows.groupBy("station_id", "bin").agg(F.percentile("whitened", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     fence = F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0])
-    return rows.join(q, ["station_id", "bin"]).where(F.col("whitened") <= fence).groupBy("station_id", "bin").agg(F.avg("density").alias("density"), F.max("flow").alias("flow"))
+    rows = rows.withColumn("_q", F.percentile("whitened", F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy("station_id", "bin")))
+    return rows.where(F.col("whitened") <= fence + TIE).groupBy("station_id", "bin").agg(F.avg("density").alias("density"), F.max("flow").alias("flow"))
 
 
 def fit_congestion(bins: DataFrame) -> DataFrame:
@@ -65,18 +70,20 @@ def usable_rows(ts: DataFrame, meta: DataFrame, threshold: float = 100.0, k: flo
 
 
 def calibrate_fd(ts: DataFrame, meta: DataFrame, stations: DataFrame | None = None, bin_size: int = 10) -> DataFrame:
-    """The triangle of every station in ``stations`` (all of ``meta`` by default), with code and status; one job.
+    """The triangle of every station in ``stations`` (all of ``meta`` by default), with code and status.
 
-    ``ts`` has station_id, ts, pct_observed, total_flow_5min, avg_speed_mph.
+    ``ts`` has station_id, ts, pct_observed, total_flow_5min, avg_speed_mph. The usable rows are made and written once,
+    dealt by station with their station's seed; free flow and the count of congested rows are one aggregate of them.
     """
     asked = (stations if stations is not None else meta.select("station_id")).select("station_id").distinct()
     rows = usable_rows(ts.join(asked, "station_id", "left_semi"), meta)
-    seeded = rows.join(fd_seed(rows), "station_id")
-    enough = seeded.groupBy("station_id").agg((F.floor(F.count_if(F.col("density") > F.col("seed")) / bin_size) >= 2).alias("enough"))
-    fit = fd_peak(fit_free_flow(seeded).join(fit_congestion(congestion_bins(seeded, bin_size)), "station_id", "left"))
+    first = F.min_by("density", F.struct((-F.col("flow")).alias("f"), F.col("ts").alias("t"))).over(Window.partitionBy("station_id"))
+    seeded = written(rows.withColumn("seed", first).select("station_id", "ts", "density", "flow", "whitened", "seed"), "usable")
+    enough = (F.floor(F.count_if(F.col("density") > F.col("seed")) / bin_size) >= 2).alias("enough")
+    fit = fd_peak(seeded.groupBy("station_id").agg(_free_flow_speed(), enough).join(fit_congestion(congestion_bins(seeded, bin_size)), "station_id", "left"))
     known = meta.select("station_id", F.lit(True).alias("has_meta")).distinct()
     seen = ts.select("station_id", F.lit(True).alias("has_data")).distinct()
-    out = asked.join(seen, "station_id", "left").join(known, "station_id", "left").join(enough, "station_id", "left").join(fit, "station_id", "left")
+    out = asked.join(seen, "station_id", "left").join(known, "station_id", "left").join(fit, "station_id", "left")
     code = (
         F.when(F.col("has_data").isNull(), 1).when(F.col("has_meta").isNull(), 2).when(F.col("enough").isNull(), 1).when(~F.col("enough"), 3).otherwise(0)
     )

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import SAMPLE_MINUTES, slot_of_week
 
+#: Whitened values this near to a fence lie on it.
+TIE = 1e-9
+
 
 def contiguous_grid(ts: DataFrame) -> DataFrame:
     """Every station on 5-minute samples from January 1 of its first year to December 31 of its last; gaps are null rows."""
@@ -36,10 +39,11 @@ def whiten(df: DataFrame, value: str, out: str = "whitened") -> DataFrame:
 
 
 def iqr_fence(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
-    """Rows within k interquartile ranges of the station's quartiles (exact, linear); null values go."""
-    q = df.groupBy("station_id").agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    spread = k * (F.col("q")[1] - F.col("q")[0])
-    return df.join(q, "station_id").where(F.col(value).between(F.col("q")[0] - spread, F.col("q")[1] + spread)).drop("q")
+    """Rows within k interquartile ranges of the station's quartiles (exact, linear), ties with a bound included; null
+    values go."""
+    x = df.withColumn("_q", F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy("station_id")))
+    spread = k * (F.col("_q")[1] - F.col("_q")[0])
+    return x.where(F.col(value).between(F.col("_q")[0] - spread - TIE, F.col("_q")[1] + spread + TIE)).drop("_q")
 
 
 def _runs(df: DataFrame, value: str) -> DataFrame:

@@ -6,12 +6,20 @@ corridor is short. Cells and segments are small tables; range joins bucket the p
 
 from __future__ import annotations
 
+from functools import reduce
+from math import pi
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import METRES_PER_MILE, bearing, bearing_close, haversine_m, parse_lanes, parse_tags
+from ..functions.scalars import EARTH_RADIUS_M, METRES_PER_MILE, bearing, bearing_close, haversine_m, parse_lanes, parse_tags
+from ..sources.scratch import written
 
 TOLERANCE = 1e-9
+METRES_PER_DEGREE = pi * EARTH_RADIUS_M / 180
+HALF_EARTH_M = pi * EARTH_RADIUS_M
+#: The least side of a square, in degrees: about a kilometre.
+LEAST_SQUARE = 0.01
 BUCKET_MILES = 1.0
 
 
@@ -29,13 +37,56 @@ def segment_edges(segments: DataFrame) -> DataFrame:
     return x.withColumn("before", F.sum("len").over(w) - F.col("len")).withColumn("total", F.sum("len").over(Window.partitionBy("corridor_id", "seq")))
 
 
+def _squares(x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> Column:
+    """One row a square of the grid of ``size`` degrees that the box touches, as ``sq``."""
+    side = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
+    return F.explode(F.flatten(F.transform(side(x0, x1), lambda a: F.transform(side(y0, y1), lambda b: F.struct(a.alias("x"), b.alias("y")))))).alias("sq")
+
+
+def _degrees(metres: float) -> float:
+    """Degrees of latitude, a little more than the metres are."""
+    return metres / METRES_PER_DEGREE * 1.000001
+
+
+def _lon_margin(metres: float, lat: Column) -> Column:
+    """Degrees of longitude that the metres may make up at a latitude; all round where that is near a pole."""
+    far = F.abs(lat) + _degrees(metres)
+    return F.when(far < 89, _degrees(metres) / F.cos(F.radians(far))).otherwise(F.lit(360.0))
+
+
 def project_to_corridor(stations: DataFrame, segments: DataFrame, max_m: float = 100.0, keep_off: bool = False) -> DataFrame:
     """Stations with the nearest point of the corridor: (…, seq, distance_m, pm, on_corridor); first segment of equals.
 
-    Every station meets every edge of its corridor: a query set against a corridor's edges, reduced by minimum at once.
+    A station meets only edges in its own square of a grid, where edges lie with a margin of ``max_m``. With
+    ``keep_off`` the stations farther away are looked up again with eight times the margin, until all are placed.
     """
-    e = segment_edges(segments)
-    x = stations.join(e, "corridor_id")
+    e = written(segment_edges(segments), "edges")
+    own = stations.select("corridor_id", "station_id", "longitude", "latitude")
+    near, margin, left = [], max_m, own
+    while True:
+        found = _nearest_feet(left, e, margin)
+        if not keep_off:
+            near.append(found)
+            break
+        found = written(found, "feet")
+        near.append(found)
+        if margin > HALF_EARTH_M:
+            break
+        left = written(left.join(found, ["corridor_id", "station_id"], "left_anti"), "off")
+        if left.isEmpty():
+            break
+        margin *= 8
+    out = stations.join(reduce(DataFrame.unionByName, near).withColumn("on_corridor", F.col("distance_m") <= max_m), ["corridor_id", "station_id"])
+    return out if keep_off else out.where("on_corridor")
+
+
+def _nearest_feet(stations: DataFrame, e: DataFrame, margin: float) -> DataFrame:
+    """(corridor_id, station_id, distance_m, seq, pm) of stations with an edge within the margin."""
+    size = max(_degrees(margin), LEAST_SQUARE)
+    wide = F.greatest(_lon_margin(margin, F.col("p.lat")), _lon_margin(margin, F.col("q.lat")))
+    box = [F.least("p.lon", "q.lon") - wide, F.greatest("p.lon", "q.lon") + wide, F.least("p.lat", "q.lat") - _degrees(margin), F.greatest("p.lat", "q.lat") + _degrees(margin)]
+    box = [F.greatest(F.least(x, F.lit(top)), F.lit(-top)) for x, top in zip(box, (540.0, 540.0, 90.0, 90.0), strict=True)]
+    x = stations.withColumn("sq", F.struct(F.floor(F.col("longitude") / size).alias("x"), F.floor(F.col("latitude") / size).alias("y"))).join(e.select("*", _squares(*box, size)), ["corridor_id", "sq"])
     dx, dy = F.col("q.lon") - F.col("p.lon"), F.col("q.lat") - F.col("p.lat")
     t = F.try_divide((F.col("longitude") - F.col("p.lon")) * dx + (F.col("latitude") - F.col("p.lat")) * dy, dx * dx + dy * dy)
     x = x.withColumn("t", F.least(F.greatest(F.coalesce(t, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
@@ -43,20 +94,33 @@ def project_to_corridor(stations: DataFrame, segments: DataFrame, max_m: float =
     x = x.withColumn("distance_m", haversine_m("latitude", "longitude", foot_lat, foot_lon))
     pm = F.col("pm_start") + F.coalesce(F.try_divide(F.col("before") + F.col("t") * F.col("len"), F.col("total")), F.lit(0.0)) * (F.col("pm_end") - F.col("pm_start"))
     best = F.min(F.struct("distance_m", "seq", "edge", pm.alias("pm"))).alias("b")
-    near = x.groupBy("corridor_id", "station_id").agg(best).select("corridor_id", "station_id", "b.distance_m", "b.seq", "b.pm", (F.col("b.distance_m") <= max_m).alias("on_corridor"))
-    out = stations.join(near, ["corridor_id", "station_id"])
-    return out if keep_off else out.where("on_corridor")
+    near = x.where(F.lit(margin > HALF_EARTH_M) | (F.col("distance_m") <= margin)).groupBy("corridor_id", "station_id").agg(best)
+    return near.select("corridor_id", "station_id", "b.distance_m", "b.seq", "b.pm")
 
 
 def annotate_postmiles(nodes: DataFrame, markers: DataFrame) -> DataFrame:
     """(node_id, pm): the postmile of the nearest marker, plus the distance to it, or less it, by the side it lies on.
 
-    A node east or north of its marker (bearing 0 to 180) counts up. Nodes of one route meet that route's markers.
+    A node east or north of its marker (bearing 0 to 180) counts up. A node meets the markers of its route in the squares
+    about its own; those that have none within a square's side are looked up again in squares eight times as wide, until
+    all are placed. Nearest is by degrees, as the roads are short.
     """
-    d = F.pow(F.col("m.longitude") - F.col("n.x"), 2) + F.pow(F.col("m.latitude") - F.col("n.y"), 2)
-    near = nodes.alias("n").join(markers.alias("m"), F.col("n.route") == F.col("m.route")).groupBy(F.col("n.node_id").alias("node_id"), F.col("n.x").alias("x"), F.col("n.y").alias("y")).agg(
-        F.min(F.struct(d.alias("d"), F.col("m.pm").alias("pm"), F.col("m.latitude").alias("lat"), F.col("m.longitude").alias("lon"))).alias("b")
-    )
+    left, size, found = nodes.select("node_id", "x", "y", "route"), LEAST_SQUARE, []
+    while True:
+        all_of_it = size >= 720
+        around = [F.col("longitude") - size, F.col("longitude") + size, F.col("latitude") - size, F.col("latitude") + size]
+        at = left.withColumn("sq", F.struct(F.floor(F.col("x") / size).alias("x"), F.floor(F.col("y") / size).alias("y")))
+        d = F.pow(F.col("longitude") - F.col("x"), 2) + F.pow(F.col("latitude") - F.col("y"), 2)
+        met = at.join(markers.select("route", "pm", "longitude", "latitude", _squares(*around, size)), ["route", "sq"]).withColumn("d", d)
+        best = F.min(F.struct("d", "pm", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))).alias("b")
+        found.append(written(met.where(F.lit(all_of_it) | (F.col("d") <= size * size)).groupBy("node_id", "x", "y").agg(best), "nearest"))
+        if all_of_it:
+            break
+        left = written(left.join(found[-1].select("node_id"), "node_id", "left_anti"), "unplaced")
+        if left.isEmpty():
+            break
+        size *= 8
+    near = reduce(DataFrame.unionByName, found)
     miles = haversine_m("b.lat", "b.lon", "y", "x") / METRES_PER_MILE
     ahead = bearing("b.lat", "b.lon", "y", "x") <= 180
     return near.select("node_id", (F.col("b.pm") + F.when(ahead, miles).otherwise(-miles)).alias("pm"))
@@ -135,10 +199,14 @@ def inherit_upstream(cells: DataFrame) -> DataFrame:
 
 def assign_ramp_stations(cells: DataFrame, junctions: DataFrame, stations: DataFrame, max_m: float = 200.0) -> DataFrame:
     """(corridor_id, cell, kind, station_id): the ramp station nearest to each ramp, by kind (on: OR, off: FR), matched
-    to the cell that begins (on) or ends (off) at the ramp's postmile, to six places; of ramps at one postmile the last."""
+    to the cell that begins (on) or ends (off) at the ramp's postmile, to six places; of ramps at one postmile the last.
+    A ramp meets the stations of its kind in the squares within ``max_m`` of it."""
     want = F.when(F.col("kind") == "on", "OR").otherwise("FR")
     s = stations.select("corridor_id", "station_id", F.col("type").alias("_type"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
-    x = junctions.withColumn("_type", want).join(s, ["corridor_id", "_type"]).withColumn("_d", haversine_m("lat", "lon", "_lat", "_lon")).where(F.col("_d") <= max_m)
+    size, wide = max(_degrees(max_m), LEAST_SQUARE), _lon_margin(max_m, F.col("lat"))
+    s = s.withColumn("sq", F.struct(F.floor(F.col("_lon") / size).alias("x"), F.floor(F.col("_lat") / size).alias("y")))
+    j = junctions.withColumn("_type", want).select("*", _squares(F.col("lon") - wide, F.col("lon") + wide, F.col("lat") - _degrees(max_m), F.col("lat") + _degrees(max_m), size))
+    x = j.join(s, ["corridor_id", "_type", "sq"]).withColumn("_d", haversine_m("lat", "lon", "_lat", "_lon")).where(F.col("_d") <= max_m)
     near = x.groupBy("corridor_id", "junction_id", "kind", "postmile").agg(F.min_by("station_id", F.struct("_d", "station_id")).alias("station_id"))
     near = near.groupBy("corridor_id", "kind", F.round("postmile", 6).alias("_pm")).agg(F.max_by("station_id", "junction_id").alias("station_id"))
     at = cells.select("corridor_id", "cell", F.explode(F.array(F.struct(F.lit("on").alias("kind"), F.round("pm_start", 6).alias("_pm")), F.struct(F.lit("off").alias("kind"), F.round("pm_end", 6).alias("_pm")))).alias("k"))

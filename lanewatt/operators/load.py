@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import METRES_PER_MILE, c, pct_attenuation
+from ..sources.scratch import written
+from .running import running_share, running_sum
 
 
 @dataclass(frozen=True)
@@ -51,14 +53,14 @@ def power_profile(spark: SparkSession, n: int, spec: PadSpec) -> DataFrame:
 
 def mainline_vht(traj: DataFrame, cells: DataFrame, dt_hours: float) -> DataFrame:
     """(cell, step, vht): vehicles on the main line times the step; queues on ramps don't count."""
-    return traj.join(F.broadcast(cells.select("cell", "length")), "cell").select("cell", "step", (F.col("rho_post") * F.col("length") * dt_hours).alias("vht"))
+    return traj.join(cells.select("cell", "length"), "cell").select("cell", "step", (F.col("rho_post") * F.col("length") * dt_hours).alias("vht"))
 
 
 def cell_positions(cells: DataFrame, dx: float) -> DataFrame:
-    """(cell, start, n): the cell's first grid position and how many it has, its length snapped to the grid."""
-    n = F.rint(F.col("length") * METRES_PER_MILE / dx).cast("long")
-    w = Window.orderBy("cell")  # a corridor's cells: a small table
-    return cells.withColumn("n", n).withColumn("start", F.sum("n").over(w) - F.col("n")).select("cell", "start", "n")
+    """(cell, start, n): the cell's first grid position and how many it has, its length snapped to the grid; cells follow
+    one another by number."""
+    sized = cells.select("cell", F.rint(F.col("length") * METRES_PER_MILE / dx).cast("long").alias("n"))
+    return running_sum(sized, ["cell"], "n", "upto").select("cell", (F.col("upto") - F.col("n")).alias("start"), "n")
 
 
 def position_map(cells: DataFrame, spec: PadSpec) -> DataFrame:
@@ -150,9 +152,8 @@ def window_power(blocks: DataFrame, dt_hours: float) -> DataFrame:
 
 def load_duration_curve(power: DataFrame, n: int = 512, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, power_w) of rows (keys, power_w, weight): the power at (i + 0.5) / n of the weight, largest first."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("power_w")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    frac = F.sum("weight").over(w) / F.sum("weight").over(Window.partitionBy(*keys))
-    banded = power.withColumn("hi", frac).withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy(*keys).orderBy(F.desc("power_w"), "hi")), F.lit(0.0)))
+    x = running_share(power.select(*keys, "power_w", "weight"), list(keys), [F.desc("power_w")], "weight")
+    banded = x.withColumn("hi", F.col("upto") / F.col("total")).withColumn("lo", (F.col("upto") - F.col("weight")) / F.col("total"))
     # a point x belongs to the first band whose right edge is x or more
     first = F.floor(F.col("lo") * n - 0.5) + 1
     last = F.least(F.floor(F.col("hi") * n - 0.5), F.lit(n - 1))
@@ -168,14 +169,13 @@ def ldc_divergence(a: DataFrame, b: DataFrame, mean_w: float | Column) -> DataFr
 
 def load_duration_table(power: DataFrame, dt_hours: float) -> DataFrame:
     """(rank, hours, power_w): all steps, largest first."""
-    r = F.row_number().over(Window.orderBy(F.desc("power_w"), "step"))
-    return power.select(r.alias("rank"), (r * dt_hours).alias("hours"), "step", "power_w")
+    ranked = running_sum(power.select("step", "power_w", F.lit(1).cast("long").alias("one")), [F.desc("power_w"), "step"], "one", "rank")
+    return ranked.select("rank", (F.col("rank") * dt_hours).alias("hours"), "step", "power_w")
 
 
 def bin_centers(blocks: DataFrame, dt_hours: float) -> DataFrame:
-    w = Window.orderBy("block")
-    upto = F.sum("n").over(w)
-    return blocks.select("block", ((2 * upto - F.col("n")) / 2 * dt_hours).alias("center_h"))
+    """(block, center_h): the middle of each block, in hours from the start."""
+    return running_sum(blocks.select("block", "n"), ["block"], "n", "upto").select("block", ((2 * F.col("upto") - F.col("n")) / 2 * dt_hours).alias("center_h"))
 
 
 def aggregation_windows(per_step: DataFrame, dt_s: float, windows_s: list[float]) -> DataFrame:
@@ -191,17 +191,17 @@ def aggregation_windows(per_step: DataFrame, dt_s: float, windows_s: list[float]
 
 
 def temporal_aggregation_summary(per_step: DataFrame, dt_s: float, windows_s: list[float], grid: int = 512) -> DataFrame:
-    """(window_s, peak_w, attenuation_pct, peak_time_h, peak_shift_h, divergence, energy_wh, energy_error): one pass over
-    (window, block) rows; the divergence is that of the load-duration curve from the native one's."""
-    x = aggregation_windows(per_step, dt_s, windows_s)
-    upto = F.sum("n").over(Window.partitionBy("window_s").orderBy("block"))
-    timed = x.withColumn("center_h", (2 * upto - F.col("n")) / 2 * (dt_s / 3600))
+    """(window_s, peak_w, attenuation_pct, peak_time_h, peak_shift_h, divergence, energy_wh, energy_error): from
+    (window, block) rows that are made once; the divergence is that of the load-duration curve from the native one's."""
+    x = written(aggregation_windows(per_step, dt_s, windows_s), "windows")
+    timed = running_share(x, ["window_s"], ["block"], "n").withColumn("center_h", (2 * F.col("upto") - F.col("n")) / 2 * (dt_s / 3600))
     best = timed.groupBy("window_s").agg(
         F.max("power_w").alias("peak_w"), F.min_by("center_h", F.struct((-F.col("power_w")).alias("p"), "block")).alias("peak_time_h"),
         F.sum("energy_wh").alias("energy_wh"), F.sum("n").alias("n"),
     )
+    best = written(best, "peaks")
     native = best.where(F.col("window_s") == dt_s).select(F.col("peak_w").alias("p0"), F.col("peak_time_h").alias("t0"), F.col("energy_wh").alias("e0"), (F.col("energy_wh") / (F.col("n") * dt_s / 3600)).alias("m0"))
-    curve = load_duration_curve(x.select("window_s", "power_w", F.col("n").alias("weight")), grid, ("window_s",))
+    curve = written(load_duration_curve(x.select("window_s", "power_w", F.col("n").alias("weight")), grid, ("window_s",)), "curves")
     ref = curve.where(F.col("window_s") == dt_s).select("i", F.col("power_w").alias("ref"))
     gap = curve.join(ref, "i").groupBy("window_s").agg(F.avg(F.abs(F.col("power_w") - F.col("ref"))).alias("gap"))
     return best.join(gap, "window_s").crossJoin(F.broadcast(native)).select(  # one row

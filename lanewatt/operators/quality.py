@@ -32,6 +32,8 @@ def freeway_violations(cells: DataFrame, dt_hours: float, rtol: float = 1e-3) ->
         ("rho_crit_not_below_jam", x["rho_crit"] >= x["rho_jam"]),
         ("gamma_out_of_range", (gamma < 0) | (gamma > 1)),
         ("xi_out_of_range", (xi <= 0) | (xi > 1)),
+        ("on_capacity_not_positive", F.col("on_ramp_capacity") <= 0),
+        ("off_capacity_not_positive", F.col("off_ramp_capacity") <= 0),
         ("on_capacity_without_ramp", F.col("on_ramp_capacity").isNotNull() & ~F.col("on_ramp")),
         ("off_capacity_without_ramp", F.col("off_ramp_capacity").isNotNull() & ~F.col("off_ramp")),
         ("free_flow_identity", F.abs(x["q_max"] - x["v_f"] * x["rho_crit"]) > rtol * x["q_max"]),
@@ -44,7 +46,7 @@ def freeway_violations(cells: DataFrame, dt_hours: float, rtol: float = 1e-3) ->
 def scenario_violations(scenario: DataFrame, cells: DataFrame, horizon: int) -> DataFrame:
     """(cell, violation, n) over a long scenario (step, cell, demand, beta) and the initial state in ``cells`` (rho0, q0)."""
     known = cells.select("cell", "on_ramp", "off_ramp", "rho_jam", "rho0", "q0")
-    rows = scenario.join(F.broadcast(known.withColumn("known", F.lit(True))), "cell", "left")
+    rows = scenario.join(known.withColumn("known", F.lit(True)), "cell", "left")
     known_cell = F.coalesce("known", F.lit(False))
     found = _report(rows, "cell", [
         ("cell_unknown", ~known_cell),

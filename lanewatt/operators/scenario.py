@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,12 +71,13 @@ def absent_ramp_flow(ramps: DataFrame, stretches: DataFrame, flow: DataFrame, fr
     up = flow.select(F.col("station_id").alias("up_ml_id"), "m_5min", F.col("flow").alias("q_up"))
     down = flow.select(F.col("station_id").alias("down_ml_id"), "m_5min", F.col("flow").alias("q_down"))
     measured = own.join(flow, "station_id").groupBy("stretch_id", "kind", "m_5min").agg(F.sum(F.coalesce("flow", F.lit(0.0))).alias("siblings"))
-    steps = flow.select("m_5min").distinct()
-    x = placed.join(up.join(down, "m_5min"), ["up_ml_id", "down_ml_id"], "left").join(measured, ["stretch_id", "kind", "m_5min"], "left")
+    # the stretch names both stations before the samples meet, so only its own two series are paired
+    x = placed.join(up, "up_ml_id").join(down, ["down_ml_id", "m_5min"]).join(measured, ["stretch_id", "kind", "m_5min"], "left")
     change = F.when(F.col("kind") == "on", F.col("q_down") - F.col("q_up")).otherwise(F.col("q_up") - F.col("q_down"))
     raw = F.when(F.col("config_type") == "c", fraction * F.col("q_up")).otherwise(F.greatest(change, F.lit(0.0)))
-    est = x.where("m_5min IS NOT NULL").select("station_id", "kind", "m_5min", F.greatest(raw - F.coalesce("siblings", F.lit(0.0)), F.lit(0.0)).alias("flow"))
-    nowhere = placed.where("stretch_id IS NULL").select("station_id", "kind").crossJoin(F.broadcast(steps)).select("station_id", "kind", "m_5min", F.lit(0.0).alias("flow"))
+    est = x.select("station_id", "kind", "m_5min", F.greatest(raw - F.coalesce("siblings", F.lit(0.0)), F.lit(0.0)).alias("flow"))
+    steps = flow.select("m_5min").distinct()  # zeros at every sample: the result is that product
+    nowhere = placed.where("stretch_id IS NULL").select("station_id", "kind").crossJoin(steps).select("station_id", "kind", "m_5min", F.lit(0.0).alias("flow"))
     return est.unionByName(nowhere)
 
 
@@ -98,10 +102,26 @@ def inflow_series(series: DataFrame, station: int, dt_s: float, lo: int, hi: int
     return made.select("step", F.col("flow").alias("inflow"))
 
 
-def ramp_demand(cells: DataFrame, flow: DataFrame) -> DataFrame:
-    """(cell, m_5min, demand): the flow of an on-ramp cell's stations, summed; virtual ids count for nothing."""
+def ramp_demand(cells: DataFrame, flow: DataFrame, lo: int, hi: int, dt_s: float = 300, fill: Callable[[DataFrame], DataFrame] | None = None, gaps: str = "error") -> DataFrame:
+    """(cell, step, demand): the rates of an on-ramp cell's stations, summed, over samples [lo, hi) at steps of ``dt_s``.
+
+    ``flow`` (station_id, m_5min, flow: counts) is filled by ``fill`` first, with all its history, and cut to the window
+    after. Virtual ids count for nothing. A sample that is missing or null after that is an error, which names the
+    station and the sample (``gaps`` "null": no demand there), so no sum is silently too small. Stations without any
+    row in ``flow`` are skipped.
+    """
     ids = cells.where("on_ramp").select("cell", F.explode("on_ramp_vds_ids").alias("_id")).select("cell", F.col("_id").try_cast("long").alias("station_id")).where("station_id IS NOT NULL")
-    return ids.join(flow, "station_id").groupBy("cell", "m_5min").agg(F.sum("flow").alias("demand"))
+    own = fill(flow) if fill else flow
+    seen = ids.join(own.select("station_id").distinct(), "station_id", "left_semi")
+    dense = seen.withColumn("m_5min", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - 1).cast("long"))))
+    x = dense.join(own.select("station_id", "m_5min", "flow"), ["station_id", "m_5min"], "left")
+    if gaps == "error":
+        lost = F.raise_error(F.concat(F.lit("no flow at station "), F.col("station_id"), F.lit(", sample "), F.col("m_5min"))).cast("double")
+        x = x.withColumn("flow", F.when(F.col("flow").isNull(), lost).otherwise(F.col("flow")))
+    whole = F.when(F.count("flow") == F.count("*"), F.sum("flow")).alias("flow")
+    summed = x.groupBy("cell", (F.col("m_5min") - lo).alias("m_5min")).agg(whole)
+    stepped = hold_to_step(summed, dt_s) if dt_s <= 300 else hourly_to_step(summed.withColumnRenamed("cell", "station_id"), dt_s).withColumnRenamed("station_id", "cell")
+    return stepped.select("cell", "step", F.col("flow").alias("demand"))
 
 
 def split_ratio(cells: DataFrame, flow: DataFrame, stretches: DataFrame) -> DataFrame:
@@ -129,7 +149,7 @@ def scenario_table(cells: DataFrame, inflow: DataFrame, demand: DataFrame | floa
     """(step, cell, demand, beta) for every cell and every step of ``inflow`` (step, inflow); scalars hold for all."""
     if inflow.columns != ["step", "inflow"]:
         raise ValueError("inflow needs the columns step and inflow")
-    out = inflow.select("step").crossJoin(F.broadcast(cells.select("cell")))  # the table is that product
+    out = inflow.select("step").crossJoin(cells.select("cell"))  # the table is that product
     for name, given in (("demand", demand), ("beta", beta)):
         if isinstance(given, DataFrame):
             out = out.join(given.select("step", "cell", name), ["step", "cell"], "left").fillna(0.0, [name])
@@ -153,6 +173,15 @@ def holdout_blocks(series: DataFrame, value: str, gap: int, every: int) -> DataF
     return out.withColumn(value, F.when(~inside, F.col(value)))
 
 
+def holdout_report(series: DataFrame, value: str, lengths: tuple[int, ...], every: int, fillers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(strategy, gap, n, rmse, mape, bias): every filler's error on masked blocks of every length of gap."""
+    rows = [
+        fill_accuracy(fill(holdout_blocks(series, value, gap, every)), value).select(F.lit(name).alias("strategy"), F.lit(gap).alias("gap"), "*")
+        for gap in lengths for name, fill in fillers.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def fill_accuracy(filled: DataFrame, value: str) -> DataFrame:
     """(n, rmse, mape, bias) of filled values against the truth that was masked."""
     d: Column = F.col(value) - F.col("truth")

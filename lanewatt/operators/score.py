@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import geh, pct_diff
+from ..sources.scratch import written
 
 
 def block_mean(traj: DataFrame, steps: int) -> DataFrame:
@@ -98,28 +99,39 @@ def qq_rank_pairs(pairs: DataFrame, kind: str = "flow", least: int = 2) -> DataF
     return side("sim").join(side("obs"), ["cell", "rank"])
 
 
-def performance_metrics(traj: DataFrame, cells: DataFrame, dt_hours: float) -> DataFrame:
-    """(run_id, step, vht, vmt, delay, productivity_loss, travel_time): delay and loss count only above critical density.
+_SUMS = ("vht", "vmt", "delay", "productivity_loss")
 
-    Travel time is null (without bound) if a cell stands still.
-    """
-    x = traj.join(F.broadcast(cells.select("cell", "length", "v_f", "q_max", "rho_crit")), "cell")
+
+def _cell_metrics(traj: DataFrame, cells: DataFrame, dt_hours: float) -> DataFrame:
+    x = traj.join(cells.select("cell", "length", "v_f", "q_max", "rho_crit"), "cell")
     vht = (F.col("rho_post") * F.col("length") + F.col("queue_post")) * dt_hours
     vmt = F.col("rho_post") * F.col("speed") * dt_hours * F.col("length")
     congested = F.col("rho_post") > F.col("rho_crit")
-    x = x.withColumns({
+    return x.withColumns({
         "vht": vht, "vmt": vmt, "delay": F.when(congested, vht - vmt / F.col("v_f")).otherwise(0.0),
         "productivity_loss": F.when(congested, (1 - F.col("flow") / F.col("q_max")) * dt_hours * F.col("length")).otherwise(0.0),
         "still": F.col("speed") == 0, "travel_time": F.try_divide(F.col("length"), F.col("speed")),
     })
-    total = [F.sum(n).alias(n) for n in ("vht", "vmt", "delay", "productivity_loss")]
-    return x.groupBy("run_id", "step").agg(*total, F.when(F.max("still"), None).otherwise(F.sum("travel_time")).alias("travel_time"))
+
+
+def performance_metrics(traj: DataFrame, cells: DataFrame, dt_hours: float) -> DataFrame:
+    """(run_id, step, vht, vmt, delay, productivity_loss, travel_time): delay and loss count only above critical density.
+
+    Travel time is null (without bound) if a cell stands still.
+    """
+    total = [F.sum(n).alias(n) for n in _SUMS]
+    return _cell_metrics(traj, cells, dt_hours).groupBy("run_id", "step").agg(*total, F.when(F.max("still"), None).otherwise(F.sum("travel_time")).alias("travel_time"))
+
+
+def cell_totals(traj: DataFrame, cells: DataFrame, dt_hours: float) -> DataFrame:
+    """(run_id, cell, vht, vmt, delay, productivity_loss): each cell's sums over all steps."""
+    return _cell_metrics(traj, cells, dt_hours).groupBy("run_id", "cell").agg(*[F.sum(n).alias(n) for n in _SUMS])
 
 
 def metric_totals(metrics: DataFrame, period: int, horizon: int) -> DataFrame:
     """Sums over whole periods of ``period`` steps, and over the horizon (period null), in one pass."""
     rows = metrics.where(F.col("step") < horizon - horizon % period).withColumn("period", F.floor(F.col("step") / period))
-    sums = [F.sum(n).alias(n) for n in ("vht", "vmt", "delay", "productivity_loss")]
+    sums = [F.sum(n).alias(n) for n in _SUMS]
     return rows.groupingSets([["run_id", "period"], ["run_id"]], "run_id", "period").agg(*sums, F.avg("travel_time").alias("mean_travel_time"), F.max("travel_time").alias("max_travel_time"))
 
 
@@ -157,10 +169,16 @@ def top_cells(stats: DataFrame, k: int = 5) -> DataFrame:
 
 
 def validation_report(pairs: DataFrame, aggregates: DataFrame, k: int = 5) -> DataFrame:
-    """(item, cell, value): scored cells, pooled errors, aggregates, share of good hours, and the k worst cells."""
-    stats = rmse_mape(pairs)
-    wide = corridor_rmse_mape(pairs).select("flow_rmse", "flow_mape", "density_rmse", "density_mape").crossJoin(aggregates).crossJoin(
-        flow_geh(pairs).where("cell IS NULL").agg(F.max("geh_pct_under_5").alias("geh_pct_under_5"))
+    """(item, cell, value): scored cells, pooled errors, aggregates, share of good hours, and the k worst cells.
+
+    The pairs are written once; errors by cell and pooled come of one pass over them, and are written too, as three
+    parts of the report read them.
+    """
+    pairs = written(pairs, "pairs")
+    every = written(rmse_mape_all(pairs), "errors")
+    stats = every.where("cell IS NOT NULL")
+    wide = every.where("cell IS NULL").select("flow_rmse", "flow_mape", "density_rmse", "density_mape").crossJoin(aggregates).crossJoin(
+        hourly_geh(pairs).agg((100 * F.avg((F.col("geh") < 5).cast("double"))).alias("geh_pct_under_5"))
     )  # one row each
     names = wide.columns
     flat = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.lit(None).cast("long").alias("cell"), F.col(n).cast("double").alias("value")) for n in names])).alias("r")).select("r.*")

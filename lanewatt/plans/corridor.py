@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import calibrate, linref, quality, scenario
+from ..operators import calibrate, linref, quality, scenario, score
 from ..sources import ingest
 from ..sources.scratch import scratch_folder
+from ..streaming.detectors import five_minute_flow, run_available, stream_detector_files
 from .registry import query
-from .views import with_ts
+from .views import HORIZON, with_ts
 
-# Segments of five corridors out of the part table, ramps out of customers: postmiles from running lengths.
-SEG_SQL = """seg0 AS (SELECT 'k' || (p_partkey % 5) AS corridor_id, CAST(p_partkey // 5 AS INT) AS seq, 3 + p_size % 3 AS lanes, 300e0 + p_size * 11 AS length_m FROM part WHERE p_partkey < 5000),
+# Corridors of 400 segments out of the part table, with 300 ramps each out of customers: postmiles from running lengths.
+SEG_SQL = """seg0 AS (SELECT 'k' || (p_partkey // 400) AS corridor_id, CAST(p_partkey % 400 AS INT) AS seq, 3 + p_size % 3 AS lanes, 300e0 + p_size * 11 AS length_m FROM part),
 seg AS (SELECT corridor_id, seq, lanes, length_m, sum(length_m / 1609.344) OVER (PARTITION BY corridor_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS pm_end, sum(length_m / 1609.344) OVER (PARTITION BY corridor_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - length_m / 1609.344 AS pm_start FROM seg0)"""
-JUN_SQL = """jun AS (SELECT 'k' || (c_custkey % 5) AS corridor_id, CAST(c_custkey AS BIGINT) AS junction_id, CASE WHEN c_custkey % 2 = 0 THEN 'on' ELSE 'off' END AS kind, CAST((c_custkey * 7) % 9000 AS DOUBLE) / 101e0 AS postmile, c_name AS name FROM customer WHERE c_custkey < 2000)"""
+JUN_SQL = """jun AS (SELECT 'k' || (c_custkey // 300) AS corridor_id, CAST(c_custkey AS BIGINT) AS junction_id, CASE WHEN c_custkey % 2 = 0 THEN 'on' ELSE 'off' END AS kind, CAST((c_custkey * 7) % 9000 AS DOUBLE) / 101e0 AS postmile, c_name AS name FROM customer)"""
 BREAKS = SEG_SQL + ", " + JUN_SQL + """, span AS (SELECT corridor_id, min(pm_start) AS lo, max(pm_end) AS hi FROM seg GROUP BY 1),
 breaks AS (SELECT DISTINCT corridor_id, round(pm, 6) AS pm FROM (SELECT corridor_id, lo AS pm FROM span UNION ALL SELECT corridor_id, hi FROM span UNION ALL
 SELECT corridor_id, pm_start FROM (SELECT *, lag(lanes) OVER (PARTITION BY corridor_id ORDER BY seq) AS was FROM seg) WHERE lanes <> was UNION ALL SELECT corridor_id, postmile FROM jun) x JOIN span USING (corridor_id) WHERE pm BETWEEN lo - 1e-9 AND hi + 1e-9),
@@ -22,16 +26,16 @@ made AS (SELECT * FROM (SELECT corridor_id, row_number() OVER (PARTITION BY corr
 
 
 def segments(t):
-    s = t.part.where("p_partkey < 5000").select(
-        F.concat(F.lit("k"), F.col("p_partkey") % 5).alias("corridor_id"), F.floor(F.col("p_partkey") / 5).cast("int").alias("seq"), (3 + F.col("p_size") % 3).alias("lanes"), (300.0 + F.col("p_size") * 11).alias("length_m")
+    s = t.part.select(
+        F.concat(F.lit("k"), F.floor(F.col("p_partkey") / 400)).alias("corridor_id"), (F.col("p_partkey") % 400).cast("int").alias("seq"), (3 + F.col("p_size") % 3).alias("lanes"), (300.0 + F.col("p_size") * 11).alias("length_m")
     )
     return linref.cumulative_postmile(s)
 
 
 def junctions(t):
     k = F.col("c_custkey")
-    return t.customer.where("c_custkey < 2000").select(
-        F.concat(F.lit("k"), k % 5).alias("corridor_id"), k.alias("junction_id"), F.when(k % 2 == 0, "on").otherwise("off").alias("kind"), ((k * 7 % 9000).cast("double") / 101).alias("postmile"), F.col("c_name").alias("name")
+    return t.customer.select(
+        F.concat(F.lit("k"), F.floor(k / 300)).alias("corridor_id"), k.alias("junction_id"), F.when(k % 2 == 0, "on").otherwise("off").alias("kind"), ((k * 7 % 9000).cast("double") / 101).alias("postmile"), F.col("c_name").alias("name")
     )
 
 
@@ -84,8 +88,8 @@ def _(t):
     return count(s, "segment").unionByName(count(j, "junction"))
 
 
-ASSIGN = """pts AS (SELECT 'c1' AS corridor_id, station_id, abs_pm AS pm, lanes AS s_lanes FROM stations WHERE type = 'ML'),
-cand AS (SELECT c.cell, c.pm_start, c.pm_end, c.lanes, p.* FROM cells c JOIN pts p ON ((c.cell = 0 AND p.pm >= c.pm_start - 1e-9) OR p.pm > c.pm_start + 1e-9) AND p.pm <= c.pm_end + 1e-9),
+ASSIGN = """pts AS (SELECT corridor_id, station_id, abs_pm AS pm, lanes AS s_lanes FROM stations WHERE type = 'ML'),
+cand AS (SELECT c.cell, c.pm_start, c.pm_end, c.lanes, p.* FROM cells c JOIN pts p ON c.corridor_id = p.corridor_id AND ((c.cell % 25 = 0 AND p.pm >= c.pm_start - 1e-9) OR p.pm > c.pm_start + 1e-9) AND p.pm <= c.pm_end + 1e-9),
 pick AS (SELECT cell, count(*) AS k, arg_min(station_id, (abs(pm - (pm_start + pm_end) / 2), station_id)) AS vds_id, arg_min(pm, (abs(pm - (pm_start + pm_end) / 2), station_id)) AS vds_pm FROM cand GROUP BY 1)"""
 
 
@@ -94,7 +98,7 @@ def bare_cells(t):
 
 
 def ml_points(t):
-    return t.stations.where("type = 'ML'").select(F.lit("c1").alias("corridor_id"), "station_id", F.col("abs_pm").alias("pm"), "lanes")
+    return t.stations.where("type = 'ML'").select("corridor_id", "station_id", F.col("abs_pm").alias("pm"), "lanes")
 
 
 @query("c7_assign_stations", f"WITH {ASSIGN} SELECT c.cell, vds_id, CASE WHEN k > 1 THEN 'direct_tiebreak' WHEN k = 1 THEN 'direct' ELSE 'missing' END AS vds_source, coalesce(k, 0) AS vds_n_candidates FROM cells c LEFT JOIN (SELECT cell AS cc, k, vds_id AS vds_id, vds_pm FROM pick) p ON cc = c.cell".replace("SELECT c.cell, vds_id,", "SELECT c.cell, p.vds_id,"))
@@ -107,8 +111,8 @@ def _(t):
     return linref.assign_stations(bare_cells(t), ml_points(t), "lowest_id").select("cell", "vds_id")
 
 
-@query("c8_inherit_upstream", f"""WITH {ASSIGN}, a AS (SELECT c.cell, p.vds_id, p.vds_pm, (c.pm_start + c.pm_end) / 2 AS mid FROM cells c LEFT JOIN (SELECT cell AS cc, vds_id, vds_pm FROM pick) p ON cc = c.cell),
-u AS (SELECT *, last_value(vds_id IGNORE NULLS) OVER (ORDER BY cell) AS id, last_value(vds_pm IGNORE NULLS) OVER (ORDER BY cell) AS pm FROM a)
+@query("c8_inherit_upstream", f"""WITH {ASSIGN}, a AS (SELECT c.corridor_id, c.cell, p.vds_id, p.vds_pm, (c.pm_start + c.pm_end) / 2 AS mid FROM cells c LEFT JOIN (SELECT cell AS cc, vds_id, vds_pm FROM pick) p ON cc = c.cell),
+u AS (SELECT *, last_value(vds_id IGNORE NULLS) OVER (PARTITION BY corridor_id ORDER BY cell) AS id, last_value(vds_pm IGNORE NULLS) OVER (PARTITION BY corridor_id ORDER BY cell) AS pm FROM a)
 SELECT cell, id AS vds_id, CASE WHEN vds_id IS NULL AND id IS NOT NULL THEN round(pm - mid, 5) END AS vds_distance_mi FROM u""", 5)
 def _(t):
     return linref.inherit_upstream(linref.assign_stations(bare_cells(t), ml_points(t))).select("cell", "vds_id", "vds_distance_mi")
@@ -122,14 +126,14 @@ def _(t):
     return t.stations.select("station_id", S.haversine_m(a, b, "latitude", "longitude").alias("metres"), S.bearing(a, b, "latitude", "longitude").alias("bearing"))
 
 
-# A line of three bends along which stations are projected.
+# A line of three bends, the same for every corridor, along which its stations are projected.
 LINE = [(-118.0, 34.0), (-117.96, 34.03), (-117.93, 34.05), (-117.9, 34.1)]
 
 
 def line_segments(t):
     point = lambda p: F.struct(F.lit(p[0]).alias("lon"), F.lit(p[1]).alias("lat"))
     rows = [F.struct(F.lit(k).alias("seq"), F.array(point(LINE[k]), point(LINE[k + 1])).alias("geometry"), F.lit(3.0 * k).alias("pm_start"), F.lit(3.0 * k + 3).alias("pm_end")) for k in range(3)]
-    return t.spark.range(1).select(F.lit("c1").alias("corridor_id"), F.explode(F.array(*rows)).alias("r")).select("corridor_id", "r.*", F.lit(3).alias("lanes"))
+    return t.cells.select("corridor_id").distinct().select("corridor_id", F.explode(F.array(*rows)).alias("r")).select("corridor_id", "r.*", F.lit(3).alias("lanes"))
 
 
 _EDGES = ", ".join(f"({k}, {LINE[k][0]}e0, {LINE[k][1]}e0, {LINE[k + 1][0]}e0, {LINE[k + 1][1]}e0)" for k in range(3))
@@ -140,15 +144,18 @@ x AS (SELECT station_id, seq, longitude AS lo, latitude AS la, ax, ay, ex - ax A
 d AS (SELECT station_id, seq, 3e0 * seq + 3e0 * t AS pm, 2 * 6371009e0 * asin(least(1, sqrt(sin((radians(ay + t * dy) - radians(la)) / 2) ** 2 + cos(radians(la)) * cos(radians(ay + t * dy)) * sin((radians(ax + t * dx) - radians(lo)) / 2) ** 2))) AS m FROM x)
 SELECT station_id, round(min(m), 2) AS distance_m, round(arg_min(pm, (m, seq)), 4) AS pm, min(m) <= 2000 AS on_corridor FROM d GROUP BY 1""")
 def _(t):
-    s = t.stations.withColumn("corridor_id", F.lit("c1"))
-    out = linref.project_to_corridor(s, line_segments(t), 2000.0, keep_off=True)
+    out = linref.project_to_corridor(t.stations, line_segments(t), 2000.0, keep_off=True)
     return out.select("station_id", F.round("distance_m", 2).alias("distance_m"), "pm", "on_corridor")
 
 
-@query("c23_cell_lines")
+@query("c23_cell_lines", f"""WITH e AS (SELECT * FROM (VALUES {_EDGES}) v(seq, ax, ay, ex, ey)),
+x AS (SELECT cell, seq, ax, ay, ex, ey, greatest(pm_start, 3e0 * seq) AS lo, least(pm_end, 3e0 * seq + 3) AS hi FROM cells JOIN e ON 3e0 * seq <= pm_end AND 3e0 * seq + 3 >= pm_start),
+p AS (SELECT cell, seq, ax + (lo / 3 - seq) * (ex - ax) AS x0, ay + (lo / 3 - seq) * (ey - ay) AS y0, ax + (hi / 3 - seq) * (ex - ax) AS x1, ay + (hi / 3 - seq) * (ey - ay) AS y1 FROM x)
+SELECT cell, round(sum(2 * 6371009e0 * asin(least(1, sqrt(sin((radians(y1) - radians(y0)) / 2) ** 2 + cos(radians(y0)) * cos(radians(y1)) * sin((radians(x1) - radians(x0)) / 2) ** 2)))), 1) AS metres,
+round(arg_min(x0, seq), 5) AS west, round(arg_max(y1, seq), 5) AS north FROM p GROUP BY 1""", 5)
 def _(t):
-    cells = t.cells.select("corridor_id", "cell", "pm_start", "pm_end")
-    return linref.cell_lines(cells, line_segments(t)).select("cell", F.size("line").alias("n_points"), linref.line_length_m("line").alias("metres"))
+    lines = linref.cell_lines(t.cells.select("corridor_id", "cell", "pm_start", "pm_end"), line_segments(t))
+    return lines.select("cell", F.round(linref.line_length_m("line"), 1).alias("metres"), F.col("line")[0]["lon"].alias("west"), F.element_at("line", -1)["lat"].alias("north"))
 
 
 @query("c4_annotate_postmiles", """WITH n AS (SELECT c_custkey AS node_id, -118e0 + (c_custkey % 97) / 1e3 AS x, 34e0 + (c_custkey % 89) / 1e3 AS y, 5 + c_custkey % 2 AS route FROM customer),
@@ -163,48 +170,49 @@ def _(t):
     return linref.annotate_postmiles(nodes, t.stations.select("route", F.col("abs_pm").alias("pm"), "latitude", "longitude"))
 
 
-@query("c9_assign_ramp_stations", f"""WITH {JUN_SQL}, j AS (SELECT 'c1' AS corridor_id, junction_id, kind, c.pm_start AS pm0, c.pm_end AS pm1, cell, 34e0 + (junction_id % 100) / 1e3 AS lat, -118e0 + (junction_id % 90) / 1e3 AS lon FROM jun JOIN cells c ON c.cell = junction_id % 25),
+@query("c9_assign_ramp_stations", f"""WITH {JUN_SQL}, j AS (SELECT c.corridor_id, junction_id, kind, c.pm_start AS pm0, c.pm_end AS pm1, cell, 34e0 + (junction_id % 100) / 1e3 AS lat, -118e0 + (junction_id % 90) / 1e3 AS lon FROM jun JOIN cells c ON c.cell = junction_id // 60),
 r AS (SELECT *, CASE WHEN kind = 'on' THEN pm0 ELSE pm1 END AS postmile FROM j),
-d AS (SELECT r.*, s.station_id, radians(lat) AS a, radians(latitude) AS b, radians(longitude) - radians(lon) AS l FROM r JOIN stations s ON s.type = CASE WHEN kind = 'on' THEN 'OR' ELSE 'FR' END),
+d AS (SELECT r.*, s.station_id, radians(lat) AS a, radians(latitude) AS b, radians(longitude) - radians(lon) AS l FROM r JOIN stations s ON s.corridor_id = r.corridor_id AND s.type = CASE WHEN kind = 'on' THEN 'OR' ELSE 'FR' END),
 n AS (SELECT *, 2 * 6371009e0 * asin(least(1, sqrt(sin((b - a) / 2) ** 2 + cos(a) * cos(b) * sin(l / 2) ** 2))) AS m FROM d),
-k AS (SELECT junction_id, kind, round(postmile, 6) AS pm, arg_min(station_id, (m, station_id)) AS station_id FROM n WHERE m <= 2000 GROUP BY 1, 2, 3),
-g AS (SELECT kind, pm, arg_max(station_id, junction_id) AS station_id FROM k GROUP BY 1, 2)
-SELECT c.cell, g.kind, g.station_id FROM cells c JOIN g ON (g.kind = 'on' AND g.pm = round(c.pm_start, 6)) OR (g.kind = 'off' AND g.pm = round(c.pm_end, 6))""")
+k AS (SELECT corridor_id, junction_id, kind, round(postmile, 6) AS pm, arg_min(station_id, (m, station_id)) AS station_id FROM n WHERE m <= 2000 GROUP BY 1, 2, 3, 4),
+g AS (SELECT corridor_id, kind, pm, arg_max(station_id, junction_id) AS station_id FROM k GROUP BY 1, 2, 3)
+SELECT c.cell, g.kind, g.station_id FROM cells c JOIN g ON g.corridor_id = c.corridor_id AND ((g.kind = 'on' AND g.pm = round(c.pm_start, 6)) OR (g.kind = 'off' AND g.pm = round(c.pm_end, 6)))""")
 def _(t):
-    j = junctions(t).withColumn("cell", F.col("junction_id") % 25).join(t.cells.select("cell", "pm_start", "pm_end"), "cell")
-    j = j.select(F.lit("c1").alias("corridor_id"), "junction_id", "kind", F.when(F.col("kind") == "on", F.col("pm_start")).otherwise(F.col("pm_end")).alias("postmile"), (34.0 + F.col("junction_id") % 100 / 1e3).alias("lat"), (-118.0 + F.col("junction_id") % 90 / 1e3).alias("lon"))
-    return linref.assign_ramp_stations(t.cells, j, t.stations.withColumn("corridor_id", F.lit("c1")), 2000.0).select("cell", "kind", "station_id")
+    j = junctions(t).drop("corridor_id").withColumn("cell", F.floor(F.col("junction_id") / 60)).join(t.cells.select("corridor_id", "cell", "pm_start", "pm_end"), "cell")
+    j = j.select("corridor_id", "junction_id", "kind", F.when(F.col("kind") == "on", F.col("pm_start")).otherwise(F.col("pm_end")).alias("postmile"), (34.0 + F.col("junction_id") % 100 / 1e3).alias("lat"), (-118.0 + F.col("junction_id") % 90 / 1e3).alias("lon"))
+    return linref.assign_ramp_stations(t.cells, j, t.stations, 2000.0).select("cell", "kind", "station_id")
 
 
 # Map edges out of orders: tags as strings, some of them lists.
-EDGE_SQL = """edges AS (SELECT o_orderkey AS u, (o_orderkey * 7 + 1) % 1500 AS v, CASE o_orderkey % 5 WHEN 0 THEN 'motorway_link' WHEN 1 THEN 'primary' ELSE 'motorway' END AS highway,
+EDGE_SQL = """edges AS (SELECT o_orderkey AS edge_id, o_custkey AS u, (o_custkey * 7 + 1) % (SELECT max(c_custkey) FROM customer) + 1 AS v, CASE o_orderkey % 5 WHEN 0 THEN 'motorway_link' WHEN 1 THEN 'primary' ELSE 'motorway' END AS highway,
 CASE o_orderkey % 6 WHEN 0 THEN 'I 5; CA 92' WHEN 1 THEN NULL WHEN 2 THEN 'I 880' ELSE 'I 5' END AS ref, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS name,
-CASE o_orderkey % 5 WHEN 0 THEN '3;4;4' WHEN 1 THEN '4;3' WHEN 2 THEN 'x' WHEN 3 THEN NULL ELSE '2' END AS lanes, 100e0 + o_orderkey % 37 AS length_m FROM orders WHERE o_orderkey < 1500),
-nodes AS (SELECT c_custkey AS node_id, -118e0 + (c_custkey * 31 % 991) / 1e4 AS x, 34e0 + (c_custkey * 17 % 983) / 1e4 AS y FROM customer WHERE c_custkey < 1500)"""
+CASE o_orderkey % 5 WHEN 0 THEN '3;4;4' WHEN 1 THEN '4;3' WHEN 2 THEN 'x' WHEN 3 THEN NULL ELSE '2' END AS lanes, 100e0 + o_orderkey % 37 AS length_m FROM orders),
+nodes AS (SELECT c_custkey AS node_id, -118e0 + (c_custkey * 31 % 991) / 1e4 AS x, 34e0 + (c_custkey * 17 % 983) / 1e4 AS y FROM customer)"""
 
 
 def edges(t):
     k = F.col("o_orderkey")
     pick = lambda m, *v: F.element_at(F.array(*[F.lit(x).cast("string") for x in v]), (k % m + 1).cast("int"))
-    return t.orders.where("o_orderkey < 1500").select(
-        k.alias("u"), ((k * 7 + 1) % 1500).alias("v"), pick(5, "motorway_link", "primary", "motorway", "motorway", "motorway").alias("highway"), pick(6, "I 5; CA 92", None, "I 880", "I 5", "I 5", "I 5").alias("ref"),
+    n = t.customer.agg(F.max("c_custkey")).first()[0]
+    return t.orders.select(
+        k.alias("edge_id"), F.col("o_custkey").alias("u"), ((F.col("o_custkey") * 7 + 1) % n + 1).alias("v"), pick(5, "motorway_link", "primary", "motorway", "motorway", "motorway").alias("highway"), pick(6, "I 5; CA 92", None, "I 880", "I 5", "I 5", "I 5").alias("ref"),
         F.when(k % 4 > 0, F.col("o_orderpriority")).alias("name"), pick(5, "3;4;4", "4;3", "x", None, "2").alias("lanes"), (100.0 + k % 37).alias("length_m"),
     )
 
 
 def nodes(t):
     k = F.col("c_custkey")
-    return t.customer.where("c_custkey < 1500").select(k.alias("node_id"), (F.lit(-118.0) + k * 31 % 991 / 1e4).alias("x"), (F.lit(34.0) + k * 17 % 983 / 1e4).alias("y"))
+    return t.customer.select(k.alias("node_id"), (F.lit(-118.0) + k * 31 % 991 / 1e4).alias("x"), (F.lit(34.0) + k * 17 % 983 / 1e4).alias("y"))
 
 
-@query("b12_b13_parse_tags_lanes", f"WITH {EDGE_SQL} SELECT u, CASE u % 6 WHEN 0 THEN 'I 5|CA 92' WHEN 1 THEN '' WHEN 2 THEN 'I 880' ELSE 'I 5' END AS refs, CASE u % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 4 THEN 2 ELSE 0 END AS n_lanes FROM edges")
+@query("b12_b13_parse_tags_lanes", f"WITH {EDGE_SQL} SELECT edge_id, CASE edge_id % 6 WHEN 0 THEN 'I 5|CA 92' WHEN 1 THEN '' WHEN 2 THEN 'I 880' ELSE 'I 5' END AS refs, CASE edge_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 4 THEN 2 ELSE 0 END AS n_lanes, CASE edge_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 4 THEN 2 ELSE 0 END AS commonest FROM edges")
 def _(t):
-    return edges(t).select("u", F.array_join(S.parse_tags("ref"), "|").alias("refs"), S.parse_lanes("lanes").alias("n_lanes"))
+    return edges(t).select("edge_id", F.array_join(S.parse_tags("ref"), "|").alias("refs"), S.parse_lanes("lanes").alias("n_lanes"), S.lanes_of_list(F.split("lanes", ";")).alias("commonest"))
 
 
-@query("b9_route_number", f"WITH {EDGE_SQL} SELECT u, CASE u % 6 WHEN 0 THEN '5' WHEN 2 THEN '880' WHEN 1 THEN NULL ELSE '5' END AS first_run, CASE u % 6 WHEN 0 THEN '592' WHEN 2 THEN '880' WHEN 1 THEN NULL ELSE '5' END AS joined FROM edges")
+@query("b9_route_number", f"WITH {EDGE_SQL} SELECT edge_id, CASE edge_id % 6 WHEN 0 THEN '5' WHEN 2 THEN '880' WHEN 1 THEN NULL ELSE '5' END AS first_run, CASE edge_id % 6 WHEN 0 THEN '592' WHEN 2 THEN '880' WHEN 1 THEN NULL ELSE '5' END AS joined FROM edges")
 def _(t):
-    return edges(t).select("u", S.route_number("ref").alias("first_run"), S.route_number("ref", True).alias("joined"))
+    return edges(t).select("edge_id", S.route_number("ref").alias("first_run"), S.route_number("ref", True).alias("joined"))
 
 
 @query("d20_f2_summarize_refs", f"""WITH {EDGE_SQL}, x AS (SELECT e.*, trim(r) AS rr, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM (SELECT *, unnest(string_split(ref, ';')) AS r FROM edges WHERE highway = 'motorway' AND ref IS NOT NULL) e JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v),
@@ -222,21 +230,21 @@ def _(t):
 
 
 @query("c18_ramp_junctions", f"""WITH {EDGE_SQL}, m AS (SELECT node_id FROM nodes WHERE node_id % 3 = 0)
-SELECT u, v, CASE WHEN v IN (SELECT node_id FROM m) THEN 'on' ELSE 'off' END AS kind, CASE WHEN v IN (SELECT node_id FROM m) THEN v ELSE u END AS node, coalesce(name, trim(string_split(ref, ';')[1])) AS name, 4 AS lanes
+SELECT u, v, CASE WHEN v IN (SELECT node_id FROM m) THEN 'on' ELSE 'off' END AS kind, CASE WHEN v IN (SELECT node_id FROM m) THEN v ELSE u END AS node, coalesce(name, trim(string_split(ref, ';')[1])) AS name, 3 AS lanes
 FROM edges WHERE highway = 'motorway_link' AND (u IN (SELECT node_id FROM m)) <> (v IN (SELECT node_id FROM m))""")
 def _(t):
     return linref.ramp_junctions(edges(t), nodes(t).where("node_id % 3 = 0"))
 
 
-@query("d32_corridor_summary", f"""WITH {SEG_SQL}, {JUN_SQL}, s AS (SELECT * FROM seg WHERE corridor_id = 'k1'), j AS (SELECT * FROM jun WHERE corridor_id = 'k1'),
+@query("d32_corridor_summary", f"""WITH {SEG_SQL}, {JUN_SQL}, s AS (SELECT * FROM seg), j AS (SELECT * FROM jun),
 w AS (SELECT *, CASE WHEN length < 0.2 THEN 'too_short' WHEN length > 0.8 THEN 'too_long' ELSE 'ok' END AS length_warning FROM cells)
 SELECT item, round(CAST(value AS DOUBLE), 3) AS value FROM (SELECT unnest(['n_segments', 'total_mi', 'n_on_ramps', 'n_off_ramps', 'n_cells', 'mean_cell_mi', 'min_cell_mi', 'max_cell_mi', 'n_lane_changes']) AS item,
 unnest([(SELECT count(*) FROM s), (SELECT sum(pm_end - pm_start) FROM s), (SELECT count(*) FROM j WHERE kind = 'on'), (SELECT count(*) FROM j WHERE kind = 'off'), (SELECT count(*) FROM cells), (SELECT avg(length) FROM cells), (SELECT min(length) FROM cells), (SELECT max(length) FROM cells),
-(SELECT count(*) FROM (SELECT lanes, lag(lanes) OVER (ORDER BY seq) AS was FROM s) WHERE lanes <> was)]) AS value)
+(SELECT count(*) FROM (SELECT lanes, lag(lanes) OVER (PARTITION BY corridor_id ORDER BY seq) AS was FROM s) WHERE lanes <> was)]) AS value)
 UNION ALL SELECT 'lanes=' || lanes, count(*) FROM w GROUP BY 1 UNION ALL SELECT 'length_warning=' || length_warning, count(*) FROM w GROUP BY 1 UNION ALL SELECT 'vds_source=' || vds_source, count(*) FROM w GROUP BY 1""", 3)
 def _(t):
     cells = t.cells.withColumn("length_warning", S.length_warning("length", 0.2, 0.8))
-    return linref.corridor_summary(segments(t).where("corridor_id = 'k1'"), junctions(t).where("corridor_id = 'k1'"), cells)
+    return linref.corridor_summary(segments(t), junctions(t), cells)
 
 
 # Checks.
@@ -247,12 +255,12 @@ def _(t):
     return t.cells.select("cell", S.length_warning("length", 0.3, 0.7).alias("warning"))
 
 
-@query("b15_freeway_violations", """WITH f AS (SELECT *, CASE WHEN cell % 6 = 0 THEN q_max * 1.1 ELSE q_max END AS q, CASE WHEN cell % 5 = 4 THEN 900e0 END AS cap FROM cells)
-SELECT cell, unnest(list_filter([CASE WHEN cap IS NOT NULL AND NOT on_ramp THEN 'on_capacity_without_ramp' END, CASE WHEN abs(q - v_f * rho_crit) > 1e-3 * q THEN 'free_flow_identity' END,
+@query("b15_freeway_violations", """WITH f AS (SELECT *, CASE WHEN cell % 6 = 0 THEN q_max * 1.1 ELSE q_max END AS q, CASE WHEN cell % 5 = 4 THEN CASE WHEN cell % 2 = 0 THEN 900e0 ELSE 0e0 END END AS cap FROM cells)
+SELECT cell, unnest(list_filter([CASE WHEN cap <= 0 THEN 'on_capacity_not_positive' END, CASE WHEN cap IS NOT NULL AND NOT on_ramp THEN 'on_capacity_without_ramp' END, CASE WHEN abs(q - v_f * rho_crit) > 1e-3 * q THEN 'free_flow_identity' END,
 CASE WHEN abs(q - w * (rho_jam - rho_crit)) > 1e-3 * q THEN 'congestion_identity' END, CASE WHEN v_f * (20 / 3600e0) > length THEN 'stability' END], lambda x: x IS NOT NULL)) AS violation FROM f""")
 def _(t):
     f = t.cells.withColumn("q_max", F.when(F.col("cell") % 6 == 0, F.col("q_max") * 1.1).otherwise(F.col("q_max")))
-    f = f.withColumn("on_ramp_capacity", F.when(F.col("cell") % 5 == 4, 900.0)).withColumn("off_ramp_capacity", F.lit(None).cast("double"))
+    f = f.withColumn("on_ramp_capacity", F.when(F.col("cell") % 5 == 4, F.when(F.col("cell") % 2 == 0, 900.0).otherwise(0.0))).withColumn("off_ramp_capacity", F.lit(None).cast("double"))
     return quality.freeway_violations(f, 20 / 3600)
 
 
@@ -320,7 +328,7 @@ def _(t):
     return calibrate.assemble_freeway(ramped(t), fd(t), caps(t)).select("cell", "effective_id", "q_max", "v_f", "unresolved", "on_ramp_capacity")
 
 
-@query("c11_redirect_failed_fd", f"""WITH {FD_SQL}, x AS (SELECT cell, vds_id, code, last_value(CASE WHEN code = 0 THEN vds_id END IGNORE NULLS) OVER (ORDER BY cell) AS good FROM cells LEFT JOIN fd ON station_id = vds_id)
+@query("c11_redirect_failed_fd", f"""WITH {FD_SQL}, x AS (SELECT cell, vds_id, code, last_value(CASE WHEN code = 0 THEN vds_id END IGNORE NULLS) OVER (PARTITION BY corridor_id ORDER BY cell) AS good FROM cells LEFT JOIN fd ON station_id = vds_id)
 SELECT cell, coalesce(code <> 0, false) AS redirected, CASE WHEN code <> 0 THEN good END AS fd_vds_id FROM x""")
 def _(t):
     return calibrate.redirect_failed_fd(ramped(t), fd(t)).select("cell", "redirected", "fd_vds_id")
@@ -368,9 +376,18 @@ def flows(t):
     return t.lineitem.groupBy(F.col("l_suppkey").alias("station_id"), (F.col("l_orderkey") % 96).alias("m_5min")).agg(F.sum("l_quantity").alias("flow"))
 
 
-@query("h9_ramp_demand", f"WITH {FLOW_SQL}, i AS (SELECT cell, unnest([cell * 3 + 3, cell * 3 + 8]) AS id FROM cells WHERE on_ramp AND cell % 5 <> 1) SELECT cell, m_5min, round(sum(flow), 3) AS demand FROM i JOIN flows ON id = station_id GROUP BY 1, 2", 3)
+@query("h9_ramp_demand", f"""WITH {FLOW_SQL}, i AS (SELECT cell, unnest([cell * 3 + 3, cell * 3 + 8]) AS id FROM cells WHERE on_ramp AND cell % 5 <> 1),
+m AS (SELECT station_id, avg(flow) AS mean FROM flows GROUP BY 1), g AS (SELECT cell, m_5min, coalesce(flow, mean) AS flow FROM i JOIN m ON id = station_id CROSS JOIN (SELECT unnest(range(12, 84)) AS m_5min) x LEFT JOIN flows USING (station_id, m_5min))
+SELECT cell, (m_5min - 12) * 3 + k AS step, round(12 * sum(flow), 3) AS demand FROM g CROSS JOIN (SELECT unnest(range(0, 3)) AS k) GROUP BY 1, 2""", 3)
 def _(t):
-    return scenario.ramp_demand(ramped(t), flows(t))
+    return scenario.ramp_demand(ramped(t), flows(t), 12, 84, 100, mean_filled)
+
+
+def mean_filled(flow):
+    """Every station at each of the view's 96 samples, gaps by the station's mean."""
+    means = flow.groupBy("station_id").agg(F.avg("flow").alias("mean"))
+    grid = means.withColumn("m_5min", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(95).cast("long"))))
+    return grid.join(flow, ["station_id", "m_5min"], "left").select("station_id", "m_5min", F.coalesce("flow", "mean").alias("flow"))
 
 
 @query("h10_split_ratio", f"""WITH {DOWN}, {FLOW_SQL}, s AS (SELECT cell, m_5min, sum(flow) AS s FROM ramp_ids JOIN flows ON id = station_id GROUP BY 1, 2),
@@ -436,11 +453,9 @@ def _(t):
     return ingest.new_files(names.select("file_name"), names.where("c_nationkey % 3 = 0")).distinct()
 
 
-@query("a8_expand_file_requests", "SELECT type, r_regionkey AS district, year, month FROM region CROSS JOIN (SELECT unnest(['a', 'b']) AS type) CROSS JOIN (SELECT unnest([2023, 2024]) AS year) CROSS JOIN (SELECT unnest([1, 7]) AS month)")
+@query("a8_expand_file_requests", "SELECT type, s_suppkey AS district, year, month FROM supplier CROSS JOIN (SELECT unnest(['a', 'b']) AS type) CROSS JOIN (SELECT unnest([2023, 2024]) AS year) CROSS JOIN (SELECT unnest([1, 7]) AS month)")
 def _(t):
-    asked = ingest.expand_file_requests(t.spark, ["a", "b"], list(range(5)), [2023, 2024], [1, 7])
-    known = t.spark.read.parquet(f"{t.sf_dir}/region.parquet").select(F.col("r_regionkey").alias("district"))
-    return asked.join(known, "district", "left_semi")
+    return ingest.expand_file_requests(t.supplier.select(F.col("s_suppkey").alias("district")), ["a", "b"], [2023, 2024], [1, 7])
 
 
 @query("a9_a10_station_metadata", "SELECT station_id, route, direction, lanes, round(abs_pm, 4) AS abs_pm FROM stations WHERE type = 'ML' AND route = 5 AND direction = 'N'")
@@ -463,33 +478,63 @@ def _(t):
     return ingest.long_to_wide(t.traj, "step", "rho_post", [0, 1, 4])
 
 
-@query("a14_wide_to_long", f"WITH {WIDE} SELECT step, cell, round(coalesce(CASE cell WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 4 THEN c4 END, 0), 4) AS value FROM wide CROSS JOIN (SELECT cell FROM cells)")
+@query("a14_wide_to_long", "SELECT s.step, c.cell, round(coalesce(rho_post, 0), 4) AS value FROM (SELECT DISTINCT step FROM traj) s CROSS JOIN cells c LEFT JOIN traj t ON t.step = s.step AND t.cell = c.cell")
 def _(t):
-    return ingest.wide_to_long(ingest.long_to_wide(t.traj, "step", "rho_post", [0, 1, 4]), "step", "value", t.cells)
+    names = [r["cell"] for r in t.cells.where("vds_id IS NOT NULL").select("cell").collect()]  # a wide table's columns
+    return ingest.wide_to_long(ingest.long_to_wide(t.traj, "step", "rho_post", names), "step", "value", t.cells)
 
 
-@query("a18_matrix_cells", "SELECT n_nationkey AS id, r AS row, c AS col, CAST(n_nationkey * 10 + r * 3 + c AS DOUBLE) AS value FROM nation CROSS JOIN (SELECT unnest(range(0, 2)) AS r) CROSS JOIN (SELECT unnest(range(0, 3)) AS c)")
+@query("a18_matrix_cells", "SELECT s_suppkey AS id, r AS row, c AS col, CAST(s_suppkey * 10 + r * 3 + c AS DOUBLE) AS value FROM supplier CROSS JOIN (SELECT unnest(range(0, 2)) AS r) CROSS JOIN (SELECT unnest(range(0, 3)) AS c)")
 def _(t):
-    k = F.col("n_nationkey")
+    k = F.col("s_suppkey")
     text = F.concat_ws("\n", *[F.concat_ws(", ", *[(k * 10 + r * 3 + c).cast("string") for c in range(3)]) for r in range(2)])
-    return ingest.matrix_cells(t.nation.select(k.alias("id"), text.alias("value")), "id")
+    return ingest.matrix_cells(t.supplier.select(k.alias("id"), text.alias("value")), "id")
 
 
-@query("a19_fit_bundle_meta")
-def _(t):
+def bundle(t):
+    """A fit bundle written and read again."""
     c = t.cells.withColumn("on_ramp_capacity", F.when(F.col("on_ramp"), 900.0)).withColumn("off_ramp_capacity", F.lit(None).cast("double"))
-    return ingest.fit_bundle_meta(c, 5.0, 288)
+    path = scratch_folder(t.spark, "bundle")
+    inflow = scenario.inflow_series(t.det.select("station_id", "m_5min", F.col("total_flow_5min").alias("flow")), 0, 300, 0, HORIZON)
+    ingest.write_fit_bundle(path, c, scenario.initial_density(t.cells, t.obs5, 100), inflow, score.observed_grid(t.obs5, t.cells, HORIZON), 5.0, HORIZON)
+    return ingest.read_fit_bundle(t.spark, path)
 
 
-METRIC_LABELS = {"rmse": "Flow RMSE", "mape": "Flow MAPE"}
+@query("a19_fit_bundle_meta", "SELECT 5e0 AS dt_s, 8640 AS horizon, count(*) AS n_cells, string_agg(cell, ',' ORDER BY cell) FILTER (on_ramp) AS on_ramp_cells, string_agg(cell, ',' ORDER BY cell) FILTER (off_ramp) AS off_ramp_cells, count(*) FILTER (on_ramp) AS n_bounded FROM cells")
+def _(t):
+    said = lambda n: F.array_join(F.transform(n, lambda x: x.cast("string")), ",").alias(n)
+    bounded = F.size(F.filter("capacities", lambda x: x["on_ramp_capacity"] == 900)).cast("long").alias("n_bounded")
+    return bundle(t)["meta"].select("dt_s", "horizon", "n_cells", said("on_ramp_cells"), said("off_ramp_cells"), bounded)
 
 
-@query("a21_d30_study_summaries", "SELECT n_nationkey AS distance_mi, CASE WHEN n_nationkey % 2 = 0 THEN 'base' ELSE 'tuned' END AS strategy, n_nationkey * 1.5 AS rmse, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey * 0.25 END AS mape, CASE WHEN n_nationkey % 5 = 0 THEN 'mape' ELSE '' END AS missing FROM nation")
+@query("a19_fit_bundle_tables", """SELECT 'params' AS name, count(*) AS n, round(sum(q_max), 2) AS total FROM cells UNION ALL SELECT 'initial', count(*), round((SELECT sum(o.density) FROM cells JOIN obs5 o ON o.station_id = vds_id AND o.m_5min = 100), 2) FROM cells
+UNION ALL SELECT 'inflow', count(*), round(sum(total_flow_5min * 12), 2) FROM det WHERE station_id = 0
+UNION ALL SELECT 'observed', (SELECT count(*) FROM cells WHERE vds_id IS NOT NULL) * 8640, round((SELECT sum(o.density) FROM cells c JOIN obs5 o ON o.station_id = c.vds_id), 2)""", 2)
 def _(t):
-    k = F.col("n_nationkey")
+    b = bundle(t)
+    tables = (("params", "q_max"), ("initial", "rho0"), ("inflow", "inflow"), ("observed", "density"))
+    return reduce(DataFrame.unionByName, [b[n].agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum(v).alias("total")) for n, v in tables])
+
+
+METRIC_LABELS = {"rmse": "Flow RMSE", "mape": "Flow MAPE"}
+
+
+def studies(t):
+    k = F.col("c_custkey")
     text = F.concat_ws("\n", F.lit("Report"), F.concat(F.lit(" Flow RMSE: "), (k * 1.5).cast("string"), F.lit(" veh/h")), F.when(k % 5 > 0, F.concat(F.lit("Flow MAPE : "), (k * 0.25).cast("string"))))
-    texts = t.nation.select(k.alias("distance_mi"), F.when(k % 2 == 0, "base").otherwise("tuned").alias("strategy"), text.alias("value"))
-    return ingest.parse_study_reports(texts, METRIC_LABELS).withColumn("missing", F.array_join("missing", ","))
+    texts = t.customer.select(k.alias("distance_mi"), F.when(k % 2 == 0, "base").otherwise("tuned").alias("strategy"), text.alias("value"))
+    return ingest.parse_study_reports(texts, METRIC_LABELS)
+
+
+@query("a21_d30_study_summaries", "SELECT c_custkey AS distance_mi, CASE WHEN c_custkey % 2 = 0 THEN 'base' ELSE 'tuned' END AS strategy, c_custkey * 1.5 AS rmse, CASE WHEN c_custkey % 5 > 0 THEN c_custkey * 0.25 END AS mape, CASE WHEN c_custkey % 5 = 0 THEN 'mape' ELSE '' END AS missing FROM customer")
+def _(t):
+    return studies(t).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("d30_cross_study", """WITH s AS (SELECT c_custkey AS distance_mi, CASE WHEN c_custkey % 2 = 0 THEN 'base' ELSE 'tuned' END AS strategy, c_custkey * 1.5e0 AS rmse, CASE WHEN c_custkey % 5 > 0 THEN c_custkey * 25e-2 END AS mape FROM customer),
+x AS (SELECT 'rmse' AS metric, strategy, distance_mi, rmse AS value FROM s UNION ALL SELECT 'mape', strategy, distance_mi, mape FROM s) SELECT metric, strategy, distance_mi, row_number() OVER (PARTITION BY metric, strategy ORDER BY distance_mi) AS rank, value FROM x""")
+def _(t):
+    return ingest.cross_study(studies(t), ["rmse", "mape"])
 
 
 @query("g2_station_intersection", "SELECT DISTINCT station_id FROM stations WHERE station_id IN (SELECT station_id FROM det)")
@@ -502,9 +547,9 @@ def _(t):
     return ingest.missing_stations(t.stations, t.det)
 
 
-@query("f3_ordered", "SELECT station_id, m_5min FROM det WHERE m_5min < 100")
+@query("f3_ordered", "SELECT station_id, m_5min FROM det")
 def _(t):
-    return with_ts(t.det.where("m_5min < 100")).sortWithinPartitions("station_id", "ts").select("station_id", "m_5min")
+    return with_ts(t.det).sortWithinPartitions("station_id", "ts").select("station_id", "m_5min")
 
 
 @query("f4_latest_snapshot", "SELECT max(c_name) AS file_name FROM customer")
@@ -512,16 +557,36 @@ def _(t):
     return ingest.latest_snapshot(t.customer.select(F.col("c_name").alias("file_name")))
 
 
-@query("s1_stream_flow", """WITH e AS (SELECT user_id % 50 AS station_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, min(value) AS flow_count FROM events GROUP BY 1, 2)
-SELECT station_id, CAST(floor((s - 1704067200) / 300e0) AS BIGINT) AS m_5min, count(*) AS n FROM e GROUP BY 1, 2""")
+@query("s1_stream_flow", "SELECT DISTINCT l_suppkey AS station_id, l_orderkey % 288 AS m_5min, CAST(1 AS BIGINT) AS n FROM lineitem WHERE l_linenumber <> 7 AND l_orderkey % 288 <= 283")
 def _(t):
-    from ..streaming.detectors import five_minute_flow
-
-    rows = t.events.select((F.col("user_id") % 50).alias("station_id"), F.date_trunc("second", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts"), F.col("value").alias("flow_count"), F.lit(60.0).alias("speed"))
-    out = five_minute_flow(rows.dropDuplicates(["station_id", "ts"]), batch=True)
+    """The raw feed through files and a stream: what the watermark has closed, copies counted once."""
+    files, sink, state = (scratch_folder(t.spark, n) for n in ("feed", "stream", "stream-state"))
+    feed(t).write.option("compression", "gzip").text(files)
+    run_available(five_minute_flow(stream_detector_files(t.spark, files)), sink, state)
+    out = t.spark.read.parquet(sink)
     return out.select("station_id", F.expr("(unix_seconds(start) - 1704067200) div 300").alias("m_5min"), "n")
 
 
+@query("b7_window_problems", """WITH w AS (SELECT o_orderkey AS id, 1704067200 + o_custkey % 50 * 150 AS a, 1704067200 + o_custkey % 7 * 1800 AS b, CASE o_orderkey % 5 WHEN 0 THEN 100e0 WHEN 1 THEN 900e0 WHEN 2 THEN 7e0 WHEN 3 THEN 3600e0 ELSE 5000e0 END AS dt FROM orders)
+SELECT id, CASE WHEN dt > 3600 THEN 'dt_out_of_range' WHEN dt = 7 THEN 'dt_does_not_divide' WHEN b <= a THEN 'empty_window' WHEN a % g <> 0 OR b % g <> 0 THEN 'off_grid' END AS problem FROM (SELECT *, CASE WHEN dt <= 300 THEN 300 ELSE 3600 END AS g FROM w)""")
+def _(t):
+    k = F.col("o_custkey")
+    at = lambda s: F.timestamp_seconds(F.lit(1704067200) + s)
+    pick = F.element_at(F.array(*[F.lit(x) for x in (100.0, 900.0, 7.0, 3600.0, 5000.0)]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    w = t.orders.select(F.col("o_orderkey").alias("id"), at(k % 50 * 150).alias("a"), at(k % 7 * 1800).alias("b"), pick.alias("dt"))
+    return w.select("id", S.window_problem("a", "b", "dt").alias("problem"))
+
+
+@query("b28_resolved_starts", """WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 4 END AS given, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey % 4 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END END AS kept FROM orders)
+SELECT id, CASE WHEN given <> kept THEN NULL ELSE coalesce(kept, given) END AS day, CASE WHEN given <> kept THEN 'not_the_stored_one' WHEN given IS NULL AND kept IS NULL THEN 'none' END AS problem FROM s""")
+def _(t):
+    k, day = F.col("o_orderkey"), F.col("o_custkey") % 4
+    start = lambda d: F.timestamp_seconds(F.lit(1704067200) + d * 86400)
+    s = t.orders.select(k.alias("id"), F.when(k % 3 > 0, start(day)).alias("given"), F.when(k % 4 > 0, start(day + F.when(k % 7 == 0, 1).otherwise(0))).alias("kept"))
+    found = s.select("id", S.start_problem("given", "kept").alias("problem"), S.resolved_start("given", "kept").alias("at"))
+    return found.select("id", F.expr("(unix_seconds(at) - 1704067200) div 86400").alias("day"), "problem")
+
+
 @query("a12_write_read_corridor", f"WITH {JUN_SQL} SELECT kind, count(*) AS n, round(sum(postmile), 3) AS total FROM jun GROUP BY 1", 3)
 def _(t):
     path = scratch_folder(t.spark, "corridor")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import calibrate, gaps, load, quality, scenario, score
 from ..sources import ingest
-from ..sources.scratch import scratch_folder
+from ..sources.scratch import scratch_folder, written
 from .registry import query
 from .views import HORIZON, sample, with_ts
 
@@ -19,11 +19,12 @@ PER_LANE = "SELECT d.station_id, m_5min, pct_observed, total_flow_5min * 12e0 /
 
 
 def meta(t):
-    """Stations of the detector view: six, of three lanes, from nation's first rows."""
-    return t.nation.where("n_nationkey < 6").select(F.col("n_nationkey").cast("long").alias("station_id"), F.lit(3).alias("lanes"), F.lit("ML").alias("type"), (0.4 + F.col("n_nationkey") * 0.07).alias("length"))
+    """Stations of the detector view, of three lanes each: one for sixteen suppliers."""
+    s = t.supplier.select(F.floor(F.col("s_suppkey") / 16).alias("station_id")).distinct()
+    return s.select("station_id", F.lit(3).alias("lanes"), F.lit("ML").alias("type"), (0.4 + F.col("station_id") % 6 * 0.07).alias("length"))
 
 
-META_SQL = "meta AS (SELECT CAST(n_nationkey AS BIGINT) AS station_id, 3 AS lanes, 4e-1 + n_nationkey * 7e-2 AS length FROM nation WHERE n_nationkey < 6)"
+META_SQL = "meta AS (SELECT station_id, 3 AS lanes, 4e-1 + (station_id % 6) * 7e-2 AS length FROM (SELECT DISTINCT CAST(floor(s_suppkey / 16e0) AS BIGINT) AS station_id FROM supplier))"
 
 
 @query("b1_standardize", f"SELECT station_id, m_5min, pct_observed, 3 AS lanes, round(flow, 4) AS flow, round(density, 4) AS density FROM ({PER_LANE})")
@@ -46,9 +47,9 @@ def _(t):
     return S.time_window(t.det, 288, 576, "m_5min").select("station_id", "m_5min", "avg_speed_mph")
 
 
-@query("b5_require_contiguous", "SELECT station_id, count(*) AS n_rows, CAST(2016 AS BIGINT) AS expected FROM det WHERE m_5min < 2016 GROUP BY 1 HAVING count(*) <> 2016")
+@query("b5_require_contiguous", "SELECT station_id, count(*) AS n_rows, CAST(8640 AS BIGINT) AS expected FROM det GROUP BY 1 HAVING count(*) <> 8640")
 def _(t):
-    return quality.require_contiguous(t.det.where("m_5min < 2016"), 2016)
+    return quality.require_contiguous(t.det, HORIZON)
 
 
 @query("b6_require_no_null", "SELECT station_id, count(*) AS n_null FROM det WHERE total_flow_5min IS NULL GROUP BY 1")
@@ -101,7 +102,7 @@ def _(t):
     return t.cells.select("cell", S.snap_to_grid("length", 0.5).alias("metres"))
 
 
-@query("b26_window_label", "SELECT DISTINCT p_size * 15 AS s, CASE WHEN (p_size * 15) % 60 = 0 THEN (p_size * 15) // 60 || 'min' ELSE p_size * 15 || 's' END AS label FROM part")
+@query("b26_window_label", "SELECT DISTINCT p_size * 15 AS s, CASE WHEN p_size < 4 THEN p_size * 15 || 's' ELSE p_size // 4 || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END || 'min' END AS label FROM part")
 def _(t):
     return t.part.select((F.col("p_size") * 15).alias("s")).distinct().select("s", S.window_label("s").alias("label"))
 
@@ -166,9 +167,18 @@ def _(t):
     return gaps.slot_mean_fill(grid(t), "v").select("station_id", "m_5min", "v", "filled")
 
 
-@query("e4_stochastic_slot_fill")
+@query("e4_stochastic_slot_fill", f"""WITH {GRID_SQL} SELECT station_id, m_5min, round(v, 4) AS observed, v IS NULL AND count(v) OVER w > 0 AS filled, true AS in_range,
+CASE WHEN v IS NULL AND (count(v) OVER w = 1 OR stddev_samp(v) OVER w = 0) THEN round(avg(v) OVER w, 4) END AS settled FROM grid WINDOW w AS (PARTITION BY station_id, m_5min % 2016)""")
 def _(t):
-    return gaps.stochastic_slot_fill(grid(t), "v", 7).select("station_id", "m_5min", "v")
+    """A draw has no SQL: that observed values stay, which gaps are filled, and that draws keep to their slot's law, has."""
+    g = grid(t).withColumn("observed", F.col("v"))
+    stats = gaps.slot_stats(g, "v")
+    x = gaps.stochastic_slot_fill(g, "v", 7).withColumn("slot_of_week", S.slot_of_week("ts")).join(stats, ["station_id", "slot_of_week"])
+    gap = F.col("observed").isNull()
+    std = F.coalesce("std", F.lit(0.0))
+    low, high = F.greatest(F.col("mean") - 6.5 * std, F.lit(0.0)), F.greatest(F.col("mean") + 6.5 * std, F.lit(0.0))
+    sure = (F.col("n") == 1) | (F.col("std") == 0)
+    return x.select("station_id", "m_5min", "observed", (gap & F.col("v").isNotNull()).alias("filled"), F.coalesce(~gap | F.col("v").between(low - 1e-9, high + 1e-9), F.lit(True)).alias("in_range"), F.when(gap & sure, F.col("v")).alias("settled"))
 
 
 @query("e5_gap_aware_fill", f"WITH {GRID_SQL}, {RUNS} SELECT station_id, m_5min, round(coalesce(p, avg(v) OVER (PARTITION BY station_id, m_5min % 2016)), 4) AS v FROM short")
@@ -176,10 +186,10 @@ def _(t):
     return gaps.gap_aware_fill(grid(t), "v").select("station_id", "m_5min", "v")
 
 
-FIELD_SQL = """field AS (SELECT c.cell, g.m_5min, o.density AS value FROM cells c CROSS JOIN (SELECT unnest(range(0, 288)) AS m_5min) g LEFT JOIN obs5 o ON o.station_id = c.vds_id AND o.m_5min = g.m_5min)"""
+FIELD_SQL = """field AS (SELECT c.cell, g.m_5min, o.density AS value FROM cells c CROSS JOIN (SELECT unnest(range(0, 8640)) AS m_5min) g LEFT JOIN obs5 o ON o.station_id = c.vds_id AND o.m_5min = g.m_5min)"""
 
 
-def field(t, horizon=288):
+def field(t, horizon=HORIZON):
     cells = t.cells.select("cell", F.col("vds_id").alias("station_id"))
     dense = cells.withColumn("m_5min", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(horizon - 1).cast("long"))))
     return dense.join(t.obs5, ["station_id", "m_5min"], "left").select("cell", "m_5min", F.col("density").alias("value"), F.col("station_id").isNotNull().alias("direct"))
@@ -207,10 +217,12 @@ def _(t):
 
 
 @query("a20_imputed_grid_counts", f"""WITH {FIELD_SQL}, g AS (SELECT CASE WHEN direct THEN 'observed' ELSE 'knn' END AS source FROM (SELECT f.*, c.vds_id IS NOT NULL AS direct FROM field f JOIN cells c USING (cell)) WHERE value IS NOT NULL)
-SELECT source, count(*) AS n FROM g GROUP BY 1 UNION ALL SELECT 'unfilled', 25 * 288 - count(*) FROM g""")
+SELECT source, count(*) AS n FROM g GROUP BY 1 UNION ALL SELECT 'unfilled', (SELECT count(*) FROM cells) * 8640 - count(*) FROM g""")
 def _(t):
     g = field(t).where("value IS NOT NULL").withColumn("source", F.when(F.col("direct"), "observed").otherwise("knn"))
-    return ingest.imputed_counts(g, 25, 288)
+    path = scratch_folder(t.spark, "imputed")
+    ingest.write_imputed_grid(g.select("cell", "m_5min", "value", "source"), path)
+    return ingest.imputed_counts(t.spark.read.parquet(path), t.cells.count(), HORIZON)
 
 
 # Calibration.
@@ -220,7 +232,7 @@ s AS (SELECT k.*, seed FROM kept k JOIN seed USING (station_id)),
 free AS (SELECT station_id, sum(density * flow) / sum(density * density) AS v FROM s WHERE density <= seed GROUP BY 1),
 numbered AS (SELECT *, (row_number() OVER (PARTITION BY station_id ORDER BY density, m_5min) - 1) // 10 AS bin, count(*) OVER (PARTITION BY station_id) AS n FROM s WHERE density > seed),
 full_bins AS (SELECT * FROM numbered WHERE (bin + 1) * 10 <= n),
-fenced AS (SELECT f.* FROM full_bins f JOIN (SELECT station_id, bin, quantile_cont(whitened, 0.75) AS q3, quantile_cont(whitened, 0.25) AS q1 FROM full_bins GROUP BY 1, 2) q USING (station_id, bin) WHERE whitened <= q3 + (q3 - q1)),
+fenced AS (SELECT f.* FROM full_bins f JOIN (SELECT station_id, bin, quantile_cont(whitened, 0.75) AS q3, quantile_cont(whitened, 0.25) AS q1 FROM full_bins GROUP BY 1, 2) q USING (station_id, bin) WHERE whitened <= q3 + (q3 - q1) + 1e-9),
 bins AS (SELECT station_id, bin, avg(density) AS density, max(flow) AS flow FROM fenced GROUP BY 1, 2),
 line AS (SELECT station_id, regr_slope(flow, density) AS m, regr_intercept(flow, density) AS b FROM bins GROUP BY 1),
 fit AS (SELECT station_id, v AS free_flow_speed, -m AS congestion_wave_speed, -b / m AS jam_density, b / (v - m) AS critical_density, v * b / (v - m) AS capacity FROM free JOIN line USING (station_id))"""
@@ -261,18 +273,18 @@ def _(t):
 
 @query("d8_calibrate_fd", f"""WITH {FIT} SELECT station_id, 0 AS calibration_code, 'ok' AS calibration_status, round(capacity, 1) AS capacity, round(free_flow_speed, 3) AS free_flow_speed,
 round(congestion_wave_speed, 3) AS congestion_wave_speed, round(jam_density, 2) AS jam_density, round(critical_density, 2) AS critical_density FROM fit
-UNION ALL SELECT 99, 1, 'no_data', NULL, NULL, NULL, NULL, NULL""", 3)
+UNION ALL SELECT -1, 1, 'no_data', NULL, NULL, NULL, NULL, NULL""", 3)
 def _(t):
-    asked = meta(t).select("station_id").union(t.spark.range(99, 100))
+    asked = meta(t).select("station_id").union(t.spark.range(-1, 0))
     out = calibrate.calibrate_fd(with_ts(t.det), meta(t), asked)
     return out.select("station_id", "calibration_code", "calibration_status", F.round("capacity", 1).alias("capacity"), "free_flow_speed", "congestion_wave_speed", F.round("jam_density", 2).alias("jam_density"), F.round("critical_density", 2).alias("critical_density"))
 
 
 @query("d9_calibrate_ramp_capacity", """WITH f AS (SELECT *, (flow - avg(flow) OVER w) / nullif(stddev_samp(flow) OVER w, 0) AS z FROM (SELECT station_id, m_5min, total_flow_5min * 12 AS flow FROM det WHERE pct_observed >= 100 AND total_flow_5min IS NOT NULL) WINDOW w AS (PARTITION BY station_id, m_5min % 2016)),
 k AS (SELECT f.* FROM f JOIN (SELECT station_id, quantile_cont(z, 0.25) AS a, quantile_cont(z, 0.75) AS b FROM f GROUP BY 1) q USING (station_id) WHERE z BETWEEN a - 1.5 * (b - a) - 1e-9 AND b + 1.5 * (b - a) + 1e-9)
-SELECT station_id, round(quantile_cont(flow, 0.99), 3) AS ramp_capacity, count(*) AS n_observations, 0 AS calibration_code FROM k GROUP BY 1 UNION ALL SELECT 99, NULL, 0, 1""", 3)
+SELECT station_id, round(quantile_cont(flow, 0.99), 3) AS ramp_capacity, count(*) AS n_observations, 0 AS calibration_code FROM k GROUP BY 1 UNION ALL SELECT -1, NULL, 0, 1""", 3)
 def _(t):
-    return calibrate.calibrate_ramp_capacity(with_ts(t.det), meta(t).select("station_id").union(t.spark.range(99, 100)))
+    return calibrate.calibrate_ramp_capacity(with_ts(t.det), meta(t).select("station_id").union(t.spark.range(-1, 0)))
 
 
 @query("c1_attach_lanes", "SELECT d.station_id, s.lanes, count(*) AS n FROM det d JOIN stations s ON s.station_id = d.station_id GROUP BY 1, 2")
@@ -340,12 +352,12 @@ def _(t):
     return score.rmse_mape_all(pairs(t))
 
 
-@query("c20_first_cell_per_station", "SELECT cell, CASE WHEN vds_id IS NOT NULL AND row_number() OVER (PARTITION BY vds_id ORDER BY cell) = 1 THEN vds_id END AS vds_id FROM cells")
+@query("c20_first_cell_per_station", "SELECT cell, CASE WHEN vds_id IS NOT NULL AND row_number() OVER (PARTITION BY corridor_id, vds_id ORDER BY cell) = 1 THEN vds_id END AS vds_id FROM cells")
 def _(t):
     return score.first_cell_per_station(t.cells).select("cell", "vds_id")
 
 
-AGG = """first_cells AS (SELECT cell, length, CASE WHEN vds_id IS NOT NULL AND row_number() OVER (PARTITION BY vds_id ORDER BY cell) = 1 THEN vds_id END AS vds_id FROM cells),
+AGG = """first_cells AS (SELECT cell, length, CASE WHEN vds_id IS NOT NULL AND row_number() OVER (PARTITION BY corridor_id, vds_id ORDER BY cell) = 1 THEN vds_id END AS vds_id FROM cells),
 agg AS (SELECT sum(s.flow * f.length) / 12 AS sim_vmt, sum(s.density * f.length) / 12 AS sim_vht, sum(o.flow * m.length) / 12 AS obs_vmt, sum(o.density * m.length) / 12 AS obs_vht, count(DISTINCT f.vds_id) AS n_vds
 FROM sim5 s JOIN first_cells f ON f.cell = s.cell AND f.vds_id IS NOT NULL JOIN meta m ON m.station_id = f.vds_id JOIN obs5 o ON o.station_id = f.vds_id AND o.m_5min = s.m_5min WHERE o.flow IS NOT NULL AND o.density IS NOT NULL)"""
 
@@ -388,6 +400,12 @@ def _(t):
     return score.metric_totals(score.performance_metrics(t.traj, t.cells, 1 / 24), 288, 2 * HORIZON)
 
 
+@query("d16_cell_totals", f"""WITH x AS (SELECT t.*, length, v_f, q_max, (rho_post * length + queue_post) / 24e0 AS vht, rho_post * speed / 24e0 * length AS vmt, rho_post > rho_crit AS c FROM traj t JOIN cells USING (cell))
+SELECT run_id, cell, round(sum(vht), 1) AS vht, round(sum(vmt), 1) AS vmt, round(sum(CASE WHEN c THEN vht - vmt / v_f ELSE 0 END), 1) AS delay, round(sum(CASE WHEN c THEN (1 - flow / q_max) / 24e0 * length ELSE 0 END), 1) AS productivity_loss FROM x GROUP BY 1, 2""", 1)
+def _(t):
+    return score.cell_totals(t.traj, t.cells, 1 / 24)
+
+
 @query("d17_compare_grids", "WITH p AS (SELECT a.cell, a.rho_post AS sim_density, a.flow AS sim_flow, b.rho_post + 1.5 AS obs_density, b.flow * 0.98 AS obs_flow FROM traj a JOIN traj b ON a.cell = b.cell AND a.step = b.step WHERE a.step % 6 = 0) SELECT cell, " + errors_sql() + " FROM p GROUP BY 1", 3)
 def _(t):
     ref = t.traj.select("cell", "step", (F.col("rho_post") + 1.5).alias("rho"), (F.col("flow") * 0.98).alias("flow"))
@@ -405,9 +423,9 @@ def _(t):
     return score.weighted_grid_error(sim5(t), sourced(t), 0.25)
 
 
-@query("d21_observed_grid", "SELECT c.cell, g.m_5min, round(o.flow, 3) AS flow, round(o.density, 3) AS density FROM cells c CROSS JOIN (SELECT unnest(range(0, 288)) AS m_5min) g LEFT JOIN obs5 o ON o.station_id = c.vds_id AND o.m_5min = g.m_5min WHERE c.vds_id IS NOT NULL", 3)
+@query("d21_observed_grid", "SELECT c.cell, g.m_5min, round(o.flow, 3) AS flow, round(o.density, 3) AS density FROM cells c CROSS JOIN (SELECT unnest(range(0, 8640)) AS m_5min) g LEFT JOIN obs5 o ON o.station_id = c.vds_id AND o.m_5min = g.m_5min WHERE c.vds_id IS NOT NULL", 3)
 def _(t):
-    return score.observed_grid(t.obs5, t.cells, 288)
+    return score.observed_grid(t.obs5, t.cells, HORIZON)
 
 
 @query("f1_top_cells", f"WITH {PAIRS} SELECT cell, round(sqrt(avg((sim_density - obs_density) ** 2)), 3) AS density_rmse FROM pairs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", 3)
@@ -527,26 +545,30 @@ def _(t):
     return load.bin_centers(load.rebin_sum(steps(t), 7), DT_H)
 
 
-@query("e10_ldc_divergence")
+@query("e10_ldc_divergence", f"""WITH {STEPS}, {LDC}, h AS (SELECT step // 12 AS block, count(*) AS n, sum(energy_wh) / (count(*) / 12e0) AS p FROM steps GROUP BY 1),
+hc AS (SELECT p, sum(n) OVER (ORDER BY p DESC, block) AS hi, sum(n) OVER (ORDER BY p DESC, block) - n AS lo, (SELECT count(*) FROM steps) AS total FROM h),
+hourly AS (SELECT i, p FROM (SELECT unnest(range(0, 512)) AS i) g JOIN hc ON (i + 0.5) / 512e0 > lo / CAST(total AS DOUBLE) AND (i + 0.5) / 512e0 <= hi / CAST(total AS DOUBLE))
+SELECT round(avg(abs(c.energy_wh * 12 - p)) / (SELECT avg(energy_wh * 12) FROM steps), 4) AS divergence FROM curve c JOIN hourly USING (i)""")
 def _(t):
-    s = steps(t)
+    s = written(steps(t), "steps")
     native = s.select((F.col("energy_wh") * 12).alias("power_w"), F.lit(1).alias("weight"))
     hourly = load.window_power(load.rebin_sum(s, 12), DT_H).select("power_w", F.col("n").alias("weight"))
     curve, other = load.load_duration_curve(native), load.load_duration_curve(hourly)
-    mean = native.agg(F.avg("power_w").alias("m"))
-    d = curve.withColumnRenamed("power_w", "x").join(other.withColumnRenamed("power_w", "y"), "i").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("d"))
-    return d.crossJoin(mean).select(F.try_divide("d", "m").alias("divergence"))  # one row each
+    return load.ldc_divergence(curve, other, native.agg(F.avg("power_w")).first()[0])
 
 
 @query("d29_temporal_aggregation", f"""WITH {STEPS}, w AS (SELECT * FROM (VALUES (300e0, 1), (900e0, 3), (3600e0, 12), (21600e0, 72)) v(window_s, s)),
 b AS (SELECT window_s, step // s AS block, sum(energy_wh) AS e, count(*) AS n, sum(energy_wh) / (count(*) / 12e0) AS p FROM steps CROSS JOIN w GROUP BY 1, 2),
 c AS (SELECT *, (2 * sum(n) OVER (PARTITION BY window_s ORDER BY block) - n) / 2e0 / 12e0 AS t FROM b),
-a AS (SELECT window_s, max(p) AS peak, arg_min(t, (-p, block)) AS best, sum(e) AS e FROM c GROUP BY 1), z AS (SELECT peak AS p0, best AS t0, e AS e0 FROM a WHERE window_s = 300)
-SELECT window_s, round(peak, 0) AS peak_w, round(100 * (p0 - peak) / p0, 3) AS attenuation_pct, round(best, 3) AS peak_time_h, round(best - t0, 3) AS peak_shift_h, round(e, 0) AS energy_wh FROM a, z""")
+a AS (SELECT window_s, max(p) AS peak, arg_min(t, (-p, block)) AS best, sum(e) AS e, sum(n) AS n FROM c GROUP BY 1), z AS (SELECT peak AS p0, best AS t0, e AS e0, e / (n / 12e0) AS m0 FROM a WHERE window_s = 300),
+lc AS (SELECT window_s, p, n, sum(n) OVER (PARTITION BY window_s ORDER BY p DESC, block) AS hi, CAST(sum(n) OVER (PARTITION BY window_s) AS DOUBLE) AS total FROM b),
+lv AS (SELECT window_s, i, p FROM (SELECT unnest(range(0, 512)) AS i) g JOIN lc ON (i + 0.5) / 512e0 > (hi - n) / total AND (i + 0.5) / 512e0 <= hi / total),
+dv AS (SELECT x.window_s, avg(abs(x.p - y.p)) AS gap FROM lv x JOIN lv y ON x.i = y.i AND y.window_s = 300 GROUP BY 1)
+SELECT window_s, round(peak, 0) AS peak_w, round(100 * (p0 - peak) / p0, 3) AS attenuation_pct, round(best, 3) AS peak_time_h, round(best - t0, 3) AS peak_shift_h, round(e, 0) AS energy_wh, round(gap / m0, 4) AS divergence, abs(e - e0) / e0 < 1e-9 AS energy_kept FROM a JOIN dv USING (window_s), z""")
 def _(t):
-    x = load.temporal_aggregation_summary(steps(t), 300.0, [900.0, 3600.0, 21600.0])
+    x = load.temporal_aggregation_summary(written(steps(t), "steps"), 300.0, [900.0, 3600.0, 21600.0])
     r = lambda n, k: F.round(n, k).alias(n)
-    return x.select("window_s", r("peak_w", 0), r("attenuation_pct", 3), r("peak_time_h", 3), r("peak_shift_h", 3), r("energy_wh", 0))
+    return x.select("window_s", r("peak_w", 0), r("attenuation_pct", 3), r("peak_time_h", 3), r("peak_shift_h", 3), r("energy_wh", 0), "divergence", (F.abs("energy_error") < 1e-9).alias("energy_kept"))
 
 
 @query("d28_segment_peak_attenuation", f"""WITH {STEPS}, w AS (SELECT * FROM (VALUES (300e0, 1), (3600e0, 12)) v(window_s, s)), l AS (SELECT * FROM (VALUES (1e0), (2.5e0)) v(length_mi)),
@@ -561,12 +583,12 @@ def _(t):
 # Scenario series.
 
 
-@query("h3_hold_to_step", "SELECT station_id, m_5min * 3 + i AS step, round(total_flow_5min * 12, 3) AS flow FROM det CROSS JOIN (SELECT unnest(range(0, 3)) AS i) WHERE m_5min < 288", 3)
+@query("h3_hold_to_step", "SELECT station_id, m_5min * 3 + i AS step, round(total_flow_5min * 12, 3) AS flow FROM det CROSS JOIN (SELECT unnest(range(0, 3)) AS i)", 3)
 def _(t):
-    return scenario.hold_to_step(t.det.where("m_5min < 288").select("station_id", "m_5min", F.col("total_flow_5min").alias("flow")), 100)
+    return scenario.hold_to_step(t.det.select("station_id", "m_5min", F.col("total_flow_5min").alias("flow")), 100)
 
 
-@query("h4_hourly_to_step", "SELECT station_id, h * 4 + i AS step, round(f, 3) AS flow FROM (SELECT station_id, m_5min // 12 AS h, sum(total_flow_5min) AS f FROM det GROUP BY 1, 2) CROSS JOIN (SELECT unnest(range(0, 4)) AS i)", 3)
+@query("h4_hourly_to_step", "SELECT station_id, h * 4 + i AS step, round(f, 4) AS flow FROM (SELECT station_id, m_5min // 12 AS h, sum(total_flow_5min) AS f FROM det GROUP BY 1, 2) CROSS JOIN (SELECT unnest(range(0, 4)) AS i)")
 def _(t):
     return scenario.hourly_to_step(t.det.select("station_id", "m_5min", F.col("total_flow_5min").alias("flow")), 900)
 
@@ -582,9 +604,9 @@ def _(t):
     return scenario.initial_density(t.cells, t.obs5, 100)
 
 
-@query("a23_scenario_table", "SELECT m_5min AS step, cell, CASE WHEN on_ramp THEN CAST((m_5min + cell) % 9 AS DOUBLE) ELSE 0e0 END AS demand, 5e-2 AS beta FROM (SELECT DISTINCT m_5min FROM det WHERE station_id = 1 AND m_5min < 288) CROSS JOIN cells")
+@query("a23_scenario_table", "SELECT m_5min AS step, cell, CASE WHEN on_ramp THEN CAST((m_5min + cell) % 9 AS DOUBLE) ELSE 0e0 END AS demand, 5e-2 AS beta FROM (SELECT DISTINCT m_5min FROM det WHERE station_id = 1) CROSS JOIN cells")
 def _(t):
-    inflow = t.det.where("station_id = 1 AND m_5min < 288").select(F.col("m_5min").alias("step"), F.col("total_flow_5min").alias("inflow"))
+    inflow = t.det.where("station_id = 1").select(F.col("m_5min").alias("step"), F.col("total_flow_5min").alias("inflow"))
     d = inflow.select("step").crossJoin(t.cells.where("on_ramp").select("cell")).withColumn("demand", ((F.col("step") + F.col("cell")) % 9).cast("double"))
     return scenario.scenario_table(t.cells, inflow, d, 0.05)
 
@@ -607,12 +629,18 @@ def _(t):
     return scenario.weight_mask(g, f.select("cell", "m_5min"), 0.25)
 
 
-@query("v1_holdout_accuracy", f"""WITH {GRID_SQL}, h AS (SELECT station_id, m_5min, CASE WHEN m_5min % 97 < 6 THEN v END AS truth, CASE WHEN m_5min % 97 >= 6 THEN v END AS v FROM grid),
-f AS (SELECT truth, coalesce(v, avg(v) OVER (PARTITION BY station_id, m_5min % 2016)) AS v FROM h)
-SELECT count(v - truth) AS n, round(sqrt(avg((v - truth) ** 2)), 3) AS rmse, round(100 * avg(CASE WHEN truth <> 0 THEN abs(v - truth) / abs(truth) END), 3) AS mape, round(avg(v - truth), 3) AS bias FROM f WHERE truth IS NOT NULL""", 3)
+HOLDOUT_GAPS = (1, 3, 6, 12)
+FILLERS = {"persistence": lambda df: gaps.persistence_fill(df, "v"), "slot_mean": lambda df: gaps.slot_mean_fill(df, "v"), "gap_aware": lambda df: gaps.gap_aware_fill(df, "v")}
+
+
+@query("v1_holdout_accuracy", f"""WITH {GRID_SQL}, h AS (SELECT gap, station_id, m_5min, CASE WHEN m_5min % 97 < gap THEN v END AS truth, CASE WHEN m_5min % 97 >= gap THEN v END AS v FROM grid CROSS JOIN (SELECT unnest([1, 3, 6, 12]) AS gap)),
+r0 AS (SELECT *, CASE WHEN (v IS NULL) <> lag(v IS NULL) OVER w THEN 1 ELSE 0 END AS change, last_value(v IGNORE NULLS) OVER w AS p, avg(v) OVER (PARTITION BY gap, station_id, m_5min % 2016) AS a FROM h WINDOW w AS (PARTITION BY gap, station_id ORDER BY m_5min)),
+r1 AS (SELECT *, sum(change) OVER (PARTITION BY gap, station_id ORDER BY m_5min) AS run FROM r0), r2 AS (SELECT *, count(*) OVER (PARTITION BY gap, station_id, run) AS length FROM r1),
+f AS (SELECT gap, s AS strategy, truth, CASE s WHEN 'persistence' THEN coalesce(v, p) WHEN 'slot_mean' THEN coalesce(v, a) ELSE coalesce(v, CASE WHEN length * 5 <= 10 THEN p END, a) END AS v FROM r2 CROSS JOIN (SELECT unnest(['persistence', 'slot_mean', 'gap_aware']) AS s) WHERE truth IS NOT NULL)
+SELECT strategy, gap, count(v - truth) AS n, round(sqrt(avg((v - truth) ** 2)), 3) AS rmse, round(100 * avg(CASE WHEN truth <> 0 THEN abs(v - truth) / abs(truth) END), 3) AS mape, round(avg(v - truth), 3) AS bias FROM f GROUP BY 1, 2""", 3)
 def _(t):
-    masked = scenario.holdout_blocks(grid(t), "v", 6, 97)
-    return scenario.fill_accuracy(gaps.slot_mean_fill(masked, "v"), "v")
+    g = written(grid(t), "grid")
+    return scenario.holdout_report(g, "v", HOLDOUT_GAPS, 97, FILLERS)
 
 
 @query("u1_pluggable_fill", f"WITH {GRID_SQL} SELECT station_id, count(*) AS n_rows, count(p) AS n FROM (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY m_5min) AS p FROM grid) GROUP BY 1")

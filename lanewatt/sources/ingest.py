@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The columns of the detector feed and of station metadata, with the other names they go by.
@@ -76,10 +76,11 @@ def explode_lanes(rows: DataFrame) -> DataFrame:
 
 
 def write_by_station(rows: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Whole-row duplicates dropped, then one folder a station, rows in order of time; overwrites what is there."""
+    """Whole-row duplicates dropped, then one folder a station, rows in order of time. Stations in ``rows`` replace what
+    is there of them; the folders of others stay."""
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.dropDuplicates().repartition(n, "station_id").sortWithinPartitions("station_id", "ts").write.mode("overwrite").partitionBy("station_id").parquet(path)
+    rows.dropDuplicates().repartition(n, "station_id").sortWithinPartitions("station_id", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("station_id").parquet(path)
 
 
 def merge_by_station(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -96,13 +97,12 @@ def new_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:
     return listing.join(ledger.select("file_name"), "file_name", "left_anti")
 
 
-def expand_file_requests(spark: SparkSession, types: list[str], districts: list[int], years: list[int], months: list[int]) -> DataFrame:
-    """(type, district, year, month) of every combination."""
-    arrays = [F.array(*[F.lit(x) for x in own]) for own in (types, districts, years, months)]
-    out = spark.range(1)
-    for name, values in zip(("type", "district", "year", "month"), arrays, strict=True):
-        out = out.withColumn(name, F.explode(values))
-    return out.drop("id")
+def expand_file_requests(districts: DataFrame, types: list[str], years: list[int], months: list[int]) -> DataFrame:
+    """(type, district, year, month) of every combination; ``districts`` has the column district."""
+    out = districts.select("district").distinct()
+    for name, values in (("type", types), ("year", years), ("month", months)):
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(x) for x in values])))
+    return out
 
 
 def normalise_metadata_key(df: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def wide_to_long(df: DataFrame, key: str, value: str, cells: DataFrame | None =
     long = df.unpivot(key, cols, "cell", value).withColumn("cell", F.col("cell").cast("long"))
     if cells is None:
         return long
-    dense = df.select(key).crossJoin(F.broadcast(cells.select("cell")))  # the table is that product
+    dense = df.select(key).crossJoin(cells.select("cell"))  # the table is that product
     return dense.join(long, [key, "cell"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
@@ -200,9 +200,9 @@ def long_to_wide(df: DataFrame, key: str, value: str, cells: list[int]) -> DataF
 
 
 def write_run(path: str, run_id: str, **tables: DataFrame) -> None:
-    """The tables of one run, each partitioned by run."""
+    """The tables of one run, each partitioned by run; a run written again takes the place of itself, others stay."""
     for name, df in tables.items():
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+        df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
 
 
 def read_run(spark: SparkSession, path: str, run_id: str, name: str) -> DataFrame:
@@ -233,6 +233,26 @@ def fit_bundle_meta(cells: DataFrame, dt_s: float, horizon: int) -> DataFrame:
     ), {"ignoreNullFields": "false"}).alias("meta"))
 
 
+def write_fit_bundle(path: str, cells: DataFrame, initial: DataFrame, inflow: DataFrame, observed: DataFrame, dt_s: float, horizon: int) -> None:
+    """What a fit reads: cell parameters, initial state, inflow and observed grid as tables, and one row of meta."""
+    for name, df in (("params", cells), ("initial", initial), ("inflow", inflow), ("observed", observed)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    fit_bundle_meta(cells, dt_s, horizon).write.mode("overwrite").text(f"{path}/meta")
+
+
+def read_fit_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a bundle by name, and ``meta`` with its fields as columns."""
+    out = {name: spark.read.parquet(f"{path}/{name}") for name in ("params", "initial", "inflow", "observed")}
+    meta = "dt_s double, horizon long, n_cells long, on_ramp_cells array<long>, off_ramp_cells array<long>, capacities array<struct<cell:long,on_ramp_capacity:double,off_ramp_capacity:double>>"
+    out["meta"] = spark.read.text(f"{path}/meta").select(F.from_json("value", meta).alias("m")).select("m.*")
+    return out
+
+
+def write_imputed_grid(grid: DataFrame, path: str) -> None:
+    """A filled grid (cell, m_5min, value, source), one folder a source of its values."""
+    grid.write.mode("overwrite").partitionBy("source").parquet(path)
+
+
 def imputed_counts(grid: DataFrame, n_cells: int, horizon: int) -> DataFrame:
     """(source, n) of a filled grid, and how many entries stay unfilled."""
     by = grid.groupBy("source").agg(F.count("*").alias("n"))
@@ -247,6 +267,13 @@ def parse_study_reports(texts: DataFrame, metrics: dict[str, str]) -> DataFrame:
     return out.withColumn("missing", F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in metrics]))).drop("value")
 
 
+def cross_study(summaries: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, strategy, distance_mi, rank, value): studies side by side, by distance within a metric and strategy."""
+    tidy = summaries.unpivot(["strategy", "distance_mi"], metrics, "metric", "value")
+    w = Window.partitionBy("metric", "strategy").orderBy("distance_mi")
+    return tidy.select("metric", "strategy", "distance_mi", F.row_number().over(w).alias("rank"), "value")
+
+
 def missing_stations(asked: DataFrame, ts: DataFrame) -> DataFrame:
     return asked.select("station_id").distinct().join(ts.select("station_id").distinct(), "station_id", "left_anti")
 

@@ -1,17 +1,30 @@
-"""A folder for tables that a job writes to read again."""
+"""Tables that a job writes to read again."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new name in the folder of ``spark.checkpoint.dir``, which all machines share; a temporary one where none is set."""
+    """A new name in the folder of ``spark.checkpoint.dir``, which all machines share.
+
+    A local session that names none gets a temporary folder; on a cluster that is an error, as a folder of one machine
+    is lost with it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="lanewatt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the scratch folder, for what several branches of a plan read."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
