@@ -271,8 +271,8 @@ def _(t):
     return p.select("station_id", F.round("critical_density", 2).alias("critical_density"), F.round("capacity", 1).alias("capacity"), "congestion_wave_speed")
 
 
-@query("d8_calibrate_fd", f"""WITH {FIT} SELECT station_id, 0 AS calibration_code, 'ok' AS calibration_status, round(capacity, 1) AS capacity, round(free_flow_speed, 3) AS free_flow_speed,
-round(congestion_wave_speed, 3) AS congestion_wave_speed, round(jam_density, 2) AS jam_density, round(critical_density, 2) AS critical_density FROM fit
+@query("d8_calibrate_fd", f"""WITH {META_SQL}, {FIT} SELECT station_id, CASE WHEN fit.capacity IS NULL THEN 1 ELSE 0 END AS calibration_code, CASE WHEN fit.capacity IS NULL THEN 'no_data' ELSE 'ok' END AS calibration_status, round(capacity, 1) AS capacity, round(free_flow_speed, 3) AS free_flow_speed,
+round(congestion_wave_speed, 3) AS congestion_wave_speed, round(jam_density, 2) AS jam_density, round(critical_density, 2) AS critical_density FROM meta LEFT JOIN fit USING (station_id)
 UNION ALL SELECT -1, 1, 'no_data', NULL, NULL, NULL, NULL, NULL""", 3)
 def _(t):
     asked = meta(t).select("station_id").union(t.spark.range(-1, 0))
@@ -280,9 +280,9 @@ def _(t):
     return out.select("station_id", "calibration_code", "calibration_status", F.round("capacity", 1).alias("capacity"), "free_flow_speed", "congestion_wave_speed", F.round("jam_density", 2).alias("jam_density"), F.round("critical_density", 2).alias("critical_density"))
 
 
-@query("d9_calibrate_ramp_capacity", """WITH f AS (SELECT *, (flow - avg(flow) OVER w) / nullif(stddev_samp(flow) OVER w, 0) AS z FROM (SELECT station_id, m_5min, total_flow_5min * 12 AS flow FROM det WHERE pct_observed >= 100 AND total_flow_5min IS NOT NULL) WINDOW w AS (PARTITION BY station_id, m_5min % 2016)),
+@query("d9_calibrate_ramp_capacity", f"""WITH {META_SQL}, f AS (SELECT *, (flow - avg(flow) OVER w) / nullif(stddev_samp(flow) OVER w, 0) AS z FROM (SELECT station_id, m_5min, total_flow_5min * 12 AS flow FROM det WHERE pct_observed >= 100 AND total_flow_5min IS NOT NULL) WINDOW w AS (PARTITION BY station_id, m_5min % 2016)),
 k AS (SELECT f.* FROM f JOIN (SELECT station_id, quantile_cont(z, 0.25) AS a, quantile_cont(z, 0.75) AS b FROM f GROUP BY 1) q USING (station_id) WHERE z BETWEEN a - 1.5 * (b - a) - 1e-9 AND b + 1.5 * (b - a) + 1e-9)
-SELECT station_id, round(quantile_cont(flow, 0.99), 3) AS ramp_capacity, count(*) AS n_observations, 0 AS calibration_code FROM k GROUP BY 1 UNION ALL SELECT -1, NULL, 0, 1""", 3)
+SELECT m.station_id, round(quantile_cont(flow, 0.99), 3) AS ramp_capacity, count(flow) AS n_observations, CASE WHEN count(flow) = 0 THEN 2 ELSE 0 END AS calibration_code FROM meta m LEFT JOIN k USING (station_id) GROUP BY 1 UNION ALL SELECT -1, NULL, 0, 1""", 3)
 def _(t):
     return calibrate.calibrate_ramp_capacity(with_ts(t.det), meta(t).select("station_id").union(t.spark.range(-1, 0)))
 
@@ -588,7 +588,7 @@ def _(t):
     return scenario.hold_to_step(t.det.select("station_id", "m_5min", F.col("total_flow_5min").alias("flow")), 100)
 
 
-@query("h4_hourly_to_step", "SELECT station_id, h * 4 + i AS step, round(f, 4) AS flow FROM (SELECT station_id, m_5min // 12 AS h, sum(total_flow_5min) AS f FROM det GROUP BY 1, 2) CROSS JOIN (SELECT unnest(range(0, 4)) AS i)")
+@query("h4_hourly_to_step", "SELECT station_id, h * 4 + i AS step, round(f, 7) AS flow FROM (SELECT station_id, m_5min // 12 AS h, sum(total_flow_5min) AS f FROM det GROUP BY 1, 2) CROSS JOIN (SELECT unnest(range(0, 4)) AS i)", 7)
 def _(t):
     return scenario.hourly_to_step(t.det.select("station_id", "m_5min", F.col("total_flow_5min").alias("flow")), 900)
 
