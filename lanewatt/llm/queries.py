@@ -88,4 +88,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest
        CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
 FROM p LEFT JOIN top USING (html)""",
+    # crc32 by its table, over the bytes of the text
+    "op9_byte_shards": """
+WITH crc AS (SELECT list(t ORDER BY n) AS tab FROM (
+  SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS t FROM (SELECT unnest(range(0, 256)) AS n))),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size,
+             list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))) AS bytes FROM documents),
+r AS (SELECT doc_id, size, CAST(xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM d, crc),
+s AS (SELECT *, sum(size) OVER w AS upto, sum(size) OVER () AS total, row_number() OVER w AS k FROM r WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, CAST(least((2 * upto - size) * 24 // (2 * total), 23) AS INT) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(k - min(k) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p""",
 }

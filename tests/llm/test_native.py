@@ -149,3 +149,17 @@ def test_shards_and_masks_of_columns_with_odd_names(spark):
     assert out.columns == docs.columns and all("[secret]" in r["text"] and r["a.b"] == r["blob_address"] == r["doc_id"] for r in out.collect())
     placed = sharding.assign_shards(docs.withColumn("size", docs["part"] + 1), ["doc_id"], "size", 4)
     assert placed.columns == [*docs.columns, "size", "shard", "slot"] and placed.count() == 40
+
+
+def test_shards_match_their_sql(spark):
+    import duckdb
+    from lanewatt.llm import queries
+
+    root = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{root}/documents.parquet'")
+    theirs = con.execute(queries.ORACLE_SQL["op9_byte_shards"]).df()
+    ours = queries.QUERIES["op9_byte_shards"](spark, root).toPandas()
+    cols = ["doc_id", "size", "text_crc32", "law", "shard", "slot"]
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    assert sorted(map(tuple, ours[cols].values.tolist())) == sorted(map(tuple, theirs[cols].values.tolist()))
