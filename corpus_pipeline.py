@@ -1,8 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, secrets, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. Rows with awkward values go
-through as the operators define: a null text counts as empty, rows without a doc_id are never dropped by a decision that
-names ids.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. Every decision is about a row by
+its own text: a null text counts as empty, rows that repeat a doc_id or have none are judged like any other, columns
+beside those of documents are carried along whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,21 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewatt.llm import decontaminate, packing, secrets, simhash, toxicity
-from lanewatt.llm.common import new_folder
+from lanewatt.llm.common import new_folder, remove_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the subword model finds toxic."""
+    """Drop the documents that the subword model finds toxic; null and empty texts stay, as the model's bias is clean."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class."""
+    """Keep one document of each near-duplicate class, that of the smallest doc_id; texts without a word are one class."""
     return simhash.deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark passage."""
+    """Drop the documents that hold a benchmark passage; null and empty texts hold none."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -34,7 +34,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+    """Pack what is left into sequences; null and empty texts are one token, repeated rows have pieces of their own."""
     return packing.packed_documents(docs)
 
 
@@ -51,11 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again by the next, whose
+    own rows replace them there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_folder(spark, f"stage-{name}")
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
