@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial, reduce
@@ -56,11 +57,11 @@ class ByteTokenizer:
             return self.raw(text)
         first, *rest = text.split(" ")
         words, out = self.words, [self.raw(first)]
-        get, add = words.get, out.append
+        get, add, ordinary = words.get, out.append, self.encoding.encode_ordinary
         for w in rest:
             ids = get(w)
             if ids is None:
-                ids = self.raw(" " + w)
+                ids = self.raw(" " + w) if "<|" in w else array("I", ordinary(" " + w)).tobytes()  # no mark of a special id
                 if len(words) < WORD_CACHE and len(w) < 40:
                     words[w] = ids
             add(ids)
