@@ -1,12 +1,14 @@
 """Operators on small tables with values worked out by hand, and readers and writers by round trips."""
 
 import gzip
+import math
+import random
 from datetime import datetime
 
 import numpy as np
 import pytest
 from lanewatt.functions import scalars as S
-from lanewatt.operators import calibrate, gaps, linref, load, quality, scenario, score
+from lanewatt.operators import calibrate, gaps, linref, load, quality, running, scenario, score
 from lanewatt.sources import ingest
 from lanewatt.streaming import detectors
 from pyspark.sql import functions as F
@@ -249,3 +251,61 @@ def test_a_pandas_filler_plugs_in(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 5, None), (1, 10, 3.0)], "station_id long, minute int, v double")
     done = df.transform(lambda d: d.groupBy("station_id").applyInPandas(filler, d.schema))
     assert values(done, "minute", "v") == [1, 2, 3]
+
+
+def test_running_sums_equal_a_plain_loop(spark):
+    rows = [(k, (k * 37) % 11, k % 3) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, n long, key int")
+    got = {r["id"]: r["upto"] for r in running.running_sum(df, [F.desc("n"), "id"], "n", "upto").collect()}
+    total, want = 0, {}
+    for i, n, _ in sorted(rows, key=lambda r: (-r[1], r[0])):
+        total += n
+        want[i] = total
+    assert got == want
+    for r in running.running_share(df, ["key"], ["id"], "n").collect():
+        own = [n for i, n, k in rows if k == r["key"]]
+        assert r["total"] == sum(own) and r["upto"] == sum(n for i, n, k in rows if k == r["key"] and i <= r["id"])
+    assert running.running_share(df.limit(0), [], ["id"], "n").count() == 0
+
+
+def test_rewritten_stations_and_runs_leave_the_others(spark, tmp_path):
+    rows = lambda s, v: spark.createDataFrame([(s, i, v) for i in range(3)], "station_id long, ts long, v int")
+    path = str(tmp_path / "stations")
+    ingest.write_by_station(rows(1, 1).union(rows(2, 1)), path)
+    ingest.write_by_station(rows(2, 5), path)
+    assert sorted((r["station_id"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 1)] * 3 + [(2, 5)] * 3
+    path = str(tmp_path / "runs")
+    for run, v in (("r1", 1), ("r2", 2), ("r1", 3)):
+        ingest.write_run(path, run, traj=rows(1, v))
+    assert [r["v"] for r in ingest.read_run(spark, path, "r1", "traj").collect()] == [3] * 3
+    assert [r["v"] for r in ingest.read_run(spark, path, "r2", "traj").collect()] == [2] * 3
+
+
+def test_ramp_demand_fills_first_and_tells_gaps(spark):
+    cells = spark.createDataFrame([(0, True, ["1", "2", "v9"])], "cell long, on_ramp boolean, on_ramp_vds_ids array<string>")
+    flow = spark.createDataFrame([(1, 0, 5.0), (1, 1, None), (1, 2, 7.0), (2, 0, 1.0), (2, 1, 2.0), (2, 2, 3.0)], "station_id long, m_5min long, flow double")
+    with pytest.raises(Exception, match="no flow at station 1, sample 1"):
+        scenario.ramp_demand(cells, flow, 0, 3).collect()
+    told = {r["step"]: r["demand"] for r in scenario.ramp_demand(cells, flow, 0, 3, gaps="null").collect()}
+    assert told == {0: 72.0, 1: None, 2: 120.0}
+    filled = scenario.ramp_demand(cells, flow, 1, 3, 150, lambda df: df.fillna(4.0, ["flow"])).collect()
+    assert {r["step"]: r["demand"] for r in filled} == {0: 72.0, 1: 72.0, 2: 120.0, 3: 120.0}
+
+
+def test_nearest_points_are_found_however_far(spark):
+    rng = random.Random(5)
+    marks = [(1, float(k), rng.uniform(-120, -110), rng.uniform(30, 40)) for k in range(60)]
+    nodes = [(k, rng.uniform(-121, -109), rng.uniform(29, 41), 1) for k in range(40)] + [(99, 100.0, -40.0, 1)]
+    got = {r["node_id"]: r["pm"] for r in linref.annotate_postmiles(spark.createDataFrame(nodes, "node_id long, x double, y double, route int"), spark.createDataFrame(marks, "route int, pm double, longitude double, latitude double")).collect()}
+    assert set(got) == {n for n, *_ in nodes}
+    for n, x, y, _ in nodes:
+        _, pm, lon, lat = min(marks, key=lambda m: ((m[2] - x) ** 2 + (m[3] - y) ** 2, m[1]))
+        a1, a2, d = math.radians(lat), math.radians(y), math.radians(x - lon)
+        miles = 2 * 6371009 * math.asin(math.sqrt(math.sin((a2 - a1) / 2) ** 2 + math.cos(a1) * math.cos(a2) * math.sin(d / 2) ** 2)) / 1609.344
+        assert abs(abs(got[n] - pm) - miles) < 1e-6
+
+
+def test_tags_labels_and_capacities(spark):
+    one = spark.createDataFrame([("4;3", ["3", "4", "4"], 90.0), ("3;4;4", [], 45.0), (None, None, 900.0)], "tag string, tags array<string>, s double")
+    got = [tuple(r) for r in one.select(S.parse_lanes("tag"), S.lanes_of_list("tags"), S.window_label("s")).collect()]
+    assert got == [(4, 4, "1.5min"), (3, 0, "45s"), (0, 0, "15min")]
