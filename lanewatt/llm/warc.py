@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zipfile
@@ -23,6 +24,7 @@ from .common import new_folder, spread_left, stored
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 24 << 20
 RUN_BYTES = 4 << 20
+STAMP = "20240101000000"
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 IDS = uuid.UUID("6f1d3f52-0000-4000-0000-000000000000").int
 
@@ -109,13 +111,18 @@ def page_of(name: str) -> int | None:
     return low - 2**64 if low >= 2**63 else low
 
 
+def target(url: str | None) -> str:
+    """A page's address without spaces or line ends."""
+    return quote(url or "about:blank", safe=":/?#[]@!$&()*+,;=%~-._")
+
+
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool) -> bytes:
     """One gzipped record; a revisit keeps the HTTP head, with the full payload's length, but not the payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z",
-        f"WARC-Target-URI: {quote(url or 'about:blank', safe=':/?#[]@!$&()*+,;=%~-._')}", f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Target-URI: {target(url)}", f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if revisit:
@@ -165,14 +172,14 @@ class _Package:
         self.member = self.zip.open(zipfile.ZipInfo(MEMBER), "w", force_zip64=True)
         self.size, self.lines = 0, []
 
-    def add(self, record: bytes) -> None:
+    def add(self, record: bytes, url: str | None) -> None:
         self.member.write(record)
-        self.lines.append(f"{self.size} {len(record)}")
+        self.lines.append(f'{target(url)} {STAMP} {{"offset": {self.size}, "length": {len(record)}}}')
         self.size += len(record)
 
     def close(self) -> tuple[str, int, int]:
         self.member.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(self.lines))
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(sorted(self.lines)))  # by address and time, as look-ups need it
         self.zip.close()
         self.out.close()
         return self.path, len(self.lines), self.size
@@ -185,7 +192,7 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
         for row in zip(*cols, strict=True):
             page, url, html, digest, size, refers, revisit = (x.as_py() for x in row)
             package = package or _Package(folder)
-            package.add(make_record(page, url, html or b"", digest, size, refers, revisit))
+            package.add(make_record(page, url, html or b"", digest, size, refers, revisit), url)
             if package.size >= ARCHIVE_BYTES:
                 done.append(package.close())
                 package = None
@@ -236,7 +243,8 @@ def read_package(path: str) -> Iterator[tuple]:
             raise WarcError(f"{path} lacks its archive or its index")
         index, start = members[INDEX], data_offset(file, members[MEMBER])
         lines = file.read_at(index.size, data_offset(file, index)).decode().split("\n")
-        spans = [tuple(map(int, line.split())) for line in lines if line]
+        told = [json.loads(line.split(" ", 2)[2]) for line in lines if line]
+        spans = sorted((x["offset"], x["length"]) for x in told)
         k = 0
         while k < len(spans):
             first, last = spans[k][0], k
