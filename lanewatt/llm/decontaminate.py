@@ -94,19 +94,44 @@ class HammingIndex:
         return q[ok], i[ok], far[ok]
 
 
-def shingle_hashes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
-    """A hash of every run of ``n`` words; ``known`` holds hashes of words that were met before."""
-    if len(words) < n:
+class WordHashes:
+    """Hashes of words from running sums over all their bytes: a byte weighs a power of an odd number, whose inverse takes
+    the word's place in the text out again. Equal words have equal hashes; others may too, which costs a comparison."""
+
+    STEP = 20_000
+
+    def __init__(self):
+        self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        parts = [self._of(words[k : k + self.STEP]) for k in range(0, len(words), self.STEP)]
+        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+    def _of(self, words: list[str]) -> np.ndarray:
+        raw = np.frombuffer("\0".join(words).encode(), np.uint8)
+        if len(raw) > len(self.powers):
+            size = 1 << len(raw).bit_length()
+            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(size, _PRIME)], dtype=np.uint64)
+            self.inverses = np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(pow(int(_PRIME), -1, 2**64)))], dtype=np.uint64)
+        gaps = np.flatnonzero(raw == 0)
+        starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(raw)]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
+        return (sums[ends] - sums[starts]) * self.inverses[starts]
+
+
+def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of ``n`` words, by the words' hashes."""
+    if len(h) < n:
         return np.empty(0, np.uint64)
-    if len(known) > 1 << 20:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w, n)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    out = h[: len(h) - n + 1].copy()
+    out = h[: len(h) - n + 1] + np.uint64(n)
     for k in range(1, n):
-        out = (out ^ (out >> np.uint64(29))) * _PRIME + h[k : len(h) - n + 1 + k]
-    return (out ^ (out >> np.uint64(32))) * _PRIME
+        out ^= out >> np.uint64(29)
+        out *= _PRIME
+        out += h[k : len(h) - n + 1 + k]
+    out ^= out >> np.uint64(32)
+    out *= _PRIME
+    return out
 
 
 class Sieve:
@@ -132,7 +157,7 @@ def probe(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
 
 
 def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[int, dict[str, int]] = {}
+    known = WordHashes()
     for batch in batches:
         rows = []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -141,7 +166,7 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 n = min(WORDS, len(words))
                 shingles = shingles_of(words)
                 fp = int(_window_fingerprints(shingles, len(shingles))[0])
-                rows.append((item, text, len(words), n, fp - 2**64 if fp >= 2**63 else fp, np.unique(shingle_hashes(words, n, known.setdefault(n, {}))).view(np.int64)))
+                rows.append((item, text, len(words), n, fp - 2**64 if fp >= 2**63 else fp, np.unique(shingle_hashes(known.of(words), n)).view(np.int64)))
         cols = list(zip(*rows, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item_id", "text", "size", "n", "fp", "hashes"])
@@ -174,14 +199,14 @@ def build_sieve(items: DataFrame) -> Sieve:
 
 
 def _suspect_batches(batches: Iterator[pa.RecordBatch], sieve, lengths: list[int]) -> Iterator[pa.RecordBatch]:
-    known: dict[int, dict[str, int]] = {n: {} for n in lengths}
+    known = WordHashes()
     for batch in batches:
         keep, anchors = [], []
         for i, text in enumerate(batch.column(2)):
-            words = words_of(text.as_py() or "")
+            own = known.of(words_of(text.as_py() or ""))
             mine = []
             for n in lengths:
-                hashes = shingle_hashes(words, n, known[n])
+                hashes = shingle_hashes(own, n)
                 at = sieve.value.passes(hashes)
                 mine += [{"n": n, "at": p, "hash": h} for p, h in zip(at.tolist(), hashes[at].view(np.int64).tolist(), strict=True)]
             if mine:
