@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more rows than this (or than the total by ``MOST_HOT``, if that is more) is joined apart by ``spread_join``.
@@ -50,6 +51,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` evaluated once a row however often ``use`` names it, in its lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def quoted(columns: list[str]) -> list:
     """Columns by their whole names, which may hold dots or back quotes."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, new_folder, quoted, spread_left, stored, text_or_empty
+from .common import free_name, new_folder, once, quoted, spread_join, spread_left, stored, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -39,21 +39,15 @@ def _matches(text: Column, rule: Rule, rank: int) -> Column:
     """All leftmost non-overlapping matches of a rule in a text as spans (code points, end exclusive), native.
 
     ``split`` gives the text between the matches and ``regexp_extract_all`` the matches; running lengths of both give the
-    offsets. Where a match that is too short can't hide a longer one, the length is put into the pattern, so that most
-    texts show no match at all. Offsets run on within blocks of ``BLOCK`` matches, and from block to block, so a text
-    of very many matches does not cost their square.
+    offsets; each is made once a text. Where a match that is too short can't hide a longer one, the length is put into
+    the pattern, so that most texts show no match at all. Offsets run on within blocks of ``BLOCK`` matches, and from
+    block to block, so time grows with the text's matches and not with their square.
     """
     pattern = rule.pattern
     if rule.group == 0 and pattern.endswith("]+"):
         fixed = len(pattern.split("[")[0])
         pattern = f"{pattern[:-1]}{{{rule.least - fixed},}}"
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else whole
-    pieces = F.zip_with(
-        F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"))),
-        part,
-        lambda p, g: F.struct(p["gap"].alias("gap"), p["len"].alias("len"), F.length(g).alias("group")),
-    )
+
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + p["gap"]
         end = begin + p["len"]
@@ -68,9 +62,24 @@ def _matches(text: Column, rule: Rule, rank: int) -> Column:
         length = F.aggregate(block, F.lit(0).cast("long"), lambda n, p: n + p["gap"] + p["len"])
         return F.concat(starts, F.array(F.element_at(starts, -1) + length))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / BLOCK).cast("int")), lambda k: F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)))
-    starts = F.aggregate(blocks, F.array(F.lit(0).cast("long")), onward)
-    spans = F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), block_spans))
+    def cut(pieces: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda k: F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def run_on(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.array(F.lit(0).cast("long")), onward)
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), block_spans))
+
+    def pieces_of(raw: Column) -> Column:
+        gaps = F.transform(F.slice(raw["gaps"], F.lit(1), F.size(raw["whole"])), lambda gap: F.length(gap))
+        lengths = F.zip_with(gaps, raw["whole"], lambda gap, m: F.struct(gap.alias("gap"), F.length(m).alias("len")))
+        return F.zip_with(lengths, raw["part"], lambda p, g: F.struct(p["gap"].alias("gap"), p["len"].alias("len"), F.length(g).alias("group")))
+
+    raw = F.struct(
+        F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)).alias("part"),
+    )
+    spans = once(raw, lambda r: once(pieces_of(r), lambda p: once(cut(p), run_on)))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
@@ -105,33 +114,42 @@ class BlobLedger:
         """Scan the contents in ``versions`` (path, content) that no earlier scan has seen under the rules' present versions.
 
         Returns (path, blob_id, spans), one row a row of ``versions``: spans by start, then the rules' order. Null
-        contents count as empty; equal contents are scanned once, whatever their number; only ids, not contents, are
-        grouped.
+        contents count as empty; equal contents are scanned once, whatever their number and their paths; only ids, not
+        contents, are grouped. A content is fetched from the path that has it on the fewest rows; where that path
+        repeats it too, its rows are made one, within the tasks that read them first.
         """
         named = versions.select("path", F.coalesce("content", F.lit("")).alias("content")).withColumn("blob_id", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
-        paths = stored(named.select("path", "blob_id", F.monotonically_increasing_id().alias("_row")), "paths")
-        blobs = paths.groupBy("blob_id").agg(F.min("path").alias("first_path"))
+        paths = stored(named.select("path", "blob_id"), "paths")
+        blobs = (
+            paths.groupBy("blob_id", "path").agg(F.count("*").alias("n")).groupBy("blob_id").agg(F.min(F.struct("n", "path")).alias("from"), F.sum("n").alias("_n"))
+        )
+        blobs = stored(blobs, "blobs")
         wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        pairs = blobs.select("blob_id", "first_path", F.explode(wanted).alias("r")).select("blob_id", "first_path", "r.kind", "r.version")
+        pairs = blobs.select("blob_id", "from", "_n", F.explode(wanted).alias("r")).select("blob_id", "from", "_n", "r.kind", "r.version")
         seen = self.table("scanned", LEDGER)
-        unseen = stored(pairs.join(seen, ["blob_id", "kind", "version"], "left_anti").groupBy("blob_id", "first_path").agg(F.collect_set("kind").alias("todo")), "unseen")
-        fresh = named.join(
-            unseen, (named["path"].eqNullSafe(unseen["first_path"])) & (named["blob_id"] == unseen["blob_id"])
-        ).select(named["blob_id"], "content", "todo")
-        scan_blobs(fresh, rules).write.mode("append").parquet(f"{self.folder}/findings")
+        unseen = stored(pairs.join(seen, ["blob_id", "kind", "version"], "left_anti").groupBy("blob_id", "from", "_n").agg(F.collect_set("kind").alias("todo")), "unseen")
+        total = blobs.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        single, repeated = unseen.where("from.n = 1").alias("u"), unseen.where("from.n > 1")
+        fresh = named.alias("v").join(single, F.col("v.path").eqNullSafe(F.col("u.from.path")) & (F.col("v.blob_id") == F.col("u.blob_id"))).select("v.blob_id", "content", "todo")
+        again = spread_join(named, repeated, "blob_id", total).where(F.col("path").eqNullSafe(F.col("from.path")))
+        again = again.groupBy("blob_id").agg(F.first("content").alias("content"), F.first("todo").alias("todo"))
+        scan_blobs(fresh.unionByName(again), rules).write.mode("append").parquet(f"{self.folder}/findings")
         version = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
         unseen.select("blob_id", F.explode("todo").alias("kind")).select("blob_id", "kind", version[F.col("kind")].alias("version")).write.mode("append").parquet(f"{self.folder}/scanned")
-        return self.by_path(paths, rules)
+        return self.by_path(paths, rules, blobs.select("blob_id", "_n"))
 
-    def by_path(self, paths: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """Join the findings of the rules' present versions back to every path of a blob."""
+    def by_path(self, paths: DataFrame, rules: tuple[Rule, ...] = RULES, counts: DataFrame | None = None) -> DataFrame:
+        """Join the findings of the rules' present versions back to every path of a blob; a blob on a great share of the
+        paths (``counts`` has each one's as ``_n``) is joined apart."""
         rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
         current = reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
         spans = (
             self.table("findings", FINDINGS).where(current).distinct()
             .groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "end"))).alias("spans"))
         )  # grouped by blob: as many as one text's matches
-        return paths.join(spans, "blob_id", "left").select("path", "blob_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+        if counts is None:
+            counts = paths.groupBy("blob_id").agg(F.count("*").alias("_n"))
+        return spread_left(paths, spans, "blob_id", counts).select("path", "blob_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def _count(kind: str) -> Column:
@@ -154,19 +172,32 @@ def document_secrets(documents: DataFrame, ledger: BlobLedger | None = None) ->
     )
 
 
-def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """``text`` with each run of overlapping spans replaced by ``mask``; native, in one pass over the sorted spans."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+def merged(spans: DataFrame) -> DataFrame:
+    """(blob_id, cuts): the runs of overlapping spans of ``spans`` (blob_id, start, end), sorted and disjoint."""
+    order = Window.partitionBy("blob_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans.select("blob_id", "start", "end", (reach.isNull() | (F.col("start") >= reach)).cast("int").alias("fresh"))
+    run = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = begun.withColumn("run", run).groupBy("blob_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))  # as many as one text's matches
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at")
-        )
 
-    cut = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, F.concat(cut["out"], F.substring(text, (cut["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
+def redact(text: Column, cuts: Column, mask: str = "[secret]") -> Column:
+    """``text`` with each of the sorted, disjoint ``cuts`` replaced by ``mask``; native, and linear in the text.
+
+    The text is cut as UTF-32, where the place of a code point is known, and the pieces are joined at once.
+    """
+
+    def piece(units: Column, k: Column) -> Column:
+        start = F.when(k == 0, F.lit(0)).otherwise(F.get(cuts, k - 1)["end"])
+        end = F.coalesce(F.get(cuts, k)["start"], F.octet_length(units) / 4)
+        part = F.substring(units, (start * 4 + 1).cast("int"), ((end - start) * 4).cast("int"))
+        return F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), part), "UTF-32")  # a byte-order mark, so that none of the text's own is one
+
+    def join(units: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda k: piece(units, k)), mask)
+
+    return F.when(F.size(cuts) > 0, once(F.encode(text, "UTF-32"), join)).otherwise(text)
 
 
 def redact_documents(documents: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
@@ -177,12 +208,13 @@ def redact_documents(documents: DataFrame, ledger: BlobLedger | None = None) ->
     """
     ledger = ledger or BlobLedger(documents.sparkSession)
     found = ledger.scan(documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
-    blob, spans = free_name(documents.columns, "blob_address"), free_name(documents.columns, "secret_spans")
-    dirty = stored(found.where(F.size("spans") > 0).groupBy(F.col("blob_id").alias(blob)).agg(F.first("spans").alias(spans)), "dirty")
+    blob, cuts = free_name(documents.columns, "blob_address"), free_name(documents.columns, "secret_spans")
+    spans = found.where(F.size("spans") > 0).groupBy("blob_id").agg(F.first("spans").alias("spans")).select("blob_id", F.explode("spans").alias("s"))
+    dirty = stored(merged(spans.select("blob_id", "s.start", "s.end")).toDF(blob, cuts), "dirty")
     masked = documents.withColumn(blob, F.unhex(F.sha2(text_or_empty().cast("binary"), 256)))
     masked = spread_left(masked, dirty, blob, found.groupBy(F.col("blob_id").alias(blob)).agg(F.count("*").alias("_n")))
-    text = F.when(F.col(spans).isNotNull(), redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    text = F.when(F.col(cuts).isNotNull(), redact(F.col("text"), F.col(cuts))).otherwise(F.col("text"))
     out = masked.withColumn("text", text)
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(cuts).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*quoted(documents.columns))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 from lanewatt.llm import chat, secrets, sharding
@@ -163,3 +164,34 @@ def test_shards_match_their_sql(spark):
     cols = ["doc_id", "size", "text_crc32", "law", "shard", "slot"]
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert sorted(map(tuple, ours[cols].values.tolist())) == sorted(map(tuple, theirs[cols].values.tolist()))
+
+
+def test_scan_and_masks_grow_with_the_matches(spark):
+    """Eight times the matches cost far less than 64 times the time, and are all found and masked."""
+    took = {}
+    for n in (1, 4000, 32000):
+        text = " ".join(f"token = abc{i:09d}" for i in range(n)) + " 😀"
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        got, masked = secrets.document_secrets(docs).first(), secrets.redact_documents(docs).first()
+        took[n] = time.time() - began
+        assert got["n_assign"] == n and got["spans"] == said(brute_spans(text))
+        assert masked["text"] == " ".join(["[secret]"] * n) + " 😀"
+    assert took[32000] < 16 * took[4000] + 2
+
+
+def test_equal_contents_are_scanned_once_whatever_their_paths(spark):
+    ledger = secrets.BlobLedger(spark)
+    rows = [(None, "token=abcdefg")] * 1500 + [("a", "token=abcdefg")] * 2 + [("b", "secret=abcdefg")] * 3 + [(None, None)] * 2
+    found = ledger.scan(spark.createDataFrame(rows, "path string, content string")).collect()
+    assert len(found) == len(rows) and sum(len(r["spans"]) for r in found) == 1505
+    assert ledger.table("findings", secrets.FINDINGS).count() == 2
+
+
+def test_masks_keep_byte_order_marks_and_touching_spans(spark):
+    text = "﻿token=abcdef﻿ ﻿passwd:abcdef" + "﻿"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact_documents(docs).first()["text"] == "﻿[secret]﻿ ﻿[secret]﻿"
+    spans = spark.createDataFrame([(b"b", 0, 5), (b"b", 2, 3), (b"b", 5, 9), (b"b", 8, 12), (b"c", 1, 2)], "blob_id binary, start long, end long")
+    got = {bytes(r["blob_id"]): [tuple(c) for c in r["cuts"]] for r in secrets.merged(spans).collect()}
+    assert got == {b"b": [(0, 5), (5, 12)], b"c": [(1, 2)]}
