@@ -9,6 +9,7 @@ from ..functions.scalars import min_observed, standardize
 from ..sources.scratch import written
 from .gaps import TIE, iqr_fence, whiten
 from .quality import fd_gate
+from .quantiles import exact_percentiles
 
 #: The outcome of a calibration.
 STATUS = {0: "ok", 1: "no_data", 2: "no_metadata", 3: "too_few_congested", 4: "gate_failed"}
@@ -97,7 +98,8 @@ def calibrate_ramp_capacity(ts: DataFrame, stations: DataFrame, q: float = 0.99,
     """(station_id, ramp_capacity, n_observations, calibration_code): the q-quantile of the fenced hourly flow."""
     seen = ts.groupBy("station_id").agg(F.lit(True).alias("has_data"))
     rows = min_observed(ts, threshold).withColumn("flow", F.col("total_flow_5min") * 12).where("flow IS NOT NULL")
-    kept = iqr_fence(whiten(rows, "flow"), "whitened", k).groupBy("station_id").agg(F.percentile("flow", F.lit(q)).alias("ramp_capacity"), F.count("*").alias("n_observations"))
+    fenced = written(iqr_fence(whiten(rows, "flow"), "whitened", k).select("station_id", "flow"), "fenced")
+    kept = fenced.groupBy("station_id").agg(F.count("*").alias("n_observations")).join(exact_percentiles(fenced, ["station_id"], "flow", {"ramp_capacity": q}), "station_id")
     out = stations.select("station_id").distinct().join(seen, "station_id", "left").join(kept, "station_id", "left")
     code = F.when(F.col("has_data").isNull(), 1).when(F.col("n_observations").isNull(), 2).when(F.col("ramp_capacity") > 0, 0).otherwise(4)
     return out.select("station_id", "ramp_capacity", F.coalesce("n_observations", F.lit(0)).cast("long").alias("n_observations"), code.alias("calibration_code"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SAMPLE_MINUTES, slot_of_week
+from .quantiles import exact_percentiles
 
 #: Whitened values this near to a fence lie on it.
 TIE = 1e-9
@@ -40,10 +44,10 @@ def whiten(df: DataFrame, value: str, out: str = "whitened") -> DataFrame:
 
 def iqr_fence(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
     """Rows within k interquartile ranges of the station's quartiles (exact, linear), ties with a bound included; null
-    values go."""
-    x = df.withColumn("_q", F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy("station_id")))
-    spread = k * (F.col("_q")[1] - F.col("_q")[0])
-    return x.where(F.col(value).between(F.col("_q")[0] - spread - TIE, F.col("_q")[1] + spread + TIE)).drop("_q")
+    values and rows without a station go. Quartiles come of ranks, so no window or buffer holds a station's life."""
+    x = df.join(exact_percentiles(df, ["station_id"], value, {"_q1": 0.25, "_q3": 0.75}), "station_id")
+    spread = k * (F.col("_q3") - F.col("_q1"))
+    return x.where(F.col(value).between(F.col("_q1") - spread - TIE, F.col("_q3") + spread + TIE)).select(*df.columns)
 
 
 def _runs(df: DataFrame, value: str) -> DataFrame:
@@ -107,19 +111,51 @@ def gap_aware_fill(df: DataFrame, value: str, short_gap_max: int = 2, history: D
     return df.withColumn(value, F.coalesce("_short", mean)).drop("_orig", "_short", "_mean")
 
 
-def knn_impute(grid: DataFrame, usable: DataFrame, targets: DataFrame, k: int = 3, decay: float = 1.0) -> DataFrame:
+def _stencil(rows: pa.Table, k: int, decay: float) -> pa.Table:
+    """One tile: its own targets from the dense sums of its own and its halo's values."""
+    cell, m, value, asked = (rows.column(c).to_numpy() for c in ("cell", "m_5min", "value", "asked"))
+    c0, m0 = cell.min() - k, m.min() - k
+    shape = (int(cell.max() - c0 + k + 1), int(m.max() - m0 + k + 1))
+    total, count = np.zeros(shape), np.zeros(shape)
+    known = ~np.isnan(value)
+    np.add.at(total, (cell[known] - c0, m[known] - m0), value[known])
+    np.add.at(count, (cell[known] - c0, m[known] - m0), 1.0)
+    at = np.unique(np.stack([cell[asked], m[asked]]), axis=1)
+    upper = lower = np.zeros(at.shape[1])
+    for dc in range(-k, k + 1):
+        for dt in range(-(k - abs(dc)), k - abs(dc) + 1):
+            if dc:
+                weight = np.exp(-decay * (abs(dc) + abs(dt) - 1))
+                place = (at[0] - c0 + dc, at[1] - m0 + dt)
+                upper, lower = upper + weight * total[place], lower + weight * count[place]
+    found = np.divide(upper, lower, out=np.zeros(len(upper)), where=lower > 0)
+    return pa.table({"cell": at[0], "m_5min": at[1], "value": pa.array(found, mask=lower == 0)})
+
+
+def knn_impute(grid: DataFrame, usable: DataFrame, targets: DataFrame, k: int = 3, decay: float = 1.0, tile: tuple[int, int] = (64, 288)) -> DataFrame:
     """(cell, m_5min, value) of ``targets`` from the ``usable`` entries at most k steps away in space and time together.
 
     Weights fall by exp(-decay) a step; the target's own cell is no neighbour; imputed entries never are. Where there is
-    no neighbour the value is null. The offsets (2 k (k + 1) at most) are literals, so the join is an equi-join.
+    no neighbour the value is null. Targets count once; without a cell or a time they have a null value.
+
+    Entries are dealt into tiles of ``tile`` cells and samples. An entry is its own tile's and, within k of an edge, also
+    the tile's beyond it, so about one copy in ten is added and a tile is bounded whatever the table.
     """
-    offsets = [(dc, dt, abs(dc) + abs(dt)) for dc in range(-k, k + 1) for dt in range(-k, k + 1) if dc and abs(dc) + abs(dt) <= k]
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("dc"), F.lit(b).alias("dt"), F.lit(d).alias("d")) for a, b, d in offsets]))
-    asked = targets.select("cell", "m_5min").withColumn("o", near)
-    source = usable.where("value IS NOT NULL").select(F.col("cell").alias("_c"), F.col("m_5min").alias("_m"), F.col("value").alias("_v"))
-    met = asked.join(source, (F.col("cell") + F.col("o.dc") == F.col("_c")) & (F.col("m_5min") + F.col("o.dt") == F.col("_m")), "left")
-    weight = F.when(F.col("_v").isNotNull(), F.exp(-F.lit(decay) * (F.col("o.d") - 1)))
-    return met.groupBy("cell", "m_5min").agg(F.try_divide(F.sum(weight * F.col("_v")), F.sum(weight)).alias("value"))
+    halo = lambda c, n, wide: F.sequence(F.floor((c - wide) / n), F.floor((c + wide) / n))
+    own = targets.select("cell", "m_5min").where("cell IS NOT NULL AND m_5min IS NOT NULL")
+    asked = own.select(F.floor(F.col("cell") / tile[0]).alias("a"), F.floor(F.col("m_5min") / tile[1]).alias("b"), F.col("cell").cast("long").alias("cell"), F.col("m_5min").cast("long").alias("m_5min"), F.lit(float("nan")).alias("value"), F.lit(True).alias("asked"))
+    near = usable.where("value IS NOT NULL AND NOT isnan(value)").select(F.col("cell").cast("long").alias("cell"), F.col("m_5min").cast("long").alias("m_5min"), F.col("value").cast("double").alias("value"), F.lit(False).alias("asked"))
+    near = near.withColumn("a", F.explode(halo(F.col("cell"), tile[0], k))).withColumn("b", F.explode(halo(F.col("m_5min"), tile[1], k)))
+    tiles = asked.unionByName(near).groupBy("a", "b").applyInArrow(lambda rows: _tile(rows, k, decay), "cell long, m_5min long, value double")
+    kinds = dict(targets.dtypes)
+    lost = targets.select("cell", "m_5min").where("cell IS NULL OR m_5min IS NULL").distinct().withColumn("value", F.lit(None).cast("double"))
+    return tiles.select(F.col("cell").cast(kinds["cell"]), F.col("m_5min").cast(kinds["m_5min"]), "value").unionByName(lost)
+
+
+def _tile(rows: pa.Table, k: int, decay: float) -> pa.Table:
+    if not pc.any(rows.column("asked")).as_py():
+        return pa.table({"cell": pa.array([], pa.int64()), "m_5min": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+    return _stencil(rows, k, decay)
 
 
 def augment_grid(grid: DataFrame, history: DataFrame, k: int = 3, decay: float = 1.0) -> DataFrame:

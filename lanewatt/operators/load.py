@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import METRES_PER_MILE, c, pct_attenuation
 from ..sources.scratch import written
+from .quantiles import exact_percentiles
 from .running import running_share, running_sum
 
 
@@ -46,9 +48,7 @@ def power_profile(spark: SparkSession, n: int, spec: PadSpec) -> DataFrame:
     of the two powers. A projection over a range: no window, no sort."""
     a, g, d = spec.grid
     rows = spark.range(n + d - 1).select(F.col("id").alias("position"), overlap(F.col("id"), n, a, g, d).alias("o"))
-    # the largest overlap is reached within the first tiles, or at once on a road shorter than that
-    most = max(sum(1 for x in range(max(0, j - d + 1), min(j + 1, n)) if x % (a + g) < a) for j in range(min(n + d - 1, 2 * (a + g) + 2 * d)))
-    return rows.select("position", (F.col("o") * (min(spec.beta, spec.beta_prime) / most)).alias("power"))
+    return rows.select("position", (F.col("o") * (min(spec.beta, spec.beta_prime) / largest_overlap(n, a, g, d))).alias("power"))
 
 
 def mainline_vht(traj: DataFrame, cells: DataFrame, dt_hours: float) -> DataFrame:
@@ -63,19 +63,68 @@ def cell_positions(cells: DataFrame, dx: float) -> DataFrame:
     return running_sum(sized, ["cell"], "n", "upto").select("cell", (F.col("upto") - F.col("n")).alias("start"), "n")
 
 
-def position_map(cells: DataFrame, spec: PadSpec) -> DataFrame:
-    """(cell, position, weight): traversal positions of every cell, shifted by half the receiver; the ends belong to none."""
+def cell_ranges(cells: DataFrame, spec: PadSpec) -> DataFrame:
+    """(cell, first, stop, weight): the traversal positions of every cell as a range, shifted by half the receiver, and a
+    position's share of the cell; one row a cell, whatever the grid."""
     shift = (spec.grid[2] - 1) // 2
     p = cell_positions(cells, spec.dx)
-    return p.select("cell", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at"), (1.0 / F.col("n")).alias("weight")).select("cell", (F.col("at") + shift).alias("position"), "weight")
+    return p.select("cell", (F.col("start") + shift).alias("first"), (F.col("start") + F.col("n") + shift).alias("stop"), F.try_divide(F.lit(1.0), F.col("n")).alias("weight"))
+
+
+def position_map(cells: DataFrame, spec: PadSpec) -> DataFrame:
+    """(cell, position, weight): the ranges of ``cell_ranges`` expanded; the ends of the road belong to none."""
+    return cell_ranges(cells, spec).where("stop > first").select("cell", F.explode(F.sequence(F.col("first"), F.col("stop") - 1)).alias("position"), "weight")
+
+
+def overlap_upto(x: Column, n: int, alpha: int, gap: int, delta: int) -> Column:
+    """The sum of ``overlap`` over the traversal positions below x, in closed form and whole numbers.
+
+    An overlap is the difference of two counts of pad positions, on(j + 1) and on(j - delta + 1); the sum of on(i) over
+    all i below y is a square for the whole tiles below y and a square or a line for the last one.
+    """
+    tile = alpha + gap
+
+    def on(y: int) -> int:
+        return y // tile * alpha + min(y % tile, alpha)
+
+    def area(y: Column) -> Column:
+        whole, rest = F.floor(y / tile).cast("long"), F.pmod(y, F.lit(tile)).cast("long")
+        below = F.when(rest <= alpha, (rest * (rest - 1) / 2).cast("long")).otherwise(alpha * (alpha - 1) // 2 + alpha * (rest - alpha))
+        full = alpha * (alpha - 1) // 2 + alpha * (tile - alpha)
+        pairs = F.when(whole % 2 == 0, (whole / 2).cast("long") * (whole - 1)).otherwise(whole * ((whole - 1) / 2).cast("long"))
+        return pairs * (tile * alpha) + whole * full + whole * alpha * rest + below
+
+    x = F.greatest(x, F.lit(0)).cast("long")
+    head = area(F.least(x, F.lit(n)) + 1) + F.greatest(x - n, F.lit(0)) * on(n)
+    return head - area(F.greatest(x - delta + 1, F.lit(0)))
+
+
+def largest_overlap(n: int, alpha: int, gap: int, delta: int) -> int:
+    """Reached within the first tiles, or at once on a road shorter than that."""
+    on = lambda y: y // (alpha + gap) * alpha + min(y % (alpha + gap), alpha)
+    return max(on(min(j + 1, n)) - on(max(j - delta + 1, 0)) for j in range(min(n + delta - 1, 2 * (alpha + gap) + 2 * delta)))
 
 
 def bin_weights(cells: DataFrame, spec: PadSpec, bin_metres: float, n: int) -> DataFrame:
-    """(cell, bin, w): per cell and position bin the sum of power over the cell's positions, shared among them."""
-    spark = cells.sparkSession
-    x = position_map(cells, spec).join(power_profile(spark, n, spec), "position")
-    b = F.floor(F.col("position") * spec.dx / bin_metres)
-    return x.groupBy("cell", b.alias("bin")).agg(F.sum(F.col("power") * F.col("weight")).alias("w"))
+    """(cell, bin, w): per cell and position bin the sum of power over the cell's positions, shared among them.
+
+    A row is made for each bin that a cell reaches, and its sum is the difference of two closed forms: neither rows nor
+    time depend on the width of the grid.
+    """
+    a, g, d = spec.grid
+    bin_of = lambda p: F.floor(p * spec.dx / bin_metres)
+
+    def begin(b: Column) -> Column:
+        """The first position of a bin, by the rule that puts positions into bins."""
+        guess = F.ceil(b * bin_metres / spec.dx)
+        return F.when(bin_of(guess - 1) >= b, guess - 1).when(bin_of(guess) < b, guess + 1).otherwise(guess)
+
+    r = cell_ranges(cells, spec).withColumn("stop", F.least("stop", F.lit(n + d - 1))).where("stop > first")
+    x = r.withColumn("bin", F.explode(F.sequence(bin_of(F.col("first")), bin_of(F.col("stop") - 1))))
+    lo, hi = F.greatest("first", begin(F.col("bin"))), F.least("stop", begin(F.col("bin") + 1))
+    upto = lambda p: overlap_upto(p, n, a, g, d)
+    unit = min(spec.beta, spec.beta_prime) / largest_overlap(n, a, g, d)
+    return x.where(hi > lo).select("cell", "bin", ((upto(hi) - upto(lo)) * unit * F.col("weight")).alias("w"))
 
 
 def charging_demand(vht: DataFrame, cells: DataFrame, spec: PadSpec, eta: float, bin_metres: float, n: int) -> DataFrame:
@@ -121,13 +170,14 @@ def bin_profiles(demand: DataFrame, dt_hours: float, bin_miles: float, horizon:
     steps = energy_per_step(demand)
     peak = steps.agg(F.min_by("step", F.struct((-F.col("energy_wh")).alias("e"), "step")).alias("peak_step"))
     x = demand.withColumn("mw", mw).crossJoin(F.broadcast(peak))  # one row
-    qs = F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)])
     out = x.groupBy("bin").agg(
         F.max(F.when(F.col("step") == F.col("peak_step"), F.col("mw"))).alias("at_peak"), F.max("mw").alias("absolute_peak"),
-        (F.sum("mw") / horizon).alias("average"), F.percentile("mw", qs).alias("q"),
+        (F.sum("mw") / horizon).alias("average"),
     )
+    shares = {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)}
+    out = out.join(exact_percentiles(x, ["bin"], "mw", shares), "bin", "left")
     factor = F.when(F.col("absolute_peak") == 0, 0.0).otherwise(F.try_divide("average", "absolute_peak"))
-    return out.select("bin", F.coalesce("at_peak", F.lit(0.0)).alias("at_peak"), "absolute_peak", "average", factor.alias("load_factor"), *[F.col("q")[k].alias(f"p{p}") for k, p in enumerate((10, 25, 50, 75, 90))])
+    return out.select("bin", F.coalesce("at_peak", F.lit(0.0)).alias("at_peak"), "absolute_peak", "average", factor.alias("load_factor"), *shares)
 
 
 def clamped_bin(position_m: Column | str, bin_metres: float, bins: int) -> Column:
@@ -178,16 +228,26 @@ def bin_centers(blocks: DataFrame, dt_hours: float) -> DataFrame:
     return running_sum(blocks.select("block", "n"), ["block"], "n", "upto").select("block", ((2 * F.col("upto") - F.col("n")) / 2 * dt_hours).alias("center_h"))
 
 
+def window_lattice(sizes: list[int]) -> dict[int, int]:
+    """From each window, in steps, to the largest other one that divides it, which it is summed from; those that no other
+    divides come from single steps (0)."""
+    return {s: max((o for o in sizes if o < s and s % o == 0), default=0) for s in sorted(set(sizes))}
+
+
 def aggregation_windows(per_step: DataFrame, dt_s: float, windows_s: list[float]) -> DataFrame:
     """(window_s, block, energy_wh, n, power_w) for every window at once; windows below one step are left out.
 
-    A window is a whole number of steps, halves to even; the native step comes as a window of its own.
+    A window is a whole number of steps, halves to even; the native step comes as a window of its own, and each other
+    window is summed from its largest divisor, so that steps are read once and no step is copied.
     """
-    sizes = sorted({dt_s: 1} | {w: round(w / dt_s) for w in windows_s if w > dt_s})
-    steps = {w: max(1, round(w / dt_s)) for w in sizes}
-    each = F.explode(F.array(*[F.struct(F.lit(float(w)).alias("window_s"), F.lit(n).alias("s")) for w, n in steps.items()]))
-    x = per_step.withColumn("w", each).groupBy("w.window_s", F.floor(F.col("step") / F.col("w.s")).alias("block")).agg(F.sum("energy_wh").alias("energy_wh"), F.count("*").alias("n"))
-    return x.withColumn("power_w", F.col("energy_wh") / (F.col("n") * dt_s / 3600))
+    steps = {w: max(1, round(w / dt_s)) for w in sorted({dt_s, *(w for w in windows_s if w > dt_s)})}
+    made = {0: written(per_step.groupBy(F.col("step").alias("block")).agg(F.sum("energy_wh").alias("energy_wh"), F.count("*").alias("n")), "steps")}
+    lattice = window_lattice(list(steps.values()))
+    for s, of in lattice.items():
+        level = made[of].groupBy(F.floor(F.col("block") / (s // max(of, 1))).alias("block")).agg(F.sum("energy_wh").alias("energy_wh"), F.sum("n").alias("n"))
+        made[s] = written(level, "windows") if s > 1 and s in lattice.values() else made[0] if s == 1 else level
+    parts = [made[s].select(F.lit(float(w)).alias("window_s"), "block", "energy_wh", "n") for w, s in steps.items()]
+    return reduce(DataFrame.unionByName, parts).withColumn("power_w", F.col("energy_wh") / (F.col("n") * dt_s / 3600))
 
 
 def temporal_aggregation_summary(per_step: DataFrame, dt_s: float, windows_s: list[float], grid: int = 512) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import geh, pct_diff
 from ..sources.scratch import written
+from .quantiles import exact_percentiles
+
+
+def run_key(rows: DataFrame) -> list[str]:
+    """The key that keeps runs apart, where a table has several; each run is scored by itself."""
+    return ["run_id"] if "run_id" in rows.columns else []
 
 
 def block_mean(traj: DataFrame, steps: int) -> DataFrame:
@@ -27,14 +35,17 @@ def first_cell_per_station(cells: DataFrame) -> DataFrame:
 
 
 def pair_sim_observed(sim5: DataFrame, obs5: DataFrame, cells: DataFrame) -> DataFrame:
-    """(cell, m_5min, sim_flow, obs_flow, sim_density, obs_density) of directly assigned cells; a side's nulls stay null.
+    """(run_id, cell, station_id, m_5min, sim_flow, obs_flow, sim_density, obs_density) of directly assigned cells; a side's
+    nulls stay null.
 
-    ``obs5`` has station_id, m_5min, flow, density. Built once; the error metrics read it.
+    ``obs5`` has station_id, m_5min, flow, density. Every run meets the same observations; without a ``run_id`` there is one
+    run. Built once; the error metrics read it.
     """
+    run = run_key(sim5)
     direct = cells.where(F.col("vds_source").isin("direct", "direct_tiebreak")).select("cell", F.col("vds_id").alias("station_id"))
     obs = obs5.select("station_id", "m_5min", F.col("flow").alias("obs_flow"), F.col("density").alias("obs_density"))
-    sim = sim5.select("cell", "m_5min", F.col("flow").alias("sim_flow"), F.col("density").alias("sim_density"))
-    return sim.join(direct, "cell").join(obs, ["station_id", "m_5min"], "left").select("cell", "station_id", "m_5min", "sim_flow", "obs_flow", "sim_density", "obs_density")
+    sim = sim5.select(*run, "cell", "m_5min", F.col("flow").alias("sim_flow"), F.col("density").alias("sim_density"))
+    return sim.join(direct, "cell").join(obs, ["station_id", "m_5min"], "left").select(*run, "cell", "station_id", "m_5min", "sim_flow", "obs_flow", "sim_density", "obs_density")
 
 
 def _errors(kind: str) -> list[Column]:
@@ -47,29 +58,49 @@ def _errors(kind: str) -> list[Column]:
 
 
 def rmse_mape(pairs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Errors by cell; cells of ``cells`` without a pair get a row of zero counts."""
-    out = pairs.groupBy("cell").agg(*_errors("flow"), *_errors("density"))
+    """Errors by run and cell; cells of ``cells`` without a pair get a row of zero counts in every run."""
+    keys = [*run_key(pairs), "cell"]
+    out = pairs.groupBy(*keys).agg(*_errors("flow"), *_errors("density"))
     if cells is None:
         return out
-    return cells.select("cell").join(out, "cell", "left").fillna(0, ["flow_n", "density_n"])
+    every = cells.select("cell")
+    if len(keys) > 1:
+        every = every.crossJoin(pairs.select("run_id").distinct())  # the result's own rows
+    return every.join(out, keys, "left").fillna(0, ["flow_n", "density_n"]).select(*keys, *out.columns[len(keys):])
 
 
 def rmse_mape_all(pairs: DataFrame) -> DataFrame:
-    """By cell and pooled (cell null) in one pass, by grouping sets; pooling is over residuals, not over cells' errors."""
-    return pairs.groupingSets([["cell"], []], "cell").agg(*_errors("flow"), *_errors("density"))
+    """By run and cell, and pooled by run (cell null), in one pass by grouping sets; pooling is over residuals, not over
+    cells' errors."""
+    run = run_key(pairs)
+    return pairs.groupingSets([[*run, "cell"], run], *run, "cell").agg(*_errors("flow"), *_errors("density"))
 
 
 def corridor_rmse_mape(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(*_errors("flow"), *_errors("density"))
+    """Pooled errors, a row a run."""
+    return pairs.groupBy(*run_key(pairs)).agg(*_errors("flow"), *_errors("density"))
+
+
+def run_differences(stats: DataFrame, baseline: str, measures: list[str]) -> DataFrame:
+    """(run_id, other keys, a difference for each of ``measures``): every run's row less the baseline's with the same keys,
+    named ``measure_diff``; null where either is missing. ``stats`` has a row a run and keys, as the scores here do.
+
+    The baseline's rows are joined by their keys, pooled rows (null cell) with pooled ones; a baseline that is no run
+    gives nulls.
+    """
+    keys = [c for c in ("cell", "period", "m_5min", "hour") if c in stats.columns]
+    base = stats.where(F.col("run_id") == baseline).select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(m).alias(f"_{m}") for m in measures])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True))
+    return stats.where(F.col("run_id") != baseline).join(base, same, "left").select("run_id", *keys, *[(F.col(m) - F.col(f"_{m}")).alias(f"{m}_diff") for m in measures])
 
 
 def corridor_aggregates(sim5: DataFrame, obs5: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
-    """Vehicle miles and hours, simulated over the cells' lengths and observed over the stations', where both are known."""
+    """Vehicle miles and hours by run, simulated over the cells' lengths and observed over the stations', where both are known."""
     own = first_cell_per_station(cells).where("vds_id IS NOT NULL").select("cell", F.col("length").alias("cell_length"), F.col("vds_id").alias("station_id"))
     obs = obs5.select("station_id", "m_5min", F.col("flow").alias("o"), F.col("density").alias("od"))
-    rows = sim5.select("cell", "m_5min", "flow", "density").join(own, "cell").join(meta.select("station_id", F.col("length").alias("station_length")), "station_id").join(obs, ["station_id", "m_5min"])
+    rows = sim5.select(*run_key(sim5), "cell", "m_5min", "flow", "density").join(own, "cell").join(meta.select("station_id", F.col("length").alias("station_length")), "station_id").join(obs, ["station_id", "m_5min"])
     kept = rows.where("o IS NOT NULL AND od IS NOT NULL")
-    out = kept.agg(
+    out = kept.groupBy(*run_key(sim5)).agg(
         (F.sum(F.col("flow") * F.col("cell_length")) / 12).alias("sim_vmt"), (F.sum(F.col("density") * F.col("cell_length")) / 12).alias("sim_vht"),
         (F.sum(F.col("o") * F.col("station_length")) / 12).alias("obs_vmt"), (F.sum(F.col("od") * F.col("station_length")) / 12).alias("obs_vht"),
         F.countDistinct("station_id").alias("n_vds"),
@@ -78,25 +109,34 @@ def corridor_aggregates(sim5: DataFrame, obs5: DataFrame, cells: DataFrame, meta
 
 
 def hourly_geh(pairs: DataFrame) -> DataFrame:
-    """(cell, hour, geh): hours from the window's start whose twelve samples are all there on both sides."""
-    hours = pairs.groupBy("cell", F.floor(F.col("m_5min") / 12).alias("hour")).agg(
+    """(run_id, cell, hour, geh): hours from the window's start whose twelve samples are all there on both sides."""
+    keys = [*run_key(pairs), "cell"]
+    hours = pairs.groupBy(*keys, F.floor(F.col("m_5min") / 12).alias("hour")).agg(
         F.avg("sim_flow").alias("s"), F.avg("obs_flow").alias("o"), F.count(F.col("sim_flow") + F.col("obs_flow")).alias("n")
     )
-    return hours.where("n = 12").select("cell", "hour", geh("s", "o").alias("geh"))
+    return hours.where("n = 12").select(*keys, "hour", geh("s", "o").alias("geh"))
 
 
 def flow_geh(pairs: DataFrame) -> DataFrame:
-    """By cell and pooled (cell null): hours, median GEH, and the share below 5 in per cent."""
-    return hourly_geh(pairs).groupingSets([["cell"], []], "cell").agg(
-        F.count("*").alias("n_hours"), F.median("geh").alias("geh_median"), (100 * F.avg((F.col("geh") < 5).cast("double"))).alias("geh_pct_under_5")
-    )
+    """By run and cell, and pooled by run (cell null): hours, median GEH, and the share below 5 in per cent.
+
+    Medians come of ranks over ranges, so the pooled one, over all hours of a state, is held by no single task.
+    """
+    hours = written(hourly_geh(pairs), "hours")
+    keys = [c for c in ("run_id", "cell") if c in hours.columns]
+    pooled = hours.unionByName(hours.withColumn("cell", F.lit(None).cast(dict(hours.dtypes)["cell"])))
+    out = pooled.groupBy(*keys).agg(F.count("*").alias("n_hours"), (100 * F.avg((F.col("geh") < 5).cast("double"))).alias("geh_pct_under_5"))
+    medians = exact_percentiles(pooled, keys, "geh", {"geh_median": 0.5})
+    same = reduce(lambda a, b: a & b, [out[c].eqNullSafe(medians[c]) for c in keys])
+    return out.join(medians, same, "left").select(*[out[c] for c in keys], "n_hours", "geh_median", "geh_pct_under_5")
 
 
 def qq_rank_pairs(pairs: DataFrame, kind: str = "flow", least: int = 2) -> DataFrame:
-    """(cell, rank, sim, obs): either side sorted by itself, paired by rank; cells with ``least`` pairs or more."""
-    ok = pairs.where(F.col(f"obs_{kind}").isNotNull()).withColumn("_n", F.count("*").over(Window.partitionBy("cell"))).where(F.col("_n") >= least)
-    side = lambda s: ok.select("cell", F.col(f"{s}_{kind}").alias(s), F.row_number().over(Window.partitionBy("cell").orderBy(f"{s}_{kind}")).alias("rank"))
-    return side("sim").join(side("obs"), ["cell", "rank"])
+    """(run_id, cell, rank, sim, obs): either side sorted by itself, paired by rank; cells with ``least`` pairs or more."""
+    keys = [*run_key(pairs), "cell"]
+    ok = pairs.where(F.col(f"obs_{kind}").isNotNull()).withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") >= least)
+    side = lambda s: ok.select(*keys, F.col(f"{s}_{kind}").alias(s), F.row_number().over(Window.partitionBy(*keys).orderBy(f"{s}_{kind}")).alias("rank"))
+    return side("sim").join(side("obs"), [*keys, "rank"])
 
 
 _SUMS = ("vht", "vmt", "delay", "productivity_loss")
@@ -136,8 +176,8 @@ def metric_totals(metrics: DataFrame, period: int, horizon: int) -> DataFrame:
 
 
 def compare_grids(ours: DataFrame, reference: DataFrame, period: int) -> DataFrame:
-    """By cell: errors of state and flow sampled every ``period`` steps against a reference (cell, step, rho, flow)."""
-    a = downsample(ours, period).select("cell", "step", F.col("rho_post").alias("sim_density"), F.col("flow").alias("sim_flow"))
+    """By run and cell: errors of state and flow sampled every ``period`` steps against a reference (cell, step, rho, flow)."""
+    a = downsample(ours, period).select(*run_key(ours), "cell", "step", F.col("rho_post").alias("sim_density"), F.col("flow").alias("sim_flow"))
     b = reference.select("cell", "step", F.col("rho").alias("obs_density"), F.col("flow").alias("obs_flow"))
     return rmse_mape(a.join(b, ["cell", "step"]))
 
@@ -147,7 +187,7 @@ def weighted_grid_error(sim5: DataFrame, grid: DataFrame, imputed_weight: float)
     d = F.col("density") - F.col("value")
     genuine = F.col("source") == "observed"
     w = F.when(genuine, 1.0).otherwise(imputed_weight)
-    return sim5.join(grid, ["cell", "m_5min"]).agg(
+    return sim5.join(grid, ["cell", "m_5min"]).groupBy(*run_key(sim5)).agg(
         F.try_divide(F.sum(w * d * d), F.sum(w)).alias("weighted_mse"), F.sqrt(F.avg(F.when(genuine, d * d))).alias("rmse"),
         (100 * F.avg(F.when(genuine & (F.col("value") != 0), F.abs(d) / F.abs("value")))).alias("mape"), F.count_if(genuine).alias("n"),
     )
@@ -161,28 +201,35 @@ def observed_grid(obs5: DataFrame, cells: DataFrame, horizon: int) -> DataFrame:
 
 
 def merge_geh(stats: DataFrame, hours: DataFrame) -> DataFrame:
-    return stats.join(hours, "cell", "left")
+    return stats.join(hours, [*run_key(stats), "cell"], "left")
 
 
 def top_cells(stats: DataFrame, k: int = 5) -> DataFrame:
-    return stats.orderBy(F.desc_nulls_last("density_rmse"), "cell").limit(k)
+    """The k worst cells of every run by density error; equal errors by cell."""
+    order = Window.partitionBy(*run_key(stats)).orderBy(F.desc_nulls_last("density_rmse"), "cell")
+    if not run_key(stats):
+        return stats.orderBy(F.desc_nulls_last("density_rmse"), "cell").limit(k)
+    return stats.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
 def validation_report(pairs: DataFrame, aggregates: DataFrame, k: int = 5) -> DataFrame:
-    """(item, cell, value): scored cells, pooled errors, aggregates, share of good hours, and the k worst cells.
+    """(run_id, item, cell, value): scored cells, pooled errors, aggregates, share of good hours, and the k worst cells, all
+    by run.
 
     The pairs are written once; errors by cell and pooled come of one pass over them, and are written too, as three
     parts of the report read them.
     """
     pairs = written(pairs, "pairs")
+    run = run_key(pairs)
     every = written(rmse_mape_all(pairs), "errors")
     stats = every.where("cell IS NOT NULL")
-    wide = every.where("cell IS NULL").select("flow_rmse", "flow_mape", "density_rmse", "density_mape").crossJoin(aggregates).crossJoin(
-        hourly_geh(pairs).agg((100 * F.avg((F.col("geh") < 5).cast("double"))).alias("geh_pct_under_5"))
-    )  # one row each
-    names = wide.columns
-    flat = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.lit(None).cast("long").alias("cell"), F.col(n).cast("double").alias("value")) for n in names])).alias("r")).select("r.*")
+    good = hourly_geh(pairs).groupBy(*run).agg((100 * F.avg((F.col("geh") < 5).cast("double"))).alias("geh_pct_under_5"))
+    wide = every.where("cell IS NULL").select(*run, "flow_rmse", "flow_mape", "density_rmse", "density_mape")
+    for part in (aggregates, good):
+        wide = wide.join(part, run, "left") if run else wide.crossJoin(part)  # one row each, or one a run
+    item = lambda name, value: F.struct(F.lit(name).alias("item"), F.lit(None).cast("long").alias("cell"), value.cast("double").alias("value"))
+    flat = wide.select(*run, F.explode(F.array(*[item(n, F.col(n)) for n in wide.columns if n not in run])).alias("r")).select(*run, "r.*")
     scored = stats.where("density_n > 0")
-    count = scored.agg(F.lit("n_scored").alias("item"), F.lit(None).cast("long").alias("cell"), F.count("*").cast("double").alias("value"))
-    worst = top_cells(scored, k).select(F.lit("worst_density_rmse").alias("item"), F.col("cell").cast("long").alias("cell"), F.col("density_rmse").alias("value"))
+    count = scored.groupBy(*run).agg(F.count("*").alias("n")).select(*run, item("n_scored", F.col("n")).alias("r")).select(*run, "r.*")
+    worst = top_cells(scored, k).select(*run, F.lit("worst_density_rmse").alias("item"), F.col("cell").cast("long").alias("cell"), F.col("density_rmse").alias("value"))
     return flat.unionByName(count).unionByName(worst)

@@ -305,13 +305,13 @@ def _(t):
 
 # Scoring.
 
-SIM5 = "sim5 AS (SELECT run_id, cell, step // 2 AS m_5min, avg(flow) AS flow, avg(rho_post) AS density FROM traj GROUP BY 1, 2, 3)"
-PAIRS = SIM5 + """, pairs AS (SELECT s.cell, c.vds_id AS station_id, s.m_5min, s.flow AS sim_flow, o.flow AS obs_flow, s.density AS sim_density, o.density AS obs_density
+SIM5 = "sim5 AS (SELECT run_id, cell, step // 2 AS m_5min, avg(flow) AS flow, avg(rho_post) AS density FROM runs GROUP BY 1, 2, 3)"
+PAIRS = SIM5 + """, pairs AS (SELECT s.run_id, s.cell, c.vds_id AS station_id, s.m_5min, s.flow AS sim_flow, o.flow AS obs_flow, s.density AS sim_density, o.density AS obs_density
 FROM sim5 s JOIN cells c ON c.cell = s.cell AND c.vds_source IN ('direct', 'direct_tiebreak') LEFT JOIN obs5 o ON o.station_id = c.vds_id AND o.m_5min = s.m_5min)"""
 
 
 def sim5(t):
-    return score.block_mean(t.traj, 2)
+    return score.block_mean(t.runs, 2)
 
 
 def pairs(t):
@@ -332,56 +332,63 @@ def _(t):
     return score.downsample(t.traj, 6).select("cell", "step", "rho_post")
 
 
-@query("c15_pair_sim_observed", f"WITH {PAIRS} SELECT cell, station_id, m_5min, round(sim_flow, 3) AS sim_flow, round(obs_flow, 3) AS obs_flow, round(sim_density, 3) AS sim_density, round(obs_density, 3) AS obs_density FROM pairs", 3)
+@query("c15_pair_sim_observed", f"WITH {PAIRS} SELECT run_id, cell, station_id, m_5min, round(sim_flow, 3) AS sim_flow, round(obs_flow, 3) AS obs_flow, round(sim_density, 3) AS sim_density, round(obs_density, 3) AS obs_density FROM pairs", 3)
 def _(t):
     return pairs(t)
 
 
-@query("d10_rmse_mape", f"WITH {PAIRS} SELECT c.cell, flow_rmse, flow_mape, coalesce(flow_n, 0) AS flow_n, density_rmse, density_mape, coalesce(density_n, 0) AS density_n FROM cells c LEFT JOIN (SELECT cell, {errors_sql()} FROM pairs GROUP BY 1) USING (cell)", 3)
+@query("d10_rmse_mape", f"WITH {PAIRS} SELECT r.run_id, c.cell, flow_rmse, flow_mape, coalesce(flow_n, 0) AS flow_n, density_rmse, density_mape, coalesce(density_n, 0) AS density_n FROM cells c CROSS JOIN (SELECT DISTINCT run_id FROM pairs) r LEFT JOIN (SELECT run_id, cell, {errors_sql()} FROM pairs GROUP BY 1, 2) e ON e.cell = c.cell AND e.run_id = r.run_id", 3)
 def _(t):
     return score.rmse_mape(pairs(t), t.cells)
 
 
-@query("d11_corridor_rmse_mape", f"WITH {PAIRS} SELECT {errors_sql()} FROM pairs", 3)
+@query("d11_corridor_rmse_mape", f"WITH {PAIRS} SELECT run_id, {errors_sql()} FROM pairs GROUP BY 1", 3)
 def _(t):
     return score.corridor_rmse_mape(pairs(t))
 
 
-@query("d10_d11_grouping_sets", f"WITH {PAIRS} SELECT cell, {errors_sql()} FROM pairs GROUP BY GROUPING SETS ((cell), ())", 3)
+@query("d10_d11_grouping_sets", f"WITH {PAIRS} SELECT run_id, cell, {errors_sql()} FROM pairs GROUP BY GROUPING SETS ((run_id, cell), (run_id))", 3)
 def _(t):
     return score.rmse_mape_all(pairs(t))
 
 
+@query("d10_run_differences", f"""WITH {PAIRS}, e AS (SELECT run_id, cell, sqrt(avg((sim_flow - obs_flow) ** 2)) AS flow_rmse, sqrt(avg((sim_density - obs_density) ** 2)) AS density_rmse FROM pairs GROUP BY GROUPING SETS ((run_id, cell), (run_id)))
+SELECT b.run_id, b.cell, round(b.flow_rmse - a.flow_rmse, 2) AS flow_rmse_diff, round(b.density_rmse - a.density_rmse, 2) AS density_rmse_diff FROM e b JOIN e a ON a.run_id = 'r1' AND b.run_id = 'r2' AND a.cell IS NOT DISTINCT FROM b.cell""", 2)
+def _(t):
+    """How much worse the second run is than the first, by cell and pooled."""
+    return score.run_differences(score.rmse_mape_all(pairs(t)), "r1", ["flow_rmse", "density_rmse"])
+
+
 @query("c20_first_cell_per_station", "SELECT cell, CASE WHEN vds_id IS NOT NULL AND row_number() OVER (PARTITION BY corridor_id, vds_id ORDER BY cell) = 1 THEN vds_id END AS vds_id FROM cells")
 def _(t):
     return score.first_cell_per_station(t.cells).select("cell", "vds_id")
 
 
 AGG = """first_cells AS (SELECT cell, length, CASE WHEN vds_id IS NOT NULL AND row_number() OVER (PARTITION BY corridor_id, vds_id ORDER BY cell) = 1 THEN vds_id END AS vds_id FROM cells),
-agg AS (SELECT sum(s.flow * f.length) / 12 AS sim_vmt, sum(s.density * f.length) / 12 AS sim_vht, sum(o.flow * m.length) / 12 AS obs_vmt, sum(o.density * m.length) / 12 AS obs_vht, count(DISTINCT f.vds_id) AS n_vds
-FROM sim5 s JOIN first_cells f ON f.cell = s.cell AND f.vds_id IS NOT NULL JOIN meta m ON m.station_id = f.vds_id JOIN obs5 o ON o.station_id = f.vds_id AND o.m_5min = s.m_5min WHERE o.flow IS NOT NULL AND o.density IS NOT NULL)"""
+agg AS (SELECT s.run_id, sum(s.flow * f.length) / 12 AS sim_vmt, sum(s.density * f.length) / 12 AS sim_vht, sum(o.flow * m.length) / 12 AS obs_vmt, sum(o.density * m.length) / 12 AS obs_vht, count(DISTINCT f.vds_id) AS n_vds
+FROM sim5 s JOIN first_cells f ON f.cell = s.cell AND f.vds_id IS NOT NULL JOIN meta m ON m.station_id = f.vds_id JOIN obs5 o ON o.station_id = f.vds_id AND o.m_5min = s.m_5min WHERE o.flow IS NOT NULL AND o.density IS NOT NULL GROUP BY 1)"""
 
 
-@query("d12_corridor_aggregates", f"WITH {META_SQL}, {SIM5}, {AGG} SELECT round(sim_vmt, 1) AS sim_vmt, round(sim_vht, 1) AS sim_vht, round(obs_vmt, 1) AS obs_vmt, round(obs_vht, 1) AS obs_vht, n_vds, round(100 * (sim_vmt - obs_vmt) / obs_vmt, 1) AS vmt_pct, round(100 * (sim_vht - obs_vht) / obs_vht, 1) AS vht_pct FROM agg", 1)
+@query("d12_corridor_aggregates", f"WITH {META_SQL}, {SIM5}, {AGG} SELECT run_id, round(sim_vmt, 1) AS sim_vmt, round(sim_vht, 1) AS sim_vht, round(obs_vmt, 1) AS obs_vmt, round(obs_vht, 1) AS obs_vht, n_vds, round(100 * (sim_vmt - obs_vmt) / obs_vmt, 1) AS vmt_pct, round(100 * (sim_vht - obs_vht) / obs_vht, 1) AS vht_pct FROM agg", 1)
 def _(t):
     return score.corridor_aggregates(sim5(t), t.obs5, t.cells, meta(t))
 
 
-GEH = "hours AS (SELECT cell, m_5min // 12 AS hour, avg(sim_flow) AS s, avg(obs_flow) AS o FROM pairs GROUP BY 1, 2 HAVING count(sim_flow + obs_flow) >= 5), gehs AS (SELECT cell, sqrt(2 * (s - o) ** 2 / nullif(s + o, 0)) AS geh FROM hours)"
+GEH = "hours AS (SELECT run_id, cell, m_5min // 12 AS hour, avg(sim_flow) AS s, avg(obs_flow) AS o FROM pairs GROUP BY 1, 2, 3 HAVING count(sim_flow + obs_flow) >= 5), gehs AS (SELECT run_id, cell, sqrt(2 * (s - o) ** 2 / nullif(s + o, 0)) AS geh FROM hours)"
 
 
-@query("d13_flow_geh", f"WITH {PAIRS}, {GEH.replace('>= 5', '= 12')} SELECT cell, count(*) AS n_hours, round(median(geh), 3) AS geh_median, round(100 * avg(CASE WHEN geh < 5 THEN 1 ELSE 0 END), 3) AS geh_pct_under_5 FROM gehs GROUP BY GROUPING SETS ((cell), ())", 3)
+@query("d13_flow_geh", f"WITH {PAIRS}, {GEH.replace('>= 5', '= 12')} SELECT run_id, cell, count(*) AS n_hours, round(median(geh), 3) AS geh_median, round(100 * avg(CASE WHEN geh < 5 THEN 1 ELSE 0 END), 3) AS geh_pct_under_5 FROM gehs GROUP BY GROUPING SETS ((run_id, cell), (run_id))", 3)
 def _(t):
     return score.flow_geh(pairs(t))
 
 
-@query("c22_merge_geh", f"WITH {PAIRS}, {GEH.replace('>= 5', '= 12')}, g AS (SELECT cell, count(*) AS n_hours FROM gehs GROUP BY 1) SELECT e.cell, e.flow_n, g.n_hours FROM (SELECT cell, {errors_sql()} FROM pairs GROUP BY 1) e LEFT JOIN g USING (cell)")
+@query("c22_merge_geh", f"WITH {PAIRS}, {GEH.replace('>= 5', '= 12')}, g AS (SELECT run_id, cell, count(*) AS n_hours FROM gehs GROUP BY 1, 2) SELECT run_id, cell, e.flow_n, g.n_hours FROM (SELECT run_id, cell, {errors_sql()} FROM pairs GROUP BY 1, 2) e LEFT JOIN g USING (run_id, cell)")
 def _(t):
     p = pairs(t)
-    return score.merge_geh(score.rmse_mape(p), score.flow_geh(p).where("cell IS NOT NULL")).select("cell", "flow_n", "n_hours")
+    return score.merge_geh(score.rmse_mape(p), score.flow_geh(p).where("cell IS NOT NULL")).select("run_id", "cell", "flow_n", "n_hours")
 
 
-@query("d14_qq_rank_pairs", f"WITH {PAIRS}, ok AS (SELECT * FROM pairs WHERE obs_flow IS NOT NULL), a AS (SELECT cell, sim_flow AS sim, row_number() OVER (PARTITION BY cell ORDER BY sim_flow) AS rank FROM ok), b AS (SELECT cell, obs_flow AS obs, row_number() OVER (PARTITION BY cell ORDER BY obs_flow) AS rank FROM ok) SELECT cell, rank, round(sim, 3) AS sim, round(obs, 3) AS obs FROM a JOIN b USING (cell, rank)", 3)
+@query("d14_qq_rank_pairs", f"WITH {PAIRS}, ok AS (SELECT * FROM pairs WHERE obs_flow IS NOT NULL), a AS (SELECT run_id, cell, sim_flow AS sim, row_number() OVER (PARTITION BY run_id, cell ORDER BY sim_flow) AS rank FROM ok), b AS (SELECT run_id, cell, obs_flow AS obs, row_number() OVER (PARTITION BY run_id, cell ORDER BY obs_flow) AS rank FROM ok) SELECT run_id, cell, rank, round(sim, 3) AS sim, round(obs, 3) AS obs FROM a JOIN b USING (run_id, cell, rank)", 3)
 def _(t):
     return score.qq_rank_pairs(pairs(t))
 
@@ -406,10 +413,10 @@ def _(t):
     return score.cell_totals(t.traj, t.cells, 1 / 24)
 
 
-@query("d17_compare_grids", "WITH p AS (SELECT a.cell, a.rho_post AS sim_density, a.flow AS sim_flow, b.rho_post + 1.5 AS obs_density, b.flow * 0.98 AS obs_flow FROM traj a JOIN traj b ON a.cell = b.cell AND a.step = b.step WHERE a.step % 6 = 0) SELECT cell, " + errors_sql() + " FROM p GROUP BY 1", 3)
+@query("d17_compare_grids", "WITH p AS (SELECT a.run_id, a.cell, a.rho_post AS sim_density, a.flow AS sim_flow, b.rho_post + 1.5 AS obs_density, b.flow * 0.98 AS obs_flow FROM runs a JOIN traj b ON a.cell = b.cell AND a.step = b.step WHERE a.step % 6 = 0) SELECT run_id, cell, " + errors_sql() + " FROM p GROUP BY 1, 2", 3)
 def _(t):
     ref = t.traj.select("cell", "step", (F.col("rho_post") + 1.5).alias("rho"), (F.col("flow") * 0.98).alias("flow"))
-    return score.compare_grids(t.traj, ref, 6)
+    return score.compare_grids(t.runs, ref, 6)
 
 
 def sourced(t):
@@ -417,8 +424,8 @@ def sourced(t):
 
 
 @query("d18_weighted_grid_error", f"""WITH {SIM5}, g AS (SELECT c.cell, m_5min, density AS value, CASE WHEN (m_5min + c.cell) % 3 = 0 THEN 0.25 ELSE 1 END AS w FROM cells c JOIN obs5 o ON o.station_id = c.vds_id),
-x AS (SELECT density - value AS d, value, CASE WHEN value IS NULL THEN w ELSE w END AS w FROM sim5 JOIN g USING (cell, m_5min))
-SELECT round(sum(w * d * d) / sum(w), 2) AS weighted_mse, round(sqrt(avg(CASE WHEN w = 1 THEN d * d END)), 2) AS rmse, round(100 * avg(CASE WHEN w = 1 AND value <> 0 THEN abs(d) / abs(value) END), 2) AS mape, count(*) FILTER (w = 1) AS n FROM x""", 2)
+x AS (SELECT run_id, density - value AS d, value, CASE WHEN value IS NULL THEN w ELSE w END AS w FROM sim5 JOIN g USING (cell, m_5min))
+SELECT run_id, round(sum(w * d * d) / sum(w), 2) AS weighted_mse, round(sqrt(avg(CASE WHEN w = 1 THEN d * d END)), 2) AS rmse, round(100 * avg(CASE WHEN w = 1 AND value <> 0 THEN abs(d) / abs(value) END), 2) AS mape, count(*) FILTER (w = 1) AS n FROM x GROUP BY 1""", 2)
 def _(t):
     return score.weighted_grid_error(sim5(t), sourced(t), 0.25)
 
@@ -428,15 +435,15 @@ def _(t):
     return score.observed_grid(t.obs5, t.cells, HORIZON)
 
 
-@query("f1_top_cells", f"WITH {PAIRS} SELECT cell, round(sqrt(avg((sim_density - obs_density) ** 2)), 3) AS density_rmse FROM pairs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", 3)
+@query("f1_top_cells", f"WITH {PAIRS}, e AS (SELECT run_id, cell, sqrt(avg((sim_density - obs_density) ** 2)) AS r FROM pairs GROUP BY 1, 2) SELECT run_id, cell, round(r, 3) AS density_rmse FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY r DESC NULLS LAST, cell) <= 5", 3)
 def _(t):
-    return score.top_cells(score.rmse_mape(pairs(t))).select("cell", "density_rmse")
+    return score.top_cells(score.rmse_mape(pairs(t))).select("run_id", "cell", "density_rmse")
 
 
-@query("d31_validation_report", f"""WITH {META_SQL}, {PAIRS}, {AGG}, {GEH.replace('>= 5', '= 12')}, e AS (SELECT {errors_sql(6)} FROM pairs), per AS (SELECT cell, sqrt(avg((sim_density - obs_density) ** 2)) AS r FROM pairs GROUP BY 1)
-SELECT item, CAST(NULL AS BIGINT) AS cell, round(CAST(value AS DOUBLE), 1) AS value FROM (SELECT unnest(['flow_rmse', 'flow_mape', 'density_rmse', 'density_mape', 'sim_vmt', 'sim_vht', 'obs_vmt', 'obs_vht', 'n_vds', 'vmt_pct', 'vht_pct', 'geh_pct_under_5', 'n_scored']) AS item,
-unnest([flow_rmse, flow_mape, density_rmse, density_mape, sim_vmt, sim_vht, obs_vmt, obs_vht, n_vds, 100 * (sim_vmt - obs_vmt) / obs_vmt, 100 * (sim_vht - obs_vht) / obs_vht, (SELECT 100 * avg(CASE WHEN geh < 5 THEN 1 ELSE 0 END) FROM gehs), (SELECT count(*) FROM per WHERE r IS NOT NULL)]) AS value FROM e, agg)
-UNION ALL (SELECT 'worst_density_rmse', cell, round(r, 1) FROM per ORDER BY r DESC, cell LIMIT 5)""", 1)
+@query("d31_validation_report", f"""WITH {META_SQL}, {PAIRS}, {AGG}, {GEH.replace('>= 5', '= 12')}, e AS (SELECT run_id, {errors_sql(6)} FROM pairs GROUP BY 1), per AS (SELECT run_id, cell, sqrt(avg((sim_density - obs_density) ** 2)) AS r FROM pairs GROUP BY 1, 2)
+SELECT run_id, item, CAST(NULL AS BIGINT) AS cell, round(CAST(value AS DOUBLE), 1) AS value FROM (SELECT run_id, unnest(['flow_rmse', 'flow_mape', 'density_rmse', 'density_mape', 'sim_vmt', 'sim_vht', 'obs_vmt', 'obs_vht', 'n_vds', 'vmt_pct', 'vht_pct', 'geh_pct_under_5', 'n_scored']) AS item,
+unnest([flow_rmse, flow_mape, density_rmse, density_mape, sim_vmt, sim_vht, obs_vmt, obs_vht, n_vds, 100 * (sim_vmt - obs_vmt) / obs_vmt, 100 * (sim_vht - obs_vht) / obs_vht, good, n_scored]) AS value FROM e JOIN agg USING (run_id) JOIN (SELECT run_id, 100 * avg(CASE WHEN geh < 5 THEN 1 ELSE 0 END) AS good FROM gehs GROUP BY 1) USING (run_id) JOIN (SELECT run_id, count(r) AS n_scored FROM per GROUP BY 1) USING (run_id))
+UNION ALL (SELECT run_id, 'worst_density_rmse', cell, round(r, 1) FROM per QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY r DESC NULLS LAST, cell) <= 5)""", 1)
 def _(t):
     return score.validation_report(pairs(t), score.corridor_aggregates(sim5(t), t.obs5, t.cells, meta(t)))
 

@@ -19,7 +19,7 @@ SELECT station_id, m_5min, 1e0 + CAST(total AS DOUBLE) / CAST(n AS DOUBLE) / 1e1
 FROM (SELECT CAST(floor(l_suppkey / 16e0) AS BIGINT) AS station_id, CAST(l_orderkey % 8640 AS BIGINT) AS m_5min, SUM((l_partkey * 7919 + l_orderkey * 31) % 1490) AS total, COUNT(*) AS n
       FROM {lineitem} GROUP BY 1, 2) s""",
     "det": """
-SELECT station_id, m_5min, CASE WHEN (m_5min + station_id * 3) % 23 = 0 THEN NULL ELSE q / 4e0 END AS total_flow_5min,
+SELECT station_id, m_5min, CASE WHEN (m_5min + station_id * 3) % 23 = 0 THEN NULL ELSE q * 2500731e-7 END AS total_flow_5min,
        q / rho AS avg_speed_mph, CASE WHEN (m_5min * 7 + station_id) % 10 < 9 THEN 1e2 ELSE 6e1 END AS pct_observed
 FROM (SELECT station_id, m_5min, rho, CASE WHEN rho <= 30e0 THEN 60e0 * rho ELSE 15e0 * (150e0 - rho) END AS q FROM {truth}) t""",
     "obs5": "SELECT station_id, m_5min, total_flow_5min * 12e0 AS flow, total_flow_5min * 12e0 / nullif(avg_speed_mph, 0e0) AS density FROM {det}",
@@ -38,6 +38,10 @@ SELECT 'r1' AS run_id, m_5min * 2 + i AS step, cell, rho_post, queue_post, flow,
          CAST((t.m_5min + cell) % 5 AS DOUBLE) * 3e-1 AS queue_post,
          CASE WHEN t.rho <= 30e0 THEN 60e0 * t.rho ELSE 15e0 * (150e0 - t.rho) END * lanes * (950013e-6 + CAST((t.m_5min * 3 + cell + i) % 10 AS DOUBLE) * 100031e-7) AS flow
   FROM {truth} t JOIN {cells} c ON t.station_id = c.vds_id CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) k) z""",
+    # two runs side by side, the second denser and slower
+    "runs": """
+SELECT run_id, step, cell, rho_post, queue_post, flow, speed FROM {traj}
+UNION ALL SELECT 'r2' AS run_id, step, cell, rho_post * 1037129e-6 + 314159e-6 AS rho_post, queue_post, flow * 968371e-6 AS flow, flow * 968371e-6 / (rho_post * 1037129e-6 + 314159e-6) AS speed FROM {traj}""",
     "stations": """
 SELECT CAST(s_suppkey AS BIGINT) AS station_id, concat('c', CAST(CAST(floor(s_suppkey / 100e0) AS BIGINT) AS STRING)) AS corridor_id, CAST((s_suppkey * 37) % 1000 AS DOUBLE) / 1e2 AS abs_pm, CAST(5 + s_nationkey % 2 AS INT) AS route,
        CASE s_nationkey % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'S' WHEN 2 THEN 'E' ELSE 'W' END AS direction,
