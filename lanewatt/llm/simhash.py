@@ -427,19 +427,32 @@ def _alike(table: pa.Table) -> pa.Table:
     return pa.table([np.concatenate(found_a), np.concatenate(found_b)], names=["a", "b"])
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``members`` (key, node, n, among, root, sketch, small) that share a key but not a root, and whose
-    sketches, and small sets, are alike, each once.
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` by the tiles that they meet in: (key, kind, low, high, side, node, n, root, sketch, small).
 
-    The members of a key of many are cut into tiles, and every pair of tiles is a task's work apart: only the pairs that
-    may be similar leave it.
+    Of a key's members, those of its largest root need not meet each other. They are cut into tiles once, and only those
+    of the other roots meet all tiles: an odd member of a million near copies costs a copy of itself a tile, and the near
+    copies one row each. The others meet among themselves, every two tiles of them in a task apart.
     """
-    tiles = F.ceil(F.col("among") / TILE).cast("int")
-    wide = members.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    tile = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.ceil(n / TILE), F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / TILE), F.lit(1)).cast("int") - 1))
+    n_big, n_other = F.col("big.c"), F.col("_n") - F.col("big.c")
+    own = ["node", "n", "root", "sketch", "small"]
+    big, other = members.where("root = big.root"), members.where("root <> big.root")
+    from_big = big.select("key", F.lit(1).alias("kind"), every(n_other).alias("low"), tile(n_big).alias("high"), F.lit(2).alias("side"), *own)
+    to_big = other.select("key", F.lit(1).alias("kind"), tile(n_other).alias("low"), every(n_big).alias("high"), F.lit(1).alias("side"), *own)
+    wide = other.withColumn("tile", tile(n_other)).withColumn("u", every(n_other))
     low, high = F.least("tile", "u"), F.greatest("tile", "u")
     side = F.when(low == high, 0).when(F.col("tile") == low, 1).otherwise(2)
-    dealt = wide.select("key", low.alias("low"), high.alias("high"), side.alias("side"), "node", "n", "root", "sketch", "small")
-    return dealt.groupBy("key", "low", "high").applyInArrow(_alike, "a long, b long").distinct()
+    among = wide.select("key", F.lit(0).alias("kind"), low.alias("low"), high.alias("high"), side.alias("side"), *own)
+    return from_big.unionByName(to_big).unionByName(among)
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``members`` (key, node, n, root, sketch, small; of the key its rows ``_n`` and its largest root
+    ``big``) that share a key but not a root, and whose sketches, and small sets, are alike, each once: only the pairs that
+    may be similar leave a task."""
+    return _dealt(members).groupBy("key", "kind", "low", "high").applyInArrow(_alike, "a long, b long").distinct()
 
 
 def _address() -> Column:
@@ -482,9 +495,11 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = stored(_similar(star, sets), "near")
 
     placed = members.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stored(placed.select("key", "node", "n", "among", "root"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("_n")).where("low < high").select("key", "_n")
-    apart = _across(spread_join(placed, mixed, "key", total).join(nodes.select("node", "sketch"), "node").join(small, "node")).join(star, ["a", "b"], "left_anti")
+    placed = stored(placed.select("key", "node", "n", "root"), "placed")
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("big"), F.sum("c").alias("rows"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = mixed.select("key", "big", F.col("rows"), F.col("rows").alias("_n"))
+    apart = _across(spread_join(placed, mixed, "key", total).withColumnRenamed("rows", "_n").join(nodes.select("node", "sketch"), "node").join(small, "node")).join(star, ["a", "b"], "left_anti")
     edges = stored(near.union(_similar(stored(apart, "apart"), sets)), "edges")
 
     ids = nodes.select("node", "id")

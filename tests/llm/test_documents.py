@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from lanewatt.llm import decontaminate, labelled, ogg, packing, quality, simhash, toxicity, warc
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fps string, group string"
 
@@ -548,3 +549,19 @@ def test_search_has_no_piece_limit():
         bins = packing.best_fit(lengths, 200)
         better = packing.local_search(lengths, bins, 200)
         assert len(better) == -(-sum(lengths) // 200) and sorted(i for b in better for i in b) == list(range(900))
+
+
+def test_an_odd_member_of_a_band_meets_near_copies_without_dealing_them_anew(spark):
+    rng = np.random.default_rng(4)
+    sketch = rng.integers(0, 256, simhash.BANDS * simhash.ROWS, np.uint8).tobytes()
+    rows = [(1, k, 50, 7, sketch) for k in range(5000)] + [(1, 9000, 50, 8, sketch), (1, 9001, 50, 9, bytes(len(sketch)))]
+    rows += [(2, k, 50, k % 3, sketch) for k in range(40)]
+    members = spark.createDataFrame(rows, "key long, node long, n int, root long, sketch binary").withColumn("small", F.lit(None).cast("binary"))
+    members = members.withColumn("_n", F.when(F.col("key") == 1, 5002).otherwise(40).cast("long"))
+    members = members.withColumn("big", F.when(F.col("key") == 1, F.struct(F.lit(5000).cast("long").alias("c"), F.lit(7).cast("long").alias("root"))).otherwise(F.struct(F.lit(14).cast("long").alias("c"), F.lit(0).cast("long").alias("root"))))
+    dealt = simhash._dealt(members)
+    assert dealt.count() <= 2 * len(rows) and dealt.groupBy("node", "key").count().where("node < 5000 AND key = 1").agg(F.max("count")).first()[0] == 1
+    assert dealt.groupBy("key", "kind", "low", "high").count().agg(F.max("count")).first()[0] < 3 * simhash.TILE
+    got = {tuple(r) for r in simhash._across(members).collect()}
+    want = {(k, 9000) for k in range(5000)} | {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 3 != j % 3}
+    assert got == want

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 6000")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(None, None, "en", "s", 0), (10**6, "", "en", "s", 0), (10**6, "", "en", "s", 0), (10**6 + 1, "password: hunter2hunter2 is said here by one who knows", "en", "s", 54)], docs.schema)
     seen = [docs.unionByName(extra).persist()]
     for _, stage in corpus_pipeline.STAGES:
