@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import calibrate, linref, quality, scenario, score
-from ..sources import ingest
+from ..sources import ingest, landing
 from ..sources.scratch import scratch_folder
 from ..streaming.detectors import five_minute_flow, run_available, stream_detector_files
 from .registry import query
@@ -415,11 +415,18 @@ def _(t):
 LINE_SQL = "CASE WHEN l_linenumber = 7 THEN 'bad' ELSE '' END"
 
 
-def feed(t):
+class Rows:
+    """Some of the line items in place of all."""
+
+    def __init__(self, lineitem):
+        self.lineitem = lineitem
+
+
+def feed(t, quantity=None):
     """Lines of the raw feed: two lanes for odd stations, one for even ones; one line in seven has a bad width."""
     stamp = F.date_format(F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(l_orderkey % 288 AS INT) * 5, 0)"), ingest.TIME_FORMAT)
     lane = F.concat_ws(",", F.lit("10"), F.col("l_quantity").cast("string"), F.lit("0.1"), F.lit(""), F.lit("100"))
-    head = F.concat_ws(",", stamp, F.col("l_suppkey"), F.lit("4"), F.lit("880"), F.lit("N"), F.lit("ML"), F.lit("0.5"), F.lit("30"), F.lit("100"), F.col("l_quantity").cast("string"), F.lit("0.05"), F.lit("61.5"))
+    head = F.concat_ws(",", stamp, F.col("l_suppkey"), F.lit("4"), F.lit("880"), F.lit("N"), F.lit("ML"), F.lit("0.5"), F.lit("30"), F.lit("100"), (F.col("l_quantity") if quantity is None else quantity).cast("string"), F.lit("0.05"), F.lit("61.5"))
     line = F.concat_ws(",", head, F.when(F.col("l_suppkey") % 2 == 1, F.concat_ws(",", lane, lane)).otherwise(lane), F.when(F.col("l_linenumber") == 7, F.lit("1")))
     return t.lineitem.select(line.alias("value"))
 
@@ -442,6 +449,16 @@ def _(t):
     return ingest.merge_by_station(d.where("m_5min % 3 < 2"), d.where("m_5min % 3 > 0")).groupBy("station_id").agg(F.count("*").alias("n"))
 
 
+@query("a5_landed_deliveries", "WITH x AS (SELECT DISTINCT station_id, m_5min, avg_speed_mph FROM det) SELECT station_id, count(*) AS n, round(sum(avg_speed_mph), 2) AS speed, count(DISTINCT m_5min) AS n_times FROM x GROUP BY 1", 2)
+def _(t):
+    """Three deliveries with overlaps, landed one after the other by station and month; the last touches some months only."""
+    table = landing.StationMonths(t.spark, scratch_folder(t.spark, "landed"))
+    d = with_ts(t.det.select("station_id", "m_5min", "avg_speed_mph"))
+    for part in (F.col("m_5min") % 3 < 2, F.col("m_5min") % 3 > 0, F.col("m_5min") < 2000):
+        table.land(d.where(part))
+    return table.read().groupBy("station_id").agg(F.count("*").alias("n"), F.sum("avg_speed_mph").alias("speed"), F.countDistinct("m_5min").alias("n_times"))
+
+
 @query("a6_split_by_station", "SELECT m_5min, round(avg_speed_mph, 4) AS avg_speed_mph FROM det WHERE station_id = 3")
 def _(t):
     return ingest.split_by_station(t.det, 3).select("m_5min", "avg_speed_mph")
@@ -470,18 +487,16 @@ def _(t):
     return ingest.clean_freeway_table(raw).select("cell", "rho_crit", "on_ramp", "off_ramp", "gamma")
 
 
-WIDE = "wide AS (SELECT step, max(rho_post) FILTER (cell = 0) AS c0, max(rho_post) FILTER (cell = 1) AS c1, max(rho_post) FILTER (cell = 4) AS c4 FROM traj GROUP BY 1)"
-
-
-@query("a15_long_to_wide", f'WITH {WIDE} SELECT step, round(c0, 4) AS "0", round(c1, 4) AS "1", round(c4, 4) AS "4" FROM wide')
+@query("a15_long_to_wide", "SELECT step, cell // 64 AS block, cell % 64 AS k, round(rho_post, 4) AS value FROM traj")
 def _(t):
-    return ingest.long_to_wide(t.traj, "step", "rho_post", [0, 1, 4])
+    """All cells, 64 columns a block."""
+    wide = ingest.long_to_blocks(t.traj, "step", "rho_post")
+    return wide.select("step", "block", F.posexplode("values").alias("k", "value")).where("value IS NOT NULL").withColumn("k", F.col("k").cast("long"))
 
 
 @query("a14_wide_to_long", "SELECT s.step, c.cell, round(coalesce(rho_post, 0), 4) AS value FROM (SELECT DISTINCT step FROM traj) s CROSS JOIN cells c LEFT JOIN traj t ON t.step = s.step AND t.cell = c.cell")
 def _(t):
-    names = [r["cell"] for r in t.cells.where("vds_id IS NOT NULL").select("cell").collect()]  # a wide table's columns
-    return ingest.wide_to_long(ingest.long_to_wide(t.traj, "step", "rho_post", names), "step", "value", t.cells)
+    return ingest.blocks_to_long(ingest.long_to_blocks(t.traj, "step", "rho_post"), "step", "value", cells=t.cells)
 
 
 @query("a18_matrix_cells", "SELECT s_suppkey AS id, r AS row, c AS col, CAST(s_suppkey * 10 + r * 3 + c AS DOUBLE) AS value FROM supplier CROSS JOIN (SELECT unnest(range(0, 2)) AS r) CROSS JOIN (SELECT unnest(range(0, 3)) AS c)")
@@ -557,14 +572,22 @@ def _(t):
     return ingest.latest_snapshot(t.customer.select(F.col("c_name").alias("file_name")))
 
 
-@query("s1_stream_flow", "SELECT DISTINCT l_suppkey AS station_id, l_orderkey % 288 AS m_5min, CAST(1 AS BIGINT) AS n FROM lineitem WHERE l_linenumber <> 7 AND l_orderkey % 288 <= 283")
+@query("s1_stream_flow", """WITH f AS (SELECT l_suppkey AS station_id, l_orderkey % 288 AS m, l_linenumber <= 4 AS early, (l_suppkey * 7 + l_orderkey % 288 * 3) % 50 + 1 AS q FROM lineitem WHERE l_linenumber <> 7),
+wm AS (SELECT max(m) - 3 AS w FROM f WHERE early), counted AS (SELECT DISTINCT station_id, m, q FROM f, wm WHERE early OR m > w),
+late AS (SELECT count(*) AS late_rows FROM f, wm WHERE NOT early AND m <= w), again AS (SELECT (SELECT count(*) FROM f, wm WHERE early OR m > w) - (SELECT count(*) FROM counted) AS repeated_rows)
+SELECT station_id, m AS m_5min, q * 12e0 AS flow, round(q * 12 / 61.5, 4) AS density, CAST(1 AS BIGINT) AS n, late_rows, repeated_rows FROM counted, wm, late, again WHERE m < w""")
 def _(t):
-    """The raw feed through files and a stream: what the watermark has closed, copies counted once."""
+    """The raw feed in two deliveries through files and a stream: what the watermark has closed, copies counted once, and
+    how many rows came too late or again."""
     files, sink, state = (scratch_folder(t.spark, n) for n in ("feed", "stream", "stream-state"))
-    feed(t).write.option("compression", "gzip").text(files)
-    run_available(five_minute_flow(stream_detector_files(t.spark, files)), sink, state)
+    early, told = F.col("l_linenumber") <= 4, []
+    for part in (early, ~early):
+        lines = feed(Rows(t.lineitem.where(part)), (F.col("l_suppkey") * 7 + F.col("l_orderkey") % 288 * 3) % 50 + 1)
+        lines.write.mode("append").option("compression", "gzip").text(files)
+        told.append(run_available(five_minute_flow(stream_detector_files(t.spark, files)), sink, state))
     out = t.spark.read.parquet(sink)
-    return out.select("station_id", F.expr("(unix_seconds(start) - 1704067200) div 300").alias("m_5min"), "n")
+    late, repeated = (F.lit(sum(x[k] for x in told)).cast("long") for k in ("late", "repeated"))
+    return out.select("station_id", F.expr("(unix_seconds(start) - 1704067200) div 300").alias("m_5min"), "flow", "density", "n", late.alias("late_rows"), repeated.alias("repeated_rows"))
 
 
 @query("b7_window_problems", """WITH w AS (SELECT o_orderkey AS id, 1704067200 + o_custkey % 50 * 150 AS a, 1704067200 + o_custkey % 7 * 1800 AS b, CASE o_orderkey % 5 WHEN 0 THEN 100e0 WHEN 1 THEN 900e0 WHEN 2 THEN 7e0 WHEN 3 THEN 3600e0 ELSE 5000e0 END AS dt FROM orders)
@@ -595,6 +618,18 @@ def _(t):
     return ingest.read_corridor(t.spark, path)[1].groupBy("kind").agg(F.count("*").alias("n"), F.sum("postmile").alias("total"))
 
 
+@query("a11_marker_ranges", "SELECT route, count(*) AS n, round(sum(abs_pm), 3) AS pm, round(min(longitude), 4) AS west, (SELECT count(*) FROM stations WHERE route <> 5 AND station_id % 7 = 0) AS n_problems FROM stations WHERE route = 5 GROUP BY 1")
+def _(t):
+    """One file of features, read by ranges of a few kilobytes; features without a postmile are told apart."""
+    path = scratch_folder(t.spark, "marker-file")
+    pm = F.when((F.col("route") == 5) | (F.col("station_id") % 7 != 0), F.col("abs_pm"))
+    point = F.struct(F.lit("Feature").alias("type"), F.struct(F.concat(F.lit("I "), "route").alias("Route"), pm.alias("PM"), F.concat(F.lit('{"properties": {}, "geometry": "'), "name").alias("note")).alias("properties"), F.struct(F.array("longitude", "latitude").alias("coordinates")).alias("geometry"))
+    t.stations.select(F.concat(F.to_json(point), F.lit(",")).alias("value")).write.text(path)
+    markers, problems = ingest.read_marker_ranges(t.spark, path, [5], 4096)
+    n = problems.agg(F.count("*").alias("n_problems"))  # one row
+    return markers.groupBy("route").agg(F.count("*").alias("n"), F.round(F.sum("pm"), 3).alias("pm"), F.min("longitude").alias("west")).crossJoin(n)
+
+
 @query("a11_postmile_markers", "SELECT route, count(*) AS n, round(sum(abs_pm), 3) AS pm, round(min(longitude), 4) AS west FROM stations WHERE route = 5 GROUP BY 1")
 def _(t):
     path = scratch_folder(t.spark, "markers")

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import RANGE_BYTES, read_marker_features
+from .scratch import written
+
 # The columns of the detector feed and of station metadata, with the other names they go by.
 STATION_FIELDS = (
     "timestamp string, station_id long, district int, freeway int, direction string, lane_type string, station_length double, "
@@ -142,10 +145,20 @@ def parse_markers(text: DataFrame, routes: list[int]) -> DataFrame:
 
 
 def read_postmile_markers(spark: SparkSession, path: str, routes: list[int]) -> DataFrame:
-    """Markers of whole GeoJSON files, each one a task."""
+    """Markers of whole GeoJSON files, each one a task, from any store that Spark reads; ``read_marker_ranges`` reads large
+    ones by many tasks."""
     return parse_markers(spark.read.text(path, wholetext=True), routes)
 
 
+def read_marker_ranges(spark: SparkSession, uri: str, routes: list[int], range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(markers, problems): markers as ``parse_markers`` gives them, of files read by byte ranges, and the features that are
+    none, each with its file, offset and what is wrong with it."""
+    rows = read_marker_features(spark, uri, range_bytes)
+    number = F.regexp_extract("route", r"\d+", 0).try_cast("int")
+    good = rows.where("problem IS NULL").select(number.alias("route"), "pm", "longitude", "latitude").where(F.col("route").isin(routes))
+    return good, rows.where("problem IS NOT NULL").select("file", "offset", "problem")
+
+
 def write_corridor(segments: DataFrame, junctions: DataFrame, nodes: DataFrame, path: str) -> None:
     """Segments, junctions and the node-to-postmile table as JSON lines."""
     for name, df in (("segments", segments), ("junctions", junctions), ("nodes", nodes)):
@@ -196,9 +209,27 @@ def wide_to_long(df: DataFrame, key: str, value: str, cells: DataFrame | None =
 
 
 def long_to_wide(df: DataFrame, key: str, value: str, cells: list[int]) -> DataFrame:
+    """A column a cell of ``cells``; a wide table is no wider than its reader can hold, so many cells go by blocks."""
     return df.groupBy(key).pivot("cell", cells).agg(F.first(value))
 
 
+def long_to_blocks(df: DataFrame, key: str, value: str, width: int = 64) -> DataFrame:
+    """(key, block, values): all cells of a long table in blocks of ``width`` columns: the array's k-th entry (from 0) is cell
+    block * width + k, null where there is none. What cells there are need not be known, and no row grows with them."""
+    once = df.groupBy(key, "cell").agg(F.first(value).alias(value))
+    placed = once.groupBy(key, F.floor(F.col("cell") / width).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("cell", F.lit(width)).cast("int").alias("k"), value))).alias("m"))
+    return placed.select(key, "block", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.try_element_at("m", k)).alias("values"))
+
+
+def blocks_to_long(blocks: DataFrame, key: str, value: str, width: int = 64, cells: DataFrame | None = None) -> DataFrame:
+    """(key, cell, value) of what ``long_to_blocks`` gives, without the nulls; with ``cells`` every key has each of them, missing ones 0."""
+    long = blocks.select(key, "block", F.posexplode("values").alias("k", value)).where(F.col(value).isNotNull()).select(key, (F.col("block") * width + F.col("k")).alias("cell"), value)
+    if cells is None:
+        return long
+    dense = blocks.select(key).distinct().crossJoin(cells.select("cell"))  # the table is that product
+    return dense.join(long, [key, "cell"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+
+
 def write_run(path: str, run_id: str, **tables: DataFrame) -> None:
     """The tables of one run, each partitioned by run; a run written again takes the place of itself, others stay."""
     for name, df in tables.items():
@@ -210,12 +241,25 @@ def read_run(spark: SparkSession, path: str, run_id: str, name: str) -> DataFram
 
 
 def write_demand_long(demand: DataFrame, path: str, steps_per_part: int = 288) -> None:
-    demand.withColumn("part", F.floor(F.col("step") / steps_per_part)).write.mode("overwrite").partitionBy("part").parquet(path)
+    """One folder a ``steps_per_part`` steps; parts in ``demand`` replace what is there of them, others stay."""
+    demand.withColumn("part", F.floor(F.col("step") / steps_per_part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def read_matrix_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, value) of a headerless matrix file, rows in their order in the file."""
-    return matrix_cells(spark.read.text(path, wholetext=True))
+    """(row, col, value) of a headerless matrix file, or of a folder's files one after the other, rows in their order.
+
+    Files are split like any text. Rows are counted by block; what lies before a block is the sum over the blocks before it,
+    so a row knows its number without a task that reads the whole file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    local = Window.partitionBy("file", "block").orderBy("at")  # a block's lines, as many as a task has read
+    lines = written(lines.withColumn("row", F.row_number().over(local) - 1), "lines")
+    full = lines.where(F.trim("value") != "").groupBy("file").agg(F.max(F.struct("block", "row")).alias("end"))  # blank lines at a file's end are no rows
+    kept = lines.join(full, "file").where(F.struct("block", "row") <= F.col("end"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    totals = kept.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rows = kept.join(totals, ["file", "block"])
+    return rows.select((F.col("first") + F.col("row")).alias("row"), F.posexplode(F.split("value", ",")).alias("col", "v")).select("row", "col", F.trim("v").try_cast("double").alias("value"))
 
 
 def matrix_cells(text: DataFrame, *keys: str) -> DataFrame:

@@ -25,6 +25,18 @@ def stream_detector_files(spark: SparkSession, path: str) -> DataFrame:
     return with_lanes(parse_detector_lines(lines)).select("station_id", "ts", F.col("total_flow_5min").alias("flow_count"), F.col("avg_speed_mph").alias("speed"))
 
 
-def run_available(df: DataFrame, sink: str, checkpoint: str) -> None:
-    """Process what is there and end."""
-    df.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def run_available(df: DataFrame, sink: str, checkpoint: str) -> dict[str, int]:
+    """Process what is there and end. Returns what the run did not count: ``late`` rows, behind the watermark, and
+    ``repeated`` ones, as the stream's own state operators report them batch by batch."""
+    run = df.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    told: dict[int, tuple[int, int]] = {}
+
+    def note() -> None:
+        for p in run.recentProgress:
+            states = p.stateOperators
+            told[p.batchId] = (sum(s.numRowsDroppedByWatermark for s in states), sum(int(s.customMetrics.get("numDroppedDuplicateRows", 0)) for s in states))
+
+    while not run.awaitTermination(5):  # progress is kept for the last batches only, so it is read while the run goes on
+        note()
+    note()
+    return {"late": sum(x for x, _ in told.values()), "repeated": sum(x for _, x in told.values())}
