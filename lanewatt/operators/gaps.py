@@ -50,23 +50,51 @@ def iqr_fence(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
     return x.where(F.col(value).between(F.col("_q1") - spread - TIE, F.col("_q3") + spread + TIE)).select(*df.columns)
 
 
-def _runs(df: DataFrame, value: str) -> DataFrame:
-    """Number the runs of null and of present values of a station; rows must be on a grid."""
-    w = Window.partitionBy("station_id").orderBy("ts")
-    missing = F.col(value).isNull()
-    change = F.when(missing != F.lag(missing).over(w), 1).otherwise(0)
-    return df.withColumn("_change", change).withColumn("_run", F.sum("_change").over(w)).drop("_change")
-
-
-def persistence_fill(df: DataFrame, value: str, max_gap_minutes: int | None = None, out: str | None = None) -> DataFrame:
-    """The last value carried forward; with a limit, only into gaps no longer than it, whole or not at all."""
-    w = Window.partitionBy("station_id").orderBy("ts")
-    last = F.last(value, ignorenulls=True).over(w)
+def _carried(chunks: DataFrame) -> DataFrame:
+    """Per station and chunk what its neighbours leave open: the last value before it, and the lengths of the runs of nulls
+    that end at its start and begin at its end. Windows here hold a row a chunk.
+
+    A chunk without a value passes on what it got, its own length added: such chunks share the number of chunks with a
+    value up to them (or from them on), and lengths add up within that number.
+    """
+    on, back = Window.partitionBy("station_id").orderBy("_chunk"), Window.partitionBy("station_id").orderBy(F.desc("_chunk"))
+    upto = Window.unboundedPreceding, Window.currentRow
+    x = chunks.withColumn("_fore", F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(on.rowsBetween(*upto)))
+    x = x.withColumn("_aft", F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(back.rowsBetween(*upto)))
+    x = x.withColumn("_open", F.sum("_trail").over(Window.partitionBy("station_id", "_fore").orderBy("_chunk").rowsBetween(*upto)))
+    x = x.withColumn("_shut", F.sum("_lead").over(Window.partitionBy("station_id", "_aft").orderBy(F.desc("_chunk")).rowsBetween(*upto)))
+    return x.select(
+        "station_id", "_chunk", F.last("_last", ignorenulls=True).over(on.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.coalesce(F.lag("_open").over(on), F.lit(0)).alias("_ahead"), F.coalesce(F.lag("_shut").over(back), F.lit(0)).alias("_behind"),
+    )
+
+
+def persistence_fill(df: DataFrame, value: str, max_gap_minutes: int | None = None, out: str | None = None, chunk: str = "month") -> DataFrame:
+    """The last value carried forward; with a limit, only into gaps no longer than it, whole or not at all; rows must be on
+    a grid.
+
+    Runs are counted within a station's ``chunk`` of time, and what is open at a chunk's ends comes of a scan over one row a
+    chunk, so no window holds more than a chunk of a station's life. A station that starts with nulls keeps them.
+    """
+    own = Window.partitionBy("station_id", "_chunk")
+    w = own.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = df.withColumn("_chunk", F.date_trunc(chunk, F.col("ts").cast("timestamp_ntz")))
+    x = x.withColumns({"_local": F.last(value, ignorenulls=True).over(w), "_g": F.count(value).over(w), "_k": F.count(value).over(own)})
+    null = F.col(value).isNull()
+    chunks = x.groupBy("station_id", "_chunk").agg(
+        F.max("_k").alias("_k"), F.count_if(F.col("_g") == 0).alias("_lead"), F.count_if(null & (F.col("_g") == F.col("_k"))).alias("_trail"),
+        F.max_by(value, F.when(~null, F.col("ts"))).alias("_last"),
+    )
+    carried = _carried(chunks).toDF("_s", "_c", "_before", "_ahead", "_behind")
+    x = x.join(carried, F.col("station_id").eqNullSafe(F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_c")), "left")
+    last = F.coalesce("_local", "_before")
     if max_gap_minutes is None:
-        return df.withColumn(out or value, F.coalesce(F.col(value), last))
-    rows = F.count("*").over(Window.partitionBy("station_id", "_run"))
-    filled = F.when(F.col(value).isNotNull(), F.col(value)).when(rows * SAMPLE_MINUTES <= max_gap_minutes, last)
-    return _runs(df, value).withColumn(out or value, filled).drop("_run")
+        filled = F.coalesce(F.col(value), last)
+    else:
+        local = F.count_if(null).over(Window.partitionBy("station_id", "_chunk", "_g"))
+        rows = local + F.when(F.col("_g") == 0, F.col("_ahead")).otherwise(0) + F.when(F.col("_g") == F.col("_k"), F.col("_behind")).otherwise(0)
+        filled = F.when(~null, F.col(value)).when(rows * SAMPLE_MINUTES <= max_gap_minutes, last)
+    return x.withColumn(out or value, filled).drop("_chunk", "_local", "_g", "_k", "_s", "_c", "_before", "_ahead", "_behind")
 
 
 def _slot_mean(df: DataFrame, value: str, history: DataFrame | None) -> tuple[DataFrame, Column]:

@@ -20,6 +20,8 @@ METRES_PER_DEGREE = pi * EARTH_RADIUS_M / 180
 HALF_EARTH_M = pi * EARTH_RADIUS_M
 #: The least side of a square, in degrees: about a kilometre.
 LEAST_SQUARE = 0.01
+#: A square that more rows reach is cut into four, as long as its side is longer than the margin.
+SQUARE_ROWS = 2000
 BUCKET_MILES = 1.0
 
 
@@ -54,10 +56,35 @@ def _lon_margin(metres: float, lat: Column) -> Column:
     return F.when(far < 89, _degrees(metres) / F.cos(F.radians(far))).otherwise(F.lit(360.0))
 
 
+def _meet(points: DataFrame, x: str, y: str, shapes: DataFrame, box: list[Column], keys: list[str], size: float, least: float) -> DataFrame:
+    """``points`` joined with those ``shapes`` whose ``box`` (of the shape's columns) holds the point's square.
+
+    Squares form a quadtree by counts: those of ``size`` degrees that more than ``SQUARE_ROWS`` shapes reach are cut into four,
+    and so on down to ``least``, so that a dense place is many keys and an empty land few. A point is in one square, so it
+    meets a shape once; only squares that are cut are looked at again.
+    """
+    met = []
+    while True:
+        own = points.withColumn("sq", F.struct(F.floor(F.col(x) / size).alias("x"), F.floor(F.col(y) / size).alias("y")))
+        reach = shapes.select("*", _squares(*box, size))
+        if size / 2 < least:
+            break
+        full = written(reach.groupBy(*keys, "sq").agg(F.count("*").alias("_reach")).where(F.col("_reach") > SQUARE_ROWS), "full-squares").drop("_reach")
+        if full.isEmpty():
+            break
+        met.append(own.join(full, [*keys, "sq"], "left_anti").join(reach, [*keys, "sq"]))
+        points = written(own.join(full, [*keys, "sq"], "left_semi").drop("sq"), "crowded-points")
+        if points.isEmpty():
+            return reduce(DataFrame.unionByName, met)
+        shapes = written(shapes.withColumn("_id", F.monotonically_increasing_id()).select("*", _squares(*box, size)).join(full, [*keys, "sq"], "left_semi").drop("sq").dropDuplicates(["_id"]).drop("_id"), "crowded-shapes")
+        size /= 2
+    return reduce(DataFrame.unionByName, [*met, own.join(reach, [*keys, "sq"])])
+
+
 def project_to_corridor(stations: DataFrame, segments: DataFrame, max_m: float = 100.0, keep_off: bool = False) -> DataFrame:
     """Stations with the nearest point of the corridor: (…, seq, distance_m, pm, on_corridor); first segment of equals.
 
-    A station meets only edges in its own square of a grid, where edges lie with a margin of ``max_m``. With
+    A station meets only edges in its own square, where edges lie with a margin of ``max_m``; crowded squares are cut up. With
     ``keep_off`` the stations farther away are looked up again with eight times the margin, until all are placed.
     """
     e = written(segment_edges(segments), "edges")
@@ -86,7 +113,7 @@ def _nearest_feet(stations: DataFrame, e: DataFrame, margin: float) -> DataFrame
     wide = F.greatest(_lon_margin(margin, F.col("p.lat")), _lon_margin(margin, F.col("q.lat")))
     box = [F.least("p.lon", "q.lon") - wide, F.greatest("p.lon", "q.lon") + wide, F.least("p.lat", "q.lat") - _degrees(margin), F.greatest("p.lat", "q.lat") + _degrees(margin)]
     box = [F.greatest(F.least(x, F.lit(top)), F.lit(-top)) for x, top in zip(box, (540.0, 540.0, 90.0, 90.0), strict=True)]
-    x = stations.withColumn("sq", F.struct(F.floor(F.col("longitude") / size).alias("x"), F.floor(F.col("latitude") / size).alias("y"))).join(e.select("*", _squares(*box, size)), ["corridor_id", "sq"])
+    x = _meet(stations, "longitude", "latitude", e, box, ["corridor_id"], size, 2 * _degrees(margin))
     dx, dy = F.col("q.lon") - F.col("p.lon"), F.col("q.lat") - F.col("p.lat")
     t = F.try_divide((F.col("longitude") - F.col("p.lon")) * dx + (F.col("latitude") - F.col("p.lat")) * dy, dx * dx + dy * dy)
     x = x.withColumn("t", F.least(F.greatest(F.coalesce(t, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
@@ -98,14 +125,22 @@ def _nearest_feet(stations: DataFrame, e: DataFrame, margin: float) -> DataFrame
     return near.select("corridor_id", "station_id", "b.distance_m", "b.seq", "b.pm")
 
 
+def _most_in_square(markers: DataFrame, size: float) -> int | None:
+    square = markers.groupBy("route", F.floor(F.col("longitude") / size), F.floor(F.col("latitude") / size)).agg(F.count("*").alias("n"))
+    return square.agg(F.max("n")).first()[0]
+
+
 def annotate_postmiles(nodes: DataFrame, markers: DataFrame) -> DataFrame:
     """(node_id, pm): the postmile of the nearest marker, plus the distance to it, or less it, by the side it lies on.
 
     A node east or north of its marker (bearing 0 to 180) counts up. A node meets the markers of its route in the squares
     about its own; those that have none within a square's side are looked up again in squares eight times as wide, until
-    all are placed. Nearest is by degrees, as the roads are short.
+    all are placed. Where markers crowd, the first squares are as much smaller as leaves ``SQUARE_ROWS`` markers in each.
+    Nearest is by degrees, as the roads are short.
     """
     left, size, found = nodes.select("node_id", "x", "y", "route"), LEAST_SQUARE, []
+    while size > LEAST_SQUARE / 8**3 and (_most_in_square(markers, size) or 0) > SQUARE_ROWS:
+        size /= 8
     while True:
         all_of_it = size >= 720
         around = [F.col("longitude") - size, F.col("longitude") + size, F.col("latitude") - size, F.col("latitude") + size]
@@ -200,13 +235,13 @@ def inherit_upstream(cells: DataFrame) -> DataFrame:
 def assign_ramp_stations(cells: DataFrame, junctions: DataFrame, stations: DataFrame, max_m: float = 200.0) -> DataFrame:
     """(corridor_id, cell, kind, station_id): the ramp station nearest to each ramp, by kind (on: OR, off: FR), matched
     to the cell that begins (on) or ends (off) at the ramp's postmile, to six places; of ramps at one postmile the last.
-    A ramp meets the stations of its kind in the squares within ``max_m`` of it."""
+    A ramp meets the stations of its kind in the squares within ``max_m`` of it; crowded squares are cut up."""
     want = F.when(F.col("kind") == "on", "OR").otherwise("FR")
     s = stations.select("corridor_id", "station_id", F.col("type").alias("_type"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
     size, wide = max(_degrees(max_m), LEAST_SQUARE), _lon_margin(max_m, F.col("lat"))
-    s = s.withColumn("sq", F.struct(F.floor(F.col("_lon") / size).alias("x"), F.floor(F.col("_lat") / size).alias("y")))
-    j = junctions.withColumn("_type", want).select("*", _squares(F.col("lon") - wide, F.col("lon") + wide, F.col("lat") - _degrees(max_m), F.col("lat") + _degrees(max_m), size))
-    x = j.join(s, ["corridor_id", "_type", "sq"]).withColumn("_d", haversine_m("lat", "lon", "_lat", "_lon")).where(F.col("_d") <= max_m)
+    box = [F.col("lon") - wide, F.col("lon") + wide, F.col("lat") - _degrees(max_m), F.col("lat") + _degrees(max_m)]
+    met = _meet(s, "_lon", "_lat", junctions.withColumn("_type", want), box, ["corridor_id", "_type"], size, 2 * _degrees(max_m))
+    x = met.withColumn("_d", haversine_m("lat", "lon", "_lat", "_lon")).where(F.col("_d") <= max_m)
     near = x.groupBy("corridor_id", "junction_id", "kind", "postmile").agg(F.min_by("station_id", F.struct("_d", "station_id")).alias("station_id"))
     near = near.groupBy("corridor_id", "kind", F.round("postmile", 6).alias("_pm")).agg(F.max_by("station_id", "junction_id").alias("station_id"))
     at = cells.select("corridor_id", "cell", F.explode(F.array(F.struct(F.lit("on").alias("kind"), F.round("pm_start", 6).alias("_pm")), F.struct(F.lit("off").alias("kind"), F.round("pm_end", 6).alias("_pm")))).alias("k"))

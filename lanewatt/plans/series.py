@@ -305,13 +305,13 @@ def _(t):
 
 # Scoring.
 
-SIM5 = "sim5 AS (SELECT run_id, cell, step // 2 AS m_5min, avg(flow) AS flow, avg(rho_post) AS density FROM runs GROUP BY 1, 2, 3)"
+SIM5 = "sim5 AS (SELECT run_id, cell, step // 2 AS m_5min, avg(flow) AS flow, avg(rho_post) AS density FROM two_runs GROUP BY 1, 2, 3)"
 PAIRS = SIM5 + """, pairs AS (SELECT s.run_id, s.cell, c.vds_id AS station_id, s.m_5min, s.flow AS sim_flow, o.flow AS obs_flow, s.density AS sim_density, o.density AS obs_density
 FROM sim5 s JOIN cells c ON c.cell = s.cell AND c.vds_source IN ('direct', 'direct_tiebreak') LEFT JOIN obs5 o ON o.station_id = c.vds_id AND o.m_5min = s.m_5min)"""
 
 
 def sim5(t):
-    return score.block_mean(t.runs, 2)
+    return score.block_mean(t.two_runs, 2)
 
 
 def pairs(t):
@@ -413,10 +413,10 @@ def _(t):
     return score.cell_totals(t.traj, t.cells, 1 / 24)
 
 
-@query("d17_compare_grids", "WITH p AS (SELECT a.run_id, a.cell, a.rho_post AS sim_density, a.flow AS sim_flow, b.rho_post + 1.5 AS obs_density, b.flow * 0.98 AS obs_flow FROM runs a JOIN traj b ON a.cell = b.cell AND a.step = b.step WHERE a.step % 6 = 0) SELECT run_id, cell, " + errors_sql() + " FROM p GROUP BY 1, 2", 3)
+@query("d17_compare_grids", "WITH p AS (SELECT a.run_id, a.cell, a.rho_post AS sim_density, a.flow AS sim_flow, b.rho_post + 1.5 AS obs_density, b.flow * 0.98 AS obs_flow FROM two_runs a JOIN traj b ON a.cell = b.cell AND a.step = b.step WHERE a.step % 6 = 0) SELECT run_id, cell, " + errors_sql() + " FROM p GROUP BY 1, 2", 3)
 def _(t):
     ref = t.traj.select("cell", "step", (F.col("rho_post") + 1.5).alias("rho"), (F.col("flow") * 0.98).alias("flow"))
-    return score.compare_grids(t.runs, ref, 6)
+    return score.compare_grids(t.two_runs, ref, 6)
 
 
 def sourced(t):

@@ -39,7 +39,7 @@ SELECT 'r1' AS run_id, m_5min * 2 + i AS step, cell, rho_post, queue_post, flow,
          CASE WHEN t.rho <= 30e0 THEN 60e0 * t.rho ELSE 15e0 * (150e0 - t.rho) END * lanes * (950013e-6 + CAST((t.m_5min * 3 + cell + i) % 10 AS DOUBLE) * 100031e-7) AS flow
   FROM {truth} t JOIN {cells} c ON t.station_id = c.vds_id CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) k) z""",
     # two runs side by side, the second denser and slower
-    "runs": """
+    "two_runs": """
 SELECT run_id, step, cell, rho_post, queue_post, flow, speed FROM {traj}
 UNION ALL SELECT 'r2' AS run_id, step, cell, rho_post * 1037129e-6 + 314159e-6 AS rho_post, queue_post, flow * 968371e-6 AS flow, flow * 968371e-6 / (rho_post * 1037129e-6 + 314159e-6) AS speed FROM {traj}""",
     "stations": """

@@ -8,7 +8,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 from lanewatt.functions import scalars as S
-from lanewatt.operators import calibrate, gaps, linref, load, quality, running, scenario, score
+from lanewatt.operators import calibrate, gaps, linref, load, quality, quantiles, running, scenario, score
 from lanewatt.sources import ingest
 from lanewatt.streaming import detectors
 from pyspark.sql import functions as F
@@ -309,3 +309,115 @@ def test_tags_labels_and_capacities(spark):
     one = spark.createDataFrame([("4;3", ["3", "4", "4"], 90.0), ("3;4;4", [], 45.0), (None, None, 900.0)], "tag string, tags array<string>, s double")
     got = [tuple(r) for r in one.select(S.parse_lanes("tag"), S.lanes_of_list("tags"), S.window_label("s")).collect()]
     assert got == [(4, 4, "1.5min"), (3, 0, "45s"), (0, 0, "15min")]
+
+
+def test_fills_carry_over_chunks_of_time(spark):
+    """Every layout of nulls over three chunks, against a loop over the whole series."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for station in range(60):
+        values = [None if rng.random() < 0.6 else float(k) for k in range(24)]
+        if station % 5 == 0:
+            values[6:18] = [None] * 12  # a chunk without any value, and its neighbours' ends
+        at = [f"2024-01-{1 + k // 8:02} {16 + k % 8}:00" for k in range(24)]
+        rows += [(station, t, v) for t, v in zip(at, values, strict=True)]
+        for limit in (None, 3):
+            k = 0
+            while k < 24:
+                run = k
+                while run < 24 and values[run] is None:
+                    run += 1
+                for j in range(k, run):
+                    fits = k > 0 and (limit is None or run - k <= limit)
+                    want[station, at[j], limit] = values[k - 1] if fits else None
+                if run < 24:
+                    want[station, at[run], limit] = values[run]
+                k = run + 1
+    df = spark.createDataFrame(rows, "station_id long, ts string, v double").withColumn("at", F.col("ts")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for limit in (None, 3):
+        got = gaps.persistence_fill(df, "v", limit and limit * 5, out="w", chunk="day")
+        assert got.columns == [*df.columns, "w"]
+        assert {(r["station_id"], r["at"], limit): r["w"] for r in got.collect()} == {k: v for k, v in want.items() if k[2] == limit}
+
+
+def test_crowded_squares_are_cut_up(spark, monkeypatch):
+    """Nine in ten of the edges lie in one place: stations find the same edge as among all of them."""
+    rng = random.Random(5)
+    place = lambda: (-118.0 + rng.random() * (0.008 if rng.random() < 0.9 else 3), 34.0 + rng.random() * (0.008 if rng.random() < 0.9 else 1))
+    segments = [("k", n, [(x, y), (x + 0.0003, y + 0.0002)], float(n), n + 1.0) for n, (x, y) in enumerate(place() for _ in range(600))]
+    stations = [("k", n, *place()) for n in range(300)]
+    seg = spark.createDataFrame(segments, "corridor_id string, seq int, geometry array<struct<lon:double,lat:double>>, pm_start double, pm_end double")
+    sta = spark.createDataFrame(stations, "corridor_id string, station_id long, longitude double, latitude double")
+    found = {}
+    for most in (40, 10**9):
+        monkeypatch.setattr(linref, "SQUARE_ROWS", most)
+        found[most] = {r["station_id"]: (r["seq"], round(r["distance_m"], 6)) for r in linref.project_to_corridor(sta, seg, 100.0).collect()}
+    assert found[40] == found[10**9] and len(found[40]) > 200
+    monkeypatch.setattr(linref, "SQUARE_ROWS", 40)
+    box = [F.least("p.lon", "q.lon") - 1e-4, F.greatest("p.lon", "q.lon") + 1e-4, F.least("p.lat", "q.lat") - 1e-4, F.greatest("p.lat", "q.lat") + 1e-4]
+    met = linref._meet(sta, "longitude", "latitude", linref.segment_edges(seg), box, ["corridor_id"], 0.01, 1e-4)
+    assert met.groupBy("station_id", "seq").count().where("count > 1").isEmpty()
+    assert met.groupBy("station_id").count().agg(F.max("count")).first()[0] <= 40  # no leaf over the bound
+
+
+def test_weights_in_closed_form_equal_sums_over_positions(spark):
+    cells = spark.createDataFrame([(0, 0.03), (1, 0.011), (2, 0.02), (3, 0.0001)], "cell long, length double")
+    for spec in (load.PadSpec(), load.PadSpec(alpha=1.5, lambda_gap=2.0, delta=4.0), load.PadSpec(dx=0.1, beta=5.0), load.PadSpec(alpha=0.5, lambda_gap=0.5, delta=0.5)):
+        n = int(load.cell_positions(cells, spec.dx).agg(F.sum("n")).first()[0])
+        power = {r["position"]: r["power"] for r in load.power_profile(spark, n, spec).collect()}
+        for bin_m in (7.0, 3.3, 40.0):
+            want = {}
+            for r in load.position_map(cells, spec).collect():
+                if r["position"] in power:
+                    key = r["cell"], int(r["position"] * spec.dx // bin_m)
+                    want[key] = want.get(key, 0.0) + power[r["position"]] * r["weight"]
+            got = {(r["cell"], r["bin"]): r["w"] for r in load.bin_weights(cells, spec, bin_m, n).collect()}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
+    fine = load.bin_weights(cells, load.PadSpec(dx=0.001), 7.0, 10**5)
+    assert fine.count() < 100  # a grid of a hundred thousand positions
+
+
+def test_percentiles_by_ranks_equal_numpys(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, 0.0, rng.random()])) for _ in range(2000)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = {"low": 0.0, "q": 0.37, "mid": 0.5, "high": 1.0}
+    got = {r["k"]: [r[n] for n in shares] for r in quantiles.exact_percentiles(df, ["k"], "v", shares).collect()}
+    for k in ("a", "b", None, "one"):
+        assert got[k] == pytest.approx(np.quantile([v for x, v in rows if x == k], list(shares.values())).tolist())
+    assert "none" not in got
+    pooled = quantiles.exact_percentiles(df, [], "v", {"mid": 0.5}).first()["mid"]
+    assert pooled == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_windows_come_from_their_largest_divisor(spark):
+    assert load.window_lattice([1, 3, 12, 72, 5]) == {1: 0, 3: 1, 5: 1, 12: 3, 72: 12}
+    per = spark.createDataFrame([(k, float(k)) for k in range(10)], "step long, energy_wh double")
+    got = {(r["window_s"], r["block"]): (r["energy_wh"], r["n"]) for r in load.aggregation_windows(per, 300, [600, 1200]).collect()}
+    assert got[600.0, 4] == (17.0, 2) and got[1200.0, 2] == (17.0, 2) and got[300.0, 9] == (9.0, 1) and len(got) == 18
+
+
+def test_runs_are_scored_apart_and_compared(spark):
+    pairs = spark.createDataFrame([(r, c, 1, m, 10.0 + d, 10.0, 5.0, 5.0) for r, d in (("a", 1.0), ("b", 3.0)) for c in (1, 2) for m in range(12)], "run_id string, cell long, station_id long, m_5min long, sim_flow double, obs_flow double, sim_density double, obs_density double")
+    by_run = {r["run_id"]: r["flow_rmse"] for r in score.corridor_rmse_mape(pairs).collect()}
+    assert by_run == {"a": 1.0, "b": 3.0}
+    diff = {r["cell"]: r["flow_rmse_diff"] for r in score.run_differences(score.rmse_mape_all(pairs), "a", ["flow_rmse"]).collect()}
+    assert diff == {1: 2.0, 2: 2.0, None: 2.0}
+    cells = spark.createDataFrame([(1,), (2,), (3,)], "cell long")
+    assert sorted((r["run_id"], r["cell"], r["flow_n"]) for r in score.rmse_mape(pairs, cells).collect()) == [(r, c, 12 * (c < 3)) for r in "ab" for c in (1, 2, 3)]
+    geh = {(r["run_id"], r["cell"]): r["n_hours"] for r in score.flow_geh(pairs).collect()}
+    assert geh == {(r, c): n for r in "ab" for c, n in ((1, 1), (2, 1), (None, 2))}
+    assert score.flow_geh(pairs.drop("run_id").where("station_id = 0")).count() == 0
+
+
+def test_tiles_with_halos_equal_the_offsets_by_hand(spark):
+    rng = random.Random(2)
+    known = {(c, m): rng.random() for c in range(-3, 40) for m in range(50) if rng.random() < 0.2}
+    asked = [(c, m) for c in range(-3, 40) for m in range(0, 50, 3)] + [(99, 99), (0, 0), (0, 0)]
+    usable = spark.createDataFrame([(c, m, v) for (c, m), v in known.items()], "cell long, m_5min long, value double")
+    targets = spark.createDataFrame([*asked, (None, 1)], "cell long, m_5min long")
+    got = {(r["cell"], r["m_5min"]): r["value"] for r in gaps.knn_impute(None, usable, targets, 3, 0.7, tile=(8, 16)).collect()}
+    assert got.keys() == {*asked, (None, 1)} and got[None, 1] is None
+    for c, m in set(asked):
+        near = [(math.exp(-0.7 * (abs(a) + abs(b) - 1)), known[c + a, m + b]) for a in range(-3, 4) for b in range(-3, 4) if a and abs(a) + abs(b) <= 3 and (c + a, m + b) in known]
+        assert got[c, m] == (pytest.approx(sum(w * v for w, v in near) / sum(w for w, _ in near)) if near else None)
