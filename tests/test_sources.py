@@ -5,7 +5,7 @@ import json
 import os
 
 import pytest
-from lanewatt.sources import ingest, landing, ranges
+from lanewatt.sources import ingest, landing, ranges, scratch
 from pyspark.sql import functions as F
 
 ROWS = "station_id long, ts timestamp_ntz, v double"
@@ -91,3 +91,15 @@ def test_blocks_of_columns_and_back(spark):
     assert sorted(ingest.blocks_to_long(blocks, "step", "v", 8).collect()) == sorted(long.collect())
     cells = spark.createDataFrame([(1,), (2,)], "cell long")
     assert sorted(tuple(r) for r in ingest.blocks_to_long(blocks, "step", "v", 8, cells).collect()) == [(t, c, float(t + 1) if c == 1 else 0.0) for t in range(3) for c in (1, 2)]
+
+
+def test_a_job_leaves_no_scratch_folder(spark):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    with pytest.raises(RuntimeError), scratch.scratch_job(spark):
+        kept = scratch.written(spark.range(3), "outer")
+        with scratch.scratch_job(spark):
+            assert scratch.written(spark.range(5), "inner").count() == 5
+        assert kept.count() == 3 and not any(n.startswith("inner") for n in set(os.listdir(root)) - before)
+        raise RuntimeError
+    assert set(os.listdir(root)) == before
