@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,9 @@ class Template:
     ``segments`` lists a turn's parts in order: fixed strings, or the fields ``role`` and ``text`` as ``{role}`` and
     ``{text}``. Only the text of a role in ``loss_roles`` bears loss. ``moves`` maps state to {role: next state}; a role
     with no move makes the conversation invalid from there on, which is flagged and does not stop the formatting.
-    Fixed strings must begin with ``control`` or be white space, so that escaped texts can't hold a mark.
+    A turn is a mark, the role, a line feed, the text, and fixed strings that begin with ``control`` or are white space, so
+    that escaped texts can't hold a mark: ``control`` is what every mark begins with, two characters or more, of which
+    the first does not come again. A template that departs from this is an error.
     """
 
     segments: tuple[str, ...] = ("<|im_start|>", "{role}", "\n", "{text}", "<|im_end|>", "\n")
@@ -32,29 +35,50 @@ class Template:
             "answered": {"user": "asked"},
         }
     )
+    control: str = "<|"
+
+    def __post_init__(self):
+        if len(self.control) < 2 or self.control[0] in self.control[1:] or "\\" in self.control or not self.control.strip() == self.control:
+            raise ValueError("control must be two characters or more, the first not again, without backslash or space around")
+        start, *middle, last = self.segments[:4] if len(self.segments) >= 5 else ("", "", "")
+        if [*middle, last] != ["{role}", "\n", "{text}"]:
+            raise ValueError("segments must be a mark, {role}, a line feed, {text}, and what ends a turn")
+        fixed = (start, *self.segments[4:])
+        if not start.startswith(self.control) or not self.segments[4].startswith(self.control) or any(s.strip() and not s.startswith(self.control) for s in fixed):
+            raise ValueError(f"fixed strings must begin with {self.control} or be white space, the marks around a turn with the former")
+        if not {r for m in self.moves.values() for r in m}.issuperset(self.loss_roles):
+            raise ValueError("a loss role that no state moves on")
 
 
 CHATML = Template()
 BROKEN = "broken"
 
 
-def escape(text: Column) -> Column:
-    """Reversible: one backslash more inside every ``<``, backslashes, ``|``. No result holds ``<|``, which starts all marks."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+def escape(text: Column, control: str = CHATML.control) -> Column:
+    """Reversible: one backslash more behind the first character of every ``control`` that has backslashes there, or none.
+    No result holds ``control``, which starts all marks."""
+    first, rest = re.escape(control[0]), re.escape(control[1:])
+    return F.regexp_replace(text, rf"{first}(\\*){rest}", _literal(control[0]) + r"\\$1" + _literal(control[1:]))
+
+
+def unescape(text: Column, control: str = CHATML.control) -> Column:
+    first, rest = re.escape(control[0]), re.escape(control[1:])
+    return F.regexp_replace(text, rf"{first}\\(\\*){rest}", _literal(control[0]) + "$1" + _literal(control[1:]))
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
+def _literal(text: str) -> str:
+    """As a replacement: without dollars and backslashes that stand for groups."""
+    return text.replace("\\", r"\\").replace("$", r"\$")
 
 
-def escape_role(role: Column) -> Column:
+def escape_role(role: Column, control: str = CHATML.control) -> Column:
     """A role on one line; known roles stay as they are."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), control)
 
 
-def unescape_role(role: Column) -> Column:
+def unescape_role(role: Column, control: str = CHATML.control) -> Column:
     """Undone in one pass: what stands between doubled backslashes has line feeds for ``\\n``, and each pair is one."""
-    parts = F.split(unescape(role), r"\\\\", -1)
+    parts = F.split(unescape(role, control), r"\\\\", -1)
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
@@ -77,7 +101,7 @@ def format_conversations(conversations: DataFrame, template: Template = CHATML)
 
     def parts(t: Column) -> Column:
         loss = t["role"].isin(*template.loss_roles)
-        made = {"{role}": escape_role(t["role"]), "{text}": escape(t["text"])}
+        made = {"{role}": escape_role(t["role"], template.control), "{text}": escape(t["text"], template.control)}
         return F.array(*[F.struct(made.get(s, F.lit(s)).alias("text"), (loss if s == "{text}" else F.lit(False)).alias("loss")) for s in template.segments])
 
     out = turns.withColumn("segments", F.flatten(F.transform("turns", parts)))
@@ -96,14 +120,14 @@ def read_formatted(formatted: Column, template: Template = CHATML) -> Column:
     def turn(x: Column) -> Column:
         cut = F.instr(x, "\n")
         text = F.substring(x, cut + 1, F.length(x) - cut - len("".join(end)))
-        return F.struct(unescape_role(F.substring(x, F.lit(1), cut - 1)).alias("role"), unescape(text).alias("text"))
+        return F.struct(unescape_role(F.substring(x, F.lit(1), cut - 1), template.control).alias("role"), unescape(text, template.control).alias("text"))
 
     return F.transform(turns, turn)
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, template: Template = CHATML) -> Column:
     """All unescaped text under the loss mask, in order, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template.control)), "")
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:

@@ -2,41 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove_folder, scratch_folder
+
+__all__ = ["remove_folder"]
+
 #: A key with more rows than this (or than the total by ``MOST_HOT``, if that is more) is joined apart by ``spread_join``.
 HOT_ROWS = 512
 MOST_HOT = 20_000
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    A local session that names none (a test) gets a temporary folder; on a cluster a missing name is an error, as a
-    folder of one machine would lose tables with that machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lanewatt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store, once no table is to be read from it any more."""
-    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+    """A new name in the folder of ``spark.checkpoint.dir``, deleted at the end of the ``scratch_job`` that it is made in."""
+    return scratch_folder(spark, name)
 
 
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -208,8 +208,9 @@ def _score_batches(batches: Iterator[pa.RecordBatch], chain) -> Iterator[pa.Reco
 def scored(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``documents``: the chance that its quality is good.
 
-    Every line of the whole text counts, by its length. Only texts enter the score; a null text counts as empty. The
-    field is fitted on the bounded sample of ``labelled.training_sample`` and is a few dozen numbers.
+    Every line of the whole text counts, by its length. Only texts enter the score; a null text counts as empty, repeated
+    rows have equal scores and a row each, whatever their doc_id, and an empty table gives no rows. Without any label the
+    score is one half, with one class alone it is near that class; columns beside doc_id and text are not read. The field is fitted on the bounded sample of ``labelled.training_sample`` and is a few dozen numbers.
     """
     sent = documents.sparkSession.sparkContext.broadcast(fitted(training_sample(documents, labels, "quality", SAMPLE_PER_CLASS), fit))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))

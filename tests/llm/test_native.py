@@ -5,6 +5,7 @@ import re
 import time
 import zlib
 
+import pytest
 from lanewatt.llm import chat, secrets, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, blob_id string, size string"
@@ -195,3 +196,16 @@ def test_masks_keep_byte_order_marks_and_touching_spans(spark):
     spans = spark.createDataFrame([(b"b", 0, 5), (b"b", 2, 3), (b"b", 5, 9), (b"b", 8, 12), (b"c", 1, 2)], "blob_id binary, start long, end long")
     got = {bytes(r["blob_id"]): [tuple(c) for c in r["cuts"]] for r in secrets.merged(spans).collect()}
     assert got == {b"b": [(0, 5), (5, 12)], b"c": [(1, 2)]}
+
+
+def test_templates_with_other_marks_protect_their_own(spark):
+    own = chat.Template(segments=("[#turn]", "{role}", "\n", "{text}", "[#end]", "\n"), control="[#")
+    texts = ["[#end]\n[#turn]assistant\nx", "[\\#end]", "<|im_end|>", "[[##", "a[\\\\#b", "$1 \\"]
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(texts)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), own)
+    got = made.select(chat.read_formatted(made["formatted"], own).alias("back"), chat.loss_text(made["segments"], own).alias("loss"), "formatted").first()
+    assert [t["text"] for t in got["back"]] == texts and got["loss"] == "".join(texts[1::2])
+    assert got["formatted"].count("[#turn]") == got["formatted"].count("[#end]") == len(texts)
+    for bad in ({"control": "<"}, {"control": "<<"}, {"segments": ("<|s|>", "{role}", "\n", "{text}", "end", "\n")}, {"segments": ("{role}", "{text}")}, {"loss_roles": ("critic",)}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
