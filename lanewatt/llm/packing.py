@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -20,6 +21,8 @@ GROUP = 2000
 #: How empty a group's bin must be, as a share, for its pieces to be dealt and packed again.
 SLACK = 0.06
 WORD_CACHE = 400_000
+#: A space beside other white space, which may be one pre-token with it.
+_BESIDE_BLANK = re.compile(r" [^\S ]|[^\S ] ")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [f.split()[0] for f in PIECES.split(", ")]
 
@@ -34,8 +37,8 @@ def public_vocabulary() -> str:
 class ByteTokenizer:
     """Ids of the 50k byte-level BPE as little-endian unsigned 32-bit bytes.
 
-    A single space between two other characters always begins a new pre-token of this vocabulary's pattern, so a text
-    without double spaces can be cut there, and the ids of its words remembered.
+    A space between two characters that are no white space always begins a new pre-token of this vocabulary's pattern, so
+    a text without other spaces can be cut there, and the ids of its words remembered.
     """
 
     def __init__(self, ranks_path: str, specials: dict[str, int]):
@@ -53,7 +56,7 @@ class ByteTokenizer:
         return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if "  " in text:
+        if "  " in text or _BESIDE_BLANK.search(text):
             return self.raw(text)
         first, *rest = text.split(" ")
         words, out = self.words, [self.raw(first)]

@@ -565,3 +565,15 @@ def test_an_odd_member_of_a_band_meets_near_copies_without_dealing_them_anew(spa
     got = {tuple(r) for r in simhash._across(members).collect()}
     want = {(k, 9000) for k in range(5000)} | {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 3 != j % 3}
     assert got == want
+
+
+def test_ids_beside_other_white_space():
+    """Words are encoded apart only where the vocabulary's own library would part them too."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    own, rng = packing.byte_tokenizer(packing.public_vocabulary()), random.Random(1)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for _ in range(4000):
+        text = "".join(rng.choice("ab.1' \n\t\r\u00a0\u2003\u3000") for _ in range(rng.randint(0, 9)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
