@@ -17,7 +17,7 @@ PRIOR = 5
 UNIT = 1_000_000_000
 TOP_TERMS = 50
 #: Bytes of text whose pointers are sorted at once, about.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 #: Slices of no more pointers are sorted outright, by so many bytes from where they are known to agree.
 SMALL, WIDE = 1 << 13, 24
 #: Terms that are compared between all sources at once, as one matrix.
