@@ -22,9 +22,9 @@ FAN = 16
 #: Pair counts are sent to all tasks (16 bytes each) if there are no more than this; beyond it the links are joined with them.
 PAIRS_SENT = 4_000_000
 #: Tokens of either stream that are aligned at once, about, and pairs that a task holds before it hands them on.
-BLOCK_TOKENS = 1 << 20
-HELD_PAIRS = 1 << 21
-WORD_CACHE = 300_000
+BLOCK_TOKENS = 1 << 18
+HELD_PAIRS = 1 << 20
+WORD_CACHE = 200_000
 # a space beside white space or a text's end is no sure token boundary of both vocabularies; any other space is one
 _UNSURE = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
 _SURE = re.compile(r"(?<=\S) (?=\S)")
