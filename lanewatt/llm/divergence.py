@@ -82,7 +82,7 @@ def sorted_terms(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
                 new[1:] |= np.diff(key[by]) != 0
             first[lo:hi] = new
             edges = np.append(np.flatnonzero(new), hi - lo)
-            on = (np.diff(edges) > 1) & (lengths[order[lo + edges[:-1]]] > depth + WIDE)
+            on = (np.diff(edges) > 1) & (np.maximum.reduceat(lengths[order[lo:hi]], edges[:-1]) > depth + WIDE)  # some of the run goes on
             stack += [(lo + int(a), lo + int(b), depth + WIDE) for a, b in zip(edges[:-1][on], edges[1:][on], strict=True)]
             continue
         digit = _digits(letters, starts[own], lengths[own], depth)

@@ -70,7 +70,7 @@ def test_rows_equal_brute_force(spark):
 def test_pointer_sort_is_stable_and_finds_equal_runs(monkeypatch, small):
     monkeypatch.setattr(divergence, "SMALL", small)
     rng = random.Random(1)
-    words = ["a", "ab", "abcdefgh", "abcdefghi", "abcdefghabcdefgh", "z" * 100, "z" * 99 + "y", "é", "ÉÉ"] + ["".join(rng.choices("abc", k=rng.randint(1, 30))) for _ in range(300)]
+    words = ["a", "ab", "abcdefgh", "abcdefghi", "abcdefghabcdefgh", "z" * 100, "z" * 99 + "y", *("z" * k for k in (7, 8, 16, 23, 24, 25, 48, 72)), "é", "ÉÉ"] + ["".join(rng.choices("abc", k=rng.randint(1, 30))) for _ in range(300)]
     text = " ".join(rng.choices(words, k=3000))
     letters, starts, lengths = divergence.term_pointers(np.frombuffer(text.encode(), np.uint8))
     order, first = divergence.sorted_terms(letters, starts, lengths)
