@@ -448,10 +448,18 @@ def _dealt(members: DataFrame) -> DataFrame:
     return from_big.unionByName(to_big).unionByName(among)
 
 
+def _largest_roots(members: DataFrame) -> DataFrame:
+    """(key, big, rows, roots): of each key its largest root (c, root), its members and the number of its roots."""
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    return by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("big"), F.sum("c").alias("rows"), F.count("*").alias("roots"))
+
+
 def _across(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``members`` (key, node, n, root, sketch, small; of the key its rows ``_n`` and its largest root
-    ``big``) that share a key but not a root, and whose sketches, and small sets, are alike, each once: only the pairs that
-    may be similar leave a task."""
+    """(a, b): pairs of ``members`` (key, node, n, root, sketch, small) that share a key but not a root, and whose sketches,
+    and small sets, are alike, each once: only the pairs that may be similar leave a task. Members may bring their key's
+    rows ``_n`` and largest root ``big`` along."""
+    if "big" not in members.columns:
+        members = members.join(_largest_roots(members).select("key", "big", F.col("rows").alias("_n")), "key")
     return _dealt(members).groupBy("key", "kind", "low", "high").applyInArrow(_alike, "a long, b long").distinct()
 
 
@@ -496,9 +504,7 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     placed = members.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed.select("key", "node", "n", "root"), "placed")
-    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("big"), F.sum("c").alias("rows"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = mixed.select("key", "big", F.col("rows"), F.col("rows").alias("_n"))
+    mixed = _largest_roots(placed).where("roots > 1").select("key", "big", "rows", F.col("rows").alias("_n"))
     apart = _across(spread_join(placed, mixed, "key", total).withColumnRenamed("rows", "_n").join(nodes.select("node", "sketch"), "node").join(small, "node")).join(star, ["a", "b"], "left_anti")
     edges = stored(near.union(_similar(stored(apart, "apart"), sets)), "edges")
 
