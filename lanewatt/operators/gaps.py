@@ -28,6 +28,25 @@ def reindex_window(ts: DataFrame, start: str, end: str) -> DataFrame:
     return ts.select("station_id").distinct().select("station_id", F.explode(grid).alias("ts")).join(ts, ["station_id", "ts"], "left")
 
 
+def cell_grid(cells: DataFrame, obs: DataFrame, value: str, horizon: int, day: int = 288) -> DataFrame:
+    """(cell, m_5min, value, direct): every cell of ``cells`` (cell, station_id) on every sample below the horizon, null where
+    its station has no row; direct cells have a station. A station has one row a sample.
+
+    A station's ``day`` of samples is one row with an array, so cells meet days, and samples are made after the join: no
+    join or shuffle holds a row a cell and sample. Cells without a station meet nothing and are dealt out by themselves.
+    """
+    at = F.map_from_entries(F.collect_list(F.struct((F.col("m_5min") % day).cast("int").alias("k"), F.col(value).alias("v"))))
+    held = obs.where((F.col("m_5min") >= 0) & (F.col("m_5min") < horizon)).groupBy("station_id", F.floor(F.col("m_5min") / day).alias("_day")).agg(at.alias("_at"))
+    held = held.select("station_id", "_day", F.transform(F.sequence(F.lit(0), F.lit(day - 1)), lambda k: F.try_element_at("_at", k)).alias("_values"))
+    every = cells.select("cell", "station_id").withColumn("_day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((horizon - 1) // day).cast("long"))))
+    none = F.array_repeat(F.lit(None).cast(dict(obs.dtypes)[value]), day)
+    direct = every.where("station_id IS NOT NULL").join(held, ["station_id", "_day"], "left").select("cell", "_day", F.coalesce("_values", none).alias("_values"), F.lit(True).alias("direct"))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    other = every.where("station_id IS NULL").repartition(parts, "cell", "_day").select("cell", "_day", none.alias("_values"), F.lit(False).alias("direct"))
+    rows = direct.unionByName(other).select("cell", "_day", "direct", F.posexplode("_values").alias("_k", "value"))
+    return rows.select("cell", (F.col("_day") * day + F.col("_k")).alias("m_5min"), "value", "direct").where(F.col("m_5min") < horizon)
+
+
 def slot_stats(ts: DataFrame, value: str) -> DataFrame:
     """Mean, sample deviation and count by station and block of the week."""
     return ts.groupBy("station_id", slot_of_week("ts").alias("slot_of_week")).agg(
@@ -144,18 +163,19 @@ def _stencil(rows: pa.Table, k: int, decay: float) -> pa.Table:
     cell, m, value, asked = (rows.column(c).to_numpy() for c in ("cell", "m_5min", "value", "asked"))
     c0, m0 = cell.min() - k, m.min() - k
     shape = (int(cell.max() - c0 + k + 1), int(m.max() - m0 + k + 1))
-    total, count = np.zeros(shape), np.zeros(shape)
+    place = (cell - c0) * shape[1] + (m - m0)
     known = ~np.isnan(value)
-    np.add.at(total, (cell[known] - c0, m[known] - m0), value[known])
-    np.add.at(count, (cell[known] - c0, m[known] - m0), 1.0)
-    at = np.unique(np.stack([cell[asked], m[asked]]), axis=1)
-    upper = lower = np.zeros(at.shape[1])
+    total = np.bincount(place[known], value[known], shape[0] * shape[1]).reshape(shape)
+    count = np.bincount(place[known], minlength=shape[0] * shape[1]).reshape(shape)
+    row, col = np.divmod(np.unique(place[asked]), shape[1])
+    at = row + c0, col + m0
+    upper = lower = np.zeros(len(row))
     for dc in range(-k, k + 1):
         for dt in range(-(k - abs(dc)), k - abs(dc) + 1):
             if dc:
                 weight = np.exp(-decay * (abs(dc) + abs(dt) - 1))
-                place = (at[0] - c0 + dc, at[1] - m0 + dt)
-                upper, lower = upper + weight * total[place], lower + weight * count[place]
+                beside = (row + dc, col + dt)
+                upper, lower = upper + weight * total[beside], lower + weight * count[beside]
     found = np.divide(upper, lower, out=np.zeros(len(upper)), where=lower > 0)
     return pa.table({"cell": at[0], "m_5min": at[1], "value": pa.array(found, mask=lower == 0)})
 

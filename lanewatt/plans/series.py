@@ -191,8 +191,13 @@ FIELD_SQL = """field AS (SELECT c.cell, g.m_5min, o.density AS value FROM cells
 
 def field(t, horizon=HORIZON):
     cells = t.cells.select("cell", F.col("vds_id").alias("station_id"))
-    dense = cells.withColumn("m_5min", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(horizon - 1).cast("long"))))
-    return dense.join(t.obs5, ["station_id", "m_5min"], "left").select("cell", "m_5min", F.col("density").alias("value"), F.col("station_id").isNotNull().alias("direct"))
+    return gaps.cell_grid(cells, t.obs5, "density", horizon)
+
+
+def field_known(t):
+    """The entries of ``field`` that have a value, without the grid."""
+    cells = t.cells.where("vds_id IS NOT NULL").select("cell", F.col("vds_id").alias("station_id"))
+    return t.obs5.where("density IS NOT NULL").join(cells, "station_id").select("cell", "m_5min", F.col("density").alias("value"), F.lit(True).alias("direct"))
 
 
 KNN = """SELECT t.cell, t.m_5min, round(sum(exp(-(d - 1)) * u.value) / sum(CASE WHEN u.value IS NOT NULL THEN exp(-(d - 1)) END), 4) AS value
@@ -219,7 +224,7 @@ def _(t):
 @query("a20_imputed_grid_counts", f"""WITH {FIELD_SQL}, g AS (SELECT CASE WHEN direct THEN 'observed' ELSE 'knn' END AS source FROM (SELECT f.*, c.vds_id IS NOT NULL AS direct FROM field f JOIN cells c USING (cell)) WHERE value IS NOT NULL)
 SELECT source, count(*) AS n FROM g GROUP BY 1 UNION ALL SELECT 'unfilled', (SELECT count(*) FROM cells) * 8640 - count(*) FROM g""")
 def _(t):
-    g = field(t).where("value IS NOT NULL").withColumn("source", F.when(F.col("direct"), "observed").otherwise("knn"))
+    g = field_known(t).withColumn("source", F.when(F.col("direct"), "observed").otherwise("knn"))
     path = scratch_folder(t.spark, "imputed")
     ingest.write_imputed_grid(g.select("cell", "m_5min", "value", "source"), path)
     return ingest.imputed_counts(t.spark.read.parquet(path), t.cells.count(), HORIZON)

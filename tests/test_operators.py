@@ -421,3 +421,16 @@ def test_tiles_with_halos_equal_the_offsets_by_hand(spark):
     for c, m in set(asked):
         near = [(math.exp(-0.7 * (abs(a) + abs(b) - 1)), known[c + a, m + b]) for a in range(-3, 4) for b in range(-3, 4) if a and abs(a) + abs(b) <= 3 and (c + a, m + b) in known]
         assert got[c, m] == (pytest.approx(sum(w * v for w, v in near) / sum(w for w, _ in near)) if near else None)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_known_entries_of_the_field_come_without_a_grid(spark):
+    from lanewatt.plans import registry, series
+
+    t = registry.Source(spark, "/root/testdata/sf0.001")
+    known = series.field_known(t)
+    assert "Generate" not in plan_of(known)  # a grid of all samples was sent to all tasks before
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, series.field(t).where("value IS NOT NULL").collect()))
