@@ -158,11 +158,13 @@ def scenario_table(cells: DataFrame, inflow: DataFrame, demand: DataFrame | floa
     return out
 
 
-def weight_mask(grid: DataFrame, dense: DataFrame, imputed_weight: float) -> DataFrame:
-    """Dense (cell, m_5min, value, weight, genuine): 1 for observed entries, ``imputed_weight`` for filled ones, else 0."""
+def weight_mask(grid: DataFrame, dense: DataFrame | None, imputed_weight: float) -> DataFrame:
+    """Dense (cell, m_5min, value, weight, genuine): 1 for observed entries, ``imputed_weight`` for filled ones, else 0. Without
+    ``dense`` the grid is dense itself, its unfilled entries without a source, and nothing is joined."""
     genuine = F.col("source") == "observed"
     w = F.when(genuine, 1.0).when(F.col("source").isNotNull(), imputed_weight).otherwise(0.0)
-    return dense.join(grid, ["cell", "m_5min"], "left").select("cell", "m_5min", "value", w.alias("weight"), F.coalesce(genuine, F.lit(False)).alias("genuine"))
+    every = grid if dense is None else dense.join(grid, ["cell", "m_5min"], "left")
+    return every.select("cell", "m_5min", "value", w.alias("weight"), F.coalesce(genuine, F.lit(False)).alias("genuine"))
 
 
 def holdout_blocks(series: DataFrame, value: str, gap: int, every: int) -> DataFrame:

@@ -636,9 +636,8 @@ def _(t):
 
 @query("a22_weight_mask", f"""WITH {FIELD_SQL} SELECT cell, m_5min, round(value, 3) AS value, CASE WHEN value IS NULL THEN 0 WHEN (m_5min + cell) % 3 = 0 THEN 0.25 ELSE 1 END * 1e0 AS weight, value IS NOT NULL AND (m_5min + cell) % 3 <> 0 AS genuine FROM field""", 3)
 def _(t):
-    f = field(t)
-    g = f.where("value IS NOT NULL").select("cell", "m_5min", "value", F.when((F.col("m_5min") + F.col("cell")) % 3 == 0, "knn").otherwise("observed").alias("source"))
-    return scenario.weight_mask(g, f.select("cell", "m_5min"), 0.25)
+    source = F.when(F.col("value").isNotNull(), F.when((F.col("m_5min") + F.col("cell")) % 3 == 0, "knn").otherwise("observed"))
+    return scenario.weight_mask(field(t).withColumn("source", source), None, 0.25)
 
 
 HOLDOUT_GAPS = (1, 3, 6, 12)
