@@ -28,23 +28,23 @@ def reindex_window(ts: DataFrame, start: str, end: str) -> DataFrame:
     return ts.select("station_id").distinct().select("station_id", F.explode(grid).alias("ts")).join(ts, ["station_id", "ts"], "left")
 
 
-def cell_grid(cells: DataFrame, obs: DataFrame, value: str, horizon: int, day: int = 288) -> DataFrame:
+def cell_grid(cells: DataFrame, obs: DataFrame, value: str, horizon: int, span: int = 24) -> DataFrame:
     """(cell, m_5min, value, direct): every cell of ``cells`` (cell, station_id) on every sample below the horizon, null where
     its station has no row; direct cells have a station. A station has one row a sample.
 
-    A station's ``day`` of samples is one row with an array, so cells meet days, and samples are made after the join: no
+    A station's ``span`` of samples is one row with an array, so cells meet spans, and samples are made after the join: no
     join or shuffle holds a row a cell and sample. Cells without a station meet nothing and are dealt out by themselves.
     """
-    at = F.map_from_entries(F.collect_list(F.struct((F.col("m_5min") % day).cast("int").alias("k"), F.col(value).alias("v"))))
-    held = obs.where((F.col("m_5min") >= 0) & (F.col("m_5min") < horizon)).groupBy("station_id", F.floor(F.col("m_5min") / day).alias("_day")).agg(at.alias("_at"))
-    held = held.select("station_id", "_day", F.transform(F.sequence(F.lit(0), F.lit(day - 1)), lambda k: F.try_element_at("_at", k)).alias("_values"))
-    every = cells.select("cell", "station_id").withColumn("_day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((horizon - 1) // day).cast("long"))))
-    none = F.array_repeat(F.lit(None).cast(dict(obs.dtypes)[value]), day)
-    direct = every.where("station_id IS NOT NULL").join(held, ["station_id", "_day"], "left").select("cell", "_day", F.coalesce("_values", none).alias("_values"), F.lit(True).alias("direct"))
+    at = F.map_from_entries(F.collect_list(F.struct((F.col("m_5min") % span).cast("int").alias("k"), F.col(value).alias("v"))))
+    held = obs.where((F.col("m_5min") >= 0) & (F.col("m_5min") < horizon)).groupBy("station_id", F.floor(F.col("m_5min") / span).alias("_span")).agg(at.alias("_at"))
+    held = held.select("station_id", "_span", F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda k: F.try_element_at("_at", k)).alias("_values"))
+    every = cells.select("cell", "station_id").withColumn("_span", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((horizon - 1) // span).cast("long"))))
+    none = F.array_repeat(F.lit(None).cast(dict(obs.dtypes)[value]), span)
+    direct = every.where("station_id IS NOT NULL").join(held, ["station_id", "_span"], "left").select("cell", "_span", F.coalesce("_values", none).alias("_values"), F.lit(True).alias("direct"))
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    other = every.where("station_id IS NULL").repartition(parts, "cell", "_day").select("cell", "_day", none.alias("_values"), F.lit(False).alias("direct"))
-    rows = direct.unionByName(other).select("cell", "_day", "direct", F.posexplode("_values").alias("_k", "value"))
-    return rows.select("cell", (F.col("_day") * day + F.col("_k")).alias("m_5min"), "value", "direct").where(F.col("m_5min") < horizon)
+    other = every.where("station_id IS NULL").repartition(parts, "cell", "_span").select("cell", "_span", none.alias("_values"), F.lit(False).alias("direct"))
+    rows = direct.unionByName(other).select("cell", "_span", "direct", F.posexplode("_values").alias("_k", "value"))
+    return rows.select("cell", (F.col("_span") * span + F.col("_k")).alias("m_5min"), "value", "direct").where(F.col("m_5min") < horizon)
 
 
 def slot_stats(ts: DataFrame, value: str) -> DataFrame:
