@@ -434,3 +434,27 @@ def test_known_entries_of_the_field_come_without_a_grid(spark):
     known = series.field_known(t)
     assert "Generate" not in plan_of(known)  # a grid of all samples was sent to all tasks before
     assert sorted(map(tuple, known.collect())) == sorted(map(tuple, series.field(t).where("value IS NOT NULL").collect()))
+
+
+def test_a_dense_grid_gets_its_weights_without_a_join(spark):
+    grid = spark.createDataFrame([(0, 0, 2.0, "observed"), (0, 1, 3.0, "knn"), (0, 2, None, None)], "cell long, m_5min long, value double, source string")
+    out = scenario.weight_mask(grid, None, 0.25)
+    assert "Join" not in plan_of(out)
+    assert sorted((r["m_5min"], r["weight"], r["genuine"]) for r in out.collect()) == [(0, 1.0, True), (1, 0.25, False), (2, 0.0, False)]
+
+
+def test_cells_meet_spans_of_their_stations_samples(spark):
+    cells = spark.createDataFrame([(1, 7), (2, 7), (3, None), (4, 9)], "cell long, station_id long")
+    obs = spark.createDataFrame([(7, 0, 1.0), (7, 30, None), (7, 49, 2.0), (7, 50, 9.0), (8, 3, 5.0)], "station_id long, m_5min long, density double")
+    got = {(r["cell"], r["m_5min"]): (r["value"], r["direct"]) for r in gaps.cell_grid(cells, obs, "density", 50).collect()}
+    assert got == {(c, m): ({0: 1.0, 49: 2.0}.get(m) if c < 3 else None, c != 3) for c in range(1, 5) for m in range(50)}
+
+
+def test_postmiles_are_looked_up_once_a_place(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(linref, "written", lambda df, name: made.setdefault(name, []).append(df.count()) or df)
+    nodes = spark.range(500).select(F.col("id").alias("node_id"), F.lit(-118.0).alias("x"), (34 + F.col("id") % 2 / 1e3).alias("y"), F.lit(5).alias("route"))
+    markers = spark.range(300).select(F.lit(5).alias("route"), (9.0 - F.col("id") % 7).alias("pm"), F.lit(-118.0).alias("longitude"), F.lit(34.0).alias("latitude"))
+    pm = dict(map(tuple, linref.annotate_postmiles(nodes, markers).collect()))
+    assert len(pm) == 500 and pm[0] == 3.0 and pm[1] == pytest.approx(3.0 + 111.19 / 1609.344, abs=1e-4)
+    assert made["markers"] == [1] and made["nearest"] == [2]
