@@ -458,3 +458,12 @@ def test_postmiles_are_looked_up_once_a_place(spark, monkeypatch):
     pm = dict(map(tuple, linref.annotate_postmiles(nodes, markers).collect()))
     assert len(pm) == 500 and pm[0] == 3.0 and pm[1] == pytest.approx(3.0 + 111.19 / 1609.344, abs=1e-4)
     assert made["markers"] == [1] and made["nearest"] == [2]
+
+
+def test_demand_is_dealt_by_blocks_of_cells(spark):
+    cells = spark.range(100).select(F.col("id").alias("cell"), F.lit(0.5).alias("length"))
+    vht = cells.select("cell", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"), F.lit(1.0).alias("vht"))
+    out = load.charging_demand(vht, cells, load.PadSpec(), 0.8, 800.0, int(load.cell_positions(cells, 0.5).agg(F.sum("n")).first()[0]))
+    assert "RepartitionByExpression" in plan_of(out)  # a task held the sums of all cells that it met before
+    dealt = vht.repartition(100 // load.BLOCK_CELLS + 1, F.floor(F.col("cell") / load.BLOCK_CELLS)).withColumn("p", F.spark_partition_id())
+    assert dealt.select(F.floor(F.col("cell") / load.BLOCK_CELLS).alias("b"), "p").distinct().count() == 4
