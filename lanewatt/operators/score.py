@@ -48,6 +48,28 @@ def pair_sim_observed(sim5: DataFrame, obs5: DataFrame, cells: DataFrame) -> Dat
     return sim.join(direct, "cell").join(obs, ["station_id", "m_5min"], "left").select(*run, "cell", "station_id", "m_5min", "sim_flow", "obs_flow", "sim_density", "obs_density")
 
 
+def pair_runs(traj: DataFrame, obs5: DataFrame, cells: DataFrame, steps: int) -> DataFrame:
+    """What ``pair_sim_observed`` gives of ``block_mean``, with the ``hour``, by one shuffle of the trajectories.
+
+    Rows are dealt by station and hour; block means are made where they lie, and meet one row of the hour's observations.
+    What is summed by station and hour afterwards is not shuffled again.
+    """
+    direct = cells.where(F.col("vds_source").isin("direct", "direct_tiebreak")).select("cell", F.col("vds_id").alias("station_id"))
+    keys = ["run_id", "cell", "station_id", "hour", "m_5min"]
+    rows = traj.join(direct, "cell").select("run_id", "cell", "station_id", F.floor(F.col("step") / (12 * steps)).alias("hour"), F.floor(F.col("step") / steps).alias("m_5min"), "flow", "rho_post")
+    sim = rows.repartition("station_id", "hour").groupBy(*keys).agg(F.avg("flow").alias("sim_flow"), F.avg("rho_post").alias("sim_density"))
+    seen = F.collect_list(F.struct("m_5min", F.col("flow").alias("obs_flow"), F.col("density").alias("obs_density")))
+    obs = obs5.groupBy("station_id", F.floor(F.col("m_5min") / 12).alias("hour")).agg(seen.alias("_seen"))
+    own = F.explode_outer(F.filter("_seen", lambda o: o["m_5min"] == F.col("m_5min"))).alias("_o")
+    x = sim.join(obs, ["station_id", "hour"], "left").select(*keys, "sim_flow", "sim_density", own)
+    return x.select(*keys, "sim_flow", F.col("_o.obs_flow").alias("obs_flow"), "sim_density", F.col("_o.obs_density").alias("obs_density"))
+
+
+def _all_errors(rows: DataFrame) -> list[Column]:
+    one = _summed_errors if "flow_sq" in rows.columns else _errors
+    return [*one("flow"), *one("density")]
+
+
 def _errors(kind: str) -> list[Column]:
     o, d = F.col(f"obs_{kind}"), F.col(f"sim_{kind}") - F.col(f"obs_{kind}")
     return [
@@ -60,12 +82,13 @@ def _errors(kind: str) -> list[Column]:
 def rmse_mape(pairs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Errors by run and cell; cells of ``cells`` without a pair get a row of zero counts in every run."""
     keys = [*run_key(pairs), "cell"]
-    out = pairs.groupBy(*keys).agg(*_errors("flow"), *_errors("density"))
+    out = pairs.groupBy(*keys).agg(*_all_errors(pairs))
     if cells is None:
         return out
     every = cells.select("cell")
     if len(keys) > 1:
-        every = every.crossJoin(pairs.select("run_id").distinct())  # the result's own rows
+        out = written(out, "errors")  # a row a run and cell, so that pairs are made once
+        every = every.crossJoin(out.select("run_id").distinct())  # the result's own rows
     return every.join(out, keys, "left").fillna(0, ["flow_n", "density_n"]).select(*keys, *out.columns[len(keys):])
 
 
@@ -73,12 +96,12 @@ def rmse_mape_all(pairs: DataFrame) -> DataFrame:
     """By run and cell, and pooled by run (cell null), in one pass by grouping sets; pooling is over residuals, not over
     cells' errors."""
     run = run_key(pairs)
-    return pairs.groupingSets([[*run, "cell"], run], *run, "cell").agg(*_errors("flow"), *_errors("density"))
+    return pairs.groupingSets([[*run, "cell"], run], *run, "cell").agg(*_all_errors(pairs))
 
 
 def corridor_rmse_mape(pairs: DataFrame) -> DataFrame:
     """Pooled errors, a row a run."""
-    return pairs.groupBy(*run_key(pairs)).agg(*_errors("flow"), *_errors("density"))
+    return pairs.groupBy(*run_key(pairs)).agg(*_all_errors(pairs))
 
 
 def run_differences(stats: DataFrame, baseline: str, measures: list[str]) -> DataFrame:
@@ -111,7 +134,11 @@ def corridor_aggregates(sim5: DataFrame, obs5: DataFrame, cells: DataFrame, meta
 def hourly_geh(pairs: DataFrame) -> DataFrame:
     """(run_id, cell, hour, geh): hours from the window's start whose twelve samples are all there on both sides."""
     keys = [*run_key(pairs), "cell"]
-    hours = pairs.groupBy(*keys, F.floor(F.col("m_5min") / 12).alias("hour")).agg(
+    if "flow_sq" in pairs.columns:  # ``hour_sums``
+        return pairs.where("n = 12").select(*keys, "hour", geh("s", "o").alias("geh"))
+    dealt = "hour" in pairs.columns  # by ``pair_runs``, by station and hour
+    at = ["station_id", "hour"] if dealt else [F.floor(F.col("m_5min") / 12).alias("hour")]
+    hours = pairs.groupBy(*keys, *at).agg(
         F.avg("sim_flow").alias("s"), F.avg("obs_flow").alias("o"), F.count(F.col("sim_flow") + F.col("obs_flow")).alias("n")
     )
     return hours.where("n = 12").select(*keys, "hour", geh("s", "o").alias("geh"))
@@ -132,11 +159,15 @@ def flow_geh(pairs: DataFrame) -> DataFrame:
 
 
 def qq_rank_pairs(pairs: DataFrame, kind: str = "flow", least: int = 2) -> DataFrame:
-    """(run_id, cell, rank, sim, obs): either side sorted by itself, paired by rank; cells with ``least`` pairs or more."""
+    """(run_id, cell, rank, sim, obs): either side sorted by itself, paired by rank; cells with ``least`` pairs or more.
+    Pairs are dealt once by run and cell; ranks of both sides and their rows come of that."""
     keys = [*run_key(pairs), "cell"]
-    ok = pairs.where(F.col(f"obs_{kind}").isNotNull()).withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") >= least)
-    side = lambda s: ok.select(*keys, F.col(f"{s}_{kind}").alias(s), F.row_number().over(Window.partitionBy(*keys).orderBy(f"{s}_{kind}")).alias("rank"))
-    return side("sim").join(side("obs"), [*keys, "rank"])
+    ok = pairs.where(F.col(f"obs_{kind}").isNotNull()).select(*keys, F.col(f"sim_{kind}").alias("sim"), F.col(f"obs_{kind}").alias("obs")).repartition(*keys)
+    sides = ok.select(*keys, F.posexplode(F.array("sim", "obs")).alias("_side", "_v"))
+    ranked = sides.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "_side").orderBy("_v")))
+    at = lambda k: F.max(F.when(F.col("_side") == k, F.col("_v")))
+    out = ranked.groupBy(*keys, "rank").agg(at(0).alias("sim"), at(1).alias("obs"))
+    return out.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") >= least).drop("_n")
 
 
 _SUMS = ("vht", "vmt", "delay", "productivity_loss")
@@ -200,6 +231,37 @@ def observed_grid(obs5: DataFrame, cells: DataFrame, horizon: int) -> DataFrame:
     return dense.join(obs5.select("station_id", "m_5min", "flow", "density"), ["station_id", "m_5min"], "left").select("cell", "m_5min", "flow", "density")
 
 
+def hour_sums(pairs: DataFrame) -> DataFrame:
+    """Sums of ``pair_runs`` by run, cell and hour, which errors, hourly GEH and aggregates come of: a row for up to twelve pairs."""
+    aggs = [F.avg("sim_flow").alias("s"), F.avg("obs_flow").alias("o"), F.count(F.col("sim_flow") + F.col("obs_flow")).alias("n")]
+    for k in ("flow", "density"):
+        o, d = F.col(f"obs_{k}"), F.col(f"sim_{k}") - F.col(f"obs_{k}")
+        part = F.when(o != 0, F.abs(d) / F.abs(o))
+        aggs += [F.sum(d * d).alias(f"{k}_sq"), F.count(d).alias(f"{k}_n"), F.sum(part).alias(f"{k}_part"), F.count(part).alias(f"{k}_parts")]
+    both = F.col("obs_flow").isNotNull() & F.col("obs_density").isNotNull()
+    aggs += [F.sum(F.when(both, F.col(c))).alias(f"sum_{c}") for c in ("sim_flow", "sim_density", "obs_flow", "obs_density")] + [F.count_if(both).alias("both")]
+    return pairs.groupBy(*run_key(pairs), "cell", "station_id", "hour").agg(*aggs)
+
+
+def _summed_errors(kind: str) -> list[Column]:
+    n = F.sum(f"{kind}_n")
+    return [
+        F.sqrt(F.try_divide(F.sum(f"{kind}_sq"), n)).alias(f"{kind}_rmse"), (100 * F.try_divide(F.sum(f"{kind}_part"), F.sum(f"{kind}_parts"))).alias(f"{kind}_mape"), n.alias(f"{kind}_n"),
+    ]
+
+
+def hours_aggregates(hours: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
+    """``corridor_aggregates`` out of ``hour_sums``."""
+    own = first_cell_per_station(cells).where("vds_id IS NOT NULL").select("cell", F.col("length").alias("cell_length"))
+    kept = hours.where("both > 0").join(own, "cell").join(meta.select("station_id", F.col("length").alias("station_length")), "station_id")
+    total = lambda side, kind, length: (F.sum(F.col(f"sum_{side}_{kind}") * F.col(f"{length}_length")) / 12)
+    out = kept.groupBy(*run_key(hours)).agg(
+        total("sim", "flow", "cell").alias("sim_vmt"), total("sim", "density", "cell").alias("sim_vht"),
+        total("obs", "flow", "station").alias("obs_vmt"), total("obs", "density", "station").alias("obs_vht"), F.countDistinct("station_id").alias("n_vds"),
+    )
+    return out.withColumn("vmt_pct", pct_diff("sim_vmt", "obs_vmt")).withColumn("vht_pct", pct_diff("sim_vht", "obs_vht"))
+
+
 def merge_geh(stats: DataFrame, hours: DataFrame) -> DataFrame:
     return stats.join(hours, [*run_key(stats), "cell"], "left")
 
@@ -216,10 +278,11 @@ def validation_report(pairs: DataFrame, aggregates: DataFrame, k: int = 5) -> Da
     """(run_id, item, cell, value): scored cells, pooled errors, aggregates, share of good hours, and the k worst cells, all
     by run.
 
-    The pairs are written once; errors by cell and pooled come of one pass over them, and are written too, as three
-    parts of the report read them.
+    Pairs of ``pair_runs`` come as their ``hour_sums``, others are written once; errors by cell and pooled come of one pass
+    over them, and are written too, as three parts of the report read them.
     """
-    pairs = written(pairs, "pairs")
+    if "flow_sq" not in pairs.columns:
+        pairs = written(pairs, "pairs")
     run = run_key(pairs)
     every = written(rmse_mape_all(pairs), "errors")
     stats = every.where("cell IS NOT NULL")

@@ -320,7 +320,7 @@ def sim5(t):
 
 
 def pairs(t):
-    return score.pair_sim_observed(sim5(t), t.obs5, t.cells)
+    return score.pair_runs(t.two_runs, t.obs5, t.cells, 2)
 
 
 def errors_sql(n=3):
@@ -339,7 +339,7 @@ def _(t):
 
 @query("c15_pair_sim_observed", f"WITH {PAIRS} SELECT run_id, cell, station_id, m_5min, round(sim_flow, 3) AS sim_flow, round(obs_flow, 3) AS obs_flow, round(sim_density, 3) AS sim_density, round(obs_density, 3) AS obs_density FROM pairs", 3)
 def _(t):
-    return pairs(t)
+    return pairs(t).drop("hour")
 
 
 @query("d10_rmse_mape", f"WITH {PAIRS} SELECT r.run_id, c.cell, flow_rmse, flow_mape, coalesce(flow_n, 0) AS flow_n, density_rmse, density_mape, coalesce(density_n, 0) AS density_n FROM cells c CROSS JOIN (SELECT DISTINCT run_id FROM pairs) r LEFT JOIN (SELECT run_id, cell, {errors_sql()} FROM pairs GROUP BY 1, 2) e ON e.cell = c.cell AND e.run_id = r.run_id", 3)
@@ -389,7 +389,7 @@ def _(t):
 
 @query("c22_merge_geh", f"WITH {PAIRS}, {GEH.replace('>= 5', '= 12')}, g AS (SELECT run_id, cell, count(*) AS n_hours FROM gehs GROUP BY 1, 2) SELECT run_id, cell, e.flow_n, g.n_hours FROM (SELECT run_id, cell, {errors_sql()} FROM pairs GROUP BY 1, 2) e LEFT JOIN g USING (run_id, cell)")
 def _(t):
-    p = pairs(t)
+    p = written(score.hour_sums(pairs(t)), "hour-sums")
     return score.merge_geh(score.rmse_mape(p), score.flow_geh(p).where("cell IS NOT NULL")).select("run_id", "cell", "flow_n", "n_hours")
 
 
@@ -450,7 +450,8 @@ SELECT run_id, item, CAST(NULL AS BIGINT) AS cell, round(CAST(value AS DOUBLE),
 unnest([flow_rmse, flow_mape, density_rmse, density_mape, sim_vmt, sim_vht, obs_vmt, obs_vht, n_vds, 100 * (sim_vmt - obs_vmt) / obs_vmt, 100 * (sim_vht - obs_vht) / obs_vht, good, n_scored]) AS value FROM e JOIN agg USING (run_id) JOIN (SELECT run_id, 100 * avg(CASE WHEN geh < 5 THEN 1 ELSE 0 END) AS good FROM gehs GROUP BY 1) USING (run_id) JOIN (SELECT run_id, count(r) AS n_scored FROM per GROUP BY 1) USING (run_id))
 UNION ALL (SELECT run_id, 'worst_density_rmse', cell, round(r, 1) FROM per QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY r DESC NULLS LAST, cell) <= 5)""", 1)
 def _(t):
-    return score.validation_report(pairs(t), score.corridor_aggregates(sim5(t), t.obs5, t.cells, meta(t)))
+    hours = written(score.hour_sums(pairs(t)), "hour-sums")
+    return score.validation_report(hours, score.hours_aggregates(hours, t.cells, meta(t)))
 
 
 # Charging load.

@@ -467,3 +467,23 @@ def test_demand_is_dealt_by_blocks_of_cells(spark):
     assert "RepartitionByExpression" in plan_of(out)  # a task held the sums of all cells that it met before
     dealt = vht.repartition(100 // load.BLOCK_CELLS + 1, F.floor(F.col("cell") / load.BLOCK_CELLS)).withColumn("p", F.spark_partition_id())
     assert dealt.select(F.floor(F.col("cell") / load.BLOCK_CELLS).alias("b"), "p").distinct().count() == 4
+
+
+def test_pairs_are_dealt_once_and_ranked_where_they_lie(spark):
+    traj = spark.createDataFrame([(r, s, c, 10.0 + s + c, 5.0) for r in ("a", "b") for s in range(48) for c in (1, 2)], "run_id string, step long, cell long, flow double, rho_post double")
+    cells = spark.createDataFrame([(1, 0, "direct"), (2, 0, "direct")], "cell long, vds_id long, vds_source string")
+    obs = spark.createDataFrame([(0, m, 20.0 - m, 4.0) for m in range(23)], "station_id long, m_5min long, flow double, density double")
+    got = score.pair_runs(traj, obs, cells, 2)
+    want = score.pair_sim_observed(score.block_mean(traj, 2), obs, cells)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert "Join" not in plan_of(score.qq_rank_pairs(want)).split("RepartitionByExpression")[0]  # both sides were joined by rank before
+    errors = lambda df: sorted((str(r["run_id"]), str(r["cell"]), round(r["flow_rmse"], 9), round(r["density_mape"], 9), r["flow_n"]) for r in score.rmse_mape_all(df).collect())
+    assert errors(score.hour_sums(got)) == errors(want)
+
+
+def test_blocks_become_rows_after_the_join(spark):
+    blocks = ingest.long_to_blocks(spark.createDataFrame([(0, 1, 2.0), (1, 70, 3.0)], "step long, cell long, v double"), "step", "v")
+    out = ingest.blocks_to_long(blocks, "step", "v", cells=spark.createDataFrame([(1,), (70,), (200,)], "cell long"))
+    plan = plan_of(out)
+    assert plan.index("explode(_cells") < plan.index("Join")
+    assert sorted(map(tuple, out.collect())) == [(0, 1, 2.0), (0, 70, 0.0), (0, 200, 0.0), (1, 1, 0.0), (1, 70, 3.0), (1, 200, 0.0)]
