@@ -13,6 +13,8 @@ from .quantiles import exact_percentiles
 
 #: Whitened values this near to a fence lie on it.
 TIE = 1e-9
+#: Rows that one task sorts where stations are dealt out by hand.
+DEALT_ROWS = 250_000
 
 
 def contiguous_grid(ts: DataFrame) -> DataFrame:
@@ -70,65 +72,78 @@ def iqr_fence(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
 
 
 def _carried(chunks: DataFrame) -> DataFrame:
-    """Per station and chunk what its neighbours leave open: the last value before it, and the lengths of the runs of nulls
-    that end at its start and begin at its end. Windows here hold a row a chunk.
+    """(_st, _ends): per station a map from each chunk to what its neighbours leave open: the last value before it, and the
+    lengths of the runs of nulls that end at its start and begin at its end. Windows here hold a row a chunk.
 
     A chunk without a value passes on what it got, its own length added: such chunks share the number of chunks with a
     value up to them (or from them on), and lengths add up within that number.
     """
-    on, back = Window.partitionBy("station_id").orderBy("_chunk"), Window.partitionBy("station_id").orderBy(F.desc("_chunk"))
+    on, back = Window.partitionBy("_st").orderBy("_chunk"), Window.partitionBy("_st").orderBy(F.desc("_chunk"))
     upto = Window.unboundedPreceding, Window.currentRow
     x = chunks.withColumn("_fore", F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(on.rowsBetween(*upto)))
     x = x.withColumn("_aft", F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(back.rowsBetween(*upto)))
-    x = x.withColumn("_open", F.sum("_trail").over(Window.partitionBy("station_id", "_fore").orderBy("_chunk").rowsBetween(*upto)))
-    x = x.withColumn("_shut", F.sum("_lead").over(Window.partitionBy("station_id", "_aft").orderBy(F.desc("_chunk")).rowsBetween(*upto)))
-    return x.select(
-        "station_id", "_chunk", F.last("_last", ignorenulls=True).over(on.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.coalesce(F.lag("_open").over(on), F.lit(0)).alias("_ahead"), F.coalesce(F.lag("_shut").over(back), F.lit(0)).alias("_behind"),
+    x = x.withColumn("_open", F.sum("_trail").over(Window.partitionBy("_st", "_fore").orderBy("_chunk").rowsBetween(*upto)))
+    x = x.withColumn("_shut", F.sum("_lead").over(Window.partitionBy("_st", "_aft").orderBy(F.desc("_chunk")).rowsBetween(*upto)))
+    ends = F.struct(
+        F.last("_last", ignorenulls=True).over(on.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.coalesce(F.lag("_open").over(on), F.lit(0)).alias("ahead"), F.coalesce(F.lag("_shut").over(back), F.lit(0)).alias("behind"),
     )
+    # a null chunk is a key like any other, so it travels in a struct
+    return x.select("_st", F.struct(F.struct("_chunk"), ends).alias("_e")).groupBy("_st").agg(F.map_from_entries(F.collect_list("_e")).alias("_ends"))
 
 
-def persistence_fill(df: DataFrame, value: str, max_gap_minutes: int | None = None, out: str | None = None, chunk: str = "month") -> DataFrame:
-    """The last value carried forward; with a limit, only into gaps no longer than it, whole or not at all; rows must be on
-    a grid.
+def deal_by_station(df: DataFrame) -> DataFrame:
+    """Rows shuffled once by station, in parts of about ``DEALT_ROWS``: the fillers' windows and joins on top shuffle no row
+    again. A station is a struct, as a null one would meet nothing in a join."""
+    return df.repartition(df.count() // DEALT_ROWS + 1, F.struct("station_id"))
 
-    Runs are counted within a station's ``chunk`` of time, and what is open at a chunk's ends comes of a scan over one row a
-    chunk, so no window holds more than a chunk of a station's life. A station that starts with nulls keeps them.
-    """
-    own = Window.partitionBy("station_id", "_chunk")
+
+def _persisted(df: DataFrame, value: str, max_gap_minutes: int | None, out: str, chunk: str) -> DataFrame:
+    """``persistence_fill`` of rows with their station as a struct in ``_st``, which stays. Chunks meet what is carried into
+    them by station alone, so rows that lie together by station stay where they are."""
+    own = Window.partitionBy("_st", "_chunk")
     w = own.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = df.withColumn("_chunk", F.date_trunc(chunk, F.col("ts").cast("timestamp_ntz")))
     x = x.withColumns({"_local": F.last(value, ignorenulls=True).over(w), "_g": F.count(value).over(w), "_k": F.count(value).over(own)})
     null = F.col(value).isNull()
-    chunks = x.groupBy("station_id", "_chunk").agg(
+    chunks = x.groupBy("_st", "_chunk").agg(
         F.max("_k").alias("_k"), F.count_if(F.col("_g") == 0).alias("_lead"), F.count_if(null & (F.col("_g") == F.col("_k"))).alias("_trail"),
         F.max_by(value, F.when(~null, F.col("ts"))).alias("_last"),
     )
-    carried = _carried(chunks).toDF("_s", "_c", "_before", "_ahead", "_behind")
-    x = x.join(carried, F.col("station_id").eqNullSafe(F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_c")), "left")
-    last = F.coalesce("_local", "_before")
+    x = x.join(_carried(chunks), "_st", "left").withColumn("_end", F.try_element_at("_ends", F.struct("_chunk"))).drop("_ends")
+    last = F.coalesce("_local", "_end.before")
     if max_gap_minutes is None:
         filled = F.coalesce(F.col(value), last)
     else:
-        local = F.count_if(null).over(Window.partitionBy("station_id", "_chunk", "_g"))
-        rows = local + F.when(F.col("_g") == 0, F.col("_ahead")).otherwise(0) + F.when(F.col("_g") == F.col("_k"), F.col("_behind")).otherwise(0)
+        local = F.count_if(null).over(Window.partitionBy("_st", "_chunk", "_g"))
+        rows = local + F.when(F.col("_g") == 0, F.col("_end.ahead")).otherwise(0) + F.when(F.col("_g") == F.col("_k"), F.col("_end.behind")).otherwise(0)
         filled = F.when(~null, F.col(value)).when(rows * SAMPLE_MINUTES <= max_gap_minutes, last)
-    return x.withColumn(out or value, filled).drop("_chunk", "_local", "_g", "_k", "_s", "_c", "_before", "_ahead", "_behind")
+    return x.withColumn(out, filled).drop("_chunk", "_local", "_g", "_k", "_end")
+
+
+def persistence_fill(df: DataFrame, value: str, max_gap_minutes: int | None = None, out: str | None = None, chunk: str = "month") -> DataFrame:
+    """The last value carried forward; with a limit, only into gaps no longer than it, whole or not at all; rows must be on
+    a grid.
+
+    Runs are counted within a station's ``chunk`` of time, and what is open at a chunk's ends comes of a scan over one row a
+    chunk, so no window holds more than a chunk of a station's life. A station that starts with nulls keeps them.
+    """
+    return _persisted(df.withColumn("_st", F.struct("station_id")), value, max_gap_minutes, out or value, chunk).drop("_st")
 
 
 def _slot_mean(df: DataFrame, value: str, history: DataFrame | None) -> tuple[DataFrame, Column]:
     slot = slot_of_week("ts")
     if history is None:
-        return df, F.avg(value).over(Window.partitionBy("station_id", slot))
+        return df, F.avg(value).over(Window.partitionBy("_st", slot))
     stats = history.groupBy("station_id", slot.alias("_slot")).agg(F.avg(value).alias("_mean"))
     return df.withColumn("_slot", slot).join(stats, ["station_id", "_slot"], "left").drop("_slot"), F.col("_mean")
 
 
 def slot_mean_fill(df: DataFrame, value: str, history: DataFrame | None = None, out: str | None = None) -> DataFrame:
     """Nulls take the mean of their own block of the week; a block never seen stays null. ``filled`` marks what was filled."""
-    df, mean = _slot_mean(df, value, history)
+    df, mean = _slot_mean(df.withColumn("_st", F.struct("station_id")), value, history)
     done = df.withColumn("_new", F.coalesce(F.col(value), mean)).withColumn("filled", F.col(value).isNull() & F.col("_new").isNotNull())
-    return done.withColumn(out or value, F.col("_new")).drop("_new", "_mean")
+    return done.withColumn(out or value, F.col("_new")).drop("_new", "_mean", "_st")
 
 
 def unseen_slots(df: DataFrame, value: str) -> DataFrame:
@@ -152,10 +167,10 @@ def stochastic_slot_fill(df: DataFrame, value: str, seed: int) -> DataFrame:
 
 def gap_aware_fill(df: DataFrame, value: str, short_gap_max: int = 2, history: DataFrame | None = None) -> DataFrame:
     """Gaps of at most ``short_gap_max`` samples by persistence, longer ones by the means of the values as they were."""
-    df = df.withColumn("_orig", F.col(value))
-    df = persistence_fill(df, "_orig", short_gap_max * SAMPLE_MINUTES, out="_short")
+    df = df.withColumns({"_orig": F.col(value), "_st": F.struct("station_id")})
+    df = _persisted(df, "_orig", short_gap_max * SAMPLE_MINUTES, "_short", "month")
     df, mean = _slot_mean(df, value, history)
-    return df.withColumn(value, F.coalesce("_short", mean)).drop("_orig", "_short", "_mean")
+    return df.withColumn(value, F.coalesce("_short", mean)).drop("_orig", "_short", "_mean", "_st")
 
 
 def _stencil(rows: pa.Table, k: int, decay: float) -> pa.Table:

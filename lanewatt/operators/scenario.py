@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SAMPLES_PER_HOUR, classify_ramp_flow, clip_split_ratio, exact_divisor
+from .gaps import deal_by_station
 
 
 def build_stretches(meta: DataFrame) -> DataFrame:
@@ -176,7 +177,9 @@ def holdout_blocks(series: DataFrame, value: str, gap: int, every: int) -> DataF
 
 
 def holdout_report(series: DataFrame, value: str, lengths: tuple[int, ...], every: int, fillers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """(strategy, gap, n, rmse, mape, bias): every filler's error on masked blocks of every length of gap."""
+    """(strategy, gap, n, rmse, mape, bias): every filler's error on masked blocks of every length of gap. Rows are dealt once,
+    by station; all fillers and lengths read that one shuffle."""
+    series = deal_by_station(series)
     rows = [
         fill_accuracy(fill(holdout_blocks(series, value, gap, every)), value).select(F.lit(name).alias("strategy"), F.lit(gap).alias("gap"), "*")
         for gap in lengths for name, fill in fillers.items()

@@ -10,6 +10,7 @@ import pytest
 from lanewatt.functions import scalars as S
 from lanewatt.operators import calibrate, gaps, linref, load, quality, quantiles, running, scenario, score
 from lanewatt.sources import ingest
+from lanewatt.sources.scratch import written
 from lanewatt.streaming import detectors
 from pyspark.sql import functions as F
 
@@ -487,3 +488,46 @@ def test_blocks_become_rows_after_the_join(spark):
     plan = plan_of(out)
     assert plan.index("explode(_cells") < plan.index("Join")
     assert sorted(map(tuple, out.collect())) == [(0, 1, 2.0), (0, 70, 0.0), (0, 200, 0.0), (1, 1, 0.0), (1, 70, 3.0), (1, 200, 0.0)]
+
+
+def shuffles(spark, df, of=""):
+    """How many shuffles a plan runs, those that are read again counted once; nothing is broadcast."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    return len([x for x in plan.splitlines() if " Exchange hashpartitioning" in x and "ReusedExchange" not in x and of in x])
+
+
+def test_holdout_deals_the_series_once(spark, monkeypatch):
+    """Twelve fills read one shuffle, a null station between the others; the report is that of each fill alone."""
+    monkeypatch.setattr(gaps, "DEALT_ROWS", 1000, raising=False)
+    rows = [(s, 5 * i, None if i % 11 == 3 else float(i % 50)) for s in (1, 2, None) for i in range(0, 9000, 7)]
+    df = written(ts_table(spark, rows).withColumn("m_5min", F.col("minute") / 5), "series")
+    fillers = {"persistence": lambda d: gaps.persistence_fill(d, "v"), "slot_mean": lambda d: gaps.slot_mean_fill(d, "v"), "gap_aware": lambda d: gaps.gap_aware_fill(d, "v")}
+    report = scenario.holdout_report(df, "v", (1, 3, 6, 12), 97, fillers)
+    assert shuffles(spark, report, "station_id") == 1
+    for r in report.where("gap IN (3, 12)").collect():
+        alone = scenario.fill_accuracy(fillers[r["strategy"]](scenario.holdout_blocks(df, "v", r["gap"], 97)), "v").first()
+        assert r["n"] == alone["n"] > 0 and math.isclose(r["rmse"], alone["rmse"]) and math.isclose(r["bias"], alone["bias"], abs_tol=1e-9)
+
+
+def test_persistence_carries_into_chunks_of_a_null_station(spark):
+    """A null station is one like any other, and so are rows without a time."""
+    rows = [(s, 1440 * d, 1.5 if d == 3 else None) for s in (None, 7) for d in range(0, 100, 3)]
+    out = gaps.persistence_fill(ts_table(spark, rows), "v")
+    assert [tuple(r) for r in out.groupBy("station_id").agg(F.count("v").alias("n")).orderBy("station_id").collect()] == [(None, 33), (7, 33)]
+
+
+def test_lanes_are_parsed_once(spark):
+    lane = "10,4.5,0.1,,NaN"
+    head = "01/01/2024 00:05:00,{},4,880,N,ML,0.5,30,100, ,0.05,61.5"
+    lines = spark.createDataFrame([(head.format(1) + "," + lane + "," + lane,), (head.format(2),), (head.format(3) + ",1",)], "value string")
+    lanes = ingest.explode_lanes(ingest.with_lanes(ingest.parse_detector_lines(lines)))
+    assert [tuple(r)[2:] for r in lanes.where("station_id = 1").orderBy("lane").collect()] == [(k, 10, 4.5, 0.1, None, None) for k in (1, 2)]
+    assert lanes.count() == 2 and ingest.parse_detector_lines(lines).where("total_flow_5min IS NULL").count() == 3
+    assert lanes._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
