@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SAMPLE_MINUTES, slot_of_week
+from ..sources.scratch import written
 from .quantiles import exact_percentiles
 
 #: Whitened values this near to a fence lie on it.
@@ -223,11 +224,15 @@ def _tile(rows: pa.Table, k: int, decay: float) -> pa.Table:
 
 def augment_grid(grid: DataFrame, history: DataFrame, k: int = 3, decay: float = 1.0) -> DataFrame:
     """Fill a (cell, m_5min, value, direct) grid: direct cells from ``history`` (cell, m_5min, value) means, the others
-    from their neighbours. ``source`` is observed, hist or knn; unfilled entries are left out."""
-    means = history.groupBy("cell", "m_5min").agg(F.avg("value").alias("_mean"))
-    first = grid.join(means, ["cell", "m_5min"], "left").withColumn(
-        "source", F.when(F.col("value").isNotNull(), "observed").when(F.col("direct") & F.col("_mean").isNotNull(), "hist")
-    ).withColumn("value", F.coalesce("value", F.when(F.col("direct"), F.col("_mean"))))
-    done = first.where("value IS NOT NULL").select("cell", "m_5min", "value", "source")
-    rest = first.where("value IS NULL AND NOT direct")
-    return done.unionByName(knn_impute(grid, done, rest, k, decay).where("value IS NOT NULL").withColumn("source", F.lit("knn")))
+    from their neighbours. ``source`` is observed, hist or knn; unfilled entries are left out.
+
+    The grid is made once and written; only a direct cell's gaps meet the means, all other entries are shuffled for nothing
+    but the tiles.
+    """
+    grid = written(grid, "grid")
+    means = history.groupBy("cell", "m_5min").agg(F.avg("value").alias("_mean")).where("_mean IS NOT NULL")
+    told = lambda rows, value, source: rows.select("cell", "m_5min", F.col(value).alias("value"), F.lit(source).alias("source"))
+    observed = told(grid.where("value IS NOT NULL"), "value", "observed")
+    done = observed.unionByName(told(grid.where("value IS NULL AND direct").join(means, ["cell", "m_5min"]), "_mean", "hist"))
+    rest = grid.where("value IS NULL AND NOT direct")
+    return done.unionByName(told(knn_impute(grid, done, rest, k, decay).where("value IS NOT NULL"), "value", "knn"))

@@ -217,7 +217,9 @@ FROM field f JOIN cells c USING (cell) LEFT JOIN (SELECT station_id, m_5min % 28
 k AS ({KNN.replace("(SELECT * FROM field WHERE value IS NULL) t", "(SELECT * FROM f2 WHERE value IS NULL AND NOT direct) t").replace("LEFT JOIN field u", "LEFT JOIN f2 u")})
 SELECT cell, m_5min, round(value, 4) AS value, source FROM f2 WHERE value IS NOT NULL UNION ALL SELECT cell, m_5min, value, 'knn' FROM k WHERE value IS NOT NULL""")
 def _(t):
-    history = t.cells.select("cell", F.col("vds_id").alias("station_id")).join(t.obs5, "station_id").select("cell", (F.col("m_5min") % 288).alias("m_5min"), F.col("density").alias("value"))
+    # means of stations, which several cells share
+    means = t.obs5.groupBy("station_id", (F.col("m_5min") % 288).alias("m_5min")).agg(F.avg("density").alias("value"))
+    history = t.cells.select("cell", F.col("vds_id").alias("station_id")).join(means, "station_id").select("cell", "m_5min", "value")
     return gaps.augment_grid(field(t), history)
 
 

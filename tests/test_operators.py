@@ -531,3 +531,17 @@ def test_lanes_are_parsed_once(spark):
     assert [tuple(r)[2:] for r in lanes.where("station_id = 1").orderBy("lane").collect()] == [(k, 10, 4.5, 0.1, None, None) for k in (1, 2)]
     assert lanes.count() == 2 and ingest.parse_detector_lines(lines).where("total_flow_5min IS NULL").count() == 3
     assert lanes._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+
+
+def test_augmented_grid_is_made_once(spark):
+    """Only gaps of direct cells meet the means; what made the grid is not run again for each kind of entry."""
+    rows = [(c, m, None if (c, m) in ((0, 2), (0, 3)) or c == 1 else 10.0 * c + m, c != 1) for c in (0, 1, 2) for m in range(4)]
+    grid = spark.createDataFrame(rows, "cell long, m_5min long, value double, direct boolean").repartition(3, "direct")
+    history = spark.createDataFrame([(0, 2, 4.0), (0, 2, 8.0), (0, 0, 99.0), (0, 3, None), (1, 1, 50.0)], "cell long, m_5min long, value double")
+    out = gaps.augment_grid(grid, history)
+    assert shuffles(spark, out, "direct") == 0
+    got = {(r["cell"], r["m_5min"]): (r["value"], r["source"]) for r in out.collect()}
+    assert got[0, 2] == (6.0, "hist") and got[0, 0] == (0.0, "observed") and (0, 3) not in got and len(got) == 11
+    near = {(0, 1): 1.0, (2, 1): 21.0, (0, 0): 0.0, (0, 2): 6.0, (2, 0): 20.0, (2, 2): 22.0, (2, 3): 23.0}
+    weight = {at: math.exp(-(abs(at[0] - 1) + abs(at[1] - 1) - 1)) for at in near}
+    assert got[1, 1][1] == "knn" and math.isclose(got[1, 1][0], sum(near[k] * weight[k] for k in near) / sum(weight.values()))
