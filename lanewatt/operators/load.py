@@ -13,7 +13,7 @@ from ..sources.scratch import written
 from .quantiles import exact_percentiles
 from .running import running_share, running_sum
 
-#: Neighbouring cells whose energy one task sums.
+#: Neighbouring cells, or bins, whose energy one task sums.
 BLOCK_CELLS = 32
 
 
@@ -134,14 +134,16 @@ def charging_demand(vht: DataFrame, cells: DataFrame, spec: PadSpec, eta: float,
     """(step, bin, energy_wh): energy by step and bin, never expanded to positions.
 
     Energy at a position is eta * vht / n_cell * power, so a bin's is vht times a weight that the bin and cell decide:
-    rows grow with steps times the cells' bins, not with steps times positions. Rows are dealt out by blocks of cells, in
-    as many parts as there are blocks, and a bin's cells are neighbours: a task sums what a block reaches and holds no more.
+    rows grow with steps times the cells' bins, not with steps times positions. Cells meet their weights in as many parts as
+    there are blocks of cells, and what comes of it is dealt out by blocks of bins, in which it is summed: neither the join
+    nor the sums of a task grow with the table.
     """
     if not 0 <= eta <= 1:
         raise ValueError("eta must lie between 0 and 1")
-    w = bin_weights(cells, spec, bin_metres, n)
-    dealt = vht.repartition(cells.count() // BLOCK_CELLS + 1, F.floor(F.col("cell") / BLOCK_CELLS))
-    return dealt.join(w, "cell").groupBy("step", "bin").agg(F.sum(F.lit(eta) * F.col("vht") * F.col("w")).alias("energy_wh"))
+    parts = cells.count() // BLOCK_CELLS + 1
+    w = bin_weights(cells, spec, bin_metres, n).repartition(parts, "cell")
+    energy = vht.repartition(parts, "cell").join(w, "cell").select("step", "bin", (F.lit(eta) * F.col("vht") * F.col("w")).alias("_e"), F.floor(F.col("bin") / BLOCK_CELLS).alias("_block"))
+    return energy.repartition(parts, "_block").groupBy("_block", "step", "bin").agg(F.sum("_e").alias("energy_wh")).drop("_block")
 
 
 def demand_long(vht: DataFrame, cells: DataFrame, spec: PadSpec, eta: float, n: int) -> DataFrame:

@@ -545,3 +545,19 @@ def test_augmented_grid_is_made_once(spark):
     near = {(0, 1): 1.0, (2, 1): 21.0, (0, 0): 0.0, (0, 2): 6.0, (2, 0): 20.0, (2, 2): 22.0, (2, 3): 23.0}
     weight = {at: math.exp(-(abs(at[0] - 1) + abs(at[1] - 1) - 1)) for at in near}
     assert got[1, 1][1] == "knn" and math.isclose(got[1, 1][0], sum(near[k] * weight[k] for k in near) / sum(weight.values()))
+
+
+def test_demand_is_summed_where_it_is_dealt(spark, monkeypatch):
+    """Sums lie by blocks of bins: no shuffle goes by step, and what a task sums is a block's, over the same grid as the
+    expanded form."""
+    monkeypatch.setattr(load, "BLOCK_CELLS", 4)
+    spec = load.PadSpec()
+    cells = spark.createDataFrame([(c, 0.1 + 0.07 * (c % 5)) for c in range(20)], "cell long, length double")
+    vht = spark.createDataFrame([(c, s, 1.0 + c * s % 7) for c in range(20) for s in range(6) if (c + s) % 4], "cell long, step long, vht double")
+    n = int(load.cell_positions(cells, spec.dx).agg(F.sum("n")).first()[0])
+    out = load.charging_demand(vht, cells, spec, 0.8, 300.0, n)
+    assert out.columns == ["step", "bin", "energy_wh"] and shuffles(spark, out, "step") == 0
+    long = load.demand_long(vht, cells, spec, 0.8, n).groupBy("step", F.floor(F.col("position") * spec.dx / 300.0).alias("bin")).agg(F.sum("energy_wh").alias("e"))
+    want = {(r["step"], r["bin"]): r["e"] for r in long.collect()}
+    got = {(r["step"], r["bin"]): r["energy_wh"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
