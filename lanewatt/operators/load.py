@@ -174,6 +174,7 @@ def peak_power(per_step: DataFrame, dt_hours: float) -> DataFrame:
 def bin_profiles(demand: DataFrame, dt_hours: float, bin_miles: float, horizon: int) -> DataFrame:
     """MW per mile by bin: at the corridor's peak step, largest, mean over all steps, load factor, and percentiles."""
     mw = F.col("energy_wh") / dt_hours / 1e6 / bin_miles
+    demand = written(demand, "demand")  # read for the peak, the profiles and the percentiles
     steps = energy_per_step(demand)
     peak = steps.agg(F.min_by("step", F.struct((-F.col("energy_wh")).alias("e"), "step")).alias("peak_step"))
     x = demand.withColumn("mw", mw).crossJoin(F.broadcast(peak))  # one row
